@@ -201,31 +201,50 @@ def _marked_pairs(text: Column, q_mark: str, a_mark: str) -> Column:
     return F.filter(rows, lambda r: (r["question"] != "") & (r["answer"] != ""))
 
 
-def _sentence_pairs(text: Column) -> Column:
-    """Sentence ending in a question mark, followed by the text up to the next question mark's sentence."""
-    pieces = F.split(text, r"\?")
-    n = F.size(pieces)
-    rows = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(
-        F.trim(rx(F.try_element_at(pieces, i), r"([^.!?]*)$")).alias("question"),
-        F.trim(rx(F.try_element_at(pieces, i + 1), r"(?s)^\s*([^.!]*[.!]?)")).alias("answer")))
-    return F.when(n < 2, F.filter(rows, lambda r: F.lit(False))).otherwise(
-        F.filter(rows, lambda r: (r["question"] != "") & (r["answer"] != "")))
-
-
-def text_pairs(text: Column) -> Column:
+PAIR = "array<struct<question:string,answer:string>>"
+
+
+def _sentence_pairs(text: Column, to_end: bool) -> Column:
+    """Text up to a question mark, with what follows up to the next paragraph or line that starts with a letter.
+
+    The text is cut at those line ends once; one fold over the pieces carries the question that is still open.
+    ``to_end``: the last piece counts as an answer too, although no line end follows it.
+    """
+    marked = rx_sub(rx_sub(text, r"\n(\n|[A-Za-z])", MARK + "\n$1"), r"\n(\n)", MARK + "$1")
+    pieces = F.split(marked, MARK)
+    pieces = pieces if to_end else F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("asked"), F.array().cast(PAIR).alias("pairs"))
+
+    def step(state: Column, piece: Column) -> Column:
+        whole = F.concat(state["open"], piece)
+        has_mark = whole.rlike(r"(?s)^.[^?]*\?")
+        question = F.trim(rx(whole, r"(?s)^(.[^?]*)\?"))
+        rest = F.trim(rx_sub(rx(whole, r"(?s)^.[^?]*\?(.*)$"), r"\s+", " "))
+        done = has_mark & (rest != "")
+        return F.struct(
+            F.when(done, F.lit("")).otherwise(whole).alias("open"),
+            has_mark.alias("asked"),
+            F.when(done, F.concat(state["pairs"], F.array(F.struct(
+                question.alias("question"), rest.alias("answer"))))).otherwise(state["pairs"]).alias("pairs"),
+        )
+
+    return F.aggregate(pieces, start, step)["pairs"]
+
+
+def text_pairs(text: Column, to_end: bool = True) -> Column:
     """``Q:/A:``, ``Question:/Answer:`` and sentence pairs of a text."""
     return F.concat(_marked_pairs(text, "Q:", "A:"), _marked_pairs(text, "Question:", "Answer:"),
-                    _sentence_pairs(text))
+                    _sentence_pairs(text, to_end))
 
 
-def faq_text_pairs(signals: DataFrame, kinds: str = "all") -> DataFrame:
+def faq_text_pairs(signals: DataFrame, kinds: str = "all", text: str = "text", to_end: bool = True) -> DataFrame:
     arrays = {
-        "all": text_pairs(c("text")),
-        "q": _marked_pairs(c("text"), "Q:", "A:"),
-        "question": _marked_pairs(c("text"), "Question:", "Answer:"),
-        "sentence": _sentence_pairs(c("text")),
+        "all": lambda: text_pairs(c(text), to_end),
+        "q": lambda: _marked_pairs(c(text), "Q:", "A:"),
+        "question": lambda: _marked_pairs(c(text), "Question:", "Answer:"),
+        "sentence": lambda: _sentence_pairs(c(text), to_end),
     }
-    return _rows(signals, arrays[kinds])
+    return _rows(signals, arrays[kinds]())
 
 
 def faq_headings(signals: DataFrame) -> DataFrame:
