@@ -99,10 +99,10 @@ def headings(mk) -> Column:
 
 def heading_texts(hs, levels: list[int]) -> Column:
     """Texts of the given levels, level by level in document order."""
-    parts = [
-        F.transform(F.filter(as_col(hs), lambda h, n=n: h["level"] == n), lambda h: h["text"]) for n in levels
-    ]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    def of_level(n: int) -> Column:
+        return F.transform(F.filter(as_col(hs), lambda h: h["level"] == n), lambda h: h["text"])
+
+    return F.concat(*[of_level(n) for n in levels])
 
 
 def meta_content(metas, name: str, key: str = "name") -> Column:

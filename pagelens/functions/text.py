@@ -60,10 +60,11 @@ def guess_language(toks) -> Column:
     The counts are taken inside the row, so no shuffle and no broadcast is needed.
     """
     toks = as_col(toks)
-    scores = [
-        F.struct(F.size(F.filter(toks, lambda t, ws=ws: t.isin(ws))).alias("n"), F.lit(code).alias("code"))
-        for code, ws in sorted(fv.LANGUAGE_WORDS.items())
-    ]
+
+    def score(code: str, words: list[str]) -> Column:
+        return F.struct(F.size(F.filter(toks, lambda t: t.isin(words))).alias("n"), F.lit(code).alias("code"))
+
+    scores = [score(code, words) for code, words in sorted(fv.LANGUAGE_WORDS.items())]
     best = F.aggregate(
         F.array(*scores),
         F.struct(F.lit(0).alias("n"), F.lit("").alias("code")),

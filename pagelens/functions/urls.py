@@ -159,7 +159,10 @@ def file_stem(src) -> Column:
 
 
 def host_label(u) -> Column:
-    return F.initcap(F.element_at(F.split(rx_sub(netloc(u), r"www\."), r"\."), 1))
+    """First host label without ``www.``, every run of letters capitalised."""
+    label = F.element_at(F.split(rx_sub(netloc(u), r"www\."), r"\."), 1)
+    spaced = rx_sub(label, r"([^A-Za-z]+)", "$1\u0001 ")
+    return F.replace(F.initcap(spaced), F.lit("\u0001 "), F.lit(""))
 
 
 def brand_from_url(u) -> Column:

@@ -253,8 +253,11 @@ def page_advice(signals: DataFrame) -> DataFrame:
         "geo": geo_advice(c("n_hreflang"), c("has_local_schema"), c("nap_completeness"), c("has_geo_content")),
         "aeo": aeo,
     }
-    rows = F.concat(*[F.transform(arr, lambda a, k=k: F.struct(F.lit(k).alias("kind"), a.alias("advice")))
-                      for k, arr in kinds.items()])
+
+    def labelled(kind: str, advice: Column) -> Column:
+        return F.transform(advice, lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("advice")))
+
+    rows = F.concat(*[labelled(k, arr) for k, arr in kinds.items()])
     return s.select("page_id", "site", F.explode(rows).alias("r")).select("page_id", "site", "r.*")
 
 
