@@ -66,6 +66,15 @@ def first_or(arr, default: str = "") -> Column:
     return F.coalesce(F.get(as_col(arr), F.lit(0)), F.lit(default))
 
 
+def entries(arr) -> Column:
+    """The array, written so that exploding it does not compute it twice.
+
+    For a bare column the optimizer derives a ``size(column) > 0`` filter and pushes it below the projection that
+    computes the array, so that the whole extraction would run once more.  For an expression it does not.
+    """
+    return F.array_compact(as_col(arr))
+
+
 def squeeze(s) -> Column:
     """Collapse white space and trim."""
     return F.trim(rx_sub(s, r"\s+", " "))

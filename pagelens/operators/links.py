@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls as U
-from ..functions.exprs import rx, rx_sub
+from ..functions.exprs import entries, rx, rx_sub
 from ..session import checkpoint_ready
 from .skew import salted_lookup
 
@@ -17,7 +17,7 @@ c = F.col
 def link_edges(signals: DataFrame) -> DataFrame:
     """``site, src_page_id, src_url, dst_url, internal``."""
     return signals.select(
-        "site", c("page_id").alias("src_page_id"), c("url").alias("src_url"), F.explode("links").alias("l")
+        "site", c("page_id").alias("src_page_id"), c("url").alias("src_url"), F.explode(entries("links")).alias("l")
     ).select("site", "src_page_id", "src_url", c("l.url").alias("dst_url"), c("l.internal").alias("internal"))
 
 

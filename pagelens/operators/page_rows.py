@@ -11,7 +11,7 @@ from ..functions import html as H
 from ..functions import structured as J
 from ..functions import text as T
 from ..functions import urls as U
-from ..functions.exprs import any_of, quote, rx, rx_all, rx_sub
+from ..functions.exprs import any_of, entries, quote, rx, rx_all, rx_sub
 
 WORD = r"[\p{L}\p{N}_]"
 EDGE = r"[^\p{L}\p{N}_]"
@@ -30,11 +30,11 @@ c = F.col
 def _rows(signals: DataFrame, array: Column, *keep: str) -> DataFrame:
     """``page_id, site, <keep>, <fields of the array's struct>``, one row per array entry."""
     cols = ["page_id", "site", *keep]
-    return signals.select(*cols, F.explode(array).alias("_r")).select(*cols, "_r.*")
+    return signals.select(*cols, F.explode(entries(array)).alias("_r")).select(*cols, "_r.*")
 
 
 def _value_rows(signals: DataFrame, array: Column, name: str) -> DataFrame:
-    return signals.select("page_id", "site", F.explode(array).alias(name))
+    return signals.select("page_id", "site", F.explode(entries(array)).alias(name))
 
 
 # --- headings, links, images, head ---------------------------------------------------------------
@@ -54,23 +54,23 @@ def page_links(signals: DataFrame, mode: str = "site") -> DataFrame:
     based = signals.select(
         "page_id", "site", "netloc", "anchors", *[v.alias(f"_b_{k}") for k, v in U.base_parts("base_url").items()])
     parts = {k: c(f"_b_{k}") for k in ("scheme", "root", "dir", "plain", "bare")}
-    raw = based.select("page_id", "site", "netloc", F.explode("anchors.href").alias("href"),
-                       *[v for v in parts.values()])
-    full = raw.select("page_id", "site", "netloc", "href", U.resolve_with(parts, "href").alias("url"))
+    full = F.transform("anchors", lambda a: F.struct(
+        a["href"].alias("href"), U.resolve_with(parts, a["href"]).alias("url")))
+    resolved = based.select("page_id", "site", "netloc", full.alias("_full"))
     if mode == "netloc":
-        kept = full.where(U.netloc("url") == c("netloc")).select("page_id", "site", "url")
+        kept, out = (lambda r: U.netloc(r["url"]) == c("netloc")), (lambda r: r["url"])
     elif mode == "path_only":
-        kept = full.where(~c("href").rlike(r"^(?:javascript:|mailto:|tel:|#|data:)")
-                          & (U.netloc("url") == c("netloc"))
-                          ).select("page_id", "site", rx_sub("url", r"(?s)[?#].*$").alias("url"))
+        kept = lambda r: ~r["href"].rlike(r"^(?:javascript:|mailto:|tel:|#|data:)") & (
+            U.netloc(r["url"]) == c("netloc"))
+        out = lambda r: rx_sub(r["url"], r"(?s)[?#].*$")
     elif mode == "no_images":
         ext = "|".join(quote(e) for e in fv.IMAGE_EXTENSIONS)
-        own = F.contains("href", c("netloc")) | ~F.contains("href", F.lit(":"))
-        kept = full.where(own & ~c("url").rlike(rf"(?:{ext})$")
-                          ).select("page_id", "site", U.strip_fragment("url").alias("url"))
+        kept = lambda r: (F.contains(r["href"], c("netloc")) | ~r["href"].contains(":")) & ~r["url"].rlike(
+            rf"(?:{ext})$")
+        out = lambda r: U.strip_fragment(r["url"])
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return kept.dropDuplicates(["page_id", "url"])
+    return _value_rows(resolved, F.array_distinct(F.transform(F.filter("_full", kept), out)), "url")
 
 
 def image_rows(signals: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def jsonld_type_rows(signals: DataFrame) -> DataFrame:
 
 
 def page_warnings(signals: DataFrame) -> DataFrame:
-    return signals.select("page_id", "site", F.posexplode("warnings").alias("pos", "warning"))
+    return signals.select("page_id", "site", F.posexplode(entries("warnings")).alias("pos", "warning"))
 
 
 def social_and_device_tags(signals: DataFrame) -> DataFrame:

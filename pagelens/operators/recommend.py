@@ -306,7 +306,7 @@ def title_suggestions(suggested: DataFrame) -> DataFrame:
 
 
 def slug_suggestions(suggested: DataFrame) -> DataFrame:
-    return suggested.where(c("new_slug").isNotNull()).select("page_id", "site", "url", "new_slug")
+    return suggested.where(U.slug_is_poor("url")).select("page_id", "site", "url", "new_slug")
 
 
 def alt_suggestions(suggested: DataFrame) -> DataFrame:

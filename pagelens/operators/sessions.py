@@ -34,7 +34,10 @@ def funnel(sessions: DataFrame, as_of: dt.datetime | str, steps: list[str] | Non
 
 
 def _seconds() -> Column:
-    return F.unix_micros("completed_at") / 1e6 - F.unix_micros("created_at") / 1e6
+    def micros(name: str) -> Column:
+        return F.unix_micros(c(name).cast("timestamp"))
+
+    return micros("completed_at") / 1e6 - micros("created_at") / 1e6
 
 
 def completion_metrics(sessions: DataFrame) -> DataFrame:

@@ -22,10 +22,16 @@ c = F.col
 
 
 def _first_filled(signals: DataFrame, value: Column, name: str, latest: bool = False) -> DataFrame:
-    """First non-empty value per site in page order (last when ``latest``)."""
-    rows = signals.select("site", "page_id", value.alias(name)).where(F.coalesce(c(name), F.lit("")) != "")
+    """First non-empty value per site in page order (last when ``latest``).
+
+    Empty values get no place in the order instead of being filtered away: a filter would be pushed below the
+    projection that computes the value, which would then be computed twice.
+    """
+    rows = signals.select("site", "page_id", value.alias(name))
     pick = F.max_by if latest else F.min_by
-    return rows.groupBy("site").agg(pick(name, "page_id").alias(name))
+    place = F.when(F.coalesce(c(name), F.lit("")) != "", c("page_id"))
+    return rows.groupBy("site").agg(pick(name, place).alias(name), F.count(place).alias("_n")).where(
+        c("_n") > 0).drop("_n")
 
 
 # --- identity ------------------------------------------------------------------------------------
@@ -143,13 +149,14 @@ def page_languages(signals: DataFrame) -> DataFrame:
 
 
 def site_language_mix(signals: DataFrame) -> DataFrame:
-    return page_languages(signals).where(c("language") != "").groupBy("site", "language").agg(
-        F.count(F.lit(1)).alias("pages"))
+    counted = page_languages(signals).groupBy("site", "language").agg(
+        F.count_if(c("language") != "").alias("pages"))
+    return counted.where(c("pages") > 0)
 
 
 def site_languages(signals: DataFrame) -> DataFrame:
     """Declared languages (``<html lang>``) per site."""
-    return signals.where(c("lang").isNotNull()).groupBy("site", "lang").agg(F.count(F.lit(1)).alias("pages"))
+    return signals.groupBy("site", "lang").agg(F.count("lang").alias("pages")).where(c("pages") > 0)
 
 
 def primary_keyword(signals: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fv
 from ..functions import text as T
-from ..functions.exprs import as_col, count_of
+from ..functions.exprs import as_col, count_of, entries
 from .page_rows import next_words
 
 c = F.col
@@ -104,7 +104,7 @@ def visibility_summary(evaluated: DataFrame) -> DataFrame:
 
 
 def top_competitors(evaluated: DataFrame, k: int = 5) -> DataFrame:
-    counted = evaluated.select("site", F.explode("competitors").alias("name")).groupBy("site", "name").agg(
+    counted = evaluated.select("site", F.explode(entries("competitors")).alias("name")).groupBy("site", "name").agg(
         F.count(F.lit(1)).alias("mentions"))
     w = Window.partitionBy("site").orderBy(c("mentions").desc(), c("name"))
     return counted.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import entries
 from ..operators import checks as C
 from ..operators import links as G
 from ..operators import page_rows as P
@@ -34,7 +35,7 @@ def site_signals(signals: DataFrame) -> DataFrame:
         part("topic", P.page_topics(signals), c("topic")),
         part("competitor", P.competitor_phrases(signals), c("competitor")),
         part("faq", faqs, c("question")),
-        part("schema", signals.select("site", F.explode("jsonld_types").alias("t")), c("t")),
+        part("schema", signals.select("site", F.explode(entries("jsonld_types")).alias("t")), c("t")),
         part("alt_issue", alts, F.concat_ws(" ", "issue", "src")),
         part("geo_signal", geo, F.concat_ws(" ", "type", "name", "value")),
     ]

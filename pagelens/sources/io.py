@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls as U
-from ..functions.exprs import rx, rx_sub
+from ..functions.exprs import entries, rx, rx_sub
 
 c = F.col
 
@@ -36,7 +36,7 @@ def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     best = found.where(F.size("locs") > 0).withColumn("rank", F.row_number().over(w)).where(
         (c("pref") == 0) | (c("rank") == 1))
     root = F.concat(F.lit("https://"), c("host"), F.lit("/"))
-    urls = best.select("host", F.explode("locs").alias("loc")).where(F.trim("loc") != "").select(
+    urls = best.select("host", F.explode(entries("locs")).alias("loc")).where(F.trim("loc") != "").select(
         "host", U.strip_fragment(U.resolve_url(root, F.replace(c("loc"), F.lit("&amp;"), F.lit("&")))).alias("url"))
     return urls.where(U.site_of("url") == U.registrable_domain("host")).distinct()
 

@@ -16,6 +16,11 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
+def _timed(df: DataFrame, ts: str, watermark: str) -> DataFrame:
+    """Event time as TIMESTAMP (watermarks need one), with its watermark."""
+    return df.withColumn(ts, c(ts).cast("timestamp")).withWatermark(ts, watermark)
+
+
 def stream_page_audit(pages: DataFrame, scheme: str = "pillars") -> DataFrame:
     """Checks of pages as they arrive; stateless, the same functions as the batch job."""
     return C.check_rows(page_signals(pages), scheme)
@@ -23,19 +28,19 @@ def stream_page_audit(pages: DataFrame, scheme: str = "pillars") -> DataFrame:
 
 def stream_frontier_dedup(urls: DataFrame, watermark: str = "1 day", ts: str = "ts", key: str = "url") -> DataFrame:
     """Each URL once within the watermark."""
-    return urls.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+    return _timed(urls, ts, watermark).dropDuplicatesWithinWatermark([key])
 
 
 def stream_funnel(events: DataFrame, watermark: str = "1 hour", window: str = "1 hour", slide: str | None = None,
                   ts: str = "ts", step: str = "event_type") -> DataFrame:
     """Events per tumbling (or sliding) window and step."""
     frame = F.window(ts, window, slide) if slide else F.window(ts, window)
-    return events.withWatermark(ts, watermark).groupBy(frame.alias("w"), step).agg(
+    return _timed(events, ts, watermark).groupBy(frame.alias("w"), step).agg(
         F.count(F.lit(1)).alias("n")).select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), step, "n")
 
 
 def stream_sessions(events: DataFrame, watermark: str = "1 hour", gap: str = "30 minutes", ts: str = "ts",
                     user: str = "user_id") -> DataFrame:
     """Sessions per user, closed by a gap."""
-    return events.withWatermark(ts, watermark).groupBy(F.session_window(ts, gap).alias("w"), user).agg(
+    return _timed(events, ts, watermark).groupBy(F.session_window(ts, gap).alias("w"), user).agg(
         F.count(F.lit(1)).alias("n")).select(user, c("w.start").alias("session_start"), c("w.end").alias("session_end"), "n")

@@ -34,11 +34,17 @@ def rows_of(names, rows):
     return sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+TIMES = {}
+
+
 def compare(con, df, sql) -> str:
     """'' when equal, else what differs."""
+    t0 = time.time()
     names, got = df.columns, [tuple(r) for r in df.collect()]
+    t1 = time.time()
     cur = con.execute(sql)
     want_names, want = [x[0] for x in cur.description], cur.fetchall()
+    TIMES["run"], TIMES["sql"] = t1 - t0, time.time() - t1
     if sorted(names) != sorted(want_names):
         return f"columns {sorted(names)} != {sorted(want_names)}"
     a, b = rows_of(names, got), rows_of(want_names, want)
@@ -51,7 +57,7 @@ def compare(con, df, sql) -> str:
             return f"row {sorted(names)}: {x} != {y}"
     spark_types = {f.name: f.dataType.simpleString() for f in df.schema}
     duck_types = {x[0]: str(x[1]) for x in cur.description}
-    pair = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+    pair = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
     bad = {n: (t, duck_types[n]) for n, t in spark_types.items() if not duck_types[n].startswith(pair.get(t, "?"))}
     return f"types {bad}" if bad else ""
 
@@ -72,13 +78,15 @@ if __name__ == "__main__":
         if only and name not in only:
             continue
         t = time.time()
+        TIMES.clear()
         try:
             df = fn(spark, sf)
+            TIMES["build"] = time.time() - t
             msg = compare(con, df, sqls[name]) if name in sqls else f"(no SQL) rows {df.count()}"
         except Exception as err:  # report and go on
             msg = f"ERROR {type(err).__name__} {str(err)[:700]}"
         ok = msg == "" or msg.startswith("(no SQL)")
         if not ok:
             failed.append(name)
-        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - t:.1f}s {msg[:900]}", flush=True)
+        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - t:.1f}s {' '.join(f'{k}={v:.1f}' for k, v in TIMES.items())} {msg[:900]}", flush=True)
     print("failed:", failed)
