@@ -75,6 +75,11 @@ def entries(arr) -> Column:
     return F.array_compact(as_col(arr))
 
 
+def strip_edges(s) -> Column:
+    """White space of any kind off both ends."""
+    return rx_sub(s, r"^\s+|\s+$")
+
+
 def squeeze(s) -> Column:
     """Collapse white space and trim."""
     return F.trim(rx_sub(s, r"\s+", " "))

@@ -11,7 +11,7 @@ from ..functions import html as H
 from ..functions import structured as J
 from ..functions import text as T
 from ..functions import urls as U
-from ..functions.exprs import any_of, entries, quote, rx, rx_all, rx_sub
+from ..functions.exprs import any_of, entries, quote, rx, rx_all, rx_sub, strip_edges
 
 WORD = r"[\p{L}\p{N}_]"
 EDGE = r"[^\p{L}\p{N}_]"
@@ -196,8 +196,8 @@ def faq_schema_pairs(signals: DataFrame) -> DataFrame:
 def _marked_pairs(text: Column, q_mark: str, a_mark: str) -> Column:
     pieces = F.split(rx_sub(text, rf"(?i){q_mark}", MARK), MARK)
     rows = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.struct(
-        F.trim(rx(p, rf"(?is)^(.*?){a_mark}")).alias("question"),
-        F.trim(rx(p, rf"(?is)^.*?{a_mark}(.*)$")).alias("answer")))
+        strip_edges(rx(p, rf"(?is)^(.*?){a_mark}")).alias("question"),
+        strip_edges(rx(p, rf"(?is)^.*?{a_mark}(.*)$")).alias("answer")))
     return F.filter(rows, lambda r: (r["question"] != "") & (r["answer"] != ""))
 
 
@@ -218,8 +218,8 @@ def _sentence_pairs(text: Column, to_end: bool) -> Column:
     def step(state: Column, piece: Column) -> Column:
         whole = F.concat(state["open"], piece)
         has_mark = whole.rlike(r"(?s)^.[^?]*\?")
-        question = F.trim(rx(whole, r"(?s)^(.[^?]*)\?"))
-        rest = F.trim(rx_sub(rx(whole, r"(?s)^.[^?]*\?(.*)$"), r"\s+", " "))
+        question = strip_edges(rx(whole, r"(?s)^(.[^?]*)\?"))
+        rest = strip_edges(rx(whole, r"(?s)^.[^?]*\?(.*)$"))
         done = has_mark & (rest != "")
         return F.struct(
             F.when(done, F.lit("")).otherwise(whole).alias("open"),
