@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.operators.page_signals import page_signals
+from pagelens.sources.io import spread
 
 AUGMENT = """
 concat(replace(html, '</head>', concat(
@@ -36,7 +37,8 @@ _SIGNALS: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("pages", "documents", "conversations") else df
 
 
 def aug_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ from pagelens.operators import page_signals as S
 from .inputs import AUGMENT
 
 
+ANCHOR_REST = r"(?is)^[^>]*>(.*?)(?:</a|\z)"
+PARAGRAPH_REST = r"(?is)^(.*?)(?:</p|\z)"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("(?iu)", "(?i)").replace("'", "''") + "'"
 
@@ -173,7 +177,7 @@ t AS (SELECT page_id, url, html, low, netloc, host, path, site, mk,
       {strip(sub('mk', H.HIDDEN, ' '), ' ')} AS text,
       {decode(sub(sub(sub(sub('mk', H.HIDDEN, ' '), r'\s+', ' '), H.BLOCK_END, chr(10)), H.ANY_TAG, ' '))} AS block_text,
       trim({decode(ext('mk', H.TITLE))}) AS title, {has('mk', r'(?i)<title[\s>]')} AS has_title_tag,
-      list_transform(string_split_regex(mk, {q(H.PARAGRAPH_START)})[2:], lambda x: {strip(ext('x', H.PARAGRAPH_REST))}) AS paragraphs
+      list_transform(string_split_regex(mk, {q(H.PARAGRAPH_START)})[2:], lambda x: {strip(ext('x', PARAGRAPH_REST))}) AS paragraphs
       FROM p),
 g AS (SELECT *, {named('tags', 'meta')} AS metas, {named('tags', 'link')} AS lks,
       {named('tags', 'img')} AS imgs, {named('tags', 'iframe')} AS frames, {named('tags', 'html')} AS htmls,
@@ -197,7 +201,7 @@ h AS (SELECT *, {attr('htmls[1]', 'lang')} AS lang0,
       list_transform(imgs, lambda x: {{'src': coalesce({attr('x', 'src')}, ''), 'alt': trim(coalesce({attr('x', 'alt')}, '')),
         'loading': lower(trim(coalesce({attr('x', 'loading')}, ''))), 'width': {attr('x', 'width')}, 'height': {attr('x', 'height')}}}) AS images,
       list_filter(list_transform(pieces, lambda x: {{'href': trim({attr("concat('<a ', " + ext('x', '^[^>]*', 0) + ")", 'href')}),
-        'title': {attr("concat('<a ', " + ext('x', '^[^>]*', 0) + ")", 'title')}, 'text': {strip(ext('x', H.ANCHOR_REST))}}}),
+        'title': {attr("concat('<a ', " + ext('x', '^[^>]*', 0) + ")", 'title')}, 'text': {strip(ext('x', ANCHOR_REST))}}}),
         lambda x: x.href IS NOT NULL) AS anchors,
       list_transform(frames, lambda x: coalesce({attr('x', 'src')}, '')) AS frame_srcs
       FROM g),

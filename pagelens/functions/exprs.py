@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+SPACE_RUN = r"[\t\n\f\r]\s*|\s{2,}"
+
+
 def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -37,10 +40,12 @@ def str_array(values: Iterable[str]) -> Column:
 def any_of(s, words: Iterable[str]) -> Column:
     """True when at least one literal word is a substring of ``s``.
 
-    A chain of byte searches: on long texts it is several times faster than one regex alternation.
+    A chain of byte searches: on long texts it is several times faster than one regex alternation.  Words that
+    hold another word of the list are implied by it and left out.
     """
+    words = list(words)
     out = F.lit(False)
-    for w in words:
+    for w in (x for x in words if not any(y != x and y in x for y in words)):
         out = out | F.contains(as_col(s), F.lit(w))
     return out
 
@@ -81,8 +86,8 @@ def strip_edges(s) -> Column:
 
 
 def squeeze(s) -> Column:
-    """Collapse white space and trim."""
-    return F.trim(rx_sub(s, r"\s+", " "))
+    """Collapse white space and trim; single blanks, by far most runs, are not touched."""
+    return F.trim(rx_sub(s, SPACE_RUN, " "))
 
 
 def texts(condition, *values) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .exprs import as_col, rx, rx_all, rx_sub, squeeze
+from .exprs import SPACE_RUN, as_col, rx, rx_all, rx_sub, squeeze
 
 COMMENT = r"(?s)<!--.*?-->"
 CODE = r"(?is)<(?:script(?:\s[^>]*)?>.*?</script|style(?:\s[^>]*)?>.*?</style)\s*>"
@@ -21,9 +21,9 @@ TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"
 START_TAG = r"(?i)<(?:html|base|meta|link|img|iframe)(?:[\s/][^>]*)?>"
 HEADING = r"(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>"
 ANCHOR_START = r"(?i)<a\s"
-ANCHOR_REST = r"(?is)^[^>]*>(.*?)(?:</a|\z)"
+ANCHOR_END = r"(?i)</a"
 PARAGRAPH_START = r"(?i)<p(?:\s[^>]*)?>"
-PARAGRAPH_REST = r"(?is)^(.*?)(?:</p|\z)"
+PARAGRAPH_END = r"(?i)</p"
 LIST_START = r"(?i)<[uo]l[\s>]"
 TABLE_START = r"(?i)<table[\s>]"
 BLOCK_END = r"(?i)<(?:/(?:p|div|li|h[1-6]|tr|section|article)\s*|br\s*/?)>"
@@ -73,7 +73,7 @@ def visible_text(mk) -> Column:
 
 def block_text(mk) -> Column:
     """Visible text with a newline where a block ends."""
-    lined = rx_sub(rx_sub(rx_sub(mk, HIDDEN, " "), r"\s+", " "), BLOCK_END, "\n")
+    lined = rx_sub(rx_sub(rx_sub(mk, HIDDEN, " "), SPACE_RUN, " "), BLOCK_END, "\n")
     return decode_entities(rx_sub(lined, ANY_TAG, " "))
 
 
@@ -111,6 +111,11 @@ def meta_content(metas, name: str, key: str = "name") -> Column:
     return attr(F.get(hit, F.lit(0)), "content")
 
 
+def before(s, pattern: str) -> Column:
+    """Everything in front of the first match (all of it when there is none)."""
+    return F.element_at(F.split(as_col(s), pattern, 2), 1)
+
+
 def anchors(mk) -> Column:
     """ARRAY<STRUCT<href,title,text>> of all anchors with an href."""
     pieces = F.split(as_col(mk), ANCHOR_START)
@@ -121,13 +126,18 @@ def anchors(mk) -> Column:
         return F.struct(
             F.trim(attr(head, "href")).alias("href"),
             attr(head, "title").alias("title"),
-            strip_tags(rx(p, ANCHOR_REST)).alias("text"),
+            strip_tags(rx_sub(before(p, ANCHOR_END), r"^[^>]*>?")).alias("text"),
         )
 
     return F.filter(F.transform(pieces, parts), lambda a: a["href"].isNotNull())
 
 
 def paragraphs(mk) -> Column:
+    """Inner HTML of each paragraph."""
     pieces = F.split(as_col(mk), PARAGRAPH_START)
-    return F.transform(
-        F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: strip_tags(rx(p, PARAGRAPH_REST)))
+    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: before(p, PARAGRAPH_END))
+
+
+def shorter_than(inner: Column, n: int) -> Column:
+    """Is the text of this inner HTML shorter than ``n``?  Stripping only shortens, so short HTML needs none."""
+    return (F.length(inner) < n) | (F.length(strip_tags(inner)) < n)

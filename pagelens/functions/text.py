@@ -17,6 +17,13 @@ def word_count(text) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, " "))).cast("bigint")
 
 
+def squeezed_word_count(text) -> Column:
+    """Words of a text whose white space is single blanks only: counted by bytes, without a split."""
+    text = as_col(text)
+    gaps = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(text == "", F.lit(0)).otherwise(gaps + 1).cast("bigint")
+
+
 def tokens(text) -> Column:
     return rx_all(F.lower(as_col(text)), TOKEN)
 

@@ -249,7 +249,7 @@ def faq_text_pairs(signals: DataFrame, kinds: str = "all", text: str = "text", t
 
 def faq_headings(signals: DataFrame) -> DataFrame:
     """Question headings, then question lines with the line that follows; first 25 distinct per page."""
-    lines = F.filter(F.transform(F.split(c("block_text"), "\n"), lambda s: F.trim(rx_sub(s, r"\s+", " "))),
+    lines = F.filter(F.transform(F.split(H.block_text("markup"), "\n"), lambda s: F.trim(rx_sub(s, r"\s+", " "))),
                      lambda s: s != "")
 
     def asks(s: Column) -> Column:

@@ -184,7 +184,6 @@ def page_signals(pages: DataFrame) -> DataFrame:
         H.headings("_mk").alias("headings"),
         H.anchors("_mk").alias("anchors"),
         H.visible_text("_mk").alias("text"),
-        H.block_text("_mk").alias("block_text"),
         H.title("_mk").alias("title"),
         c("_mk").rlike(r"(?i)<title[\s>]").alias("has_title_tag"),
         H.paragraphs("_mk").alias("paragraphs"),
@@ -220,8 +219,8 @@ def page_signals(pages: DataFrame) -> DataFrame:
         _named_metas(c("_metas"), "name", lambda n: n.contains("geo")).alias("geo_meta"),
         F.when(c("_base").isNotNull(), U.resolve_url("url", "_base")).otherwise(c("url")).alias("base_url"),
         *[H.heading_texts("headings", [n]).alias(f"h{n}") for n in range(1, 7)],
-        T.word_count("text").alias("word_count"),
-        F.size(F.filter("paragraphs", lambda p: F.length(p) < 200)).cast("bigint").alias("n_short_p"),
+        T.squeezed_word_count("text").alias("word_count"),
+        F.size(F.filter("paragraphs", lambda p: H.shorter_than(p, 200))).cast("bigint").alias("n_short_p"),
         rx("text", PHONE_RUN).alias("text_phone"),
         postal_address(c("_commas")).alias("text_address"),
     )
@@ -237,7 +236,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
     flagged = resolved.select(
         *[n for n in resolved.columns if not n.startswith("_") and n != "paragraphs"],
         F.array_distinct(F.transform(
-            "_urls", lambda u: F.struct(u.alias("url"), (U.site_of(u) == c("site")).alias("internal")))).alias("links"),
+            "_urls", lambda u: F.struct(u.alias("url"), ((U.host_of(u) == c("host")) | (U.site_of(u) == c("site"))).alias("internal")))).alias("links"),
     )
 
     def side(internal: bool) -> Column:

@@ -71,8 +71,7 @@ def page_description(variant: str = "signals") -> Column:
         return c("meta")
     og = F.nullif(F.trim(F.get(F.filter("og", lambda o: F.lower(o["name"]) == "og:description"), F.lit(0))["content"]),
                   F.lit(""))
-    first_p = F.substring(H.strip_tags(rx(F.get(F.split(c("markup"), H.PARAGRAPH_START), F.lit(1)),
-                                          H.PARAGRAPH_REST)), 1, 200)
+    first_p = F.substring(H.strip_tags(F.get(H.paragraphs("markup"), F.lit(0))), 1, 200)
     return F.coalesce("meta", og, first_p, F.lit(""))
 
 

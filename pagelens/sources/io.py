@@ -12,6 +12,16 @@ from ..functions.exprs import entries, rx, rx_sub
 c = F.col
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work when the input has fewer splits than cores.
+
+    A small table in one row group is one task otherwise.  A large table has splits enough and is left alone, so
+    nothing is shuffled where it would cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Crawled pages; alternative column names are settled once here."""
     df = spark.read.format(fmt).load(path)
