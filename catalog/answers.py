@@ -550,7 +550,7 @@ def crawl_depth(spark, d):
         (c("k") >= 0) & (c("k") == F.floor("k"))).select(c("k").cast("bigint").alias("page_id"), F.regexp_replace("url", "#.*$", "").alias("dst_url"))
     e = p.join(kids, "page_id").select(F.lit("all").alias("site"), c("url").alias("src_url"), "dst_url", F.lit(True).alias("internal"))
     seeds = p.where(c("page_id") == 0).select(F.lit("all").alias("site"), "url")
-    return G.crawl_depth(e, seeds, max_pages=1_000_000_000)
+    return G.crawl_depth(e, seeds, max_pages=None)
 
 
 @query("technical_only_sites", f"""WITH t AS (SELECT {K.host('url')} AS site, CASE WHEN starts_with({K.host('url')}, 'm.') THEN concat(regexp_replace(url, '[?#].*$', ''), '/sitemap.xml') ELSE url END AS url FROM pages)

@@ -6,7 +6,7 @@ Rows are pre-aggregated on the map side; nothing is collected per group.
 from __future__ import annotations
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -59,14 +59,27 @@ def page_keywords(signals: DataFrame, stop_words: list[str] | None = None, min_c
     return stem_counts(texts, "page_id", "_z", stop_words=stop_words, min_count=min_count)
 
 
-def site_keywords(texts: DataFrame, key: str, order: str, text: str = "text", stop_words: list[str] | None = None,
-                  more_than: int = 4) -> DataFrame:
-    """Stems, bigrams and trigrams with more than four occurrences: ``key, kind, gram, n``."""
-    stems = stem_counts(texts, key, order, text, stop_words, more_than + 1).select(
-        key, F.lit("stem").alias("kind"), c("stem").alias("gram"), "n")
-    two = gram_counts(texts, key, 2, text, more_than + 1).select(key, F.lit("bigram").alias("kind"), "gram", "n")
-    three = gram_counts(texts, key, 3, text, more_than + 1).select(key, F.lit("trigram").alias("kind"), "gram", "n")
-    return stems.unionByName(two).unionByName(three)
+def site_keywords(texts: DataFrame, key: str, order: str | None = None, text: str = "text",
+                  stop_words: list[str] | None = None, more_than: int = 4) -> DataFrame:
+    """Stems, bigrams and trigrams with more than four occurrences: ``key, kind, gram, n``.
+
+    One pass over the texts gives all three kinds.  N-grams that stay below the threshold are dropped right after
+    the first aggregation, so only word counts and frequent n-grams take part in the second one, which adds up
+    the words of a stem.
+    """
+    pre = texts.select(key, T.tokens(text).alias("_t"))
+
+    def kind(name: str, grams) -> Column:
+        return F.transform(grams, lambda g: F.struct(F.lit(name).alias("kind"), g.alias("gram")))
+
+    words = T.without_stop_words("_t", stop_words) if stop_words else c("_t")
+    rows = pre.select(key, F.explode(F.concat(
+        kind("stem", words), kind("bigram", T.ngrams("_t", 2)), kind("trigram", T.ngrams("_t", 3)))).alias("_r"))
+    counted = rows.groupBy(key, c("_r.kind").alias("kind"), c("_r.gram").alias("gram")).agg(
+        F.count(F.lit(1)).alias("n")).where((c("kind") == "stem") | (c("n") > more_than))
+    stemmed = T.with_stem(counted.withColumn("_word", F.when(c("kind") == "stem", c("gram"))), "_word")
+    return stemmed.groupBy(key, "kind", F.coalesce("stem", "gram").alias("gram")).agg(
+        F.sum("n").alias("n")).where(c("n") > more_than)
 
 
 def duplicate_groups(rows: DataFrame, content_hash: str, member: str) -> DataFrame:

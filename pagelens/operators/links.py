@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import urls as U
 from ..functions.exprs import entries, rx, rx_sub
 from ..session import checkpoint_ready
-from .skew import salted_lookup
+from .skew import first_k, salted_lookup
 
 c = F.col
 
@@ -65,35 +64,30 @@ def frontier(edges: DataFrame, visited: DataFrame, max_pages: int = 100) -> Data
     fresh = wanted.join(seen, ["site", "url"], "left_anti")
     ranked = fresh.withColumn("priority", _sitemap_last())
     used = seen.groupBy("site").agg(F.count(F.lit(1)).alias("_used"))
-    w = Window.partitionBy("site").orderBy("priority", "first_seen_on", "url")
-    top = ranked.withColumn("rank", F.row_number().over(w)).where(c("rank") <= max_pages)
+    top = first_k(ranked, ["site"], ["priority", "first_seen_on", "url"], max_pages, "url")
     return top.join(used, "site", "left").where(c("rank") <= max_pages - F.coalesce("_used", F.lit(0))).drop("_used")
 
 
-def crawl_depth(edges: DataFrame, seeds: DataFrame, max_pages: int = 100, max_rounds: int = 50,
+def crawl_depth(edges: DataFrame, seeds: DataFrame, max_pages: int | None = 100, max_rounds: int = 50,
                 checkpoint_every: int = 3) -> DataFrame:
-    """Breadth-first depth of each URL from its site's seed, first ``max_pages`` per site: ``site, url, depth``.
+    """Breadth-first depth of each URL from its site's seed: ``site, url, depth``.
 
-    One round is an equality join of the newest level with the edges and an anti join with what is known.  The
-    newest level and the known set are cut with reliable checkpoints, so that lost executors cost one round.
+    At most ``max_pages`` URLs per site (None: all), level by level, content before sitemaps.  One round is an
+    equality join of the newest level with the edges and an anti join with what is known.  Levels and the known
+    set are cut with reliable checkpoints, so that lost executors cost one round.
     """
-    spark = edges.sparkSession
-    checkpoint_ready(spark)
+    checkpoint_ready(edges.sparkSession)
     links = edges.where("internal").select(
         "site", U.strip_fragment("src_url").alias("url"), "dst_url").distinct().checkpoint()
     known = seeds.select("site", U.strip_fragment("url").alias("url")).distinct().select(
-        "site", "url", F.lit(0).cast("bigint").alias("depth"))
-    known = known.checkpoint()
+        "site", "url", F.lit(0).cast("bigint").alias("depth")).checkpoint()
     level = known
     for depth in range(1, max_rounds + 1):
         reached = links.join(level.select("site", "url"), ["site", "url"]).select(
             "site", c("dst_url").alias("url")).distinct()
-        fresh = reached.join(known.select("site", "url"), ["site", "url"], "left_anti")
-        used = known.groupBy("site").agg(F.count(F.lit(1)).alias("_used"))
-        w = Window.partitionBy("site").orderBy(_sitemap_last(), "url")
-        numbered = fresh.withColumn("_n", F.row_number().over(w)).where(c("_n") <= max_pages)
-        level = numbered.join(used, "site").where(c("_n") + c("_used") <= max_pages).select(
-            "site", "url", F.lit(depth).cast("bigint").alias("depth")).checkpoint()
+        fresh = reached.join(known.select("site", "url"), ["site", "url"], "left_anti").checkpoint()
+        level = fresh if max_pages is None else _within_budget(fresh, known, max_pages).checkpoint()
+        level = level.select("site", "url", F.lit(depth).cast("bigint").alias("depth"))
         if level.isEmpty():
             break
         known = known.unionByName(level)
@@ -102,6 +96,17 @@ def crawl_depth(edges: DataFrame, seeds: DataFrame, max_pages: int = 100, max_ro
     return known
 
 
+def _within_budget(fresh: DataFrame, known: DataFrame, max_pages: int) -> DataFrame:
+    """New URLs that fit into the open budget of their site; only sites that exceed it are ranked."""
+    used = known.groupBy("site").agg(F.count(F.lit(1)).alias("_used"))
+    new = fresh.groupBy("site").agg(F.count(F.lit(1)).alias("_new"))
+    room = new.join(used, "site").select("site", (F.lit(max_pages) - c("_used")).alias("_room"), "_new")
+    placed = salted_lookup(fresh, room, ["site"], "url", "inner")
+    whole = placed.where(c("_new") <= c("_room"))
+    cut = first_k(placed.where(c("_new") > c("_room")), ["site"], [_sitemap_last(), "url"], max_pages, "url", "_n")
+    return whole.select("site", "url").unionByName(cut.where(c("_n") <= c("_room")).select("site", "url"))
+
+
 def broken_links(edges: DataFrame, url_status: DataFrame) -> DataFrame:
     """Distinct internal links per site whose target answered 400 or worse: ``site, dst_url, status``.
 
