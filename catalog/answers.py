@@ -18,7 +18,7 @@ from . import sqlkit as K
 from .inputs import answers, sessions, signals, table
 from .pages import PRODUCTS, TEXT_PAIRS, W, _phrases, _seg
 from .registry import query
-from .scores import BRANDS, GUESS, KW, PROFILE, host_signals
+from .scores import BRANDS, GUESS, KW, PROFILE, PROWS, host_signals
 
 c = F.col
 
@@ -632,6 +632,26 @@ def site_bundle(spark, d):
         p["page_id"].cast("string"), F.lit(":"), p["title"])), " | ").alias("pages"), c("audit.audit_id").alias("audit_id"))
 
 
+@query("cms_unmatched", f"WITH {CMS}, {MATCH} SELECT url FROM pages WHERE url NOT IN (SELECT url FROM cm)")
+def cms_unmatched(spark, d):
+    sug = table(spark, d, "pages").select("url", F.lit("T").alias("new_title"), F.lit("").alias("new_meta"), F.lit("").alias("new_h1"),
+                                          F.expr("cast(array() as array<struct<q:string,a:string>>)").alias("faq"))
+    return JB.cms_updates(sug, cms_pages(spark, d))["unmatched"].select("url")
+
+
+AUDIT = f"""{W}, {K.LINKS}, {STATUS}, {RULES}, bad AS (SELECT page_id, count(DISTINCT edges.url) AS n_broken FROM edges JOIN st ON st.url = edges.url WHERE internal AND status >= 400 GROUP BY ALL),
+  blk AS (SELECT page_id FROM sig WHERE EXISTS (SELECT 1 FROM rules r WHERE r.host = sig.host AND r.kind = 'disallow' AND r.value NOT IN ('', '/') AND
+    CASE WHEN contains(r.value, '*') THEN regexp_matches(coalesce(nullif(sig.path, ''), '/'), concat('^', replace(replace(r.value, '.', '\\.'), '*', '.*'), '$')) ELSE starts_with(coalesce(nullif(sig.path, ''), '/'), r.value) END))"""
+
+
+@query("audit_full_pages", f"{AUDIT} SELECT sig.page_id AS page_id, sig.url AS url, title, word_count, coalesce(n_broken, 0) AS n_broken, blk.page_id IS NOT NULL AS blocked_by_robots FROM sig LEFT JOIN bad ON bad.page_id = sig.page_id LEFT JOIN blk ON blk.page_id = sig.page_id")
+def audit_full_pages(spark, d):
+    from .inputs import aug_pages
+
+    out = JB.audit_full(aug_pages(spark, d), robots(spark, d), url_status(spark, d))
+    return out["pages"].select("page_id", "url", "title", "word_count", "n_broken", "blocked_by_robots")
+
+
 # --- streams ----------------------------------------------------------------------------------------
 def _drain(spark, df, mode: str = "append"):
     """Run a stream over all stored rows into a table in the shared folder and read it back."""
@@ -657,6 +677,15 @@ def stream_funnel(spark, d):
     return _drain(spark, ST.stream_funnel(event_stream(spark, d)))
 
 
+@query("stream_page_audit", f"{PROWS} SELECT page_id, site, pillar, \"check\", points, max_points, present FROM ck".replace("page_id, host AS site, word_count, r.*", "page_id, site, word_count, r.*"))
+def stream_page_audit(spark, d):
+    from .inputs import AUGMENT
+
+    raw = ST.read_stream(spark, f"{d}/pages*.parquet", table(spark, d, "pages").schema)
+    pages = raw.select("page_id", "url", F.expr(AUGMENT).alias("html"))
+    return _drain(spark, ST.stream_page_audit(pages)).drop("scheme", "task")
+
+
 @query("stream_frontier_dedup", "SELECT DISTINCT user_id * 10 + event_id % 7 AS url FROM events")
 def stream_frontier_dedup(spark, d):
     e = event_stream(spark, d).select((c("user_id") * 10 + c("event_id") % 7).alias("url"), "ts")

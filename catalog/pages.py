@@ -307,6 +307,11 @@ def products_worded(spark, d):
     return P.products(signals(spark, d), "worded")
 
 
+@query("products_long", f"{W} SELECT page_id, site, unnest(list_distinct(list_filter(list_concat({PNAMES}, list_filter({HTEXTS}, lambda t: length(t) < 100)), lambda p: length(p) >= 1))) AS product FROM sig")
+def products_long(spark, d):
+    return P.products(signals(spark, d), "long")
+
+
 def _topic_words(s: str) -> str:
     return f"list_filter({K.ext_all(f'lower({s})', r'[\p{L}\p{N}_]+')}, lambda t: {K.has('t', '^[a-z]{4,}$')})"
 
@@ -342,6 +347,37 @@ def competitor_phrases(spark, d):
     return P.competitor_phrases(docs)
 
 
+def _after(t: str) -> str:
+    out = "[]"
+    for k in fv.COMPARISON_MARKERS:
+        out = f"list_concat({out}, {K.ext_all(f'lower({t})', k.replace(' ', chr(92) + 's+') + rf'{chr(92)}s+({P.WORD}+)', 1)})"
+    return f"list_distinct({out})"
+
+
+COMPARED = "CASE WHEN doc_id % 4 = 0 THEN ' Blue Lamp vs Red Desk, better than chairs, compared to Stools' ELSE '' END"
+
+
+@query("competitors_after_marker", f"WITH dv AS (SELECT doc_id, source, concat(text, {COMPARED}) AS text FROM documents) SELECT doc_id AS page_id, source AS site, unnest({_after('text')}) AS competitor FROM dv")
+def competitors_after_marker(spark, d):
+    return P.competitor_phrases(_compared(spark, d), "after")
+
+
+def _compared(spark, d):
+    return table(spark, d, "documents").select(
+        c("doc_id").alias("page_id"), c("source").alias("site"), F.concat("text", F.expr(COMPARED)).alias("text"))
+
+
+NEXT = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+
+
+@query("competitors_next_word", f"""WITH dv AS (SELECT doc_id, source, concat(text, {COMPARED}) AS text FROM documents), w AS (SELECT doc_id, source, unnest({NEXT}) AS w, generate_subscripts({NEXT}, 1) AS i FROM dv),
+  n AS (SELECT doc_id, source, i, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM w),
+  h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM n WHERE lower(w) IN {K.in_list(fv.COMPARISON_WORDS)} AND nx IS NOT NULL)
+  SELECT doc_id AS page_id, source AS site, nx AS competitor FROM h WHERE rn <= 3""")
+def competitors_next_word(spark, d):
+    return P.competitor_phrases(_compared(spark, d), "next")
+
+
 @query("text_heading_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:20]) AS s, generate_subscripts(string_split(text, chr(10))[1:20], 1) AS i FROM
     (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('# Heading ', doc_id, chr(10), 'OUR NEW PRODUCTS', chr(10), text) ELSE text END AS text FROM documents)),
   n AS (SELECT doc_id, trim(s) AS heading, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rank FROM l WHERE starts_with(trim(s), '#') OR (length(trim(s)) > 10 AND trim(s) = upper(trim(s)) AND trim(s) <> lower(trim(s))))

@@ -415,6 +415,15 @@ def industry_first(spark, d):
     return signals(spark, d).select("page_id", A.industry_first(c("text")).alias("industry"))
 
 
+COUNTRYNAME = f"(list_filter({K.lits(fv.CONTEXT_COUNTRIES)}, lambda z: contains(lower(text), lower(z))))[1]"
+LOCCOUNTRY = f"nullif(list_filter(list_transform({LOCAL}, lambda x: json_extract_string(x, '$.address.addressCountry')), lambda v: v IS NOT NULL)[1], '')"
+
+
+@query("site_location_context", f"""{W}, x AS (SELECT host AS site, page_id, coalesce({COUNTRYNAME}, {LOCCOUNTRY}, '') AS l FROM sig) SELECT site, arg_max(l, page_id) AS location FROM x WHERE l <> '' GROUP BY site""")
+def site_location_context(spark, d):
+    return A.location(host_signals(spark, d), "context")
+
+
 IND = "ib AS (SELECT host AS site, lower(concat(' ', title, ' ', coalesce(meta, ''), ' ', array_to_string(list_transform(h1, lambda x: concat(' ', x, ' ')), ''))) AS bl FROM sig), " \
       "iw AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{w}')" for i, (n, ws) in enumerate(fv.INDUSTRY_KEYWORDS.items()) for w in ws) + ") v(o, industry, kw)), " \
       "isc AS (SELECT site, o, industry, count(DISTINCT kw) FILTER (contains(bl, kw)) AS score FROM ib, iw GROUP BY ALL), " \
@@ -426,6 +435,11 @@ def industry_best(spark, d):
     return A.industry_best(host_signals(spark, d))
 
 
+@query("industry_best_short", f"{W}, {IND.replace(IND[IND.index('(VALUES'):IND.index(') v(o')], '(VALUES ' + ', '.join(f"({i}, '{n}', '{w}')" for i, (n, ws) in enumerate(fv.INDUSTRY_KEYWORDS_SHORT.items()) for w in ws))} SELECT * FROM industries")
+def industry_best_short(spark, d):
+    return A.industry_best(host_signals(spark, d), short=True)
+
+
 PROFILE = f"""{BRANDS}, {LOCATIONS}, {IND}, descs AS (SELECT host AS site, arg_min(meta, page_id) AS description FROM sig WHERE coalesce(meta, '') <> '' GROUP BY host),
   prof AS (SELECT s.site AS site, pages, brand, description, location, industry FROM (SELECT host AS site, count(*) AS pages FROM sig GROUP BY host) s
     LEFT JOIN brands b ON b.site = s.site LEFT JOIN descs d ON d.site = s.site LEFT JOIN locs l ON l.site = s.site LEFT JOIN industries i ON i.site = s.site)"""
