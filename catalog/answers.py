@@ -493,16 +493,15 @@ def robots_blocked(spark, d):
     return G.robots_blocked(table(spark, d, "pages"), io.robots_rules(robots(spark, d)))
 
 
-SITEMAPS = """SELECT host, '/sitemap.xml' AS path, CASE WHEN k % 3 = 0 THEN '' ELSE concat('<urlset xmlns="x"><url><loc> https://', host, '/a?x=1&amp;y=2#f </loc></url><url><loc>/rel/', k, '</loc></url><url><loc>https://other.test/z</loc></url></urlset') END AS body FROM hosts
-  UNION ALL SELECT host, '/sitemap_index.xml', concat('<sitemapindex><sitemap><loc>https://', host, '/s', k, '.xml</loc></sitemap></sitemapindex>') FROM hosts
-  UNION ALL SELECT host, '/urls.txt', concat('https://', host, '/t', k, chr(10), chr(10), 'https://', host, '/t2#q') FROM hosts"""
+SITEMAPS = """SELECT host, '/sitemap.xml' AS path, CASE WHEN k % 3 = 0 THEN '' ELSE concat('<urlset xmlns="x"><url><loc> https://', host, '/a?x=1&amp;y=2#f </loc></url><url><loc>/rel/', k, '</loc></url><url><loc>https://other.test/z</loc></url></urlset') END AS body FROM {hosts}
+  UNION ALL SELECT host, '/sitemap_index.xml', concat('<sitemapindex><sitemap><loc>https://', host, '/s', k, '.xml</loc></sitemap></sitemapindex>') FROM {hosts}
+  UNION ALL SELECT host, '/urls.txt', concat('https://', host, '/t', k, chr(10), chr(10), 'https://', host, '/t2#q') FROM {hosts}"""
 
 
 @query("sitemap_urls", f"""WITH {HOSTS} SELECT host, concat('https://', host, '/a?x=1&y=2') AS url FROM hosts WHERE k % 3 <> 0 UNION ALL SELECT host, concat('https://', host, '/rel/', k) FROM hosts WHERE k % 3 <> 0
   UNION ALL SELECT host, concat('https://', host, '/s', k, '.xml') FROM hosts WHERE k % 3 = 0 UNION SELECT host, concat('https://', host, '/t', k) FROM hosts UNION SELECT host, concat('https://', host, '/t2') FROM hosts""")
 def sitemap_urls(spark, d):
-    hosts(spark, d).createOrReplaceTempView("hosts")
-    return io.sitemap_urls(spark.sql(SITEMAPS))
+    return io.sitemap_urls(spark.sql(SITEMAPS, hosts=hosts(spark, d)))
 
 
 STATUS = "st AS (SELECT DISTINCT url, CASE length(url) % 5 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 500 WHEN 3 THEN 200 END AS status FROM edges)"

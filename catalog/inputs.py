@@ -33,7 +33,7 @@ concat(replace(html, '</head>', concat(
   '<a href="https://other.example/x?y=1#z">x</a><a href="mailto:a@b.c">m</a><a href="../up/p.html">click here</a><a href="//cdn.example/q" title="t">q</a>')
 """
 
-_SIGNALS: dict[tuple[str, str], DataFrame] = {}
+_SIGNALS: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +47,10 @@ def aug_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_signals`` of the augmented pages; only the plan is kept between queries, no data."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (id(spark), sf_dir)
     if key not in _SIGNALS:
-        _SIGNALS[key] = page_signals(aug_pages(spark, sf_dir))
-    return _SIGNALS[key]
+        _SIGNALS[key] = (spark, page_signals(aug_pages(spark, sf_dir)))
+    return _SIGNALS[key][1]
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ PARAGRAPH_REST = r"(?is)^(.*?)(?:</p|\z)"
 
 
 def q(s: str) -> str:
-    return "'" + s.replace("(?iu)", "(?i)").replace("'", "''") + "'"
+    return "'" + s.replace("'", "''") + "'"
 
 
 def sub(s: str, pattern: str, by: str = "") -> str:

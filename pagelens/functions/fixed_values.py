@@ -354,3 +354,100 @@ VISIBILITY_ADVICE = {
     "high": ["Maintain current visibility and add more specific content",
              "Focus on long-tail questions and detailed answers"],
 }
+
+# --- fixed values: task, warning, advice and message texts (whole, or the fixed part in front of a value)
+TEXTS = {
+    "image_missing_alt_tag": 'Image missing alt tag: ',
+    "anchor_missing_title_tag": 'Anchor missing title tag: ',
+    "anchor_text_contains_generic": 'Anchor text contains generic text: ',
+    "keywords_should_be_avoided": 'Keywords should be avoided as they are a spam indicator and no longer used by Search Engines: ',
+    "title_tag_is_too": 'Title tag is too short (less than 10 characters): ',
+    "title_tag_is_too_long": 'Title tag is too long (more than 70 characters): ',
+    "missing_description_2": 'Missing description',
+    "description_is_too_short": 'Description is too short (less than 140 characters): ',
+    "description_is_too_long": 'Description is too long (more than 255 characters): ',
+    "missing_og_description_2": 'Missing og:description',
+    "each_page_should_have": 'Each page should have at least one h1 tag',
+    "embed_google_maps_pin": 'Embed Google Maps pin on contact/hero area.',
+    "embed_google_maps_pin_and": 'Embed Google Maps pin and ensure NAP (name, address, phone) is visible.',
+    "fix_title_include_main": 'Fix title: include main keyword, keep <=60 chars.',
+    "add_shorten_h1_and": 'Add/shorten H1 and include main keyword.',
+    "fix_meta_description_50": 'Fix meta description: 50-160 chars, include keyword + city.',
+    "add_more_copy_500": 'Add more copy (>=500 words). Current: ~',
+    "add_3_internal_links": 'Add >=3 internal links to relevant pages.',
+    "enable_https_redirect_http": 'Enable HTTPS (redirect http -> https).',
+    "make_page_mobile_friendly": 'Make page mobile-friendly (viewport, responsive css).',
+    "add_descriptive_alt_text": 'Add descriptive ALT text to images.',
+    "add_open_graph_meta": 'Add Open Graph meta tags (',
+    "add_clear_q_a": 'Add clear Q&A/FAQ or summary answers near the top.',
+    "add_json_ld_with": 'Add JSON-LD with @context and @type.',
+    "add_relevant_schema_faqpage": 'Add relevant schema (FAQPage/HowTo/Service/Product/Article).',
+    "mention_your_city_region": 'Mention your city/region in Title, H1, and copy.',
+    "show_2_3_short": 'Show 2-3 short customer reviews/testimonials with stars.',
+    "add_og_title_description": 'Add OG title/description for better previews/snippets.',
+    "mention_city_region_in": 'Mention city/region in Title, H1, and copy.',
+    "add_hreflang_alternates_for": 'Add hreflang alternates for language/region variants.',
+    "use_country_tld_or": 'Use country TLD or clarify location signals.',
+    "add_descriptive_alt_text_to": 'Add descriptive ALT text to all images.',
+    "set_width_height_for": 'Set width/height for images to reduce layout shift.',
+    "use_loading_lazy_for": 'Use loading=lazy for below-the-fold images.',
+    "serve_over_https_and": 'Serve over HTTPS and redirect http -> https.',
+    "add_canonical_link_to": 'Add canonical link to consolidate duplicates.',
+    "fix_broken_internal_links": 'Fix broken internal links.',
+    "ensure_important_pages_are": 'Ensure important pages are not blocked or noindex.',
+    "add_descriptive_alt_text_to_2": 'Add descriptive alt text to ',
+    "implement_hreflang_tags_for": 'Implement hreflang tags for multilingual targeting',
+    "add_more_hreflang_tags": 'Add more hreflang tags for complete multilingual coverage',
+    "complete_nap_information_add": 'Complete NAP information - add missing phone or address',
+    "add_nap_name_address": 'Add NAP (Name, Address, Phone) information for local SEO',
+    "add_faq_section_with": 'Add FAQ section with common questions and answers',
+    "add_faq_schema_markup": 'Add FAQ schema markup (JSON-LD) for better AI understanding',
+    "optimize_meta_description_length": 'Optimize meta description length (150-160 characters) for featured snippets',
+    "add_meta_description_optimized": 'Add meta description optimized for featured snippets',
+    "consider_question_format_in": 'Consider question format in meta descriptions for better featured snippet chances',
+    "include_question_words_how": 'Include question words (how, what, why) in meta descriptions',
+    "add_organization_or_website": 'Add Organization or WebSite schema markup',
+    "add_json_ld_structured": 'Add JSON-LD structured data for better AI understanding',
+    "consider_adding_article_or": 'Consider adding Article or BlogPosting schema for content pages',
+    "add_faq_schema_markup_for": 'Add FAQ schema markup for question-answer content',
+    "add_clear_h1_heading": 'Add clear H1 heading for better content structure',
+    "add_more_h2_headings": 'Add more H2 headings to structure content for AI consumption',
+    "use_bullet_points_or": 'Use bullet points or numbered lists for better AI content parsing',
+    "include_question_answer_format": 'Include question-answer format in content for better AI understanding',
+    "add_localbusiness_or_organization": 'Add LocalBusiness or Organization schema markup',
+    "add_geographic_targeting_signals": 'Add geographic targeting signals in content and titles',
+    "include_local_business_keywords": 'Include local business keywords in content and titles',
+    "ai_instructions_file_2": 'AI Instructions File',
+    "ai_crawler_permissions_2": 'AI Crawler Permissions',
+    "robots_txt_allows_ai": 'Robots.txt allows AI crawlers',
+    "security_certificate_2": 'Security Certificate',
+    "ssl_certificate_active_2": 'SSL certificate active',
+    "your_page_is_loading": 'Your page is loading fast',
+    "mobile_optimization_2": 'Mobile Optimization',
+    "site_appears_mobile_friendly": 'Site appears mobile-friendly',
+    "structured_data_found_2": 'Structured data found',
+    "priority_improve_2": 'Priority: Improve ',
+    "add_faq_section_with_common": 'Add FAQ section with common customer questions',
+    "include_questions_like_what": "Include questions like 'What services do you offer?' and 'How can I contact you?'",
+    "add_more_q_a": 'Add more Q&A pairs (aim for 5-10 common questions)',
+    "optimize_existing_q_a": 'Optimize existing Q&A for featured snippets (keep answers under 160 characters)',
+    "use_specific_descriptive_alt": 'Use specific, descriptive alt text that explains the image content',
+    "avoid_generic_alt_text": "Avoid generic alt text like 'image' or 'photo'",
+    "include_relevant_keywords_in": 'Include relevant keywords in alt text for better AI understanding',
+    "optimize_meta_description_length_150": 'Optimize meta description length (150-160 characters)',
+    "consider_question_format_for": 'Consider question format for better featured snippet chances',
+    "include_question_words_how_what": 'Include question words (how, what, why) for AI optimization',
+    "complete_nap_name_address": 'Complete NAP (Name, Address, Phone) information',
+    "include_location_specific_keywords": 'Include location-specific keywords',
+    "what_services_do_we": 'What services do we offer? ',
+    "descriptive_image_of_the": 'Descriptive image of the page topic.',
+    "product_image_for_2": 'Product image for ',
+    "office_or_building_image": 'Office or building image',
+    "brand_is_mentioned_but": "Brand is mentioned but competitors dominate. Create comparison content: 'Why ",
+    "excellent_brand_is_mentioned": 'Excellent! Brand is mentioned without competitors. Maintain this visibility.',
+    "brand_is_missing_from": "Brand is missing from AI responses. Create content targeting: '",
+    "no_action_needed_brand": 'No action needed - brand is well represented.',
+    "brand_missing_from_answer": "Brand missing from answer. Create FAQ schema and blog content targeting: '",
+    "brand_not_visible_create": "Brand not visible. Create comprehensive content strategy targeting: '",
+    "some_selected_queries_not": 'Some selected queries not found',
+}

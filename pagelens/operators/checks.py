@@ -86,42 +86,42 @@ def pillar_checks() -> list[Check]:
     og_list = F.array_join(F.array_compact(F.array(*[F.when(c(f), F.lit(n)) for f, n in og])), ", ")
     geo = (c("f_city") != "") | (c("f_country") != "")
     typed = c("f_schema").rlike(r'"@type"\s*:\s*"(?:FAQPage|HowTo|Article|Service|Product)"')
-    map_task = F.when(c("f_map_warning"), F.lit("Embed Google Maps pin on contact/hero area.")).otherwise(
-        F.lit("Embed Google Maps pin and ensure NAP (name, address, phone) is visible."))
+    map_task = F.when(c("f_map_warning"), F.lit(fv.TEXTS["embed_google_maps_pin"])).otherwise(
+        F.lit(fv.TEXTS["embed_google_maps_pin_and"]))
     return [
-        seo("title", n_title.between(1, 60), "Fix title: include main keyword, keep <=60 chars."),
-        seo("h1", n_h1.between(1, 70), "Add/shorten H1 and include main keyword."),
-        seo("meta", n_meta.between(50, 160), "Fix meta description: 50-160 chars, include keyword + city."),
-        seo("words", wc >= 500, F.concat(F.lit("Add more copy (>=500 words). Current: ~"), wc.cast("string"),
+        seo("title", n_title.between(1, 60), fv.TEXTS["fix_title_include_main"]),
+        seo("h1", n_h1.between(1, 70), fv.TEXTS["add_shorten_h1_and"]),
+        seo("meta", n_meta.between(50, 160), fv.TEXTS["fix_meta_description_50"]),
+        seo("words", wc >= 500, F.concat(F.lit(fv.TEXTS["add_more_copy_500"]), wc.cast("string"),
                                          F.lit(" words."))),
-        seo("links", c("n_internal") >= 3, "Add >=3 internal links to relevant pages."),
-        seo("https", c("f_https"), "Enable HTTPS (redirect http -> https)."),
-        seo("viewport", ~c("f_viewport_missing"), "Make page mobile-friendly (viewport, responsive css)."),
-        seo("alt", ~c("f_alt_missing"), "Add descriptive ALT text to images."),
-        seo("open_graph", ~og_any, F.concat(F.lit("Add Open Graph meta tags ("), og_list, F.lit(")."))),
-        aeo("answers", (wc >= 600) & (c("f_h1") != ""), "Add clear Q&A/FAQ or summary answers near the top."),
+        seo("links", c("n_internal") >= 3, fv.TEXTS["add_3_internal_links"]),
+        seo("https", c("f_https"), fv.TEXTS["enable_https_redirect_http"]),
+        seo("viewport", ~c("f_viewport_missing"), fv.TEXTS["make_page_mobile_friendly"]),
+        seo("alt", ~c("f_alt_missing"), fv.TEXTS["add_descriptive_alt_text"]),
+        seo("open_graph", ~og_any, F.concat(F.lit(fv.TEXTS["add_open_graph_meta"]), og_list, F.lit(")."))),
+        aeo("answers", (wc >= 600) & (c("f_h1") != ""), fv.TEXTS["add_clear_q_a"]),
         aeo("jsonld", c("f_schema").contains('"@context"') & c("f_schema").contains('"@type"'),
-            "Add JSON-LD with @context and @type."),
-        aeo("schema_type", typed, "Add relevant schema (FAQPage/HowTo/Service/Product/Article)."),
-        aeo("place", geo, "Mention your city/region in Title, H1, and copy."),
+            fv.TEXTS["add_json_ld_with"]),
+        aeo("schema_type", typed, fv.TEXTS["add_relevant_schema_faqpage"]),
+        aeo("place", geo, fv.TEXTS["mention_your_city_region"]),
         aeo("map", ~c("f_map_warning") & ~c("f_og_image_missing") & geo, map_task),
-        aeo("reviews", c("f_reviews"), "Show 2-3 short customer reviews/testimonials with stars."),
+        aeo("reviews", c("f_reviews"), fv.TEXTS["show_2_3_short"]),
         aeo("previews", ~(c("f_og_title_missing") | c("f_og_description_missing")),
-            "Add OG title/description for better previews/snippets."),
-        _pass("pillars", "GEO", "place", geo, 10, "Mention city/region in Title, H1, and copy."),
+            fv.TEXTS["add_og_title_description"]),
+        _pass("pillars", "GEO", "place", geo, 10, fv.TEXTS["mention_city_region_in"]),
         _pass("pillars", "GEO", "hreflang", F.size("hreflang") > 0, 5,
-              "Add hreflang alternates for language/region variants."),
-        _pass("pillars", "GEO", "country", c("f_country") != "", 5, "Use country TLD or clarify location signals."),
-        _pass("pillars", "A11Y", "alt", c("f_images_missing_alt") == 0, 10, "Add descriptive ALT text to all images."),
+              fv.TEXTS["add_hreflang_alternates_for"]),
+        _pass("pillars", "GEO", "country", c("f_country") != "", 5, fv.TEXTS["use_country_tld_or"]),
+        _pass("pillars", "A11Y", "alt", c("f_images_missing_alt") == 0, 10, fv.TEXTS["add_descriptive_alt_text_to"]),
         _pass("pillars", "A11Y", "dimensions", c("f_images_no_dimensions") == 0, 5,
-              "Set width/height for images to reduce layout shift."),
-        _pass("pillars", "A11Y", "lazy", c("f_images_lazy") >= 1, 5, "Use loading=lazy for below-the-fold images."),
-        _pass("pillars", "TECH", "https", c("f_https"), 5, "Serve over HTTPS and redirect http -> https."),
+              fv.TEXTS["set_width_height_for"]),
+        _pass("pillars", "A11Y", "lazy", c("f_images_lazy") >= 1, 5, fv.TEXTS["use_loading_lazy_for"]),
+        _pass("pillars", "TECH", "https", c("f_https"), 5, fv.TEXTS["serve_over_https_and"]),
         _pass("pillars", "TECH", "canonical", F.coalesce("canonical", F.lit("")) != "", 5,
-              "Add canonical link to consolidate duplicates."),
-        _pass("pillars", "TECH", "broken", c("f_broken") == 0, 5, "Fix broken internal links."),
+              fv.TEXTS["add_canonical_link_to"]),
+        _pass("pillars", "TECH", "broken", c("f_broken") == 0, 5, fv.TEXTS["fix_broken_internal_links"]),
         _pass("pillars", "TECH", "indexable", ~c("f_blocked") & ~c("f_robots").contains("noindex"), 5,
-              "Ensure important pages are not blocked or noindex."),
+              fv.TEXTS["ensure_important_pages_are"]),
     ]
 
 
@@ -165,47 +165,47 @@ def answer_checks() -> list[Check]:
     alt_points = F.when(share >= 90, 15).when(share >= 70, 10).otherwise(5)
     alt_task = F.when(share >= 90, F.lit(None)).when(
         share >= 70, F.concat(F.lit("Add alt text to "), n_alt, F.lit(" images"))).otherwise(
-        F.concat(F.lit("Add descriptive alt text to "), n_alt, F.lit(" images for better AI understanding")))
+        F.concat(F.lit(fv.TEXTS["add_descriptive_alt_text_to_2"]), n_alt, F.lit(" images for better AI understanding")))
     n_lang = F.size("hreflang")
     lang_points = F.when(n_lang >= 2, 25).when(n_lang == 1, 15).otherwise(0)
-    lang_task = F.when(n_lang == 0, F.lit("Implement hreflang tags for multilingual targeting")).when(
-        n_lang == 1, F.lit("Add more hreflang tags for complete multilingual coverage"))
+    lang_task = F.when(n_lang == 0, F.lit(fv.TEXTS["implement_hreflang_tags_for"])).when(
+        n_lang == 1, F.lit(fv.TEXTS["add_more_hreflang_tags"]))
     phone, address = c("phone") != "", c("address") != ""
     nap_points = F.when(phone & address, 20).when(phone | address, 10).otherwise(0)
     nap_task = F.when(phone & address, F.lit(None)).when(
-        phone | address, F.lit("Complete NAP information - add missing phone or address")).otherwise(
-        F.lit("Add NAP (Name, Address, Phone) information for local SEO"))
+        phone | address, F.lit(fv.TEXTS["complete_nap_information_add"])).otherwise(
+        F.lit(fv.TEXTS["add_nap_name_address"]))
     return [
-        aeo("faq_content", c("f_faq_words"), 15, "Add FAQ section with common questions and answers"),
+        aeo("faq_content", c("f_faq_words"), 15, fv.TEXTS["add_faq_section_with"]),
         aeo("faq_schema", c("f_schema").contains("FAQPage") | c("f_schema").contains("Question"), 10,
-            "Add FAQ schema markup (JSON-LD) for better AI understanding"),
+            fv.TEXTS["add_faq_schema_markup"]),
         aeo("meta_length", F.length(meta).between(150, 160), 10, F.when(
-            has_meta, F.lit("Optimize meta description length (150-160 characters) for featured snippets")).otherwise(
-            F.lit("Add meta description optimized for featured snippets"))),
+            has_meta, F.lit(fv.TEXTS["optimize_meta_description_length"])).otherwise(
+            F.lit(fv.TEXTS["add_meta_description_optimized"]))),
         gated(aeo("meta_question", F.endswith(F.trim(meta), F.lit("?")), 5,
-                  "Consider question format in meta descriptions for better featured snippet chances"), has_meta),
+                  fv.TEXTS["consider_question_format_in"]), has_meta),
         gated(aeo("meta_words", any_of(low_meta, fv.META_QUESTION_WORDS), 5,
-                  "Include question words (how, what, why) in meta descriptions"), has_meta),
+                  fv.TEXTS["include_question_words_how"]), has_meta),
         Check("answers", "AEO", "alt_text", alt_points, 15, share >= 90, alt_task),
         aeo("schema_organization", c("f_types").contains("Organization") | c("f_types").contains("WebSite"), 10,
-            F.when(has_schema, F.lit("Add Organization or WebSite schema markup")).otherwise(
-                F.lit("Add JSON-LD structured data for better AI understanding"))),
+            F.when(has_schema, F.lit(fv.TEXTS["add_organization_or_website"])).otherwise(
+                F.lit(fv.TEXTS["add_json_ld_structured"]))),
         gated(aeo("schema_article", c("f_types").contains("Article") | c("f_types").contains("BlogPosting"), 5,
-                  "Consider adding Article or BlogPosting schema for content pages"), has_schema),
+                  fv.TEXTS["consider_adding_article_or"]), has_schema),
         gated(aeo("schema_faq", c("f_types").contains("FAQPage") | c("f_types").contains("Question"), 5,
-                  "Add FAQ schema markup for question-answer content"), has_schema),
-        aeo("structure_h1", F.size("h1") > 0, 5, "Add clear H1 heading for better content structure"),
-        aeo("structure_h2", F.size("h2") >= 2, 5, "Add more H2 headings to structure content for AI consumption"),
+                  fv.TEXTS["add_faq_schema_markup_for"]), has_schema),
+        aeo("structure_h1", F.size("h1") > 0, 5, fv.TEXTS["add_clear_h1_heading"]),
+        aeo("structure_h2", F.size("h2") >= 2, 5, fv.TEXTS["add_more_h2_headings"]),
         aeo("structure_lists", c("f_lists"), 5,
-            "Use bullet points or numbered lists for better AI content parsing"),
+            fv.TEXTS["use_bullet_points_or"]),
         aeo("structure_questions", c("f_questions"), 5,
-            "Include question-answer format in content for better AI understanding"),
+            fv.TEXTS["include_question_answer_format"]),
         Check("answers", "GEO", "hreflang", lang_points, 25, n_lang > 0, lang_task),
         geo("local_schema", c("f_types").contains("LocalBusiness") | c("f_types").contains("Organization"), 20,
-            "Add LocalBusiness or Organization schema markup"),
+            fv.TEXTS["add_localbusiness_or_organization"]),
         Check("answers", "GEO", "nap", nap_points, 20, phone | address, nap_task),
-        geo("geo_words", c("f_geo_words"), 20, "Add geographic targeting signals in content and titles"),
-        geo("local_words", c("f_local_words"), 15, "Include local business keywords in content and titles"),
+        geo("geo_words", c("f_geo_words"), 20, fv.TEXTS["add_geographic_targeting_signals"]),
+        geo("local_words", c("f_local_words"), 15, fv.TEXTS["include_local_business_keywords"]),
     ]
 
 
@@ -340,12 +340,12 @@ def site_health(probes: DataFrame) -> DataFrame:
     fast = (c("page_speed_ms") > 0) & (c("page_speed_ms") < 1000)
     speed = F.concat(F.lit("Page loaded in "), c("page_speed_ms").cast("string"), F.lit("ms"))
     rows = F.array_compact(F.array(
-        row("good", "AI Instructions File", "llms.txt file found", c("llms_txt")),
-        row("issue", "AI Instructions File", "llms.txt file not found", ~c("llms_txt")),
-        row("good", "AI Crawler Permissions", "Robots.txt allows AI crawlers", c("robots_txt")),
-        row("good", "Security Certificate", "SSL certificate active", c("ssl")),
-        row("good", "Your page is loading fast", speed, fast),
-        row("good", "Mobile Optimization", "Site appears mobile-friendly", c("mobile_friendly")),
-        row("good", "Structured Data", "Structured data found", c("structured_data")),
+        row("good", fv.TEXTS["ai_instructions_file_2"], "llms.txt file found", c("llms_txt")),
+        row("issue", fv.TEXTS["ai_instructions_file_2"], "llms.txt file not found", ~c("llms_txt")),
+        row("good", fv.TEXTS["ai_crawler_permissions_2"], fv.TEXTS["robots_txt_allows_ai"], c("robots_txt")),
+        row("good", fv.TEXTS["security_certificate_2"], fv.TEXTS["ssl_certificate_active_2"], c("ssl")),
+        row("good", fv.TEXTS["your_page_is_loading"], speed, fast),
+        row("good", fv.TEXTS["mobile_optimization_2"], fv.TEXTS["site_appears_mobile_friendly"], c("mobile_friendly")),
+        row("good", "Structured Data", fv.TEXTS["structured_data_found_2"], c("structured_data")),
     ))
     return probes.select("site", F.explode(rows).alias("r")).select("site", "r.*")

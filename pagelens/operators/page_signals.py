@@ -20,10 +20,12 @@ from ..functions.exprs import any_of, as_col, count_of, rx, texts
 EDGE = r"[^\p{L}\p{N}_]"
 PHONE = r"(?:\+\d{1,3}\s?)?(?:\(?\d{1,4}\)?[\s.\-]?)\d{3,4}[\s.\-]?\d{3,4}"
 PHONE_RUN = r"(\+?[\d\s\-\(\)]{10,})"
-ADDRESS_PLAIN = "|".join(w for w in fv.ADDRESS_WORDS if not w.endswith(".")) + "|" + "|".join(fv.ADDRESS_CITIES)
+ADDRESS_PLAIN = "|".join(w for w in fv.ADDRESS_WORDS if not w.endswith(".")) + "|" + "|".join(
+    "".join(ch if ch.isascii() else f"[{ch}{ch.upper()}]" for ch in city) for city in fv.ADDRESS_CITIES)
 ADDRESS_DOTTED = "|".join(w for w in fv.ADDRESS_WORDS if w.endswith("."))
-# The text is padded with a blank on both sides, so that an edge is always a character.
-ADDRESS_HINT = rf"(?iu){EDGE}(?:({ADDRESS_PLAIN}){EDGE}|({ADDRESS_DOTTED})[\p{{L}}\p{{N}}_])"
+# Case is folded for ASCII only, which is cheaper; other letters name both cases.  The text is padded with a blank
+# on both sides, so that an edge is always a character.
+ADDRESS_HINT = rf"(?i){EDGE}(?:({ADDRESS_PLAIN}){EDGE}|({ADDRESS_DOTTED})[\p{{L}}\p{{N}}_])"
 
 
 def is_blocked(html, low, strict: bool = False) -> Column:
@@ -118,30 +120,29 @@ def _warnings() -> Column:
     shown_title = F.when(c("has_title_tag"), low_title).otherwise(F.lit("No Title"))
     n_title, n_meta = F.length(shown_title), F.length(low_meta)
     bad_alt = F.transform(F.filter(c("images"), lambda i: i["alt"] == ""),
-                          lambda i: F.concat(F.lit("Image missing alt tag: "), F.lower(i["src"])))
+                          lambda i: F.concat(F.lit(fv.TEXTS["image_missing_alt_tag"]), F.lower(i["src"])))
     per_anchor = F.flatten(F.transform(c("anchors"), lambda a: F.concat(
-        texts(F.coalesce(a["title"], F.lit("")) == "", F.concat(F.lit("Anchor missing title tag: "), a["href"])),
+        texts(F.coalesce(a["title"], F.lit("")) == "", F.concat(F.lit(fv.TEXTS["anchor_missing_title_tag"]), a["href"])),
         texts(F.lower(a["text"]).isin(fv.GENERIC_ANCHORS),
-              F.concat(F.lit("Anchor text contains generic text: "), F.lower(a["text"]))),
+              F.concat(F.lit(fv.TEXTS["anchor_text_contains_generic"]), F.lower(a["text"]))),
     )))
     return F.concat(
         texts(c("meta_keywords").isNotNull(),
-              F.concat(F.lit("Keywords should be avoided as they are a spam indicator and no longer used by "
-                             "Search Engines: "), F.coalesce(F.lower(c("meta_keywords")), F.lit("")))),
+              F.concat(F.lit(fv.TEXTS["keywords_should_be_avoided"]), F.coalesce(F.lower(c("meta_keywords")), F.lit("")))),
         texts(n_title == 0, "Missing title tag"),
         texts((n_title > 0) & (n_title < 10),
-              F.concat(F.lit("Title tag is too short (less than 10 characters): "), shown_title)),
-        texts(n_title > 70, F.concat(F.lit("Title tag is too long (more than 70 characters): "), shown_title)),
-        texts(n_meta == 0, "Missing description"),
+              F.concat(F.lit(fv.TEXTS["title_tag_is_too"]), shown_title)),
+        texts(n_title > 70, F.concat(F.lit(fv.TEXTS["title_tag_is_too_long"]), shown_title)),
+        texts(n_meta == 0, fv.TEXTS["missing_description_2"]),
         texts((n_meta > 0) & (n_meta < 140),
-              F.concat(F.lit("Description is too short (less than 140 characters): "), low_meta)),
-        texts(n_meta > 255, F.concat(F.lit("Description is too long (more than 255 characters): "), low_meta)),
+              F.concat(F.lit(fv.TEXTS["description_is_too_short"]), low_meta)),
+        texts(n_meta > 255, F.concat(F.lit(fv.TEXTS["description_is_too_long"]), low_meta)),
         texts(~_has_og("og:title"), "Missing og:title"),
-        texts(~_has_og("og:description"), "Missing og:description"),
+        texts(~_has_og("og:description"), fv.TEXTS["missing_og_description_2"]),
         texts(~_has_og("og:image"), "Missing og:image"),
         per_anchor,
         bad_alt,
-        texts(F.size("h1") == 0, "Each page should have at least one h1 tag"),
+        texts(F.size("h1") == 0, fv.TEXTS["each_page_should_have"]),
     )
 
 

@@ -133,7 +133,7 @@ def site_recommendations(coverage: DataFrame, mean_scores: DataFrame) -> DataFra
         F.min(F.struct(c("coverage"), order.alias("o"), c("check"))).alias("m"))
     priority = lowest.where(c("m.coverage") < 30).select(
         "site", F.lit("priority").alias("kind"), F.concat(
-            F.lit("Priority: Improve "), F.replace(c("m.check"), F.lit("_"), F.lit(" ")), F.lit(" (only "),
+            F.lit(fv.TEXTS["priority_improve_2"]), F.replace(c("m.check"), F.lit("_"), F.lit(" ")), F.lit(" (only "),
             c("m.coverage").cast("string"), F.lit("% coverage)")).alias("advice"))
     wins = mean_scores.select("site", F.explode(F.concat(
         texts(c("aeo") < 70, *fv.QUICK_WINS["aeo"]), texts(c("geo") < 70, *fv.QUICK_WINS["geo"]))).alias("advice")
@@ -154,19 +154,19 @@ def page_recommendations(check_rows: DataFrame) -> DataFrame:
 
 def faq_advice(has_words: Column, n_pairs: Column, has_schema: Column) -> Column:
     return F.concat(
-        texts(~has_words, "Add FAQ section with common customer questions",
-              "Include questions like 'What services do you offer?' and 'How can I contact you?'"),
-        texts(n_pairs < 3, "Add more Q&A pairs (aim for 5-10 common questions)"),
-        texts(~has_schema, "Add FAQ schema markup (JSON-LD) for better AI understanding"),
-        texts(n_pairs > 0, "Optimize existing Q&A for featured snippets (keep answers under 160 characters)"))
+        texts(~has_words, fv.TEXTS["add_faq_section_with_common"],
+              fv.TEXTS["include_questions_like_what"]),
+        texts(n_pairs < 3, fv.TEXTS["add_more_q_a"]),
+        texts(~has_schema, fv.TEXTS["add_faq_schema_markup"]),
+        texts(n_pairs > 0, fv.TEXTS["optimize_existing_q_a"]))
 
 
 def alt_advice(n_missing: Column) -> Column:
     return texts(n_missing > 0,
-                 F.concat(F.lit("Add descriptive alt text to "), n_missing.cast("string"), F.lit(" images")),
-                 "Use specific, descriptive alt text that explains the image content",
-                 "Avoid generic alt text like 'image' or 'photo'",
-                 "Include relevant keywords in alt text for better AI understanding")
+                 F.concat(F.lit(fv.TEXTS["add_descriptive_alt_text_to_2"]), n_missing.cast("string"), F.lit(" images")),
+                 fv.TEXTS["use_specific_descriptive_alt"],
+                 fv.TEXTS["avoid_generic_alt_text"],
+                 fv.TEXTS["include_relevant_keywords_in"])
 
 
 def _meta_flags(meta: Column) -> tuple[Column, Column, Column]:
@@ -177,19 +177,19 @@ def meta_advice(meta: Column) -> Column:
     n, asks, words = _meta_flags(meta)
     filled = meta != ""
     return F.concat(
-        texts(~filled, "Add meta description optimized for featured snippets"),
-        texts(filled & ~n.between(150, 160), "Optimize meta description length (150-160 characters)"),
-        texts(filled & ~asks, "Consider question format for better featured snippet chances"),
-        texts(filled & ~words, "Include question words (how, what, why) for AI optimization"))
+        texts(~filled, fv.TEXTS["add_meta_description_optimized"]),
+        texts(filled & ~n.between(150, 160), fv.TEXTS["optimize_meta_description_length_150"]),
+        texts(filled & ~asks, fv.TEXTS["consider_question_format_for"]),
+        texts(filled & ~words, fv.TEXTS["include_question_words_how_what"]))
 
 
 def geo_advice(n_hreflang: Column, has_local: Column, completeness: Column, has_words: Column) -> Column:
     return F.concat(
-        texts(n_hreflang < 2, "Implement hreflang tags for multilingual targeting"),
-        texts(~has_local, "Add LocalBusiness or Organization schema markup"),
-        texts(completeness < 100, "Complete NAP (Name, Address, Phone) information"),
-        texts(~has_words, "Add geographic targeting signals in content and titles",
-              "Include location-specific keywords"))
+        texts(n_hreflang < 2, fv.TEXTS["implement_hreflang_tags_for"]),
+        texts(~has_local, fv.TEXTS["add_localbusiness_or_organization"]),
+        texts(completeness < 100, fv.TEXTS["complete_nap_name_address"]),
+        texts(~has_words, fv.TEXTS["add_geographic_targeting_signals"],
+              fv.TEXTS["include_location_specific_keywords"]))
 
 
 def optimize_meta(meta: Column) -> Column:
@@ -199,7 +199,7 @@ def optimize_meta(meta: Column) -> Column:
     sized = F.when(n < 150, F.concat(meta, F.lit(" Learn more about our services and solutions."))).when(
         n > 160, F.concat(F.substring(meta, 1, 157), F.lit("..."))).otherwise(meta)
     return (F.when(meta == "", F.lit(""))
-            .when(~asks & ~words & low.contains("service"), F.concat(F.lit("What services do we offer? "), meta))
+            .when(~asks & ~words & low.contains("service"), F.concat(F.lit(fv.TEXTS["what_services_do_we"]), meta))
             .when(~asks & ~words & low.contains("about"),
                   F.concat(F.lit("What is "), F.replace(low, F.lit("about"), F.lit("")), F.lit("?")))
             .otherwise(sized))
@@ -244,8 +244,8 @@ def page_advice(signals: DataFrame) -> DataFrame:
     s = _page_state(signals)
     faq = faq_advice(c("has_faq_content"), c("n_pairs"), c("has_faq_schema"))
     aeo = F.concat(
-        texts(~c("has_faq_content"), "Add FAQ section with common customer questions"),
-        texts(~c("has_faq_schema"), "Add FAQ schema markup (JSON-LD) for better AI understanding"),
+        texts(~c("has_faq_content"), fv.TEXTS["add_faq_section_with_common"]),
+        texts(~c("has_faq_schema"), fv.TEXTS["add_faq_schema_markup"]),
         texts(c("n_missing") > 0, F.concat(F.lit("Add alt text to "), c("n_missing").cast("string"), F.lit(" images"))),
         meta_advice(c("meta")))
     kinds = {
@@ -315,7 +315,7 @@ def alt_suggestions(suggested: DataFrame) -> DataFrame:
         F.filter("images", lambda i: i["alt"] == "")).alias("img"))
     key = F.coalesce(F.nullif(F.trim("keyword"), F.lit("")), F.nullif(F.trim("new_h1"), F.lit("")),
                      F.nullif(U.file_stem(c("img.src")), F.lit("")))
-    made = F.coalesce(T.shorten(with_brand(key, c("brand")), 100), F.lit("Descriptive image of the page topic."))
+    made = F.coalesce(T.shorten(with_brand(key, c("brand")), 100), F.lit(fv.TEXTS["descriptive_image_of_the"]))
     return rows.select("page_id", "site", c("img.src").alias("src"), made.alias("suggested_alt"))
 
 
@@ -325,9 +325,9 @@ def alt_suggestions_by_name(signals: DataFrame) -> DataFrame:
     low = F.lower("img.src")
     or_else = lambda d: F.coalesce(F.nullif("title", F.lit("")), F.lit(d))
     made = (F.when(low.contains("logo"), F.concat(F.lit("Logo for "), or_else("the website")))
-            .when(low.contains("product"), F.concat(F.lit("Product image for "), or_else("the product")))
+            .when(low.contains("product"), F.concat(F.lit(fv.TEXTS["product_image_for_2"]), or_else("the product")))
             .when(any_of(low, ["team", "staff"]), F.lit("Team member photo"))
-            .when(any_of(low, ["office", "building"]), F.lit("Office or building image"))
+            .when(any_of(low, ["office", "building"]), F.lit(fv.TEXTS["office_or_building_image"]))
             .otherwise(F.concat(F.lit("Image related to "), or_else("the content"))))
     return rows.select("page_id", "site", c("img.src").alias("src"), made.alias("suggested_alt"))
 

@@ -150,19 +150,19 @@ def answer_advice(query, brand, mentioned: Column, first_competitor: Column, sto
     """Message by (brand mentioned, competitors present)."""
     query, brand = as_col(query), as_col(brand)
     rivals = F.coalesce(first_competitor, F.lit("")) != ""
-    versus = F.concat(F.lit("Brand is mentioned but competitors dominate. Create comparison content: 'Why "), brand,
+    versus = F.concat(F.lit(fv.TEXTS["brand_is_mentioned_but"]), brand,
                       F.lit(" > "), first_competitor, F.lit("'."))
     if stored:
         return (F.when(mentioned & ~rivals,
-                       F.lit("Excellent! Brand is mentioned without competitors. Maintain this visibility."))
+                       F.lit(fv.TEXTS["excellent_brand_is_mentioned"]))
                 .when(mentioned, versus)
-                .otherwise(F.concat(F.lit("Brand is missing from AI responses. Create content targeting: '"), query,
+                .otherwise(F.concat(F.lit(fv.TEXTS["brand_is_missing_from"]), query,
                                     F.lit("' with clear "), brand, F.lit(" positioning."))))
-    return (F.when(mentioned & ~rivals, F.lit("No action needed - brand is well represented."))
+    return (F.when(mentioned & ~rivals, F.lit(fv.TEXTS["no_action_needed_brand"]))
             .when(mentioned, versus)
-            .when(rivals, F.concat(F.lit("Brand missing from answer. Create FAQ schema and blog content targeting: '"),
+            .when(rivals, F.concat(F.lit(fv.TEXTS["brand_missing_from_answer"]),
                                    query, F.lit("'.")))
-            .otherwise(F.concat(F.lit("Brand not visible. Create comprehensive content strategy targeting: '"), query,
+            .otherwise(F.concat(F.lit(fv.TEXTS["brand_not_visible_create"]), query,
                                 F.lit("' with FAQ schema and blog posts."))))
 
 
@@ -185,7 +185,7 @@ def select_queries(queries: DataFrame, chosen: DataFrame, limit: int = 8) -> tup
     sizes = wanted.groupBy("site").agg(F.count(F.lit(1)).alias("chosen"))
     errors = sizes.join(missing, "site", "left").select(
         "site", F.when(c("chosen") > limit, F.lit(f"Maximum {limit} queries allowed"))
-        .when(c("missing") > 0, F.lit("Some selected queries not found")).alias("error")).where(c("error").isNotNull())
+        .when(c("missing") > 0, F.lit(fv.TEXTS["some_selected_queries_not"])).alias("error")).where(c("error").isNotNull())
     return picked, errors
 
 
