@@ -140,17 +140,20 @@ def cms_match(suggestions: DataFrame, cms_pages: DataFrame) -> DataFrame:
     """First CMS page per suggestion whose link equals the URL or whose slug the URL ends with.
 
     The suffix test is an equality on the last path segment: a slug has no slash, so a URL that ends with it ends
-    with a segment that ends with it.  Segments are matched whole, and by their endings at word edges ("-").
+    with a segment that ends with it.  CMS pages are reduced to the first one per link and per slug before the joins,
+    so that many pages with one slug never pair with many URLs; a frequent slug is spread.
     """
-    cms = cms_pages.select("cms_id", "link", "slug")
-    by_link = suggestions.join(cms.where(c("link") != ""), suggestions["url"] == cms["link"]).select("url", "cms_id")
+    first = F.min("cms_id").alias("cms_id")
+    by = {n: cms_pages.where(c(n) != "").groupBy(n).agg(first) for n in ("link", "slug")}
+    urls = suggestions.select("url").distinct()
+    by_link = urls.join(by["link"].withColumnRenamed("link", "url"), "url").select("url", "cms_id")
     seg = rx(c("url"), r"([^/]*)$")
     n = F.length(seg)
     # all suffixes of the last segment: linear in its length, and each is an exact key
-    ends = suggestions.select("url", F.explode(F.array_distinct(F.transform(
+    ends = urls.select("url", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seg, i, n)))).alias("slug"))
-    by_slug = ends.where(c("slug") != "").join(cms.where(c("slug") != ""), "slug").select("url", "cms_id")
-    return by_link.unionByName(by_slug).groupBy("url").agg(F.min("cms_id").alias("cms_id"))
+    by_slug = salted_lookup(ends.where(c("slug") != ""), by["slug"], ["slug"], "url", "inner").select("url", "cms_id")
+    return by_link.unionByName(by_slug).groupBy("url").agg(first)
 
 
 def faq_html(faq: Column) -> Column:
