@@ -9,7 +9,7 @@ work on words.  Text that holds no stretch with a recurring key cannot hold a re
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections import Counter, namedtuple
 
 import ahocorasick
 import numpy as np
@@ -17,78 +17,95 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import candidates, covered, distinct_stretches, identified, spans_by_document, with_spans
+from .repeats import SPANS, candidates, covered, distinct_stretches, identified, single_windows, spans_by_document, with_spans
 from .shared import WordHashes, parts, plain
 
 c = F.col
 
 
 def _reader():
-    words = WordHashes()
+    hashes = WordHashes()
 
-    def read(text: bytes):
-        w = text.split()
-        return words.of(w), lambda a, b: b" ".join(w[a:b])
+    def read(texts: list[bytes]):
+        words = [t.split() for t in texts]
+        values = np.concatenate([hashes.of(w) for w in words]) if words else np.empty(0, np.uint64)
+        return values, np.array([len(w) for w in words], np.int64), lambda i, a, b: b" ".join(words[i][a:b])
 
     return read
 
 
-SPANS = "kind int, key long, same long, at int, len int, doc long, rid long, start int"
+Stretch = namedtuple("Stretch", "key same n doc rid start text")
 
 
-def _locate(window: int, patterns: int):
-    """Spans of each distinct stretch of a shard that recur, with where they stand first."""
+def _passages(group: list[tuple[Stretch, str]], window: int) -> list[str]:
+    """Recurring passages of stretches with one key, so that each recurring window is inside of exactly one passage.
 
-    def flush(groups, out):
+    Runs of recurring windows are passages as they are if no two different ones share a window; else each window is one.
+    """
+    n = Counter()
+    for r, t in group:
+        for i in range(len(t) - window + 1):
+            n[t[i: i + window]] += r.n
+    if len(group) == 1 and len(n) == len(group[0][1]) - window + 1:
+        return [group[0][1]] if group[0][0].n > 1 else []
+    recurring = {t for t, times in n.items() if times > 1}
+    runs = set()
+    for _, t in group:
+        first = None
+        for i in range(len(t) - window + 2):
+            if i <= len(t) - window and t[i: i + window] in recurring:
+                first = i if first is None else first
+            elif first is not None:
+                runs.add(t[first: i - 1 + window])
+                first = None
+    return list(runs if sum(len(t) - window + 1 for t in runs) == len(recurring) else recurring)
+
+
+def _locate(window: int, batch_words: int):
+    """Spans of each distinct stretch of a shard that recur."""
+
+    def flush(groups: list[list[Stretch]], out: list) -> None:
         code, automaton, texts = {}, ahocorasick.Automaton(), []
         for rows in groups:
-            coded = ["".join(chr(0x10000 + code.setdefault(w, len(code))) for w in r.text.split()) for r in rows]
-            texts += zip(rows, coded, strict=True)
-            n = Counter()
-            for r, t in zip(rows, coded, strict=True):
-                for i in range(len(t) - window + 1):
-                    n[t[i: i + window]] += r.n
-            if len(rows) == 1 and len(n) == len(coded[0]) - window + 1:
-                if rows[0].n > 1:
-                    automaton.add_word(coded[0], coded[0])  # the passage as a whole
-            else:
-                for t, times in n.items():
-                    if times > 1:
-                        automaton.add_word(t, t)
+            group = [(r, "".join([chr(0x10000 + code.setdefault(w, len(code))) for w in r.text.split()])) for r in rows]
+            for p in _passages(group, window):
+                automaton.add_word(p, p)
+            texts += group
         if not len(automaton):
             return
         automaton.make_automaton()
-        hits, least = [], {}
+        found, least = [], {}
         for r, t in texts:
-            for end, p in automaton.iter(t):
-                at = end + 1 - len(p)
+            hits = [(end + 1 - len(p), p) for end, p in automaton.iter(t)]
+            for at, p in hits:
                 place = (r.doc, r.rid, r.start + at)
                 if p not in least or place < least[p]:
                     least[p] = place
-                hits.append((r, at, p))
-        run = None
-        for r, at, p in sorted(hits, key=lambda x: (x[0].key, x[0].same, x[1])):
-            doc, rid, start = least[p]
-            size = len(p) - window + 1
-            if run and run[0] is r and run[1] + run[2] == at and run[3:5] == [doc, rid] and run[5] + run[2] == start:
-                run[2] += size
-                continue
-            if run:
-                out.append((0, run[0].key, run[0].same, *run[1:]))
-            run = [r, at, size, doc, rid, start]
-        if run:
-            out.append((0, run[0].key, run[0].same, *run[1:]))
+            found.append((r, sorted(hits)))
+        for r, hits in found:
+            run = None
+            for at, p in hits:
+                own, n = least[p] == (r.doc, r.rid, r.start + at), len(p) - window + 1
+                if run and run[0] + run[1] == at and run[2] == own:
+                    run[1] += n
+                    continue
+                run = [at, n, own]
+                out.append((r, run))
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("key", kind="stable")
         out, groups, held = [], [], 0
-        for _, rows in df.groupby("key", sort=False):
-            groups.append(list(rows.itertuples(index=False)))
-            held += sum(len(r.text) for r in groups[-1]) // 4
-            if held > patterns:
-                flush(groups, out)
-                groups, held = [], 0
+        for r in map(Stretch, *(df[x].tolist() for x in Stretch._fields)):
+            if groups and groups[-1][0].key == r.key:
+                groups[-1].append(r)
+            else:
+                if held > batch_words:
+                    flush(groups, out)
+                    groups, held = [], 0
+                groups.append([r])
+            held += r.text.count(b" ") + 1
         flush(groups, out)
-        return pd.DataFrame(out, columns=[x.split()[0] for x in SPANS.split(", ")])
+        return pd.DataFrame([(0, r.key, r.same, *run, r.doc, r.rid, r.start) for r, run in out], columns=[x.split()[0] for x in SPANS.split(", ")])
 
     return run
 
@@ -101,13 +118,12 @@ def repeated_phrases(docs: DataFrame, *, window: int = 20, hot: int = 100_000, s
     Windows are judged on the input.
     """
     ids = identified(docs)
-    rows = candidates(ids, _reader, window=window, k=8, hot=hot)
+    rows = candidates(ids, _reader, window=window, k=4, hot=hot)
     stretch = distinct_stretches(rows)
     shards = parts(rows.agg(F.sum(F.length("text"))).first()[0] or 0, shard_bytes)
     sharded = stretch.where(c("kind") == 0).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    located = sharded.groupBy("shard").applyInPandas(_locate(window, 400_000), SPANS)
-    alone = stretch.where((c("kind") == 1) & (c("n") > 1)).select("kind", "key", "same", F.lit(0).alias("at"), F.lit(1).alias("len"), "doc", "rid", "start")
-    return with_spans(docs, spans_by_document(rows, located.unionByName(alone), window, keep_first=True))
+    located = sharded.groupBy("shard").applyInPandas(_locate(window, 1 << 20), SPANS)
+    return with_spans(docs, spans_by_document(rows, located.unionByName(single_windows(stretch)), window, keep_first=True))
 
 
 def _kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:

@@ -40,16 +40,12 @@ def _pieces(frames, sub_bytes: int):
 def _keys(read: Callable, window: int, k: int, shards: int):
     def run(frames):
         reader = read()
-        for part in _pieces(frames, 16 << 20):
-            found, rows = [], []
-            for text in part["text"]:
-                key, _, _, again = stretches(reader(text)[0], window, k)
-                found += [key, key[again]]
-            keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, int))
+        for part in _pieces(frames, 2 << 20):
+            values, lengths, _ = reader(part["text"].tolist())
+            key, _, _, again = stretches(values, lengths, window, k)
+            keys, n = np.unique(np.concatenate((key, key[again])), return_counts=True)
             at = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-            for s in range(shards):
-                if at[s + 1] > at[s]:
-                    rows.append((s, keys[at[s]:at[s + 1]].tobytes(), n[at[s]:at[s + 1]].astype(np.uint32).tobytes()))
+            rows = [(s, keys[at[s]:at[s + 1]].tobytes(), n[at[s]:at[s + 1]].astype(np.uint32).tobytes()) for s in range(shards) if at[s + 1] > at[s]]
             yield pd.DataFrame(rows, columns=["shard", "keys", "n"])
 
     return run
@@ -85,22 +81,29 @@ ROWS = "doc long, rid long, start int, kind int, key long, same long, text binar
 def _rows(read: Callable, window: int, k: int, known, hot):
     def run(frames):
         reader = read()
-        for part in _pieces(frames, 8 << 20):
-            out = []
-            for doc, rid, text in zip(part["doc"], part["rid"], part["text"], strict=True):
-                values, cut = reader(text)
-                key, first, last, _ = stretches(values, window, k)
-                at = known.value.find(key, key)
-                many = set(at[hot.value.find(key[at], key[at])].tolist())
-                for i in at.tolist():
-                    if i in many:
-                        for w in range(first[i], last[i] + 1):
-                            h = xxhash.xxh3_128_intdigest(cut(w, w + window))
-                            out.append((doc, rid, w, 1, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), None))
-                    else:
-                        piece = cut(first[i], last[i] + window)
-                        out.append((doc, rid, int(first[i]), 0, key[i].astype(np.int64), xxhash.xxh3_64_intdigest(piece) - (1 << 63), piece))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in ROWS.split(", ")])
+        for part in _pieces(frames, 2 << 20):
+            values, lengths, cut = reader(part["text"].tolist())
+            key, first, last, _ = stretches(values, lengths, window, k)
+            at = known.value.find(key, key)
+            many = np.zeros(len(at), bool)
+            many[hot.value.find(key[at], key[at])] = True
+            key, first, last = key[at], first[at], last[at]
+            begin = np.cumsum(lengths) - lengths
+            of = np.searchsorted(begin, first, side="right") - 1
+            while len(zero := np.flatnonzero(lengths[of] == 0)):  # an empty text begins where the next one does
+                of[zero] += 1
+            docs, rids, start = part["doc"].to_numpy(np.int64), part["rid"].to_numpy(np.int64), first - begin[of]
+            some = np.flatnonzero(~many)
+            texts = [cut(d, a, a + n) for d, a, n in zip(of[some].tolist(), start[some].tolist(), (last - first + window)[some].tolist(), strict=True)]
+            yield pd.DataFrame({
+                "doc": docs[of[some]], "rid": rids[of[some]], "start": start[some].astype(np.int32), "kind": np.int32(0), "key": key[some].view(np.int64),
+                "same": np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)).view(np.int64), "text": texts})
+            for i in np.flatnonzero(many).tolist():
+                n = int(last[i] - first[i]) + 1
+                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(cut(of[i], start[i] + w, start[i] + w + window)) for w in range(n)), np.int64)
+                yield pd.DataFrame({
+                    "doc": np.full(n, docs[of[i]]), "rid": rids[of[i]], "start": (start[i] + np.arange(n)).astype(np.int32), "kind": np.int32(1),
+                    "key": both[::2], "same": both[1::2], "text": None})
 
     return run
 
@@ -109,7 +112,8 @@ def candidates(docs: DataFrame, read: Callable, *, window: int, k: int, hot: int
                hashes: int = 6, max_filter_bytes: int = 128 << 20) -> DataFrame:
     """``ROWS`` of the stretches (kind 0) and windows (kind 1) that may recur, in the shared folder.
 
-    ``docs`` as ``identified`` gives them; ``read()`` makes a reader in the task: text to (values, cut(first, end)).
+    ``docs`` as ``identified`` gives them; ``read()`` makes a reader in the task: texts to (values of all, length of each,
+    cut(text number, first, end)).
     """
     sc = docs.sparkSession.sparkContext
     shards = parts(text_bytes(docs), shard_bytes)
@@ -128,19 +132,27 @@ def distinct_stretches(rows: DataFrame) -> DataFrame:
         "kind", "key", "same", "n", "first.*", "text")
 
 
+#: Windows ``at .. at + len - 1`` of the distinct stretch (kind, key, same) recur; ``own``: nowhere before the stretch's first place.
+SPANS = "kind int, key long, same long, at int, len int, own boolean, doc long, rid long, start int"
+
+
+def single_windows(distinct: DataFrame) -> DataFrame:
+    """Spans of the windows that were sent one by one."""
+    return distinct.where((c("kind") == 1) & (c("n") > 1)).select(
+        "kind", "key", "same", F.lit(0).alias("at"), F.lit(1).alias("len"), F.lit(True).alias("own"), "doc", "rid", "start")
+
+
 def spans_by_document(rows: DataFrame, spans: DataFrame, window: int, keep_first: bool) -> DataFrame:
-    """``doc, rid, spans``: what is removed from each document, as pieces (first, end) in any order.
+    """``doc, rid, spans``: what is removed from each document, as pieces (a, b) in any order.
 
-    ``spans(key, same, kind, at, len, doc, rid, start)``: windows ``at .. at + len - 1`` of a stretch recur, first at the
-    given place and those after it.
+    With ``keep_first`` a span stays at the first place of its stretch where it is the stretch's own.
     """
-    s = spans.select("kind", "key", "same", "at", "len", c("doc").alias("d"), c("rid").alias("r"), c("start").alias("s"))
+    s = spans.select("kind", "key", "same", "at", "len", "own", c("doc").alias("d"), c("rid").alias("r"), c("start").alias("s"))
     joined = rows.select("doc", "rid", "start", "kind", "key", "same").join(s, ["kind", "key", "same"])
     if keep_first:
-        joined = joined.where(~((c("doc") == c("d")) & (c("rid") == c("r")) & (c("start") + c("at") == c("s"))))
+        joined = joined.where(~(c("own") & (c("doc") == c("d")) & (c("rid") == c("r")) & (c("start") == c("s"))))
     a = c("start") + c("at")
-    return joined.select("doc", "rid", a.alias("a"), (a + c("len") - 1 + window).alias("b")).distinct().groupBy("doc", "rid").agg(
-        F.collect_list(F.struct("a", "b")).alias("spans"))
+    return joined.groupBy("doc", "rid").agg(F.collect_set(F.struct(a.alias("a"), (a + c("len") - 1 + window).alias("b"))).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -94,26 +94,36 @@ def _slide(values: np.ndarray, width: int, fold) -> np.ndarray:
     return fold(v[: len(v) - (width - d)], v[width - d:]) if width > d else v
 
 
-def stretches(values: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(values: np.ndarray, lengths: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that share their least ``k``-gram hash: key, first window, last window, may repeat within.
 
-    Equal windows have equal keys, wherever they stand.  Two equal windows of one run show as two places of its least
-    hash, at most a window apart; ``may repeat within`` has all such runs.
+    ``values`` holds texts of the given ``lengths`` one after another; no window crosses from one to the next.  Equal
+    windows have equal keys, wherever they stand.  Two equal windows of one run show as two places of its least hash, at
+    most a window apart; ``may repeat within`` has all such runs.
     """
     none = np.empty(0, np.int64)
     if len(values) < window:
         return np.empty(0, np.uint64), none, none, none.astype(bool)
     g, width = gram_hashes(values, k), window - k + 1
     least = _slide(g, width, np.minimum)
-    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    last = np.concatenate((first[1:], [len(least)])) - 1
-    top = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
+    end = np.cumsum(lengths)
+    long = lengths >= window
+    edge = np.zeros(len(least) + 1, np.int8)
+    np.add.at(edge, (end - lengths)[long], 1)
+    np.add.at(edge, (end - window + 1)[long], -1)
+    inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
+    starts[(end - lengths)[long]] = True
+    first = np.flatnonzero(starts)
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:] | starts[1:]
+    last = np.flatnonzero(stops)
+    pad = np.zeros(width - 1, np.uint64)
+    top = np.concatenate((pad, np.where(inside, least, np.uint64(0)), pad))
     at = np.flatnonzero(_slide(top, width, np.maximum) == g)
     twice = at[:-1][(g[at[1:]] == g[at[:-1]]) & (at[1:] - at[:-1] <= width)]
-    again = np.zeros(len(first), bool)
-    if len(twice):
-        keys = np.unique(g[twice])
-        again = np.isin(least[first], keys)
+    again = np.isin(least[first], np.unique(g[twice])) if len(twice) else np.zeros(len(first), bool)
     return least[first], first, last, again
 
 

@@ -15,17 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced import repeated_windows
-from .repeats import candidates, covered, distinct_stretches, identified, spans_by_document, with_spans
+from .repeats import SPANS, candidates, covered, distinct_stretches, identified, single_windows, spans_by_document, with_spans
 from .shared import parts, plain
 
 c = F.col
 
 
 def _reader():
-    return lambda text: (np.frombuffer(text, np.uint8), lambda a, b: text[a:b])
-
-
-SPANS = "kind int, key long, same long, at int, len int, doc long, rid long, start int"
+    return lambda texts: (np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64), lambda i, a, b: texts[i][a:b])
 
 
 def _sort_shard(window: int, memory_bytes: int):
@@ -33,7 +30,7 @@ def _sort_shard(window: int, memory_bytes: int):
         out = []
         n_keys = df.groupby("key")["n"].transform("size")
         whole = (df["n"] > 1).to_numpy()
-        put = lambda r, at, size: out.append((0, r.key, r.same, at, size, 0, 0, 0))
+        put = lambda r, at, size: out.append((0, r.key, r.same, at, size, False, 0, 0, 0))
         for r in df[whole].itertuples():
             put(r, 0, len(r.text) - window + 1)
         mixed = df[(n_keys > 1).to_numpy() | ~whole]
@@ -72,8 +69,7 @@ def repeated_strings(docs: DataFrame, *, window: int = 200, hot: int = 100_000,
     shards = parts(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, shard_bytes)
     sharded = stretch.where(c("kind") == 0).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     sorted_ = sharded.groupBy("shard").applyInPandas(_sort_shard(window, memory_bytes), SPANS)
-    alone = stretch.where((c("kind") == 1) & (c("n") > 1)).select("kind", "key", "same", F.lit(0).alias("at"), F.lit(1).alias("len"), "doc", "rid", "start")
-    return with_spans(docs, spans_by_document(rows, sorted_.unionByName(alone), window, keep_first=False))
+    return with_spans(docs, spans_by_document(rows, sorted_.unionByName(single_windows(stretch)), window, keep_first=False))
 
 
 def _digest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
