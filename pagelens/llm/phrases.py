@@ -118,11 +118,11 @@ def repeated_phrases(docs: DataFrame, *, window: int = 20, hot: int = 100_000, s
     Windows are judged on the input.
     """
     ids = identified(docs)
-    rows = candidates(ids, _reader, window=window, k=4, hot=hot)
+    rows = candidates(ids, _reader, window=window, k=6, hot=hot)
     stretch = distinct_stretches(rows)
     shards = parts(rows.agg(F.sum(F.length("text"))).first()[0] or 0, shard_bytes)
     sharded = stretch.where(c("kind") == 0).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    located = sharded.groupBy("shard").applyInPandas(_locate(window, 1 << 20), SPANS)
+    located = sharded.groupBy("shard").applyInPandas(_locate(window, 1 << 14), SPANS)
     return with_spans(docs, spans_by_document(rows, located.unionByName(single_windows(stretch)), window, keep_first=True))
 
 

@@ -64,11 +64,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrase_digest(_table(spark, sf_dir, "documents"))
+    return phrase_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_digest(_table(spark, sf_dir, "documents"))
+    return suffix_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,18 +16,22 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LAST, Filter, bloom_make, parts, plain, shard_of, size_bits, staged, stretches, text_bytes
+from .shared import Filter, bloom_make, parts, plain, shard_of, size_bits, staged, stretches, text_bytes
 
 c = F.col
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``doc`` (null last), ``rid`` (hash of the text: tells apart rows of one doc_id) and the text as bytes."""
-    return docs.select(F.coalesce(c("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(plain("text")).alias("rid"),
-                       plain("text").cast("binary").alias("text"))
+    """``doc``, ``rid`` (hash of the text: tells apart rows of one doc_id) and the text as bytes."""
+    return docs.select(_doc(c("doc_id"), c("text")).alias("doc"), F.hash(plain("text")).alias("rid"), plain("text").cast("binary").alias("text"))
+
+
+def _doc(doc_id: Column, text: Column) -> Column:
+    """The id; rows without one get numbers beyond 2^62 from their text, so they come last."""
+    return F.coalesce(doc_id.cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(plain(text)), 2))
 
 
 def _pieces(frames, sub_bytes: int):
@@ -75,7 +79,7 @@ def _filter(keys: DataFrame, column: str, shards: int, per_key: float, hashes: i
     return Filter({r["shard"]: r["bits"] for r in made.toLocalIterator()}, shards, hashes)
 
 
-ROWS = "doc long, rid long, start int, kind int, key long, same long, text binary"
+ROWS = "doc long, rid int, start int, kind int, key long, same long, text binary"
 
 
 def _rows(read: Callable, window: int, k: int, known, hot):
@@ -92,12 +96,12 @@ def _rows(read: Callable, window: int, k: int, known, hot):
             of = np.searchsorted(begin, first, side="right") - 1
             while len(zero := np.flatnonzero(lengths[of] == 0)):  # an empty text begins where the next one does
                 of[zero] += 1
-            docs, rids, start = part["doc"].to_numpy(np.int64), part["rid"].to_numpy(np.int64), first - begin[of]
+            docs, rids, start = part["doc"].to_numpy(np.int64), part["rid"].to_numpy(np.int32), first - begin[of]
             some = np.flatnonzero(~many)
             texts = [cut(d, a, a + n) for d, a, n in zip(of[some].tolist(), start[some].tolist(), (last - first + window)[some].tolist(), strict=True)]
             yield pd.DataFrame({
                 "doc": docs[of[some]], "rid": rids[of[some]], "start": start[some].astype(np.int32), "kind": np.int32(0), "key": key[some].view(np.int64),
-                "same": np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)).view(np.int64), "text": texts})
+                "same": None, "text": texts})
             for i in np.flatnonzero(many).tolist():
                 n = int(last[i] - first[i]) + 1
                 both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(cut(of[i], start[i] + w, start[i] + w + window)) for w in range(n)), np.int64)
@@ -122,18 +126,22 @@ def candidates(docs: DataFrame, read: Callable, *, window: int, k: int, hot: int
     n = keys.agg(F.sum("n")).first()[0] or 0
     each = min(per_key, max_filter_bytes * 8 / max(1, n))
     known, many = (sc.broadcast(_filter(keys, x, shards, each, hashes)) for x in ("keys", "hot"))
-    return staged(docs.mapInPandas(_rows(read, window, k, known, many), ROWS))
+    rows = docs.mapInPandas(_rows(read, window, k, known, many), ROWS)
+    return staged(rows.withColumn("same", F.coalesce("same", F.xxhash64("text"))))
 
 
 def distinct_stretches(rows: DataFrame) -> DataFrame:
     """``kind, key, same, n, doc, rid, start, text``: equal stretches summed up, with their first place."""
-    return rows.groupBy("kind", "key", "same").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "rid", "start")).alias("first"), F.first("text").alias("text")).select(
-        "kind", "key", "same", "n", "first.*", "text")
+    summed = lambda df, by: df.groupBy("key", by).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "rid", "start")).alias("first"))
+    texts = summed(rows.where(c("kind") == 0), "text").select(
+        F.lit(0).alias("kind"), "key", F.xxhash64("text").alias("same"), "n", "first.*", "text")
+    single = summed(rows.where(c("kind") == 1), "same").select(
+        F.lit(1).alias("kind"), "key", "same", "n", "first.*", F.lit(None).cast("binary").alias("text"))
+    return texts.unionByName(single)
 
 
 #: Windows ``at .. at + len - 1`` of the distinct stretch (kind, key, same) recur; ``own``: nowhere before the stretch's first place.
-SPANS = "kind int, key long, same long, at int, len int, own boolean, doc long, rid long, start int"
+SPANS = "kind int, key long, same long, at int, len int, own boolean, doc long, rid int, start int"
 
 
 def single_windows(distinct: DataFrame) -> DataFrame:
@@ -158,7 +166,8 @@ def spans_by_document(rows: DataFrame, spans: DataFrame, window: int, keep_first
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``row`` (all columns of a document as a struct) and its ``spans`` (null: none)."""
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(spans, (F.coalesce(c("row.doc_id").cast("long"), F.lit(LAST)) == c("doc")) & (F.xxhash64(plain(c("row.text"))) == c("rid")), "left").select("row", "spans")
+    same = (_doc(c("row.doc_id"), c("row.text")) == c("doc")) & (F.hash(plain(c("row.text"))) == c("rid"))
+    return rows.join(spans, same, "left").select("row", "spans")
 
 
 def covered(n: int, spans) -> np.ndarray:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-LAST = (1 << 63) - 1  # stands for a null id wherever ids are ordered: nulls come last
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,12 +76,15 @@ class WordHashes(dict):
 
 
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every ``k`` consecutive values (``k`` a power of two), by doubling."""
+    """A hash of every ``k`` consecutive values, by doubling; the last step overlaps."""
+    if len(values) < k:
+        return np.empty(0, np.uint64)
     h, d = values.astype(np.uint64) + M1, 1
-    while d < k and len(h) > d:
-        h = h[:-d] * (M1 + np.uint64(2 * d)) + (h[d:] ^ (h[d:] >> np.uint64(31)))
-        d *= 2
-    return mix(h) if d >= k else np.empty(0, np.uint64)
+    while d < k:
+        step = min(d, k - d)
+        h = h[:-step] * (M1 + np.uint64(2 * d)) + (h[step:] ^ (h[step:] >> np.uint64(31)))
+        d += step
+    return mix(h)
 
 
 def _slide(values: np.ndarray, width: int, fold) -> np.ndarray:
