@@ -17,14 +17,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Filter, WordHashes, bloom_make, mix, parts, plain, shard_of, size_bits, staged, text_bytes
+from .shared import Filter, bloom_make, mix, parts, plain, shard_of, size_bits, staged, text_bytes
 
 END, START = b"end ", b"start "  # words hold no blank, so none equals a mark
 K_PAIR = np.uint64(0x2545F4914F6CDD1D)
 ALPHA = 0.1
+PART_BYTES = 6 << 20  # of text that a task holds as numbers at a time
 
 
 def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -35,19 +37,30 @@ def _level_keys(h: np.ndarray, fp: np.ndarray, level: int) -> np.ndarray:
     return mix(h ^ (fp.astype(np.uint64) * K_PAIR)) + np.uint64(level * int(K_PAIR) & (1 << 64) - 1)
 
 
-def _tokens(texts, words: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts, each with its end mark, and where each text ends."""
+class _Words(dict):
+    """Numbers of the words of a part of the texts, in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, self), np.uint64, len(self))
+
+
+def _tokens(texts, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all texts, each with its end mark, and where each text ends."""
     out, ends, n = [], [], 0
     for t in texts:
         w = t.lower().split()
         w.append(END)
-        out.append(words.of(w))
+        out.append(np.fromiter(map(words.__getitem__, w), np.int64, len(w)))
         n += len(w)
         ends.append(n)
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.array(ends, np.int64)
+    return (np.concatenate(out) if out else np.empty(0, np.int64)), np.array(ends, np.int64)
 
 
-def _before(tokens: np.ndarray, ends: np.ndarray, start: np.uint64) -> np.ndarray:
+def _before(tokens: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
     """The token before each; the start mark at the start of each text."""
     h = np.empty_like(tokens)
     h[1:] = tokens[:-1]
@@ -64,45 +77,43 @@ def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np
     return [k[at] for k in keys], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
 
-def _count(shards: int, sub_bytes: int):
+def _count(shards: int, part_bytes: int):
     """Of a task's documents: words by (shard, block), pairs by shard, as packed arrays."""
 
     def run(frames):
-        words = WordHashes()
-        start = np.uint64(words[START])
         for frame in frames:
-            size = frame["text"].map(len).cumsum() // sub_bytes
-            for _, part in frame.groupby(size, sort=False):
-                rows = {"kind": [], "shard": [], "block": [], "keys": [], "extra": [], "n": []}
-
-                def put(kind, s, block, keys, extra, n):
-                    for name, v in zip(rows, (kind, s, block, keys.tobytes(), extra.tobytes(), n.tobytes()), strict=True):
-                        rows[name].append(v)
-
-                pairs = []
+            cut = frame["text"].map(len).cumsum() // part_bytes
+            for _, part in frame.groupby(cut, sort=False):
+                words, rows, pairs = _Words(), [], []
+                start = words[START]
+                counts = {}
                 for block, docs in part.groupby("block", sort=False):
-                    held = docs["held_out"].to_numpy(bool)
                     tokens, ends = _tokens(docs["text"], words)
-                    train = np.repeat(~held, np.diff(ends, prepend=0))
-                    (uniq,), n = _summed([tokens], train.astype(np.int64))
-                    at = np.searchsorted(shard_of(uniq, shards), np.arange(shards + 1))
-                    for s in range(shards):
-                        a, b = at[s], at[s + 1]
-                        if b > a:
-                            put("word", s, block, uniq[a:b], n[:0], n[a:b].astype(np.uint32))
-                    if train.any():
-                        pairs.append((_before(tokens, ends, start)[train], tokens[train]))
-                if pairs:
-                    h, w = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                    (h, fp), n = _summed([h, _pair(h, w)], np.ones(len(h), np.int64))
-                    at = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-                    for s in range(shards):
-                        a, b = at[s], at[s + 1]
-                        if b > a:
-                            u, each = np.unique(h[a:b], return_counts=True)
-                            head = np.concatenate((np.array([len(u)], np.uint64), u)).view(np.uint8)
-                            put("pair", s, -1, head, fp[a:b], np.concatenate((each.astype(np.uint32), n[a:b].astype(np.uint32))))
-                yield pd.DataFrame(rows)
+                    train = np.repeat(~docs["held_out"].to_numpy(bool), np.diff(ends, prepend=0))
+                    counts[int(block)] = np.bincount(tokens), np.bincount(tokens[train])
+                    pairs.append((_before(tokens, ends, start)[train] << 32) | tokens[train])
+                h = words.hashes()
+                for block, (any_, n) in counts.items():
+                    ids = np.flatnonzero(any_)
+                    n = np.concatenate((n, np.zeros(len(any_) - len(n), np.int64)))[ids].astype(np.uint32)
+                    order = np.argsort(h[ids])
+                    keys, n = h[ids][order], n[order]
+                    at = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+                    rows += [("word", s, block, keys[a:b].tobytes(), b"", n[a:b].tobytes()) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+                # pairs in order of the first word's hash
+                rank = np.empty(len(h), np.int64)
+                rank[np.argsort(h)] = np.arange(len(h))
+                by_rank = np.sort(h)
+                pair = np.concatenate(pairs)
+                pair, n = np.unique((rank[pair >> 32] << 32) | (pair & 0xFFFFFFFF), return_counts=True)
+                first, fp = pair >> 32, _pair(by_rank[pair >> 32], h[pair & 0xFFFFFFFF])
+                at = np.searchsorted(first, np.searchsorted(shard_of(by_rank, shards), np.arange(shards + 1)))
+                for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    if b > a:
+                        u, each = np.unique(first[a:b], return_counts=True)
+                        head = np.concatenate((np.array([len(u)], np.uint64), by_rank[u]))
+                        rows.append(("pair", s, -1, head.tobytes(), fp[a:b].tobytes(), np.concatenate((each, n[a:b])).astype(np.uint32).tobytes()))
+                yield pd.DataFrame(rows, columns=["kind", "shard", "block", "keys", "extra", "n"])
 
     return run
 
@@ -149,7 +160,7 @@ def _answer(bits_per_pair: float, hashes: int):
                 u = np.unique(np.concatenate([keys[i] for i in at]))
                 i = np.searchsorted(words, u)
                 out.append(("words", shard, int(block), u.tobytes(), n[i].tobytes(), t[i].tobytes(), 0, 0))
-        start = np.uint64(WordHashes()[START])
+        start = np.uint64(xxhash.xxh64_intdigest(START))
         if len(ctx) and (i := int(np.searchsorted(ctx, start))) < len(ctx) and ctx[i] == start:
             out.append(("start", shard, -1, b"", b"", followers[i: i + 1].tobytes(), 0, 0))
         return pd.DataFrame(out, columns=["kind", "shard", "block", "keys", "n", "followers", "tokens", "types"])
@@ -168,31 +179,31 @@ def _probe(pairs: Filter, h: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (3 * np.exp2(level - 1.0) - 1) / 2, 0.0)
 
 
-def _score(filters, n_all: int, v_all: int, n_docs: int, start_followers: int):
+def _score(filters, n_all: int, v_all: int, n_docs: int, start_followers: int, part_bytes: int):
     total = n_all + ALPHA * (v_all + 1)
 
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in answers["keys"]]
-        start = np.uint64(WordHashes()[START])
-        if keys:
-            known = np.concatenate(keys)
-            order = np.argsort(known)
-            known = known[order]
-            count = np.concatenate([np.frombuffer(x, np.int64) for x in answers["n"]])[order]
-            follow = np.concatenate([np.frombuffer(x, np.int64) for x in answers["followers"]])[order]
-        words, cols = WordHashes(), {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        cut = docs["text"].map(len).cumsum() // (4 << 20)
+        known = np.concatenate([np.frombuffer(x, np.uint64) for x in answers["keys"]])
+        order = np.argsort(known)
+        known = known[order]
+        count = np.concatenate([np.frombuffer(x, np.int64) for x in answers["n"]])[order]
+        follow = np.concatenate([np.frombuffer(x, np.int64) for x in answers["followers"]])[order]
+        cols = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+        cut = docs["text"].map(len).cumsum() // part_bytes
         for _, part in docs.groupby(cut, sort=False):
+            words = _Words()
+            start = words[START]
             tokens, ends = _tokens(part["text"], words)
-            at = np.searchsorted(known, tokens)
-            c, t = count[at], follow[at]
+            hashed = words.hashes()
+            at = np.searchsorted(known, hashed[1:])
+            if not (known[at] == hashed[1:]).all():
+                raise ValueError("a block's words changed between two reads")
+            c_of, t_of = np.concatenate(([n_docs], count[at])), np.concatenate(([start_followers], follow[at]))
+            first, before = np.concatenate(([0], ends[:-1])), _before(tokens, ends, start)
+            c, c_h, t_h = c_of[tokens], c_of[before], t_of[before]
             p0 = (c + ALPHA) / total
-            first = np.concatenate(([0], ends[:-1]))
-            c_h, t_h = np.empty(len(c)), np.empty(len(c))
-            c_h[1:], t_h[1:] = c[:-1], t[:-1]
-            c_h[first], t_h[first] = n_docs, start_followers
-            h = _before(tokens, ends, start)
-            pair = _probe(filters.value, h, _pair(h, tokens))
+            h = hashed[before]
+            pair = _probe(filters.value, h, _pair(h, hashed[tokens]))
             pair = np.minimum(pair, np.minimum(c_h, c))  # no pair is more frequent than its words
             p = np.where(c_h > 0, (pair + t_h * p0) / np.maximum(c_h + t_h, 1), p0)
             cols["n_tokens"].append(ends - first)
@@ -225,11 +236,12 @@ def lm_scores(docs: DataFrame, *, folds: int = 10, bits_per_pair: int = 12, hash
     blocks = shards = parts(n_bytes, block_bytes)
     rows = docs.select(
         F.col("doc_id").cast("long"), plain("text").cast("binary").alias("text"), (crc % folds == 0).alias("held_out"),
-        F.pmod(F.xxhash64(plain("text"), "doc_id"), F.lit(blocks)).cast("int").alias("block"))
+        F.pmod(F.coalesce(F.shiftright(F.col("doc_id").cast("long"), 11), F.xxhash64("text")), F.lit(blocks)).cast("int").alias("block"))
+    # neighbours by id share a block: where they are stored together, a task asks for few blocks
     # every pair occurrence makes at most one level of the filter, and a text of n bytes holds at most n / 2 + 1 words
     n_pairs = n_bytes // 2 + 1
     per_pair = min(bits_per_pair, max_filter_bytes * 8 / n_pairs)
-    counted = rows.mapInPandas(_count(shards, 24 << 20), COUNTED)
+    counted = rows.mapInPandas(_count(shards, PART_BYTES), COUNTED)
     answered = staged(counted.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(per_pair, hashes), ANSWERED))
     sums = answered.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     n_docs = rows.where(~F.col("held_out")).count()
@@ -237,7 +249,7 @@ def lm_scores(docs: DataFrame, *, folds: int = 10, bits_per_pair: int = 12, hash
     start = answered.where(F.col("kind") == "start").select("followers").first()
     start_followers = int(np.frombuffer(start["followers"], np.int64)[0]) if start else 0
     filters = spark.sparkContext.broadcast(Filter(pieces, shards, hashes))  # max_filter_bytes at most
-    run = _score(filters, int(sums["n"] or 0), int(sums["v"] or 0), n_docs, start_followers)
+    run = _score(filters, int(sums["n"] or 0), int(sums["v"] or 0), n_docs, start_followers, PART_BYTES)
     answers = answered.where(F.col("kind") == "words").select("block", "keys", "n", "followers")
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
