@@ -17,12 +17,22 @@ from .shared import plain, staged
 
 c = F.col
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what separates words before capitals are lowered
+
+
+def raw_terms(text: Column | str = "text") -> Column:
+    """Words of a text as an array, capitals as they are: runs of digits, letters and characters beyond ASCII."""
+    return F.array_remove(F.split(plain(text), BETWEEN), "")
 
 
 def terms(text: Column | str = "text") -> Column:
-    """Words of a text as an array: A-Z lower-cased, then runs of digits, letters and characters beyond ASCII."""
-    return F.regexp_extract_all(F.translate(plain(text), UPPER, LOWER), F.lit(TERM), F.lit(0))
+    """Words of a text as an array, A-Z lower-cased."""
+    return raw_terms(F.translate(plain(text), UPPER, LOWER))
+
+
+def lowered(term: Column) -> Column:
+    """A-Z lower-cased; most words have none, which the faster full lowering shows."""
+    return F.when(F.lower(term) == term, term).otherwise(F.translate(term, UPPER, LOWER))
 
 
 def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
@@ -35,7 +45,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
         F.size("words") > 0).dropDuplicates(["item"]).withColumn("len", F.least(F.size("words"), F.lit(window)))
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, *, window: int = 10, rarest: int = 3, slop: int = 5,
+def phrase_matches(docs: DataFrame, items: DataFrame, *, window: int = 10, rarest: int = 2, slop: int = 5,
                    max_broadcast_bytes: int = 32 << 20, into: str = "hits") -> DataFrame:
     """``docs`` with a struct ``into(n_words, n_hit, item_ids, near_ids)``.
 
@@ -50,8 +60,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, *, window: int = 10, rares
     item = staged(item_windows(items, window))
     placed = item.select("item", "len", F.size("words").alias("n"), F.posexplode("words").alias("q", "term"))
     vocabulary = placed.select(F.xxhash64("term").alias("term")).distinct()
-    rows = docs.select("doc_id", F.xxhash64(plain("text")).alias("rid"), F.posexplode(terms()).alias("pos", "term")).select(
-        "doc_id", "rid", "pos", F.xxhash64("term").alias("term"))
+    rows = docs.select("doc_id", F.xxhash64(plain("text")).alias("rid"), F.posexplode(raw_terms()).alias("pos", "term")).select(
+        "doc_id", "rid", "pos", F.xxhash64(lowered(c("term"))).alias("term"))
     index = staged(rows.join(_maybe_broadcast(vocabulary, small), "term", "left_semi"))
     counted = index.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
     # windows whose terms all occur; each with the places of its rarest terms
@@ -83,7 +93,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, *, window: int = 10, rares
         c("doc_id").alias("_doc"), c("rid").alias("_rid"), "_cands", "_near")
     base = docs.select(F.struct(*[c(f"`{x}`") for x in docs.columns if x != into]).alias("row"))
     joined = base.join(cands, c("row.doc_id").eqNullSafe(c("_doc")) & (F.xxhash64(plain(c("row.text"))) == c("_rid")), "left")
-    joined = joined.withColumn("w", terms(c("row.text")))
+    joined = joined.withColumn("w", F.when(c("_cands").isNotNull(), terms(c("row.text"))))
 
     def starts(x: Column) -> Column:
         """First words, in the document, of the item's windows that stand there."""
@@ -96,7 +106,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, *, window: int = 10, rares
     covered = F.array_distinct(F.flatten(F.flatten(F.transform("hits", lambda x: F.transform(
         x["at"], lambda s: F.sequence(s, s + x["len"] - 1))))))
     return joined.select("row.*", F.struct(
-        F.size("w").cast("long").alias("n_words"), F.greatest(F.lit(0), F.coalesce(F.size(covered), F.lit(0))).cast("long").alias("n_hit"),
+        F.size(raw_terms(c("row.text"))).cast("long").alias("n_words"), F.greatest(F.lit(0), F.coalesce(F.size(covered), F.lit(0))).cast("long").alias("n_hit"),
         F.coalesce(F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda x: x["item_id"].cast("string")), lambda i: i.isNotNull()))),
                    F.array().cast("array<string>")).alias("item_ids"),
         F.coalesce(F.array_sort("_near"), F.array().cast("array<string>")).alias("near_ids")).alias(into))

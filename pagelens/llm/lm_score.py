@@ -26,7 +26,7 @@ from .shared import Filter, bloom_make, mix, parts, plain, shard_of, size_bits,
 END, START = b"end ", b"start "  # words hold no blank, so none equals a mark
 K_PAIR = np.uint64(0x2545F4914F6CDD1D)
 ALPHA = 0.1
-PART_BYTES = 6 << 20  # of text that a task holds as numbers at a time
+PART_BYTES = 4 << 20  # of text that a task holds as numbers at a time
 
 
 def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -223,7 +223,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 
 def lm_scores(docs: DataFrame, *, folds: int = 10, bits_per_pair: int = 12, hashes: int = 5, max_filter_bytes: int = 256 << 20,
-              block_bytes: int = 32 << 20) -> DataFrame:
+              block_bytes: int = 20 << 20) -> DataFrame:
     """Scores every text of ``docs(doc_id, text)`` with a model learned from those whose crc32(doc_id) mod ``folds`` is not 0.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; one row per row of ``docs``.  A null
