@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Filter, bloom_make, mix, parts, plain, shard_of, size_bits, staged, text_bytes
+from .shared import Filter, bloom_make, mix, parts, plain, shard_of, size_bits, staged, text_bytes, text_pieces
 
 END, START = b"end ", b"start "  # words hold no blank, so none equals a mark
 K_PAIR = np.uint64(0x2545F4914F6CDD1D)
@@ -80,40 +81,40 @@ def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np
 def _count(shards: int, part_bytes: int):
     """Of a task's documents: words by (shard, block), pairs by shard, as packed arrays."""
 
-    def run(frames):
-        for frame in frames:
-            cut = frame["text"].map(len).cumsum() // part_bytes
-            for _, part in frame.groupby(cut, sort=False):
-                words, rows, pairs = _Words(), [], []
-                start = words[START]
-                counts = {}
-                for block, docs in part.groupby("block", sort=False):
-                    tokens, ends = _tokens(docs["text"], words)
-                    train = np.repeat(~docs["held_out"].to_numpy(bool), np.diff(ends, prepend=0))
-                    counts[int(block)] = np.bincount(tokens), np.bincount(tokens[train])
-                    pairs.append((_before(tokens, ends, start)[train] << 32) | tokens[train])
-                h = words.hashes()
-                for block, (any_, n) in counts.items():
-                    ids = np.flatnonzero(any_)
-                    n = np.concatenate((n, np.zeros(len(any_) - len(n), np.int64)))[ids].astype(np.uint32)
-                    order = np.argsort(h[ids])
-                    keys, n = h[ids][order], n[order]
-                    at = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-                    rows += [("word", s, block, keys[a:b].tobytes(), b"", n[a:b].tobytes()) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-                # pairs in order of the first word's hash
-                rank = np.empty(len(h), np.int64)
-                rank[np.argsort(h)] = np.arange(len(h))
-                by_rank = np.sort(h)
-                pair = np.concatenate(pairs)
-                pair, n = np.unique((rank[pair >> 32] << 32) | (pair & 0xFFFFFFFF), return_counts=True)
-                first, fp = pair >> 32, _pair(by_rank[pair >> 32], h[pair & 0xFFFFFFFF])
-                at = np.searchsorted(first, np.searchsorted(shard_of(by_rank, shards), np.arange(shards + 1)))
-                for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    if b > a:
-                        u, each = np.unique(first[a:b], return_counts=True)
-                        head = np.concatenate((np.array([len(u)], np.uint64), by_rank[u]))
-                        rows.append(("pair", s, -1, head.tobytes(), fp[a:b].tobytes(), np.concatenate((each, n[a:b])).astype(np.uint32).tobytes()))
-                yield pd.DataFrame(rows, columns=["kind", "shard", "block", "keys", "extra", "n"])
+    def run(batches):
+        for part in text_pieces(batches, part_bytes):
+            words, rows, pairs = _Words(), [], []
+            part = pd.DataFrame(part)
+            start = words[START]
+            counts = {}
+            for block, docs in part.groupby("block", sort=False):
+                tokens, ends = _tokens(docs["text"], words)
+                train = np.repeat(~docs["held_out"].to_numpy(bool), np.diff(ends, prepend=0))
+                counts[int(block)] = np.bincount(tokens), np.bincount(tokens[train])
+                pairs.append((_before(tokens, ends, start)[train] << 32) | tokens[train])
+            h = words.hashes()
+            for block, (any_, n) in counts.items():
+                ids = np.flatnonzero(any_)
+                n = np.concatenate((n, np.zeros(len(any_) - len(n), np.int64)))[ids].astype(np.uint32)
+                order = np.argsort(h[ids])
+                keys, n = h[ids][order], n[order]
+                at = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+                rows += [("word", s, block, keys[a:b].tobytes(), b"", n[a:b].tobytes()) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+            # pairs in order of the first word's hash
+            rank = np.empty(len(h), np.int64)
+            rank[np.argsort(h)] = np.arange(len(h))
+            by_rank = np.sort(h)
+            pair = np.concatenate(pairs)
+            pair, n = np.unique((rank[pair >> 32] << 32) | (pair & 0xFFFFFFFF), return_counts=True)
+            first, fp = pair >> 32, _pair(by_rank[pair >> 32], h[pair & 0xFFFFFFFF])
+            at = np.searchsorted(first, np.searchsorted(shard_of(by_rank, shards), np.arange(shards + 1)))
+            for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                if b > a:
+                    u, each = np.unique(first[a:b], return_counts=True)
+                    head = np.concatenate((np.array([len(u)], np.uint64), by_rank[u]))
+                    rows.append(("pair", s, -1, head.tobytes(), fp[a:b].tobytes(), np.concatenate((each, n[a:b])).astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
+                zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["kind", "shard", "block", "keys", "extra", "n"])
 
     return run
 
@@ -241,7 +242,7 @@ def lm_scores(docs: DataFrame, *, folds: int = 10, bits_per_pair: int = 12, hash
     # every pair occurrence makes at most one level of the filter, and a text of n bytes holds at most n / 2 + 1 words
     n_pairs = n_bytes // 2 + 1
     per_pair = min(bits_per_pair, max_filter_bytes * 8 / n_pairs)
-    counted = rows.mapInPandas(_count(shards, PART_BYTES), COUNTED)
+    counted = rows.mapInArrow(_count(shards, PART_BYTES), COUNTED)
     answered = staged(counted.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(per_pair, hashes), ANSWERED))
     sums = answered.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     n_docs = rows.where(~F.col("held_out")).count()

@@ -110,7 +110,7 @@ def _locate(window: int, batch_words: int):
     return run
 
 
-def repeated_phrases(docs: DataFrame, *, window: int = 20, hot: int = 100_000, shard_bytes: int = 8 << 20) -> DataFrame:
+def repeated_phrases(docs: DataFrame, *, window: int = 20, hot: int = 100_000, shard_bytes: int = 4 << 20) -> DataFrame:
     """``row`` (a document) and ``spans``: the word ranges of it that windows of ``window`` words cover which start earlier too.
 
     Earlier: smaller doc_id, or the same document and an earlier start.  Rows of one doc_id with different texts are

@@ -15,11 +15,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Filter, bloom_make, parts, plain, shard_of, size_bits, staged, stretches, text_bytes
+from .shared import Filter, bloom_make, parts, plain, shard_of, size_bits, staged, stretches, text_bytes, text_pieces
 
 c = F.col
 
@@ -34,23 +35,16 @@ def _doc(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(plain(text)), 2))
 
 
-def _pieces(frames, sub_bytes: int):
-    for frame in frames:
-        cut = frame["text"].map(len).cumsum() // sub_bytes
-        for _, part in frame.groupby(cut, sort=False):
-            yield part
-
-
 def _keys(read: Callable, window: int, k: int, shards: int):
-    def run(frames):
+    def run(batches):
         reader = read()
-        for part in _pieces(frames, 2 << 20):
-            values, lengths, _ = reader(part["text"].tolist())
+        for part in text_pieces(batches, 2 << 20):
+            values, lengths, _ = reader(part["text"])
             key, _, _, again = stretches(values, lengths, window, k)
             keys, n = np.unique(np.concatenate((key, key[again])), return_counts=True)
             at = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
             rows = [(s, keys[at[s]:at[s + 1]].tobytes(), n[at[s]:at[s + 1]].astype(np.uint32).tobytes()) for s in range(shards) if at[s + 1] > at[s]]
-            yield pd.DataFrame(rows, columns=["shard", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "keys", "n"])
 
     return run
 
@@ -82,11 +76,19 @@ def _filter(keys: DataFrame, column: str, shards: int, per_key: float, hashes: i
 ROWS = "doc long, rid int, start int, kind int, key long, same long, text binary"
 
 
+def _batch(doc, rid, start, kind, key, same, text) -> pa.RecordBatch:
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([
+        pa.array(doc, pa.int64()), pa.array(rid, pa.int32()), pa.array(start.astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(key, pa.int64()),
+        pa.nulls(n, pa.int64()) if same is None else pa.array(same, pa.int64()), pa.nulls(n, pa.binary()) if text is None else pa.array(text, pa.binary())],
+        [x.split()[0] for x in ROWS.split(", ")])
+
+
 def _rows(read: Callable, window: int, k: int, known, hot):
-    def run(frames):
+    def run(batches):
         reader = read()
-        for part in _pieces(frames, 2 << 20):
-            values, lengths, cut = reader(part["text"].tolist())
+        for part in text_pieces(batches, 2 << 20):
+            values, lengths, cut = reader(part["text"])
             key, first, last, _ = stretches(values, lengths, window, k)
             at = known.value.find(key, key)
             many = np.zeros(len(at), bool)
@@ -96,18 +98,14 @@ def _rows(read: Callable, window: int, k: int, known, hot):
             of = np.searchsorted(begin, first, side="right") - 1
             while len(zero := np.flatnonzero(lengths[of] == 0)):  # an empty text begins where the next one does
                 of[zero] += 1
-            docs, rids, start = part["doc"].to_numpy(np.int64), part["rid"].to_numpy(np.int32), first - begin[of]
+            docs, rids, start = part["doc"], part["rid"], first - begin[of]
             some = np.flatnonzero(~many)
             texts = [cut(d, a, a + n) for d, a, n in zip(of[some].tolist(), start[some].tolist(), (last - first + window)[some].tolist(), strict=True)]
-            yield pd.DataFrame({
-                "doc": docs[of[some]], "rid": rids[of[some]], "start": start[some].astype(np.int32), "kind": np.int32(0), "key": key[some].view(np.int64),
-                "same": None, "text": texts})
+            yield _batch(docs[of[some]], rids[of[some]], start[some], 0, key[some].view(np.int64), None, texts)
             for i in np.flatnonzero(many).tolist():
                 n = int(last[i] - first[i]) + 1
                 both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(cut(of[i], start[i] + w, start[i] + w + window)) for w in range(n)), np.int64)
-                yield pd.DataFrame({
-                    "doc": np.full(n, docs[of[i]]), "rid": rids[of[i]], "start": (start[i] + np.arange(n)).astype(np.int32), "kind": np.int32(1),
-                    "key": both[::2], "same": both[1::2], "text": None})
+                yield _batch(np.full(n, docs[of[i]]), np.full(n, rids[of[i]]), start[i] + np.arange(n), 1, both[::2], both[1::2], None)
 
     return run
 
@@ -121,12 +119,12 @@ def candidates(docs: DataFrame, read: Callable, *, window: int, k: int, hot: int
     """
     sc = docs.sparkSession.sparkContext
     shards = parts(text_bytes(docs), shard_bytes)
-    packed = docs.select("text").mapInPandas(_keys(read, window, k, shards), "shard int, keys binary, n binary")
+    packed = docs.select("text").mapInArrow(_keys(read, window, k, shards), "shard int, keys binary, n binary")
     keys = staged(packed.repartition(shards, "shard").groupBy("shard").applyInPandas(_recurring(hot), "shard int, keys binary, hot binary, n long"))
     n = keys.agg(F.sum("n")).first()[0] or 0
     each = min(per_key, max_filter_bytes * 8 / max(1, n))
     known, many = (sc.broadcast(_filter(keys, x, shards, each, hashes)) for x in ("keys", "hot"))
-    rows = docs.mapInPandas(_rows(read, window, k, known, many), ROWS)
+    rows = docs.mapInArrow(_rows(read, window, k, known, many), ROWS)
     return staged(rows.withColumn("same", F.coalesce("same", F.xxhash64("text"))))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,17 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
 
 
+def text_pieces(batches, piece_bytes: int):
+    """Arrow batches in pieces of about so many bytes of ``text``, each a dict of columns; only a piece becomes Python objects."""
+    for batch in batches:
+        done = pc.cumulative_sum(pc.binary_length(batch.column("text")).cast("int64")).to_numpy(zero_copy_only=False) // piece_bytes
+        edges = [0, *(np.flatnonzero(done[1:] != done[:-1]) + 1).tolist(), len(done)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                piece = batch.slice(a, b - a)
+                yield {name: col.to_pylist() if name == "text" else col.to_numpy(zero_copy_only=False) for name, col in zip(piece.schema.names, piece.columns, strict=True)}
+
+
 def parts(n_bytes: int, each: int) -> int:
     return max(1, math.ceil(n_bytes / each))
 
@@ -61,7 +73,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """XXH64 of words; holds at most ``limit`` of them."""
 
-    def __init__(self, limit: int = 1 << 19):
+    def __init__(self, limit: int = 1 << 16):
         super().__init__()
         self.limit = limit
 
