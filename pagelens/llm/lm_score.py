@@ -169,10 +169,10 @@ def _answer(bits_per_pair: float, hashes: int):
     return run
 
 
-def _probe(pairs: Filter, h: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Counts of pairs as the filter knows them: level after level, until one is missing."""
+def _probe(pairs: Filter, h: np.ndarray, fp: np.ndarray, levels: int) -> np.ndarray:
+    """Counts of pairs as the filter knows them: level after level, until one is missing; there are ``levels`` at most."""
     level, left, j = np.zeros(len(h), np.int64), np.arange(len(h)), 0
-    while len(left):
+    while len(left) and j < levels:
         j += 1
         left = left[pairs.find(_level_keys(h[left], fp[left], j), h[left])]
         level[left] = j
@@ -204,7 +204,7 @@ def _score(filters, n_all: int, v_all: int, n_docs: int, start_followers: int, p
             c, c_h, t_h = c_of[tokens], c_of[before], t_of[before]
             p0 = (c + ALPHA) / total
             h = hashed[before]
-            pair = _probe(filters.value, h, _pair(h, hashed[tokens]))
+            pair = _probe(filters.value, h, _pair(h, hashed[tokens]), n_all.bit_length())
             pair = np.minimum(pair, np.minimum(c_h, c))  # no pair is more frequent than its words
             p = np.where(c_h > 0, (pair + t_h * p0) / np.maximum(c_h + t_h, 1), p0)
             cols["n_tokens"].append(ends - first)

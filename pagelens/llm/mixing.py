@@ -92,8 +92,8 @@ def mix_sources(docs: DataFrame, *, size: Column | None = None, weights: tuple[i
 def emit(mixed: DataFrame, into: str = "mix") -> DataFrame:
     """Each row once per copy; ``into`` is dropped."""
     n = c(f"{into}.copies").cast("int")
-    rest = [x for x in mixed.columns if x != into]
-    return mixed.where(n > 0).select(*[c(f"`{x}`") for x in rest], F.explode(F.sequence(F.lit(1), n)).alias("_copy")).drop("_copy")
+    row = F.struct(*[c(f"`{x}`") for x in mixed.columns if x != into])
+    return mixed.where(n > 0).select(F.explode(F.array_repeat(row, n)).alias("row")).select("row.*")
 
 
 OP4_SQL = r"""

@@ -138,4 +138,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     groups = near_duplicates(docs, **options).select(c("doc_id").alias("_id"), "component_id").distinct()
     gone = groups.where(~c("_id").eqNullSafe(c("component_id"))).select("_id").distinct()
-    return docs.join(gone, c("doc_id").eqNullSafe(c("_id")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(gone, c("row.doc_id").eqNullSafe(c("_id")), "left_anti").select("row.*")
