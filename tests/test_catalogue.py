@@ -5,10 +5,11 @@ import os
 import pytest
 from check_oracle import compare, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalog import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SQL = oracle_sql()
+SQL = registry.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +17,9 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_sql(spark, con, name):
-    df = queries()[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     assert compare(con, df, SQL[name]) == ""
 
 

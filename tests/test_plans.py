@@ -2,16 +2,17 @@
 
 import pytest
 
-from __spark_entry__ import queries
+import __spark_entry__  # noqa: F401  (registers the queries)
+from catalog import registry
 
 SF = "/root/testdata/sf0.001"
 # Global totals over rows that are already aggregated, and top-10 lists.
 ONE_TASK = {"funnel", "completion_metrics", "avg_time_to_complete", "list_sites", "stored_replies"}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries() if not n.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if not n.startswith("stream_")))
 def test_plan(spark, name):
-    plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
                 "FlatMapGroupsInPandas"):
         assert bad not in plan, bad
@@ -20,19 +21,19 @@ def test_plan(spark, name):
 
 
 def test_scan_is_pruned_and_filters_pushed(spark):
-    plan = queries()["brand_detection"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.QUERIES["brand_detection"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,assistant)" in plan
-    plan = queries()["duplicate_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.QUERIES["duplicate_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
 def test_extraction_runs_once(spark):
     """Site scores are one shuffle over one extraction: comments are cut once, the tag list is taken once."""
-    plan = queries()["pillar_scores"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.QUERIES["pillar_scores"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(") == 1
     assert plan.count("<!--.*?-->") <= 2  # the expression and its alias line
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
-    plan = queries()["optimize_candidates"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.QUERIES["optimize_candidates"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
