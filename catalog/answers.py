@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagelens.functions import fixed_values as fv
 from pagelens.operators import links as G
@@ -133,12 +134,15 @@ def category_counts(spark, d):
     return V.category_counts(answers(spark, d))
 
 
-@query("select_queries", f"WITH {ANS} SELECT site, query_id, category FROM ans WHERE query_id IN (SELECT conv_id * 1000 + turn FROM conversations WHERE role = 'assistant' AND length(text) > 400)")
+@query("select_queries", f"""WITH {ANS}, ch AS (SELECT site, query_id, category, row_number() OVER (PARTITION BY site ORDER BY query_id) AS k FROM ans),
+  few AS (SELECT * FROM ch WHERE k <= 4 + CAST(substr(site, 2) AS INT))
+  SELECT site, query_id, category FROM few WHERE site IN (SELECT site FROM few GROUP BY site HAVING count(*) <= 8)""")
 def select_queries(spark, d):
-    chosen = answers(spark, d).select("site", "query_id").join(
-        table(spark, d, "conversations").where((c("role") == "assistant") & (F.length("text") > 400)).select(
-            (c("conv_id") * 1000 + c("turn")).alias("query_id")), "query_id")
-    return V.select_queries(answers(spark, d), chosen)[0].select("site", "query_id", "category")
+    """Sites choose 4 to 10 queries each; those that choose more than 8 are refused."""
+    a = answers(spark, d)
+    k = F.row_number().over(Window.partitionBy("site").orderBy("query_id"))
+    chosen = a.withColumn("k", k).where(c("k") <= 4 + F.substring("site", 2, 1).cast("int"))
+    return V.select_queries(a, chosen)[0].select("site", "query_id", "category")
 
 
 @query("select_queries_errors", f"""WITH {ANS}, ch AS (SELECT site, query_id + (CASE WHEN site = 's3' AND query_id % 2 = 0 THEN 1000000000 ELSE 0 END) AS query_id FROM ans WHERE site IN ('s1', 's3') OR query_id % 1000 > 3),
@@ -663,7 +667,14 @@ def _drain(spark, df, mode: str = "append"):
     q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(
         availableNow=True).start(f"{root}/rows")
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{root}/rows")
+    return spark.read.schema(df.schema).parquet(f"{root}/rows"), (q.lastProgress or {}).get("eventTime", {}).get("watermark")
+
+
+def _with_open(spark, d, form, end: str):
+    """All windows: those the stream closed, and those still open when the stored rows end, in batch form."""
+    closed, watermark = _drain(spark, form(event_stream(spark, d)))
+    batch = form(table(spark, d, "events"))
+    return closed.unionByName(ST.still_open(batch, end, watermark))
 
 
 def event_stream(spark, d):
@@ -671,9 +682,9 @@ def event_stream(spark, d):
 
 
 @query("stream_funnel", """WITH w AS (SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL)
-  SELECT * FROM w WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+  SELECT * FROM w""")
 def stream_funnel(spark, d):
-    return _drain(spark, ST.stream_funnel(event_stream(spark, d)))
+    return _with_open(spark, d, ST.stream_funnel, "window_end")
 
 
 @query("stream_page_audit", f"{PROWS} SELECT page_id, site, pillar, \"check\", points, max_points, present FROM ck".replace("page_id, host AS site, word_count, r.*", "page_id, site, word_count, r.*"))
@@ -682,17 +693,17 @@ def stream_page_audit(spark, d):
 
     raw = ST.read_stream(spark, f"{d}/pages*.parquet", table(spark, d, "pages").schema)
     pages = raw.select("page_id", "url", F.expr(AUGMENT).alias("html"))
-    return _drain(spark, ST.stream_page_audit(pages)).drop("scheme", "task")
+    return _drain(spark, ST.stream_page_audit(pages))[0].drop("scheme", "task")
 
 
 @query("stream_frontier_dedup", "SELECT DISTINCT user_id * 10 + event_id % 7 AS url FROM events")
 def stream_frontier_dedup(spark, d):
     e = event_stream(spark, d).select((c("user_id") * 10 + c("event_id") % 7).alias("url"), "ts")
-    return _drain(spark, ST.stream_frontier_dedup(e, "60 days")).select("url")
+    return _drain(spark, ST.stream_frontier_dedup(e, "60 days"))[0].select("url")
 
 
 @query("stream_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events),
   s AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), g AS (SELECT user_id, k, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY ALL)
-  SELECT user_id, session_start, session_end, n FROM g WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+  SELECT user_id, session_start, session_end, n FROM g""")
 def stream_sessions(spark, d):
-    return _drain(spark, ST.stream_sessions(event_stream(spark, d)))
+    return _with_open(spark, d, ST.stream_sessions, "session_end")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.operators.page_signals import page_signals
-from pagelens.sources.io import spread
 
 AUGMENT = """
 concat(replace(html, '</head>', concat(
@@ -37,8 +36,9 @@ _SIGNALS: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; those with costly per-row work are dealt out over all cores, as they come in one row group."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in ("pages", "documents", "conversations") else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in ("pages", "documents", "conversations") else df
 
 
 def aug_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

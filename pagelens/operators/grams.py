@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .skew import salted_lookup
 
 c = F.col
 
@@ -92,8 +91,8 @@ def duplicate_groups(rows: DataFrame, content_hash: str, member: str) -> DataFra
 def duplicate_pages(rows: DataFrame, content_hash: str = "content_hash", member: str = "url") -> DataFrame:
     """Every member of every duplicate group: ``content_hash, member, copies, first_member``.
 
-    One row per member instead of one list per group, and a salted join back to the groups, because one group
-    of copies may hold a large part of all rows.
+    One row per member instead of one list per group.  One group of copies may hold a large part of all rows:
+    groups are one row each, so adaptive execution can split the members' side of the join.
     """
     groups = duplicate_groups(rows, content_hash, member)
-    return salted_lookup(rows.select(content_hash, member).distinct(), groups, [content_hash], member, "inner")
+    return rows.select(content_hash, member).distinct().join(groups, content_hash)

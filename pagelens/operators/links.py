@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,21 +69,24 @@ def frontier(edges: DataFrame, visited: DataFrame, max_pages: int = 100) -> Data
     return top.join(used, "site", "left").where(c("rank") <= max_pages - F.coalesce("_used", F.lit(0))).drop("_used")
 
 
-def crawl_depth(edges: DataFrame, seeds: DataFrame, max_pages: int | None = 100, max_rounds: int = 50,
+def crawl_depth(edges: DataFrame, seeds: DataFrame, max_pages: int | None = 100,
                 checkpoint_every: int = 3) -> DataFrame:
     """Breadth-first depth of each URL from its site's seed: ``site, url, depth``.
 
     At most ``max_pages`` URLs per site (None: all), level by level, content before sitemaps.  One round is an
     equality join of the newest level with the edges and an anti join with what is known.  Levels and the known
-    set are cut with reliable checkpoints, so that lost executors cost one round.
+    set are cut with reliable checkpoints, so that lost executors cost one round.  Rounds go on until a level is
+    empty.  Edges are dealt by their source once and stay dealt, so that a round shuffles the level and not the edges.
     """
     checkpoint_ready(edges.sparkSession)
     links = edges.where("internal").select(
-        "site", U.strip_fragment("src_url").alias("url"), "dst_url").distinct().checkpoint()
+        "site", U.strip_fragment("src_url").alias("url"), "dst_url").distinct().checkpoint().repartition(
+        "site", "url").persist(StorageLevel.DISK_ONLY)
     known = seeds.select("site", U.strip_fragment("url").alias("url")).distinct().select(
         "site", "url", F.lit(0).cast("bigint").alias("depth")).checkpoint()
-    level = known
-    for depth in range(1, max_rounds + 1):
+    level, depth = known, 0
+    while True:
+        depth += 1
         reached = links.join(level.select("site", "url"), ["site", "url"]).select(
             "site", c("dst_url").alias("url")).distinct()
         fresh = reached.join(known.select("site", "url"), ["site", "url"], "left_anti").checkpoint()
@@ -93,6 +97,7 @@ def crawl_depth(edges: DataFrame, seeds: DataFrame, max_pages: int | None = 100,
         known = known.unionByName(level)
         if depth % checkpoint_every == 0:
             known = known.checkpoint()
+    links.unpersist()
     return known
 
 
@@ -121,8 +126,7 @@ def broken_links(edges: DataFrame, url_status: DataFrame) -> DataFrame:
 def page_broken_links(edges: DataFrame, url_status: DataFrame) -> DataFrame:
     """Broken internal links per page: ``src_page_id, n_broken``."""
     bad = url_status.where(c("status") >= 400).select(c("url").alias("dst_url")).distinct()
-    hits = salted_lookup(edges.where("internal").select("src_page_id", "dst_url"), bad, ["dst_url"], "src_page_id",
-                         "inner")
+    hits = edges.where("internal").select("src_page_id", "dst_url").join(bad, "dst_url")
     return hits.groupBy("src_page_id").agg(F.count_distinct("dst_url").alias("n_broken"))
 
 
@@ -141,7 +145,8 @@ def cms_match(suggestions: DataFrame, cms_pages: DataFrame) -> DataFrame:
 
     The suffix test is an equality on the last path segment: a slug has no slash, so a URL that ends with it ends
     with a segment that ends with it.  CMS pages are reduced to the first one per link and per slug before the joins,
-    so that many pages with one slug never pair with many URLs; a frequent slug is spread.
+    so that many pages with one slug never pair with many URLs; a frequent slug is one row on the right, and
+    adaptive execution splits its left side.
     """
     first = F.min("cms_id").alias("cms_id")
     by = {n: cms_pages.where(c(n) != "").groupBy(n).agg(first) for n in ("link", "slug")}
@@ -152,7 +157,7 @@ def cms_match(suggestions: DataFrame, cms_pages: DataFrame) -> DataFrame:
     # all suffixes of the last segment: linear in its length, and each is an exact key
     ends = urls.select("url", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seg, i, n)))).alias("slug"))
-    by_slug = salted_lookup(ends.where(c("slug") != ""), by["slug"], ["slug"], "url", "inner").select("url", "cms_id")
+    by_slug = ends.where(c("slug") != "").join(by["slug"], "slug").select("url", "cms_id")
     return by_link.unionByName(by_slug).groupBy("url").agg(first)
 
 

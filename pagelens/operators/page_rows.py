@@ -12,7 +12,6 @@ from ..functions import structured as J
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.exprs import any_of, entries, quote, rx, rx_all, rx_sub, strip_edges
-from .skew import salted_lookup
 
 WORD = r"[\p{L}\p{N}_]"
 EDGE = r"[^\p{L}\p{N}_]"
@@ -157,7 +156,7 @@ def performance_hints(signals: DataFrame, image_bytes: DataFrame | None = None)
     src = signals.select("page_id", F.explode(F.array_distinct(F.transform("images", lambda i: U.resolve_url(
         c("base_url"), i["src"])))).alias("src"))
     sizes = image_bytes.groupBy("src").agg(F.max("bytes").alias("bytes"))  # one row per image; logos are on every page
-    sums = salted_lookup(src, sizes, ["src"], "page_id", "inner").groupBy("page_id").agg(F.sum("bytes").alias("image_bytes"))
+    sums = src.join(sizes, "src").groupBy("page_id").agg(F.sum("bytes").alias("image_bytes"))
     return hints.join(sums, "page_id", "left").withColumn("image_bytes", F.coalesce("image_bytes", F.lit(0)))
 
 

@@ -177,7 +177,10 @@ def answer_report(answers: DataFrame, stored: bool = False) -> DataFrame:
 
 
 def select_queries(queries: DataFrame, chosen: DataFrame, limit: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Queries whose ``(site, query_id)`` was chosen, and per site an error row where the choice is not valid."""
+    """Queries whose ``(site, query_id)`` was chosen, and per site an error row where the choice is not valid.
+
+    A site with an error gets no queries.
+    """
     wanted = chosen.select("site", "query_id").distinct()
     picked = queries.join(wanted, ["site", "query_id"], "left_semi")
     missing = wanted.join(queries.select("site", "query_id"), ["site", "query_id"], "left_anti").groupBy("site").agg(
@@ -186,7 +189,7 @@ def select_queries(queries: DataFrame, chosen: DataFrame, limit: int = 8) -> tup
     errors = sizes.join(missing, "site", "left").select(
         "site", F.when(c("chosen") > limit, F.lit(f"Maximum {limit} queries allowed"))
         .when(c("missing") > 0, F.lit(fv.TEXTS["some_selected_queries_not"])).alias("error")).where(c("error").isNotNull())
-    return picked, errors
+    return picked.join(errors.select("site"), "site", "left_anti"), errors
 
 
 def category_counts(queries: DataFrame) -> DataFrame:

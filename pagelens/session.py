@@ -8,8 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; make one only where none is set."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local master gets a folder of its own; elsewhere executors could not share it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-", dir="/tmp"))

@@ -12,19 +12,10 @@ from ..functions.exprs import entries, rx, rx_sub
 c = F.col
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work when the input has fewer splits than cores.
-
-    A small table in one row group is one task otherwise.  A large table has splits enough and is left alone, so
-    nothing is shuffled where it would cost.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Crawled pages; alternative column names are settled once here."""
+def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", partitions: int | None = None) -> DataFrame:
+    """Crawled pages; alternative column names are settled once here.  ``partitions`` deals the rows out anew."""
     df = spark.read.format(fmt).load(path)
+    df = df.repartition(partitions) if partitions else df
     html = [c(n) for n in ("html", "body", "content") if n in df.columns]
     rest = [n for n in df.columns if n not in ("page_id", "url", "html", "body", "content")]
     return df.select("page_id", "url", F.coalesce(*html).alias("html"), *rest)
@@ -90,11 +81,12 @@ def clean_reply(raw: Column) -> Column:
 
 
 def parse_reply(raw: Column, fallback: Column | None = None) -> Column:
-    """Valid JSON text of a reply: as it is, else from the first ``{`` to the last ``}``, else the fallback."""
+    """Valid JSON text of a reply: as it is, else from the first ``{`` to the last ``}``, else so for ``[`` and ``]``,
+    else the fallback."""
     s = clean_reply(raw)
-    cut = rx(s, r"(?s)(\{.*\})")
+    cut, listed = rx(s, r"(?s)(\{.*\})"), rx(s, r"(?s)(\[.*\])")
     ok = lambda x: F.when(F.try_parse_json(x).isNotNull() & (x != ""), x)
-    return F.coalesce(ok(s), ok(cut), F.lit(None).cast("string") if fallback is None else fallback)
+    return F.coalesce(ok(s), ok(cut), ok(listed), F.lit(None).cast("string") if fallback is None else fallback)
 
 
 def ingest_replies(replies: DataFrame, schema: str, raw: str = "raw", length: int | None = None) -> DataFrame:

@@ -31,6 +31,11 @@ def stream_frontier_dedup(urls: DataFrame, watermark: str = "1 day", ts: str = "
     return _timed(urls, ts, watermark).dropDuplicatesWithinWatermark([key])
 
 
+def still_open(batch: DataFrame, end: str, watermark: str | None) -> DataFrame:
+    """Windows of the batch form that a stream stopped at ``watermark`` has not written yet (None: all)."""
+    return batch if watermark is None else batch.where(c(end) > F.lit(watermark).cast("timestamp"))
+
+
 def stream_funnel(events: DataFrame, watermark: str = "1 hour", window: str = "1 hour", slide: str | None = None,
                   ts: str = "ts", step: str = "event_type") -> DataFrame:
     """Events per tumbling (or sliding) window and step."""
