@@ -110,7 +110,7 @@ def _rows(read: Callable, window: int, k: int, known, hot):
     return run
 
 
-def candidates(docs: DataFrame, read: Callable, *, window: int, k: int, hot: int, shard_bytes: int = 32 << 20, per_key: int = 16,
+def candidates(docs: DataFrame, read: Callable, *, window: int, k: int, hot: int, shard_bytes: int = 16 << 20, per_key: int = 16,
                hashes: int = 6, max_filter_bytes: int = 128 << 20) -> DataFrame:
     """``ROWS`` of the stretches (kind 0) and windows (kind 1) that may recur, in the shared folder.
 
