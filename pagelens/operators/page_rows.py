@@ -82,13 +82,23 @@ def alt_issues(signals: DataFrame, variant: str = "default") -> DataFrame:
     if variant == "short":
         bad, weak = (lambda i: F.length(i["alt"]) < 5), "weak"
     else:
-        bad = lambda i: (F.length(i["alt"]) < 3) | F.lower(i["alt"]).isin(fv.WEAK_ALTS)
-        weak = "weak"
-    rows = F.transform(
+        bad, weak = _weak_alt, "weak"
+    return _rows(signals, _alt_issues(bad, weak))
+
+
+def _weak_alt(i: Column) -> Column:
+    return (F.length(i["alt"]) < 3) | F.lower(i["alt"]).isin(fv.WEAK_ALTS)
+
+
+def _alt_issues(bad, weak: str) -> Column:
+    return F.transform(
         F.filter("images", bad),
         lambda i: F.struct(i["src"].alias("src"), i["alt"].alias("alt"),
                            F.when(i["alt"] == "", F.lit("missing")).otherwise(F.lit(weak)).alias("issue")))
-    return _rows(signals, rows)
+
+
+def alt_issue_texts() -> Column:
+    return F.transform(_alt_issues(_weak_alt, "weak"), lambda i: F.concat_ws(" ", i["issue"], i["src"]))
 
 
 def hreflang_pairs(signals: DataFrame) -> DataFrame:
@@ -97,10 +107,14 @@ def hreflang_pairs(signals: DataFrame) -> DataFrame:
 
 def geo_signal_rows(signals: DataFrame) -> DataFrame:
     """hreflang links, ``geo.`` metas and LocalBusiness blocks as one long table."""
+    return _rows(signals, _geo_signals())
+
+
+def _geo_signals() -> Column:
     def row(kind: str, name: Column, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), name.alias("name"), value.alias("value"))
 
-    rows = F.concat(
+    return F.concat(
         F.transform("hreflang", lambda h: row("hreflang", h["hreflang"], h["href"])),
         F.transform(F.filter("geo_meta", lambda m: F.lower(m["name"]).contains("geo.")),
                     lambda m: row("geo_meta", m["name"], m["content"])),
@@ -108,7 +122,10 @@ def geo_signal_rows(signals: DataFrame) -> DataFrame:
                     lambda b: row("LocalBusiness_schema", F.coalesce(F.get_json_object(b, "$.name"), F.lit("")),
                                   F.coalesce(F.get_json_object(b, "$.address.addressLocality"), F.lit("")))),
     )
-    return _rows(signals, rows)
+
+
+def geo_signal_texts() -> Column:
+    return F.transform(_geo_signals(), lambda g: F.concat_ws(" ", g["type"], g["name"], g["value"]))
 
 
 def geo_meta_map(metas: Column) -> Column:
@@ -327,6 +344,10 @@ def question_headings(signals: DataFrame, lang: str = "en") -> DataFrame:
 def products(signals: DataFrame, variant: str = "short") -> DataFrame:
     """Distinct product names per page: ``short`` headings <50, ``worded`` headings with product words,
     ``long`` headings <100."""
+    return _value_rows(signals, product_names(variant), "product")
+
+
+def product_names(variant: str = "short") -> Column:
     heads = F.transform(F.filter("headings", lambda h: h["level"] <= 3), lambda h: h["text"])
     if variant == "short":
         heads = F.filter(heads, lambda t: F.length(t) < 50)
@@ -338,17 +359,32 @@ def products(signals: DataFrame, variant: str = "short") -> DataFrame:
         F.get_json_object(b, "$.name"), F.lit("")))
     names = F.concat(named, heads)
     least = {"short": 3, "worded": 0, "long": 1}[variant]
-    return _value_rows(signals, F.array_distinct(F.filter(names, lambda p: F.length(p) >= least)), "product")
+    return F.array_distinct(F.filter(names, lambda p: F.length(p) >= least))
 
 
 def page_topics(signals: DataFrame, k: int = 10) -> DataFrame:
     """Ten most frequent topic words of a page; words of the title count even when they are stop words."""
+    ranked = with_topics(signals, "page_id", "site", k=k)
+    return ranked.select("page_id", "site", F.posexplode(entries("_topics")).alias("_p", "_t")).select(
+        "page_id", "site", "_t.topic", "_t.n", (c("_p") + 1).alias("rank"))
+
+
+def with_topics(signals: DataFrame, *keep: str, k: int = 10) -> DataFrame:
+    """``keep`` and ``_topics``: the ``k`` most frequent topic words of a page, counted inside the row.
+
+    Words are sorted, so equal ones form a run, and a run's length is the distance to the next run's start.
+    """
     words = T.topic_words("text")
     pool = F.concat(T.without_stop_words(words, fv.TOPIC_STOP_WORDS), T.topic_words("title"))
-    counted = _value_rows(signals, pool, "topic").groupBy("page_id", "site", "topic").agg(
-        F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("page_id").orderBy(c("n").desc(), c("topic"))
-    return counted.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
+    pre = signals.select(*keep, F.array_sort(pool).alias("_s"))
+    places = F.transform("_s", lambda w, i: i)
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("_s", i - 1) != F.get("_s", i)))
+    runs = pre.select(*keep, "_s", starts.alias("_at"))
+    counted = F.transform("_at", lambda a, j: F.struct(
+        (a - F.coalesce(F.get("_at", j + 1), F.size("_s"))).alias("_less"), F.get("_s", a).alias("topic")))
+    top = F.slice(F.array_sort(counted), 1, k)
+    return runs.select(*keep, F.transform(top, lambda r: F.struct(
+        r["topic"].alias("topic"), (-r["_less"]).cast("bigint").alias("n"))).alias("_topics"))
 
 
 def heading_topics(signals: DataFrame) -> DataFrame:

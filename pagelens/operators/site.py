@@ -19,6 +19,7 @@ from ..functions.exprs import any_of, rx, rx_sub
 from . import checks as C
 
 c = F.col
+PLACE_IN_TEXT = r"\sin\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
 
 
 def _first_filled(signals: DataFrame, value: Column, name: str, latest: bool = False) -> DataFrame:
@@ -84,7 +85,7 @@ def page_location(variant: str = "signals") -> Column:
     local = J.blocks_of_type("jsonld", "LocalBusiness")
     locality = F.nullif(J.first_value(local, "$.address.addressLocality"), F.lit(""))
     if variant == "signals":
-        return F.coalesce(locality, rx("text", r"\sin\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"))
+        return F.coalesce(locality, rx("text", PLACE_IN_TEXT))
     low = F.lower("text")
     if variant == "text":
         found = F.get(F.filter(F.array(*[F.lit(x) for x in fv.TEXT_COUNTRIES]), lambda x: F.contains(low, x)), F.lit(0))
@@ -102,7 +103,7 @@ def location(signals: DataFrame, variant: str = "signals") -> DataFrame:
     local = J.blocks_of_type("jsonld", "LocalBusiness")
     rows = signals.select(
         "site", "page_id", F.nullif(J.first_value(local, "$.address.addressLocality"), F.lit("")).alias("s"),
-        F.nullif(rx("text", r"\sin\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"), F.lit("")).alias("t"))
+        F.nullif(rx("text", PLACE_IN_TEXT), F.lit("")).alias("t"))
     return rows.groupBy("site").agg(
         F.coalesce(F.min_by("s", F.when(c("s").isNotNull(), c("page_id"))),
                    F.min_by("t", F.when(c("t").isNotNull(), c("page_id"))), F.lit("")).alias("location"))
@@ -123,23 +124,51 @@ def industry_best(signals: DataFrame, short: bool = False) -> DataFrame:
     One ``max`` per keyword keeps this a single aggregation; ties go to the industry declared first.
     """
     table = fv.INDUSTRY_KEYWORDS_SHORT if short else fv.INDUSTRY_KEYWORDS
-    blob = F.lower(F.concat(F.lit(" "), c("title"), F.lit(" "), F.coalesce("meta", F.lit("")), F.lit(" "),
+    wide = signals.select("site", _industry_text().alias("_b")).groupBy("site").agg(*_industry_flags(table))
+    return _with_industry(wide, table, "site").select("site", "industry", "score")
+
+
+def _industry_text() -> Column:
+    return F.lower(F.concat(F.lit(" "), c("title"), F.lit(" "), F.coalesce("meta", F.lit("")), F.lit(" "),
                             F.array_join(F.transform("h1", lambda h: F.concat(F.lit(" "), h, F.lit(" "))), "")))
-    pre = signals.select("site", blob.alias("_b"))
-    flags = {(ind, i): F.max(F.contains("_b", F.lit(w)).cast("int")).alias(f"{ind}_{i}")
-             for ind, ws in table.items() for i, w in enumerate(ws)}
-    wide = pre.groupBy("site").agg(*flags.values())
-    scored = wide.select("site", *[
-        sum((c(f"{ind}_{i}") for i in range(1, len(ws))), c(f"{ind}_0")).cast("bigint").alias(ind)
+
+
+def _industry_flags(table: dict[str, list[str]]) -> list[Column]:
+    return [F.max(F.contains("_b", F.lit(w)).cast("int")).alias(f"{ind}_{i}")
+            for ind, ws in table.items() for i, w in enumerate(ws)]
+
+
+def _with_industry(wide: DataFrame, table: dict[str, list[str]], *keep: str) -> DataFrame:
+    """``keep``, ``industry`` and its ``score`` from one flag per keyword."""
+    scored = wide.select(*keep, *[
+        sum((c(f"{ind}_{i}") for i in range(1, len(ws))), c(f"{ind}_0")).cast("bigint").alias(f"_{ind}")
         for ind, ws in table.items()])
-    best = F.greatest(*[c(ind) for ind in table])
+    best = F.greatest(*[c(f"_{ind}") for ind in table])
     pick = None
     for ind in table:
-        pick = F.when(c(ind) == best, ind) if pick is None else pick.when(c(ind) == best, ind)
-    return scored.select("site", F.when(best == 0, F.lit("corporate")).otherwise(pick).alias("industry"),
+        pick = F.when(c(f"_{ind}") == best, ind) if pick is None else pick.when(c(f"_{ind}") == best, ind)
+    return scored.select(*keep, F.when(best == 0, F.lit("corporate")).otherwise(pick).alias("industry"),
                          best.alias("score"))
 
 
+def profile(signals: DataFrame) -> DataFrame:
+    """``site, pages, brand, description, location, industry`` in one aggregation over one extraction."""
+    table = fv.INDUSTRY_KEYWORDS
+    local = J.blocks_of_type("jsonld", "LocalBusiness")
+    rows = signals.select(
+        "site", "page_id", page_brand().alias("_brand"), page_description().alias("_description"),
+        J.first_value(local, "$.address.addressLocality").alias("_local"),
+        rx("text", PLACE_IN_TEXT).alias("_text_place"), _industry_text().alias("_b"))
+
+    def first(name: str) -> Column:
+        return F.min_by(name, F.when(F.coalesce(c(name), F.lit("")) != "", c("page_id")))
+
+    wide = rows.groupBy("site").agg(
+        F.count(F.lit(1)).alias("pages"), first("_brand").alias("brand"), first("_description").alias("description"),
+        F.coalesce(first("_local"), first("_text_place"), F.lit("")).alias("location"), *_industry_flags(table))
+    return _with_industry(wide, table, "site", "pages", "brand", "description", "location").drop("score")
+
+
 def page_languages(signals: DataFrame) -> DataFrame:
     """Guessed language of title, description and keywords of each page."""
     blob = F.concat_ws(" ", "title", F.coalesce("meta", F.lit("")), F.array_join("keywords", " "))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import structured as J
 from ..functions.exprs import entries
 from ..operators import checks as C
 from ..operators import links as G
@@ -23,34 +24,24 @@ c = F.col
 
 
 def site_signals(signals: DataFrame) -> DataFrame:
-    """Distinct signals per site: ``site, kind, value``; page rows are unioned, then deduplicated once."""
-    def part(kind: str, df: DataFrame, value: Column) -> DataFrame:
-        return df.select("site", F.lit(kind).alias("kind"), value.alias("value"))
-
-    faqs = P.faq_schema_pairs(signals)
-    alts = P.alt_issues(signals)
-    geo = P.geo_signal_rows(signals)
-    rows = [
-        part("product", P.products(signals), c("product")),
-        part("topic", P.page_topics(signals), c("topic")),
-        part("competitor", P.competitor_phrases(signals), c("competitor")),
-        part("faq", faqs, c("question")),
-        part("schema", signals.select("site", F.explode(entries("jsonld_types")).alias("t")), c("t")),
-        part("alt_issue", alts, F.concat_ws(" ", "issue", "src")),
-        part("geo_signal", geo, F.concat_ws(" ", "type", "name", "value")),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.distinct()
+    """Distinct signals per site: ``site, kind, value``; all kinds of a page come out of one explode of its row."""
+    def kind(name: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("kind"), v.alias("value")))
+
+    rows = P.with_topics(signals.select("*", F.concat(
+        kind("product", P.product_names()),
+        kind("competitor", P.comparison_phrases(c("text"))),
+        kind("faq", F.transform(J.faq_entities("jsonld"), lambda e: e["question"])),
+        kind("schema", c("jsonld_types")),
+        kind("alt_issue", P.alt_issue_texts()),
+        kind("geo_signal", P.geo_signal_texts())).alias("_kinds")), "site", "_kinds")
+    every = F.concat("_kinds", kind("topic", F.transform("_topics", lambda t: t["topic"])))
+    return rows.select("site", F.explode(entries(every)).alias("r")).select("site", "r.*").distinct()
 
 
 def site_profile(signals: DataFrame) -> DataFrame:
     """One row per site: brand, description, location, industry."""
-    sites = signals.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    return (sites.join(A.brand_name(signals), "site", "left").join(A.description(signals), "site", "left")
-            .join(A.location(signals), "site", "left")
-            .join(A.industry_best(signals).select("site", "industry"), "site", "left"))
+    return A.profile(signals)
 
 
 def audit_sites(pages: DataFrame, root: str | None = None) -> dict[str, DataFrame]:

@@ -34,6 +34,13 @@ def test_extraction_runs_once(spark):
     assert plan.count("<!--.*?-->") <= 2  # the expression and its alias line
 
 
+@pytest.mark.parametrize("name", ["site_profile", "site_signals", "pillar_scores", "topics_per_page"])
+def test_jobs_read_their_pages_once(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert plan.count("hashpartitioning(") <= 1
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = registry.QUERIES["optimize_candidates"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
