@@ -27,6 +27,7 @@ concat(replace(html, '</head>', concat(
   CASE WHEN page_id % 5 = 0 THEN '' ELSE repeat('<img src="/img/product-1.jpg" alt="">', CAST(page_id % 3 AS INT)) END,
   CASE WHEN page_id % 3 = 0 THEN '<img src="/logo.png" alt="Company logo" loading="lazy" width="10" height="10"><img src=/t.png alt=img>' ELSE '' END,
   CASE WHEN page_id % 6 = 0 THEN '<iframe src="https://www.google.com/maps/embed?x=1"></iframe>' WHEN page_id % 6 = 3 THEN '<iframe src="https://www.openstreetmap.org/e"></iframe>' ELSE '' END,
+  CASE WHEN page_id % 11 = 2 THEN '<p title="1 > 2">Caf&eacute; &#8217;s &#x2014; &copy; &unknown; a & b</p><img alt="a > b" src="/gt.png"><a title="x > y" href="/gt">quoted</a>' ELSE '' END,
   CASE WHEN page_id % 7 = 1 THEN '<table><tr><td>1</td></tr></table><p>12 Main street, Vilnius, LT 01234 tel. +370 600 12345</p>' ELSE '' END,
   CASE page_id % 10 WHEN 1 THEN '<link href="/wp-content/x.css">' WHEN 2 THEN '<img src="https://cdn.shopify.com/a.png" alt="Lamp on desk">' WHEN 3 THEN '<p>Please enable JavaScript</p>' ELSE '' END,
   '<a href="https://other.example/x?y=1#z">x</a><a href="mailto:a@b.c">m</a><a href="../up/p.html">click here</a><a href="//cdn.example/q" title="t">q</a>')

@@ -253,8 +253,8 @@ def faq_headings(spark, d):
     return P.faq_headings(signals(spark, d))
 
 
-FAQ_SECTIONS = f"""sec AS (SELECT page_id, site, unnest(regexp_extract_all(mk, {K.q(P.SECTION)}, 0)) AS s FROM sig),
-  piece AS (SELECT page_id, site, unnest(string_split_regex(s, {K.q(P.HEADING_START)})[2:]) AS p FROM sec WHERE {K.any_of(f'lower({K.strip("s", " ")})', fv.FAQ_WORDS)}),
+FAQ_SECTIONS = f"""sec AS (SELECT page_id, site, unnest(regexp_extract_all(mk, {K.rq(P.SECTION)}, 0)) AS s FROM sig),
+  piece AS (SELECT page_id, site, unnest(string_split_regex(s, {K.rq(P.HEADING_START)})[2:]) AS p FROM sec WHERE {K.any_of(f'lower({K.strip("s", " ")})', fv.FAQ_WORDS)}),
   sect AS (SELECT page_id, site, {K.strip(K.ext('p', r'(?is)^(.*?)</h[1-6]'))} AS question, {K.strip(K.ext('p', P.NEXT_ELEMENT), ' ')} AS ans FROM piece),
   faqsec AS (SELECT page_id, site, question, CASE WHEN length(ans) > 200 THEN concat(substr(ans, 1, 200), '...') ELSE ans END AS answer FROM sect
     WHERE ans <> '' AND (ends_with(question, '?') OR {K.any_of('lower(question)', fv.SECTION_QUESTION_WORDS)}))"""

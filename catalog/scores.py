@@ -381,7 +381,7 @@ def site_description(spark, d):
     return A.description(host_signals(spark, d))
 
 
-FIRSTP = f"substr({K.strip(K.ext(f'string_split_regex(mk, {K.q(K.H.PARAGRAPH_START)})[2]', K.PARAGRAPH_REST))}, 1, 200)"
+FIRSTP = f"substr({K.strip(K.ext(f'string_split_regex(mk, {K.rq(K.H.PARAGRAPH_START)})[2]', K.PARAGRAPH_REST))}, 1, 200)"
 
 
 @query("site_description_context", f"""{W}, x AS (SELECT host AS site, page_id, coalesce(meta, nullif(trim(list_filter(og, lambda o: lower(o.name) = 'og:description')[1].content), ''), {FIRSTP}, '') AS description FROM sig)

@@ -11,7 +11,15 @@ from pagelens.operators import page_signals as S
 from .inputs import AUGMENT
 
 
-ANCHOR_REST = r"(?is)^[^>]*>(.*?)(?:</a|\z)"
+# RE2 has no possessive repeats and needs none.
+INSIDE = r"""[^>=]*(?:=\s*(?:"[^"]*"|'[^']*')?[^>=]*)*"""
+ANCHOR_REST = rf"(?is)^{INSIDE}>(.*?)(?:</a|\z)"
+# Entities that the pages hold, and what is to come of them.
+ENTITIES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "),
+    ("&#160;", " "), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&eacute;", "\u00e9"), ("&#8217;", "\u2019"), ("&#x2014;", "\u2014"),
+    ("&#38;", "&"), ("&amp;", "&"),
+]
 PARAGRAPH_REST = r"(?is)^(.*?)(?:</p|\z)"
 
 
@@ -19,20 +27,25 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def rq(pattern: str) -> str:
+    """A pattern for RE2, quoted."""
+    return q(pattern.replace(H.INSIDE, INSIDE))
+
+
 def sub(s: str, pattern: str, by: str = "") -> str:
-    return f"regexp_replace({s}, {q(pattern)}, {q(by)}, 'g')"
+    return f"regexp_replace({s}, {rq(pattern)}, {q(by)}, 'g')"
 
 
 def ext(s: str, pattern: str, group: int = 1) -> str:
-    return f"regexp_extract({s}, {q(pattern)}, {group})"
+    return f"regexp_extract({s}, {rq(pattern)}, {group})"
 
 
 def ext_all(s: str, pattern: str, group: int = 0) -> str:
-    return f"regexp_extract_all({s}, {q(pattern)}, {group})"
+    return f"regexp_extract_all({s}, {rq(pattern)}, {group})"
 
 
 def has(s: str, pattern: str) -> str:
-    return f"regexp_matches({s}, {q(pattern)})"
+    return f"regexp_matches({s}, {rq(pattern)})"
 
 
 def any_of(s: str, words) -> str:
@@ -52,7 +65,7 @@ def in_list(words) -> str:
 
 
 def decode(s: str) -> str:
-    for name, char in H.ENTITIES:
+    for name, char in ENTITIES:
         s = f"replace({s}, {q(name)}, {q(char)})"
     return s
 
@@ -177,7 +190,7 @@ t AS (SELECT page_id, url, html, low, netloc, host, path, site, mk,
       {strip(sub('mk', H.HIDDEN, ' '), ' ')} AS text,
       {decode(sub(sub(sub(sub('mk', H.HIDDEN, ' '), r'\s+', ' '), H.BLOCK_END, chr(10)), H.ANY_TAG, ' '))} AS block_text,
       trim({decode(ext('mk', H.TITLE))}) AS title, {has('mk', r'(?i)<title[\s>]')} AS has_title_tag,
-      list_transform(string_split_regex(mk, {q(H.PARAGRAPH_START)})[2:], lambda x: {strip(ext('x', PARAGRAPH_REST))}) AS paragraphs
+      list_transform(string_split_regex(mk, {rq(H.PARAGRAPH_START)})[2:], lambda x: {strip(ext('x', PARAGRAPH_REST))}) AS paragraphs
       FROM p),
 g AS (SELECT *, {named('tags', 'meta')} AS metas, {named('tags', 'link')} AS lks,
       {named('tags', 'img')} AS imgs, {named('tags', 'iframe')} AS frames, {named('tags', 'html')} AS htmls,
@@ -200,8 +213,8 @@ h AS (SELECT *, {attr('htmls[1]', 'lang')} AS lang0,
         lambda x: x.name IS NOT NULL AND contains(lower(x.name), 'geo')) AS geo_meta,
       list_transform(imgs, lambda x: {{'src': coalesce({attr('x', 'src')}, ''), 'alt': trim(coalesce({attr('x', 'alt')}, '')),
         'loading': lower(trim(coalesce({attr('x', 'loading')}, ''))), 'width': {attr('x', 'width')}, 'height': {attr('x', 'height')}}}) AS images,
-      list_filter(list_transform(pieces, lambda x: {{'href': trim({attr("concat('<a ', " + ext('x', '^[^>]*', 0) + ")", 'href')}),
-        'title': {attr("concat('<a ', " + ext('x', '^[^>]*', 0) + ")", 'title')}, 'text': {strip(ext('x', ANCHOR_REST))}}}),
+      list_filter(list_transform(pieces, lambda x: {{'href': trim({attr("concat('<a ', " + ext('x', '^' + INSIDE, 0) + ")", 'href')}),
+        'title': {attr("concat('<a ', " + ext('x', '^' + INSIDE, 0) + ")", 'title')}, 'text': {strip(ext('x', ANCHOR_REST))}}}),
         lambda x: x.href IS NOT NULL) AS anchors,
       list_transform(frames, lambda x: coalesce({attr('x', 'src')}, '')) AS frame_srcs
       FROM g),

@@ -2,27 +2,32 @@
 
 There is no DOM here.  Comments, scripts and styles are cut first; start tags are collected in one pass
 over the rest, and attributes are read out of each tag string whatever their order and quoting style.
-Patterns avoid look-around, back references and ``\\b`` so that other engines can run the same ones.
-Limits: a ``>`` inside an attribute value ends the tag; named entities beyond the usual ones stay.
+Patterns avoid look-around, back references and ``\\b``.  A ``>`` in a quoted value does not end its tag; a quote
+counts only behind ``=``, and one that is never closed is an ordinary character.
+Limit: ``name=`` inside another attribute's quoted value is taken for the attribute.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .exprs import SPACE_RUN, as_col, rx, rx_all, rx_sub, squeeze
 
+# The rest of a tag up to its end.  Possessive, so that it runs in a loop without a stack, however long the tag is.
+INSIDE = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
 COMMENT = r"(?s)<!--.*?-->"
-CODE = r"(?is)<(?:script(?:\s[^>]*)?>.*?</script|style(?:\s[^>]*)?>.*?</style)\s*>"
-HIDDEN = r"(?is)<(?:noscript(?:\s[^>]*)?>.*?</noscript|template(?:\s[^>]*)?>.*?</template)\s*>"
-ANY_TAG = r"<[^>]*>"
-TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"
-START_TAG = r"(?i)<(?:html|base|meta|link|img|iframe)(?:[\s/][^>]*)?>"
-HEADING = r"(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>"
+CODE = rf"(?is)<(?:script(?:\s{INSIDE})?>.*?</script|style(?:\s{INSIDE})?>.*?</style)\s*>"
+HIDDEN = rf"(?is)<(?:noscript(?:\s{INSIDE})?>.*?</noscript|template(?:\s{INSIDE})?>.*?</template)\s*>"
+ANY_TAG = rf"<{INSIDE}>"
+TITLE = rf"(?is)<title(?:\s{INSIDE})?>(.*?)</title"
+START_TAG = rf"(?i)<(?:html|base|meta|link|img|iframe)(?:[\s/]{INSIDE})?>"
+HEADING = rf"(?is)<h[1-6](?:\s{INSIDE})?>.*?</h[1-6]\s*>"
 ANCHOR_START = r"(?i)<a\s"
 ANCHOR_END = r"(?i)</a"
-PARAGRAPH_START = r"(?i)<p(?:\s[^>]*)?>"
+PARAGRAPH_START = rf"(?i)<p(?:\s{INSIDE})?>"
 PARAGRAPH_END = r"(?i)</p"
 LIST_START = r"(?i)<[uo]l[\s>]"
 TABLE_START = r"(?i)<table[\s>]"
@@ -30,21 +35,36 @@ BLOCK_END = r"(?i)<(?:/(?:p|div|li|h[1-6]|tr|section|article)\s*|br\s*/?)>"
 JSONLD = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script"
 ATTRIBUTE = r"(?i)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&#160;", " "), ("&#38;", "&"), ("&amp;", "&"),
-]
+ENTITY = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,8});"
+# Names of HTML 4 as Python has them, and one that came later; a hard blank reads as a blank.
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
 # Attributes whose values are free text or URLs; the others never carry entities.
 TEXT_ATTRIBUTES = ("content", "href", "alt", "src", "title")
 
 
+def _decoded(piece: Column) -> Column:
+    """One entity as its character; other pieces, and names that are not known, as they are."""
+    n = F.length(piece)
+    hexa = F.when(piece.rlike("^&#[xX]"), F.substring(piece, F.lit(4), n - 4)).when(
+        piece.startswith("&#"), F.conv(F.substring(piece, F.lit(3), n - 3), 10, 16))
+    code = F.conv(hexa, 16, 10).cast("long")
+    char = F.when(code == 160, " ").when(
+        code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")
+    ).otherwise("\ufffd")
+    names = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in NAMED.items())), F.lit("\u0001"), F.lit("\u0002"))
+    return F.when((n < 3) | ~piece.startswith("&"), piece).when(piece.startswith("&#"), char).otherwise(
+        F.coalesce(F.try_element_at(names, F.substring(piece, F.lit(2), n - 2)), piece))
+
+
 def decode_entities(s) -> Column:
-    out = as_col(s)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Numeric entities and those with a known name, each once; the text is bound as an array entry to be computed once."""
+    def whole(v: Column) -> Column:
+        pieces = F.regexp_extract_all(v, F.lit(rf"{ENTITY}|[^&]+|&"), F.lit(0))
+        return F.when(F.contains(v, F.lit("&")), F.array_join(F.transform(pieces, _decoded), "")).otherwise(v)
+
+    return F.get(F.transform(F.array(as_col(s)), whole), F.lit(0))
 
 
 def strip_tags(s, by: str = "") -> Column:
@@ -122,11 +142,11 @@ def anchors(mk) -> Column:
     pieces = F.slice(pieces, F.lit(2), F.size(pieces))
 
     def parts(p: Column) -> Column:
-        head = F.concat(F.lit("<a "), rx(p, r"^[^>]*", 0))
+        head = F.concat(F.lit("<a "), rx(p, rf"^{INSIDE}", 0))
         return F.struct(
             F.trim(attr(head, "href")).alias("href"),
             attr(head, "title").alias("title"),
-            strip_tags(rx_sub(before(p, ANCHOR_END), r"^[^>]*>?")).alias("text"),
+            strip_tags(rx_sub(before(p, ANCHOR_END), rf"^{INSIDE}>?")).alias("text"),
         )
 
     return F.filter(F.transform(pieces, parts), lambda a: a["href"].isNotNull())

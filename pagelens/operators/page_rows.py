@@ -19,9 +19,9 @@ QUESTION_LINE = rf"(?s)^\s*(?:{'|'.join(fv.QUESTION_OPENERS)})(?:{EDGE}.*)?\?\s*
 QUESTION_PREFIX = r"(?i)^\s*(?:Q:|Question:|FAQ:)"
 ANSWER_PREFIX = r"(?i)^\s*(?:A:|Answer:)"
 SENTENCE_QUESTION = rf"(?i)(?:{'|'.join(fv.SENTENCE_OPENERS)})\s+[^?]*\?"
-SECTION = r"(?is)<(?:div|section|article)(?:\s[^>]*)?>.*?</(?:div|section|article)\s*>"
-HEADING_START = r"(?i)<h[1-6](?:\s[^>]*)?>"
-NEXT_ELEMENT = r"(?is)</h[1-6]\s*>[^<]*<[a-z][^>]*>(.*?)</(?:p|div|ul|ol|section|table|h[1-6]|span|dd|blockquote|article)\s*>"
+SECTION = rf"(?is)<(?:div|section|article)(?:\s{H.INSIDE})?>.*?</(?:div|section|article)\s*>"
+HEADING_START = rf"(?i)<h[1-6](?:\s{H.INSIDE})?>"
+NEXT_ELEMENT = rf"(?is)</h[1-6]\s*>[^<]*<[a-z]{H.INSIDE}>(.*?)</(?:p|div|ul|ol|section|table|h[1-6]|span|dd|blockquote|article)\s*>"
 MARK = "\u0001"
 
 c = F.col

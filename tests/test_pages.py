@@ -38,6 +38,23 @@ def test_quoting_order_and_comments(page):
     assert "hidden" not in r.text and "Visible text" in r.text and "var x" not in r.text
 
 
+def test_tag_ends_outside_of_quotes(page):
+    r = page("""<title>Caf&eacute; &#8217;s &#x2014; &amp;lt; &nope; R&D &#0; &#xD800; &#1114112;</title>
+      <img alt='a > b' src='/x.png'><a href='/a' title='1 > 2'>x <b data-q="</a>">y</b></a><h2 title="p > q">Head</h2>
+      <p class="a > b">Para</p><p data=it's>don't</p><a href=/open title="never closed>z</a> end""").collect()[0]
+    assert r.title == "Caf\u00e9 \u2019s \u2014 &lt; &nope; R&D \ufffd \ufffd \ufffd"
+    assert [(i.src, i.alt) for i in r.images] == [("/x.png", "a > b")]
+    assert (r.anchors[0].href, r.anchors[0].title) == ("/a", "1 > 2")
+    assert r.anchors[1].href == "/open" and r.anchors[1].text == "z"
+    assert r.h2 == ["Head"]
+    assert r.text.endswith("Head Para don't z end") and ">" not in r.text
+
+
+def test_very_long_tag_and_many_entities(page):
+    r = page("<p " + "a='>' " * 40000 + ">in</p>" + "&eacute;" * 20000).collect()[0]
+    assert r.text == "in " + "\u00e9" * 20000
+
+
 def test_empty_and_missing_html(page, spark):
     s = page(None)
     r = s.collect()[0]
