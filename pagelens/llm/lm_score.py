@@ -2,9 +2,10 @@
 
 Training texts are counted on Spark, by shards of the word hashes.  A pair seen c times puts the levels
 1 .. 1 + floor(log2 c) of its key into the filter; a reader probes level after level until one is missing and takes the
-middle of the last level's range as the count.  The filter has ``bits_per_pair`` bits for each pair occurrence at most and
-never more than ``max_filter_bytes`` in all, the proven bound of the broadcast; texts beyond that raise its error rate,
-no pair is left out.
+middle of the last level's range as the count.  Each shard's piece of the filter has ``bits_per_pair`` bits for each key put
+in, at every input size.  Pieces are broadcast by groups of shards of ``max_filter_bytes`` at most (a piece above that is a
+group of its own); with several groups the texts are read once per group, each time for the pairs of its shards alone, and
+the parts of the scores are summed, so that the error rate stays the same and no pair is left out.
 
 Word counts and numbers of distinct followers are exact and are not broadcast: each block of documents asks the shards
 for the words it holds and is answered with those alone.
@@ -180,8 +181,20 @@ def _probe(pairs: Filter, h: np.ndarray, fp: np.ndarray, levels: int) -> np.ndar
     return np.where(level > 0, (3 * np.exp2(level - 1.0) - 1) / 2, 0.0)
 
 
-def _score(filters, n_all: int, v_all: int, n_docs: int, start_followers: int, part_bytes: int):
-    total = n_all + ALPHA * (v_all + 1)
+def _groups(sizes: dict[int, int], shards: int, max_bytes: int) -> np.ndarray:
+    """Each shard's group: neighbours, as many as stay within ``max_bytes``; one at least."""
+    group, n, held = np.zeros(shards, np.int64), 0, 0
+    for s in range(shards):
+        size = sizes.get(s, 0)
+        if held and held + size > max_bytes:
+            n, held = n + 1, 0
+        group[s], held = n, held + size
+    return group
+
+
+def _score(filters, group: np.ndarray, k: int, n_all: int, v_all: int, n_docs: int, start_followers: int, part_bytes: int):
+    """Scores of a block's texts; ``score`` sums over the pairs of group ``k`` alone."""
+    total, shards = n_all + ALPHA * (v_all + 1), len(group)
 
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         known = np.concatenate([np.frombuffer(x, np.uint64) for x in answers["keys"]])
@@ -204,14 +217,18 @@ def _score(filters, n_all: int, v_all: int, n_docs: int, start_followers: int, p
             c, c_h, t_h = c_of[tokens], c_of[before], t_of[before]
             p0 = (c + ALPHA) / total
             h = hashed[before]
-            pair = _probe(filters.value, h, _pair(h, hashed[tokens]), n_all.bit_length())
+            mine = np.flatnonzero(group[shard_of(h, shards)] == k)
+            pair = np.zeros(len(h))
+            pair[mine] = _probe(filters.value, h[mine], _pair(h[mine], hashed[tokens[mine]]), n_all.bit_length())
             pair = np.minimum(pair, np.minimum(c_h, c))  # no pair is more frequent than its words
             p = np.where(c_h > 0, (pair + t_h * p0) / np.maximum(c_h + t_h, 1), p0)
             cols["n_tokens"].append(ends - first)
             cols["n_known"].append(np.add.reduceat((c > 0).astype(np.int64), first))
             cols["base_score"].append(np.add.reduceat(np.log10(p0), first))
-            cols["score"].append(np.add.reduceat(np.log10(p), first))
-        out = docs[["doc_id", "held_out"]].copy()
+            own = np.zeros(len(h))
+            own[mine] = np.log10(p[mine])
+            cols["score"].append(np.add.reduceat(own, first))
+        out = docs[["doc_id", "held_out", *(["text_hash"] if "text_hash" in docs else [])]].copy()
         for name, v in cols.items():
             out[name] = np.concatenate(v) if v else []
         out["train_tokens"] = n_all
@@ -239,18 +256,37 @@ def lm_scores(docs: DataFrame, *, folds: int = 10, bits_per_pair: int = 12, hash
         F.col("doc_id").cast("long"), plain("text").cast("binary").alias("text"), (crc % folds == 0).alias("held_out"),
         F.pmod(F.coalesce(F.shiftright(F.col("doc_id").cast("long"), 11), F.xxhash64("text")), F.lit(blocks)).cast("int").alias("block"))
     # neighbours by id share a block: where they are stored together, a task asks for few blocks
-    # every pair occurrence makes at most one level of the filter, and a text of n bytes holds at most n / 2 + 1 words
-    n_pairs = n_bytes // 2 + 1
-    per_pair = min(bits_per_pair, max_filter_bytes * 8 / n_pairs)
     counted = rows.mapInArrow(_count(shards, PART_BYTES), COUNTED)
-    answered = staged(counted.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(per_pair, hashes), ANSWERED))
+    answered = staged(counted.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer(bits_per_pair, hashes), ANSWERED))
     sums = answered.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     n_docs = rows.where(~F.col("held_out")).count()
-    pieces = {r["shard"]: r["keys"] for r in answered.where(F.col("kind") == "filter").select("shard", "keys").toLocalIterator()}
     start = answered.where(F.col("kind") == "start").select("followers").first()
     start_followers = int(np.frombuffer(start["followers"], np.int64)[0]) if start else 0
-    filters = spark.sparkContext.broadcast(Filter(pieces, shards, hashes))  # max_filter_bytes at most
-    run = _score(filters, int(sums["n"] or 0), int(sums["v"] or 0), n_docs, start_followers, PART_BYTES)
     answers = answered.where(F.col("kind") == "words").select("block", "keys", "n", "followers")
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, SCORED)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    pieces = answered.where((F.col("kind") == "filter") & (F.octet_length("keys") > 0))
+    group = _groups({r["shard"]: r["n"] for r in pieces.select("shard", F.octet_length("keys").alias("n")).toLocalIterator()}, shards, max_filter_bytes)
+    passes = int(group[-1]) + 1
+
+    def scored(k: int, rows: DataFrame, schema: str):
+        own = np.flatnonzero(group == k)
+        held = pieces.where(F.col("shard").between(int(own[0]), int(own[-1]))).select("shard", "keys")
+        filters = spark.sparkContext.broadcast(Filter({r["shard"]: r["keys"] for r in held.toLocalIterator()}, shards, hashes))
+        run = _score(filters, group, k, int(sums["n"] or 0), int(sums["v"] or 0), n_docs, start_followers, PART_BYTES)
+        return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema), filters
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    if passes == 1:
+        return scored(0, rows, SCORED)[0].select(names)
+    hashed, done = rows.withColumn("text_hash", F.xxhash64("text")), []
+    for k in range(passes):
+        part, filters = scored(k, hashed, SCORED + ", text_hash long")
+        done.append(staged(part))
+        filters.destroy()
+    # rows of one id and text have equal scores: each pass has all of them
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    same = every.groupBy("doc_id", "text_hash").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("score").alias("sum"), *[F.max(x).alias(x) for x in names[1:-1]])
+    copies = (F.col("n") / passes).cast("int")
+    return same.withColumn("score", F.col("sum") / copies).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(names)

@@ -102,6 +102,30 @@ def test_lm_edges(odd, empty):
     assert lm_score.lm_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("max_filter_bytes", [256 << 20, 2000])
+def test_lm_scores_against_exact_pair_counts(docs, rows, odd, max_filter_bytes):
+    """The error rate of the filter stays the same where it takes several passes."""
+    got = by_id(lm_score.lm_scores(docs, block_bytes=2000, max_filter_bytes=max_filter_bytes))
+    tokens = {i: ["start ", *(t or "").encode().lower().split(), "end "] for i, t in rows}
+    train = [ts for i, ts in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for ts in train for w in ts[1:]) + Counter({"start ": len(train)})
+    pairs = Counter(x for ts in train for x in zip(ts, ts[1:], strict=False))
+    n, v, follow = sum(c.values()) - len(train), len(c) - 1, Counter(h for h, _ in pairs)
+    off, total = 0.0, 0
+    for i, ts in tokens.items():
+        want = 0.0
+        for h, w in zip(ts, ts[1:], strict=False):
+            p0 = (c[w] + .1) / (n + .1 * (v + 1))
+            seen = min((3 * 2 ** (pairs[h, w].bit_length() - 1) - 1) / 2 if pairs[h, w] else 0, c[h], c[w])
+            want += math.log10((seen + follow[h] * p0) / (c[h] + follow[h]) if c[h] else p0)
+        off, total = off + abs(got[i]["score"] - want), total + len(ts) - 1
+    assert len(got) == len(rows) and off / total < 0.01
+    many = lm_score.lm_scores(odd, block_bytes=20_000, max_filter_bytes=max_filter_bytes)
+    key = lambda r: tuple((x is not None, x) for x in r[:5])
+    a, b = (sorted(df.collect(), key=key) for df in (many, lm_score.lm_scores(odd, block_bytes=20_000)))
+    assert [r[:6] for r in a] == [r[:6] for r in b] and all(math.isclose(x["score"], y["score"], rel_tol=1e-9) for x, y in zip(a, b, strict=True))
+
+
 # --- 2 --------------------------------------------------------------------------------------------
 def test_quality(docs, rows, odd, empty):
     got = by_id(quality.quality_rules(docs, into="q").select("doc_id", "q.*"))
