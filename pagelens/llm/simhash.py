@@ -115,6 +115,14 @@ def close_links(prints: DataFrame, bucket_rows: int = 4096) -> DataFrame:
     return dealt.mapInPandas(_links, "a long, b long")
 
 
+def _grouped(docs: DataFrame, text: str, bucket_rows: int, *more) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` and ``more`` of each row, and ``fp, root`` of each distinct fingerprint."""
+    prints = staged(docs.select(c("doc_id").cast("long").alias("doc_id"), F.pandas_udf(_fingerprints, "long")(plain(text).cast("binary")).alias("fp"), *more))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    member = components(close_links(distinct.select("fp"), bucket_rows)).select(c("a").alias("fp"), c("b").alias("root"))
+    return prints, distinct.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", bucket_rows: int = 4096) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``.
 
@@ -122,21 +130,30 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", bucket_rows: int = 4
     reachable over links, itself included (null if none of them has an id).  Null and empty texts have fingerprint 0,
     linked like any other.  Repeated rows are copies like others.  Other columns are not read.
     """
-    prints = staged(docs.select(c("doc_id").cast("long").alias("doc_id"), F.pandas_udf(_fingerprints, "long")(plain(text).cast("binary")).alias("fp")))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    member = components(close_links(distinct.select("fp"), bucket_rows)).select(c("a").alias("fp"), c("b").alias("root"))
-    rooted = distinct.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints, rooted = _grouped(docs, text, bucket_rows)
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.select("fp", "root").join(roots, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the least id; rows equal in id are one document.
+def keep_one(docs: DataFrame, *, text: str = "text", bucket_rows: int = 4096) -> DataFrame:
+    """Exactly one row of each group of near-duplicates: the one with the least id, rows without an id last.
 
-    Rows without an id stay only if no row of their group has one, and then all of them.
+    Of several texts with that id the least by hash stays, of rows equal in id and text the least by its other columns.
     """
-    groups = near_duplicates(docs, **options).select(c("doc_id").alias("_id"), "component_id").distinct()
-    gone = groups.where(~c("_id").eqNullSafe(c("component_id"))).select("_id").distinct()
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(gone, c("row.doc_id").eqNullSafe(c("_id")), "left_anti").select("row.*")
+    own = F.xxhash64(plain(text))
+    prints, rooted = _grouped(docs, text, bucket_rows, own.alias("own"))
+    key = F.struct(c("doc_id").isNull().alias("none"), "doc_id", "own")
+    least = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    by_print = rooted.select("fp", "root").join(least, "fp")
+    by_print = by_print.join(by_print.groupBy("root").agg(F.min("least").alias("kept")), "root").select("fp", "kept")
+    # rows of one id and text are one key: it goes, or it stays, once
+    keys = prints.join(by_print, "fp").groupBy("doc_id", "own", (key == c("kept")).alias("stays")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = staged(keys.where(~c("stays") | (c("n") > 1)).select(c("doc_id").alias("_id"), c("own").alias("_own"), "stays"))
+    rows = docs.select(F.struct("*").alias("row"), c("doc_id").cast("long").alias("id"), own.alias("own"))
+    same = c("id").eqNullSafe(c("_id")) & (c("own") == c("_own"))
+    single = rows.join(dealt, same, "left_anti").select("row")
+    if dealt.where("stays").isEmpty():
+        return single.select("row.*")
+    again = rows.join(dealt.where("stays"), same, "left_semi").groupBy("id", "own").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return single.unionByName(again.select("row")).select("row.*")

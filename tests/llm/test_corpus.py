@@ -272,6 +272,20 @@ def test_near_duplicates(docs, odd, empty):
     assert {60, 61, 64, 65}.isdisjoint(r["doc_id"] for r in simhash.keep_one(docs).collect())
 
 
+def test_keep_one_row_per_group(spark, odd):
+    """No id, one id for two texts, repeated rows: one row of each group stays, and no other group loses its rows."""
+    def kept(rows):
+        return sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(frame(spark, rows)).collect()), key=str)
+
+    a, b, d = ("a b c " * 30, "one clean text of its own", "another text that stands alone")
+    assert kept([(1, a), (None, a), (None, b), (5, d)]) == sorted([(1, a), (None, b), (5, d)], key=str)
+    assert kept([(1, a), (3, a), (3, b)]) == [(1, a), (3, b)]
+    assert kept([(1, a), (1, a), (2, b), (2, b), (2, b)]) == [(1, a), (2, b)]
+    assert kept([(None, a)] * 4 + [(None, b)]) == sorted([(None, a), (None, b)], key=str)
+    assert len(kept([(1, None), (1, ""), (None, None)])) == 1
+    assert simhash.keep_one(odd).count() == 3
+
+
 # --- 6 --------------------------------------------------------------------------------------------
 def test_licenses(spark, odd, empty):
     texts = ["Released under the MIT License.", "x\nthe MIT\nLicense and mit license", "released under terms: the MIT License here", None, "",
