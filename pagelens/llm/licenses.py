@@ -1,4 +1,8 @@
-"""License scans by an exact set-similarity join of text blocks (lines) with license templates; DataFrame functions only.
+"""License scans by an exact set-similarity join of text blocks with license templates; DataFrame functions only.
+
+A block is a line, or, as notices are mostly wrapped, a run of neighbouring lines: for each template as many as it takes
+when wrapped at ``WRAPPED`` characters, and one more.  Lines of over ``LONGEST`` characters are not wrapped ones and add
+nothing to a run.  A short template that names its license (``NAMES``) is only found in blocks that hold the name.
 
 Template tokens are ordered by the number of blocks that hold them, rarest first; all other tokens count as rarer still,
 so they never enter a prefix.  A block holds at least ``threshold`` of a template's tokens only if
@@ -22,6 +26,8 @@ from .decontaminate import terms
 from .shared import plain, staged
 
 c = F.col
+WRAPPED, LONGEST, FEW = 50, 100, 16
+NAMES = {"mit": "mit", "apache": "apache", "gpl": "gnu", "cc-by-nc": "nc", "cc-by": "commons", "mpl": "mozilla"}
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 # Notices and opening sentences of public licenses.
@@ -48,11 +54,28 @@ def _tokens(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall("[0-9a-z]+", text.lower())))
 
 
-def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``doc_id, rid, held``: template tokens of each line that holds some; ``rid`` is a hash of the text."""
-    held = F.array_intersect(terms(c("line")), F.array(*map(F.lit, vocabulary)))
-    lines = docs.select("doc_id", F.xxhash64(plain("text")).alias("rid"), F.explode(F.split(plain("text"), "\n")).alias("line"))
-    return lines.select("doc_id", "rid", held.alias("held")).where(F.size("held") > 0)
+def _span(text: str) -> int:
+    return math.ceil(len(text) / WRAPPED) + 1
+
+
+def blocks(docs: DataFrame, vocabulary: list[str], sets: list[tuple[int, list[str], int]]) -> DataFrame:
+    """``doc_id, rid, span, held``: template tokens of each line (``span`` 1), and of each run of ``span`` lines that holds
+    enough of a template of that span, as ``sets`` (span, tokens, needed) has them; ``rid`` is a hash of the text."""
+    lit = lambda words: F.array(*map(F.lit, words))
+    each = F.transform(F.split(plain("text"), "\n"), lambda x: F.struct(
+        F.array_intersect(terms(x), lit(vocabulary)).alias("held"), (F.length(x) <= LONGEST).alias("short")))
+    lines = docs.select("doc_id", F.xxhash64(plain("text")).alias("rid"), each.alias("lines"))
+    lines = lines.select("*", F.transform("lines", lambda x: F.when(x["short"], x["held"]).otherwise(F.array().cast("array<string>"))).alias("short"))
+
+    def runs(span: int) -> Column:
+        least = min(needed for n, _, needed in sets if n == span)
+        whole = F.transform("short", lambda x, i: F.when(F.size(x) > 0, F.array_distinct(F.flatten(F.slice("short", i + 1, span)))))
+        enough = lambda x: F.reduce(F.array(*[F.size(F.array_intersect(x, lit(t))) >= needed for n, t, needed in sets if n == span]), F.lit(False), lambda a, b: a | b)
+        return F.transform(F.filter(whole, lambda x: F.when(F.size(x) >= least, enough(x)).otherwise(False)), lambda x: F.struct(F.lit(span).alias("span"), x.alias("held")))
+
+    single = F.transform("lines", lambda x: F.struct(F.lit(1).alias("span"), x["held"].alias("held")))
+    all_ = F.concat(single, *[F.when(F.size("short") > 1, runs(n)).otherwise(F.array().cast("array<struct<span:int,held:array<string>>>")) for n in sorted({n for n, _, _ in sets})])
+    return lines.select("doc_id", "rid", F.explode(all_).alias("b")).select("doc_id", "rid", "b.span", "b.held").where(F.size("held") > 0)
 
 
 def template_matches(docs: DataFrame, *, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -62,18 +85,21 @@ def template_matches(docs: DataFrame, *, templates=TEMPLATES, threshold: float =
     vocabulary = sorted({w for _, _, t in sets for w in t})
     needed = {i: max(1, math.ceil(threshold * len(t) - 1e-9)) for i, _, t in sets}
     least = min(needed.values())
-    held = staged(blocks(docs, vocabulary).where(F.size("held") >= least))
-    counts = {r["w"]: r["n"] for r in held.select(F.explode("held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    spans = {i: _span(text) for i, (_, text) in enumerate(templates)}
+    held = staged(blocks(docs, vocabulary, [(spans[i], t, needed[i]) for i, _, t in sets]).where(F.size("held") >= least))
+    counts = {r["w"]: r["n"] for r in held.where(c("span") == 1).select(F.explode("held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     ranked = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(ranked)}
-    prefixes = [(i, label, rank[w], at, len(t), needed[i], [rank[x] for x in t])
+    name = {i: rank[NAMES[label]] if len(t) <= FEW and NAMES.get(label) in t else None for i, label, t in sets}
+    prefixes = [(i, label, rank[w], at, len(t), needed[i], [rank[x] for x in t], spans[i], name[i])
                 for i, label, t in sets for at, w in enumerate(sorted(t, key=rank.get)) if at <= len(t) - needed[i]]
-    table = F.broadcast(spark.createDataFrame(prefixes, "template int, label string, token int, at int, size int, needed int, tokens array<int>"))
+    table = F.broadcast(spark.createDataFrame(prefixes, "template int, label string, token int, at int, size int, needed int, tokens array<int>, lines int, name int"))
     order = F.create_map(*[F.lit(x) for w, k in rank.items() for x in (w, k)])
-    own = held.select("doc_id", "rid", F.array_sort(F.transform("held", lambda w: F.element_at(order, w))).alias("own")).distinct()
-    probe = own.select("doc_id", "rid", "own", F.posexplode(F.slice("own", 1, F.size("own") - least + 1)).alias("own_at", "token"))
+    own = held.select("doc_id", "rid", "span", F.array_sort(F.transform("held", lambda w: F.element_at(order, w))).alias("own")).distinct()
+    probe = own.select("doc_id", "rid", "span", "own", F.posexplode(F.slice("own", 1, F.size("own") - least + 1)).alias("own_at", "token"))
     found = probe.join(table, "token").where(
-        (F.size("own") >= c("needed"))  # length
+        c("span").isin(1, c("lines")) & (c("name").isNull() | F.array_contains("own", c("name")))
+        & (F.size("own") >= c("needed"))  # length
         & (c("own_at") <= F.size("own") - c("needed"))  # prefix
         & (F.least(c("own_at"), c("at")) + F.least(F.size("own") - c("own_at"), c("size") - c("at")) >= c("needed")))  # position
     share = F.size(F.array_intersect("own", "tokens"))
@@ -99,7 +125,7 @@ def license_scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = 0.8
     """``docs(doc_id, text, ...)`` with a struct ``into(n_words, n_base, first_word, last_word, base_labels, labels, score)``.
 
     ``base_labels``: of phrases whose words stand consecutively anywhere in the text, lines put aside.  ``labels`` adds
-    those of templates of which one line holds ``threshold`` of the tokens; ``score`` is the largest such share (0: none).
+    those of templates of which one line, or a run of wrapped lines, holds ``threshold`` of the tokens; ``score`` is the largest such share (0: none).
     Null and empty texts hold nothing.  Rows of one doc_id and equal text get equal results; a column named like ``into``
     is replaced, others pass through.
     """

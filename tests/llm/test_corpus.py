@@ -297,6 +297,20 @@ def test_licenses(spark, odd, empty):
     assert licenses.license_scan(odd).count() == 8 and licenses.license_scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Each notice, hard-wrapped with and without comment marks, is found; a short notice needs its license's name."""
+    import textwrap
+
+    notices = [(label, f"First line.\n\n{textwrap.fill(text, width, initial_indent=m, subsequent_indent=m)}\n\nLast line.")
+               for label, text in licenses.TEMPLATES for width in (60, 72, 80) for m in ("", " * ")]
+    other = ["Released under the BSD License.", "Licensed under CC BY 4.0.", "Released\n\n\n\nunder\n\n\n\nthe\n\n\n\nMIT"]
+    rows = list(enumerate([t for _, t in notices] + other))
+    got = by_id(licenses.license_scan(frame(spark, rows)).select("doc_id", "license.*"))
+    for i, (label, text) in enumerate(notices):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, text
+    assert [(got[i]["labels"], got[i]["score"]) for i in range(len(notices), len(rows))] == [("", 0.0)] * 3
+
+
 # --- 7 --------------------------------------------------------------------------------------------
 def test_url_filter(spark):
     e = [("spam", "bad.com", "add", "2024-01-10"), ("spam", "bad.com", "remove", "2024-03-01"), ("allow", "ok.bad.com", "add", "2024-02-01"),
