@@ -12,11 +12,14 @@ from .html_text import extract_pages
 from .licenses import OP6_SQL, license_scan
 from .lm_score import lm_scores
 from .mixing import OP4_SQL, mix_sources, word_count
+from .packing import pack_documents, piece_digests
 from .phrases import OP8_SQL, phrase_digest
 from .quality import RULES_SQL, quality_rules
 from .shared import staged
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .suffixes import OP9_SQL, suffix_digest
+from .turn_trie import OP13_SQL, conversation_trie
 from .url_filter import OP7_SQL, filter_urls, page_captures, page_entries
 
 c = F.col
@@ -75,6 +78,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages")).select("page_id", "url", "page_text")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
 l AS (SELECT doc_id, count(*) - count(DISTINCT x) n_dup_lines, sum(octet_length(encode(x))) line_bytes,
@@ -95,6 +110,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_lm_score, op2_quality_rules, op3_decontamination, op4_mixing, op5_simhash, op6_licenses, op7_url_filter, op8_phrases,
-    op9_suffixes, op10_html_text)}
+    op9_suffixes, op10_html_text, op11_spelling, op12_packing, op13_turn_trie)}
 ORACLE: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_mixing": OP4_SQL, "op6_licenses": OP6_SQL,
-                          "op7_url_filter": OP7_SQL, "op8_phrases": OP8_SQL, "op9_suffixes": OP9_SQL}
+                          "op7_url_filter": OP7_SQL, "op8_phrases": OP8_SQL, "op9_suffixes": OP9_SQL,
+                          "op13_turn_trie": OP13_SQL}

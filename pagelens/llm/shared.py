@@ -40,15 +40,18 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
 
 
-def text_pieces(batches, piece_bytes: int):
-    """Arrow batches in pieces of about so many bytes of ``text``, each a dict of columns; only a piece becomes Python objects."""
+def text_pieces(batches, piece_bytes: int, lists: tuple[str, ...] = ("text",)):
+    """Arrow batches in pieces of about so many bytes of ``text``, each a dict of columns; only a piece becomes Python objects.
+
+    Columns that may be null belong in ``lists``; the others are numpy arrays.
+    """
     for batch in batches:
         done = pc.cumulative_sum(pc.binary_length(batch.column("text")).cast("int64")).to_numpy(zero_copy_only=False) // piece_bytes
         edges = [0, *(np.flatnonzero(done[1:] != done[:-1]) + 1).tolist(), len(done)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if b > a:
                 piece = batch.slice(a, b - a)
-                yield {name: col.to_pylist() if name == "text" else col.to_numpy(zero_copy_only=False) for name, col in zip(piece.schema.names, piece.columns, strict=True)}
+                yield {name: col.to_pylist() if name in lists else col.to_numpy(zero_copy_only=False) for name, col in zip(piece.schema.names, piece.columns, strict=True)}
 
 
 def parts(n_bytes: int, each: int) -> int:
