@@ -7,7 +7,8 @@ in symbol order, first in first out, and go to disk beyond ``memory_bytes``; eac
 prefix with the tuple before it, which is one more than the least common prefix passed since.  A whole bucket is taken as
 numpy arrays at a time.
 
-Common prefixes count up to ``depth``; suffixes equal that far may stand in any order.
+Common prefixes count up to ``depth``; suffixes equal that far may stand in any order.  So the suffixes of a run of one symbol
+that start with ``depth`` times that symbol are taken in one step, however long the run is.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ class _Carry:
     def induce(self, queues: Queues, pos: np.ndarray, lcp: np.ndarray, target: np.ndarray) -> None:
         """Puts ``pos - 1`` into the queues of ``target`` (-1: none), the scan having passed tuples with ``lcp``."""
         order = np.argsort(target, kind="stable")
-        sorted_target = target[order]
+        sorted_target = target[order].astype(np.int64)
         at = np.searchsorted(sorted_target, 0)
         through = int(lcp.min())
         seen = []
@@ -104,14 +105,20 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 
 def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of suffix pairs, up to ``depth``."""
-    out, left, n = np.zeros(len(a), np.int32), np.arange(len(a)), len(t)
-    for d in range(depth):
-        left = left[(a[left] + d < n) & (b[left] + d < n)]
-        left = left[t[a[left] + d] == t[b[left] + d]]
-        if not len(left):
-            break
-        out[left] = d + 1
+    """Common prefixes of pairs of different suffixes, up to ``depth``; six symbols of up to 10 bits are compared at a time."""
+    n = len(t)
+    far = np.concatenate((t, np.zeros(6, t.dtype))).astype(np.int64)  # the last symbol is unique, so nothing is equal beyond it
+    six = far[:n].copy()
+    for j in range(1, 6):
+        six |= far[j: n + j] << (10 * j)
+    out, left, d = np.full(len(a), depth, np.int32), np.arange(len(a)), 0
+    while d < depth and len(left):
+        x = six[a[left] + d] ^ six[b[left] + d]
+        stop = x != 0
+        low = x[stop] & -x[stop]  # the lowest bit that differs tells the symbol
+        out[left[stop]] = np.minimum(d + (np.frexp(low.astype(np.float64))[1] - 1) // 10, depth)
+        left = left[~stop]
+        d += 6
     return out
 
 
@@ -136,13 +143,23 @@ def _sorted_lms(t: np.ndarray, small: np.ndarray, lms: np.ndarray, depth: int) -
         live = live[length[live] > d]
         if d >= depth:
             break
-    step = 1
-    while 2 * step < 2 * depth and int(ids.max()) + 1 < m:
-        nxt = np.zeros(m, np.int64)
-        nxt[:-step] = ids[step:] + 1 if step < m else 0
-        _, ids = np.unique(ids * (m + 2) + nxt, return_inverse=True)
+    count = np.bincount(ids)
+    rank = (np.cumsum(count) - count)[ids]  # place of the first of its equals
+    live, step = np.flatnonzero(count[ids] > 1), 1
+    while step < depth and len(live):
+        nxt = np.where(live + step < m, rank[np.minimum(live + step, m - 1)] + 1, 0)
+        key = rank[live] * (m + 2) + nxt
+        by = np.argsort(key, kind="stable")
+        live, key, old = live[by], key[by], rank[live[by]]
+        i = np.arange(len(live))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        group = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), i, 0))
+        start = np.maximum.accumulate(np.where(new, i, 0))
+        rank[live] = old + start - group
+        at = np.flatnonzero(new)
+        live = live[np.repeat(np.diff(at, append=len(live)) > 1, np.diff(at, append=len(live)))]
         step *= 2
-    order = lms[np.argsort(ids, kind="stable")]
+    order = lms[np.argsort(rank, kind="stable")]
     lcp = np.zeros(m, np.int32)
     lcp[1:] = _common(t, order[1:], order[:-1], depth)
     return order, lcp
@@ -155,6 +172,7 @@ def sorted_suffixes(t: np.ndarray, depth: int, memory_bytes: int = 64 << 20):
     descending order; ``_part`` tells which: yields (symbol, "up" | "down", suffixes, common prefixes).
     """
     n, symbols = len(t), int(t.max()) + 1
+    kind = np.int16 if symbols < 1 << 15 else np.int64
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     order, order_lcp = _sorted_lms(t, small, lms, depth)
@@ -167,13 +185,31 @@ def sorted_suffixes(t: np.ndarray, depth: int, memory_bytes: int = 64 << 20):
     def targets(pos: np.ndarray, want_small: bool) -> np.ndarray:
         left = np.maximum(pos - 1, 0)
         ok = (pos > 0) & (small[left] == want_small)
-        return np.where(ok, t[left].astype(np.int64), -1)
+        return np.where(ok, t[left], -1).astype(kind)
+
+    def with_runs(s: int, pos: np.ndarray, lcp: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes that start with ``depth`` times ``s`` are equal that far, so the rest of their run follows in one step."""
+        far = pos + depth - 1
+        maybe = np.flatnonzero((far < n) & (target == s))
+        maybe = maybe[t[far[maybe]] == s]
+        run = np.searchsorted(same, pos[maybe])
+        maybe, run = maybe[same[run] >= far[maybe]], run[same[run] >= far[maybe]]
+        if not len(maybe):
+            return pos, lcp, target
+        begin = np.where(run > 0, same[run - 1] + 1, 0)
+        size = pos[maybe] - begin
+        extra = np.repeat(pos[maybe] - 1, size) - (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size))
+        target[maybe] = -1
+        more = targets(extra, bool(small[pos[maybe[0]]]))
+        more[np.repeat(begin, size) != extra] = -1
+        return np.concatenate((pos, extra)), np.concatenate((lcp, np.full(len(extra), depth, lcp.dtype))), np.concatenate((target, more))
 
     for s in range(symbols):
         last = None
         for pos, lcp in up.take(s):
+            pos, lcp, target = with_runs(s, pos, lcp, targets(pos, False))
             parts.put(s, pos, lcp)
-            carry.induce(up, pos, lcp, targets(pos, False))
+            carry.induce(up, pos, lcp, target)
             last = int(pos[-1])
         a, b = first[s], first[s + 1]
         if b > a:
@@ -187,7 +223,8 @@ def sorted_suffixes(t: np.ndarray, depth: int, memory_bytes: int = 64 << 20):
         if s == 0:
             down.put(0, np.array([n - 1]), np.array([0]))
         for pos, lcp in down.take(s):
-            carry.induce(down, pos, lcp, targets(pos, True))
+            pos, lcp, target = with_runs(s, pos, lcp, targets(pos, True))
+            carry.induce(down, pos, lcp, target)
             yield s, "down", pos, lcp
             last = int(pos[-1])
         chunks = list(parts.take(s))
