@@ -37,38 +37,51 @@ def _reader():
 Stretch = namedtuple("Stretch", "key same n doc rid start text")
 
 
-def _passages(group: list[tuple[Stretch, str]], window: int) -> list[str]:
+ONE, LOW = 0x100000, 0x80000  # codes that one character holds; second characters of wider codes
+
+
+def _letters(codes: list[int], width: int) -> str:
+    """Codes of words as ``width`` characters each; first and second characters come from different ranges, so matches keep step."""
+    if width == 1:
+        return "".join([chr(0x10000 + x) for x in codes])
+    return "".join([chr(0x10000 + x // LOW) + chr(0x20000 + x % LOW) for x in codes])
+
+
+def _passages(group: list[tuple[Stretch, str]], window: int, width: int) -> list[str]:
     """Recurring passages of stretches with one key, so that each recurring window is inside of exactly one passage.
 
     Runs of recurring windows are passages as they are if no two different ones share a window; else each window is one.
+    ``window`` counts characters, ``width`` of them a word.
     """
     n = Counter()
     for r, t in group:
-        for i in range(len(t) - window + 1):
+        for i in range(0, len(t) - window + 1, width):
             n[t[i: i + window]] += r.n
-    if len(group) == 1 and len(n) == len(group[0][1]) - window + 1:
+    if len(group) == 1 and len(n) == (len(group[0][1]) - window) // width + 1:
         return [group[0][1]] if group[0][0].n > 1 else []
     recurring = {t for t, times in n.items() if times > 1}
     runs = set()
     for _, t in group:
         first = None
-        for i in range(len(t) - window + 2):
+        for i in range(0, len(t) - window + width + 1, width):
             if i <= len(t) - window and t[i: i + window] in recurring:
                 first = i if first is None else first
             elif first is not None:
-                runs.add(t[first: i - 1 + window])
+                runs.add(t[first: i - width + window])
                 first = None
-    return list(runs if sum(len(t) - window + 1 for t in runs) == len(recurring) else recurring)
+    return list(runs if sum((len(t) - window) // width + 1 for t in runs) == len(recurring) else recurring)
 
 
-def _locate(window: int, batch_words: int):
+def _locate(window: int, batch_words: int, one: int = ONE):
     """Spans of each distinct stretch of a shard that recur."""
 
     def flush(groups: list[list[Stretch]], out: list) -> None:
         code, automaton, texts = {}, ahocorasick.Automaton(), []
-        for rows in groups:
-            group = [(r, "".join([chr(0x10000 + code.setdefault(w, len(code))) for w in r.text.split()])) for r in rows]
-            for p in _passages(group, window):
+        coded = [[(r, [code.setdefault(w, len(code)) for w in r.text.split()]) for r in rows] for rows in groups]
+        width = 1 if len(code) <= one else 2
+        for rows in coded:
+            group = [(r, _letters(x, width)) for r, x in rows]
+            for p in _passages(group, window * width, width):
                 automaton.add_word(p, p)
             texts += group
         if not len(automaton):
@@ -76,7 +89,7 @@ def _locate(window: int, batch_words: int):
         automaton.make_automaton()
         found, least = [], {}
         for r, t in texts:
-            hits = [(end + 1 - len(p), p) for end, p in automaton.iter(t)]
+            hits = [((end + 1 - len(p)) // width, p) for end, p in automaton.iter(t)]
             for at, p in hits:
                 place = (r.doc, r.rid, r.start + at)
                 if p not in least or place < least[p]:
@@ -85,7 +98,7 @@ def _locate(window: int, batch_words: int):
         for r, hits in found:
             run = None
             for at, p in hits:
-                own, n = least[p] == (r.doc, r.rid, r.start + at), len(p) - window + 1
+                own, n = least[p] == (r.doc, r.rid, r.start + at), len(p) // width - window + 1
                 if run and run[0] + run[1] == at and run[2] == own:
                     run[1] += n
                     continue
