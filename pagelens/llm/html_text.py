@@ -32,24 +32,35 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 IN_HEAD = frozenset("title meta link base script style template noscript head html".split())
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_NO_BOX = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_NUMBER = re.compile(r"-?[0-9]{1,9}\Z")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _DEEP_TABLES = 12  # tables nested deeper are laid out as blocks: their text stays
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """An element; ``shown`` is its inherited visibility, which its style may set anew and which its own text has."""
 
-    def __init__(self, tag: str, attrs: dict):
+    __slots__ = ("tag", "attrs", "children", "shown")
+
+    def __init__(self, tag: str, attrs: dict, parent: Node | None = None):
         self.tag, self.attrs, self.children = tag, attrs, []
+        own = _VISIBILITY.findall(attrs.get("style") or "")
+        self.shown = own[-1].lower() == "visible" if own else parent is None or parent.shown
 
 
 def seen(node: Node) -> bool:
+    """Does the element have a box?  A hidden one has, as its children may be visible."""
     a = node.attrs
-    return not (node.tag in UNSEEN or "hidden" in a or _HIDING.search(a.get("style") or "")
+    return not (node.tag in UNSEEN or "hidden" in a or _NO_BOX.search(a.get("style") or "")
                 or (node.tag == "dialog" and "open" not in a) or (node.tag == "input"))
 
 
+def _number(value: str | None, missing: int) -> int:
+    return int(value) if _NUMBER.match(value or "") else missing
+
+
 class TreeBuilder(HTMLParser):
     """Builds the tree; closes what a start tag implies, ignores end tags that close nothing."""
 
@@ -79,13 +90,25 @@ class TreeBuilder(HTMLParser):
             self._close({"p"}, {"td", "th", "caption", "button", "object"})
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
-        node = Node(tag, {k: v or "" for k, v in attrs})
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if self.open[-1].tag == tag and any(n.tag in ("svg", "math") for n in self.open):  # only foreign elements close themselves
+            self.open.pop()
+
+    def parse_html_declaration(self, i):
+        """Declarations that are none, such as ``<![>``, are comments up to the next ``>``."""
+        if self.rawdata[i: i + 4] == "<!--" or self.rawdata[i: i + 9].lower() == "<!doctype":
+            return super().parse_html_declaration(i)
+        end = self.rawdata.find(">", i + 2)
+        return end + 1 if end >= 0 else -1
+
+    def unknown_decl(self, data):
+        pass
 
     def handle_endtag(self, tag):
         if tag in ("html", "body"):
@@ -104,7 +127,8 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
             self._close({"head"}, set())
-        self.open[-1].children.append(data)
+        if self.open[-1].shown:
+            self.open[-1].children.append(data)
 
 
 class Flow:
@@ -179,7 +203,7 @@ def _table(node: Node, flow: Flow, depth: int) -> None:
         elif x.tag in ("td", "th"):
             if row_of is None:
                 row_of = row = row if row is not None and rows and rows[-1] is row else rows.append([]) or rows[-1]
-            row_of.append((x, max(1, min(100, int(x.attrs.get("colspan") or 1) if (x.attrs.get("colspan") or "1").isdecimal() else 1))))
+            row_of.append((x, max(1, min(100, _number(x.attrs.get("colspan"), 1)))))
         elif x.tag == "tr":
             rows.append([])
             todo += [(y, rows[-1]) for y in reversed(x.children)]
@@ -243,7 +267,8 @@ def render(nodes: list, depth: int = 0) -> list[str]:
             flow.end(keep=True)
         elif tag == "hr":
             flow.block(True)
-            flow.now.append("---")
+            if x.shown:
+                flow.now.append("---")
             flow.block(True)
         elif tag == "table" and depth < _DEEP_TABLES:
             flow.block(True)
@@ -257,8 +282,7 @@ def render(nodes: list, depth: int = 0) -> list[str]:
             if tag in ("ul", "menu", "dir"):
                 counters.append(None)
             elif tag == "ol":
-                start = x.attrs.get("start") or "1"
-                counters.append(int(start) if start.lstrip("-").isdecimal() and len(start) < 10 else 1)
+                counters.append(_number(x.attrs.get("start"), 1))
             elif tag == "li":
                 mark = "- "
                 if counters and counters[-1] is not None:

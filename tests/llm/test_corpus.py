@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -390,6 +391,22 @@ def test_induced_sorting():
         assert got[: max(0, len(x) - w + 1)].tolist() == [n[tuple(x[i:i + w])] > 1 for i in range(len(x) - w + 1)]
 
 
+def test_long_runs_of_one_symbol():
+    t = np.concatenate((np.full(300_000, 50), np.arange(2, 200), np.full(150_000, 50), [0])).astype(np.uint16)
+    assert induced.repeated_windows(t, 200).sum() == 300_000 - 199 + 150_000 - 199
+
+
+def test_phrases_of_one_key_with_many_words(spark):
+    """Stretches that share one phrase; all other words are their own, and codes of words are two characters wide."""
+    common = "least of all six words here"
+    texts = [f"{' '.join(f'a{i}x{k}' for k in range(14))} {common} {' '.join(f'b{i}x{k}' for k in range(14))}" for i in range(300)]
+    texts += [texts[5], texts[7][20:], f"{texts[9]} and more of it"]
+    df = pd.DataFrame([(1, i, 1, i, 0, 0, t.encode()) for i, t in enumerate(texts)], columns=["key", "same", "n", "doc", "rid", "start", "text"])
+    narrow, wide = (phrases._locate(20, 1 << 14, one)(df) for one in (phrases.ONE, 10))
+    assert narrow.sort_values(list(narrow.columns)).values.tolist() == wide.sort_values(list(wide.columns)).values.tolist()
+    assert {5, 300, 7, 301, 9, 302} == set(narrow["doc"])
+
+
 # --- 10 -------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("html, text", [
     ("", ""), ("plain &amp; text", "plain & text"),
@@ -403,6 +420,29 @@ def test_page_text(html, text):
     assert html_text.page_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ('<ol start="--5"><li>a</ol>', "1. a"), ('<ol start="-2"><li>a<li>b</ol>', "-2. a\n-1. b"), (f"<table><tr><td colspan={'9' * 5000}>x</table>", "x"),
+    ("<![>x", "x"), ("<![x y z>q", "q"), ("a<![CDATA[x]]>b", "ab"), ("<!>y", "y"), ("<![if IE]>k<![endif]>", "k"),
+    ('<a><svg class="icon"/> Label</a> after', "Label after"), ("<svg><path/><text>no</text></svg><math/>k", "k"), ("<p/>x<p>y", "x\n\ny"),
+    ('<div style="visibility:hidden">no <b style="visibility: visible">yes</b> no</div>', "yes"),
+    ('<ul style="visibility:hidden"><li>a<li style="color:red;visibility:visible">b</ul>', "- b"), ('<hr style="visibility:hidden">t', "t")])
+def test_broken_and_hidden_markup(html, text):
+    assert html_text.page_text(html) == text
+
+
+def test_mutated_pages_are_read(spark):
+    rnd = random.Random(1)
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    bits = ["<![", "<!", "<?", "</", "<a ", '="', ">", "\x00", "<svg/>", "<table>", "<td colspan=", "&#x110000;", "&#99999999999;", "<ol start=-", "--", "<script>",
+            "<textarea>", "<plaintext>", "<title>"]
+    for _ in range(1500):
+        h = rnd.choice(pages)
+        for _ in range(rnd.randint(1, 6)):
+            i = rnd.randrange(len(h) + 1)
+            h = h[:i] + rnd.choice(bits) + h[i + rnd.randint(0, 40):]
+        assert isinstance(html_text.page_text(h[: rnd.randrange(len(h) + 1)] if rnd.random() < 0.3 else h), str)
+
+
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "<p>x")], "page_id long, html string")
     assert sorted(r["page_text"] for r in html_text.extract_pages(df).collect()) == ["", "", "x"]

@@ -63,3 +63,14 @@ def test_pipeline(spark):
     taken = Counter(r[0] for r in out["mix"])
     assert set(taken) <= {r[0] for r in clean} and max(taken.values()) <= 3
     assert set(out["mix"]) <= set(clean)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    text = " ".join(f"word{i} of a clean text." for i in range(30))
+    rows = [(i, f"{text} {i}", "en", "web" if i % 2 else None, 9, "KEEP", 7, True) for i in range(4)] + [(9, None, None, None, None, "KEEP", 7, True), (None, "", None, None, 0, "KEEP", 7, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality string, hits int, MIX boolean")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("quality", "decontaminate", "mix"):
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns and {(r["quality"], r["hits"], r["MIX"]) for r in out.collect()} == {("KEEP", 7, True)}
+            assert stage(spark, docs.limit(0), SF).collect() == []
