@@ -66,7 +66,7 @@ def test_pipeline(spark):
 
 
 def test_stages_keep_columns_of_any_name(spark):
-    text = " ".join(f"word{i} of a clean text." for i in range(30))
+    text = " ".join(f"{a} {b} {c}." for a in ("red", "blue", "small", "old") for b in ("house", "river", "bird", "song", "stone") for c in ("sleeps", "moves", "stands"))
     rows = [(i, f"{text} {i}", "en", "web" if i % 2 else None, 9, "KEEP", 7, True) for i in range(4)] + [(9, None, None, None, None, "KEEP", 7, True), (None, "", None, None, 0, "KEEP", 7, True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality string, hits int, MIX boolean")
     for name, stage in corpus_pipeline.STAGES:
