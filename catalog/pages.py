@@ -253,18 +253,52 @@ def faq_headings(spark, d):
     return P.faq_headings(signals(spark, d))
 
 
-FAQ_SECTIONS = f"""sec AS (SELECT page_id, site, unnest(regexp_extract_all(mk, {K.rq(P.SECTION)}, 0)) AS s FROM sig),
-  piece AS (SELECT page_id, site, unnest(string_split_regex(s, {K.rq(P.HEADING_START)})[2:]) AS p FROM sec WHERE {K.any_of(f'lower({K.strip("s", " ")})', fv.FAQ_WORDS)}),
-  sect AS (SELECT page_id, site, {K.strip(K.ext('p', r'(?is)^(.*?)</h[1-6]'))} AS question, {K.strip(K.ext('p', P.NEXT_ELEMENT), ' ')} AS ans FROM piece),
-  faqsec AS (SELECT page_id, site, question, CASE WHEN length(ans) > 200 THEN concat(substr(ans, 1, 200), '...') ELSE ans END AS answer FROM sect
-    WHERE ans <> '' AND (ends_with(question, '?') OR {K.any_of('lower(question)', fv.SECTION_QUESTION_WORDS)}))"""
-
-
-@query("faq_sections", f"{W}, {FAQ_SECTIONS} SELECT page_id, site, question, answer FROM faqsec")
+# Elements by a recursive query over the tags of each page: a stack of open elements, and those closed so far.
+NESTED = """CASE page_id % 6 WHEN 0 THEN '<div><section><div><h3>What is nested?</h3><p>Inner <b>answer</b></p></div><div>FAQ<h4>How deep is it?</h4><ul><li>Three</li><li>levels</li></ul></div></section></div>'
+  WHEN 1 THEN '<article>Questions<h2>Why so?</h2>text between<p>Because <i>it is</i></p><h2>When &amp; where</h2></article><p>no sibling</p>' WHEN 2 THEN '<div>faq<h3>Who?</h3><img src="x.png"><p>after a picture</p></div></div></section>'
+  WHEN 3 THEN '<section>Frequently asked<h3>What now</h3><div><div>long ' || repeat('word ', 60) || '</div></div><h3>How open?<p>never closed' WHEN 4 THEN '<div>answers <h5>Is it plain?</h5><p title="a > b">yes</p><h6>Where</h6><p> </p></div>' ELSE '' END"""
+
+
+def faq_sections_sql(mk: str) -> str:
+    tag, word = r"""<(?:[^>"']|"[^"]*"|'[^']*')*>""", lambda s: K.any_of(s, fv.FAQ_WORDS)
+    text = lambda i, j: (f"{K.decode(f'array_to_string(list_filter(x[{i} + 1:{j} - 1], lambda y: y[1] <> {K.q(chr(60))} OR y = {K.q(chr(60))}), {K.q(str())})')}")
+    edges = lambda s: f"regexp_replace(regexp_replace({s}, '^\\s+', ''), '\\s+$', '')"
+    return f"""fx AS (SELECT page_id, site, regexp_extract_all({mk}, {K.q(tag + '|[^<]+|<')}) AS x FROM sig),
+  ft AS (SELECT page_id, list_transform(list_filter(list_transform(range(1, len(x) + 1), lambda i: {{'i': i, 't': x[i]}}), lambda e: regexp_matches(e.t, '^</?[a-zA-Z]')),
+    lambda e: {{'i': e.i, 'name': lower(regexp_extract(e.t, '^</?([a-zA-Z][^\\s/>]*)', 1)), 'ends': starts_with(e.t, '</'), 'closed': ends_with(e.t, '/>')}}) AS g FROM fx),
+  fr AS (SELECT page_id, 0 AS k, CAST([] AS STRUCT(name VARCHAR, i BIGINT, after BIGINT)[]) AS stack, CAST([] AS STRUCT(name VARCHAR, i BIGINT, j BIGINT, after BIGINT)[]) AS done, CAST(NULL AS BIGINT) AS after FROM ft
+    UNION ALL SELECT page_id, k + 1,
+      CASE WHEN e.ends THEN CASE WHEN p > 0 THEN stack[:p - 1] ELSE stack END
+        WHEN e.closed OR e.name IN {K.in_list("area base br col embed hr img input link meta param source track wbr".split())} THEN stack
+        ELSE list_append(stack, {{'name': e.name, 'i': e.i, 'after': after}}) END,
+      CASE WHEN e.ends AND p > 0 THEN list_concat(done, list_transform(stack[p:], lambda y: {{'name': y.name, 'i': y.i, 'j': e.i, 'after': y.after}})) ELSE done END,
+      CASE WHEN e.ends AND p > 0 AND e.name IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN stack[p].i END
+    FROM (SELECT fr.*, g[k + 1] AS e, CASE WHEN list_contains(list_transform(stack, lambda y: y.name), g[k + 1].name)
+        THEN len(stack) + 1 - list_position(list_reverse(list_transform(stack, lambda y: y.name)), g[k + 1].name) ELSE 0 END AS p
+      FROM fr JOIN ft USING (page_id) WHERE k < len(g))),
+  fe AS (SELECT page_id, unnest(list_concat(done, list_transform(stack, lambda y: {{'name': y.name, 'i': y.i, 'j': len(x) + 1, 'after': y.after}}))) AS e
+    FROM fr JOIN ft USING (page_id) JOIN fx USING (page_id) WHERE k = len(g)),
+  fs AS (SELECT page_id, e.i AS i, e.j AS j FROM fe JOIN fx USING (page_id) WHERE e.name IN ('div', 'section', 'article') AND {word(f"lower({text('e.i', 'e.j')})")}),
+  fh AS (SELECT h.page_id, site, h.e.i AS i, h.e.j AS j, {edges(text('h.e.i', 'h.e.j'))} AS question, {edges(text('a.e.i', 'a.e.j'))} AS ans
+    FROM fe h JOIN fe a ON a.page_id = h.page_id AND a.e.after = h.e.i JOIN fx ON fx.page_id = h.page_id WHERE h.e.name IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6')),
+  faqsec AS (SELECT page_id, site, question, CASE WHEN length(ans) > 200 THEN concat(substr(ans, 1, 200), '...') ELSE ans END AS answer
+    FROM fh JOIN fs USING (page_id) WHERE fh.i > fs.i AND fh.j <= fs.j AND ans <> '' AND (ends_with(question, '?') OR {K.any_of('lower(question)', fv.SECTION_QUESTION_WORDS)}))"""
+
+
+FAQ_SECTIONS = faq_sections_sql("mk")
+RECURSIVE = W.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("faq_sections", f"{RECURSIVE}, {FAQ_SECTIONS} SELECT page_id, site, question, answer FROM faqsec")
 def faq_sections(spark, d):
     return P.faq_sections(signals(spark, d))
 
 
+@query("faq_sections_nested", f"{RECURSIVE}, {faq_sections_sql(f'concat(mk, {NESTED})')} SELECT page_id, site, question, answer FROM faqsec")
+def faq_sections_nested(spark, d):
+    return P.faq_sections(signals(spark, d).withColumn("markup", F.concat("markup", F.expr(NESTED))))
+
+
 @query("faq_questions", f"""{W} SELECT page_id, site, unnest(list_concat(list_transform({K.FAQ_ENTITIES}, lambda e: e.question),
   regexp_extract_all(text, {K.q(P.SENTENCE_QUESTION)})[1:5])) AS question FROM sig""")
 def faq_questions(spark, d):

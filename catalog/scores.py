@@ -13,7 +13,7 @@ from pagelens.plans import jobs as JB
 
 from . import sqlkit as K
 from .inputs import signals, table
-from .pages import ADDR, FAQ_SECTIONS, LAST, PRODUCTS, TOPICS, W, _phrases, _qh, _seg
+from .pages import ADDR, FAQ_SECTIONS, LAST, PRODUCTS, RECURSIVE, TOPICS, W, _phrases, _qh, _seg
 from .registry import query
 
 c = F.col
@@ -214,7 +214,7 @@ BREAK = [
     ("GEO", "geo_meta_tags", "least(15, ngm * 5)", 15, "ngm > 0", "NULL"),
     ("GEO", "map_embeds", "CASE WHEN nmap > 0 THEN 10 ELSE 0 END", 10, "nmap > 0", "NULL"),
 ]
-BROWS = f"{W}, {BF}, {rows_sql('bl', BREAK)}, ck AS (SELECT page_id, host AS site, word_count, r.* FROM rows0)"
+BROWS = f"{RECURSIVE}, {BF}, {rows_sql('bl', BREAK)}, ck AS (SELECT page_id, host AS site, word_count, r.* FROM rows0)"
 PAGEB = """pb AS (SELECT page_id, site, least(100, sum(points) FILTER (pillar = 'AEO')) AS aeo, least(100, sum(points) FILTER (pillar = 'GEO')) AS geo,
   count(*) FILTER (pillar = 'AEO' AND present) AS aeo_present, count(*) FILTER (pillar = 'GEO' AND present) AS geo_present FROM ck GROUP BY ALL)"""
 COVER = """cv0 AS (SELECT site, pillar, "check", count(*) AS total_pages, count(*) FILTER (present) AS pages_with_signal, CAST(sum(points) AS BIGINT) AS total_score, any_value(max_points) AS max_points FROM ck GROUP BY ALL),
@@ -234,7 +234,7 @@ def page_breakdown(spark, d):
     return C.page_breakdown(host_signals(spark, d))
 
 
-@query("nap_consistency", f"{W}, {BF} SELECT page_id, host AS site, CAST(nap AS BIGINT) AS consistency, nap > 70 AS is_consistent FROM bl")
+@query("nap_consistency", f"{RECURSIVE}, {BF} SELECT page_id, host AS site, CAST(nap AS BIGINT) AS consistency, nap > 70 AS is_consistent FROM bl")
 def nap_consistency(spark, d):
     return C.nap_consistency(host_signals(spark, d))
 

@@ -32,6 +32,9 @@ PARAGRAPH_END = r"(?i)</p"
 LIST_START = r"(?i)<[uo]l[\s>]"
 TABLE_START = r"(?i)<table[\s>]"
 BLOCK_END = r"(?i)<(?:/(?:p|div|li|h[1-6]|tr|section|article)\s*|br\s*/?)>"
+TAG_OR_TEXT = rf"<{INSIDE}>|[^<]+|<"
+# Elements without an end tag.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 JSONLD = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script"
 ATTRIBUTE = r"(?i)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
@@ -97,6 +100,60 @@ def block_text(mk) -> Column:
     return decode_entities(rx_sub(lined, ANY_TAG, " "))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def tag_stream(mk) -> Column:
+    """ARRAY<STRING>: tags and the texts between them, in order; together they are the whole markup."""
+    return rx_all(mk, TAG_OR_TEXT)
+
+
+def elements(stream: Column, keep) -> Column:
+    """ARRAY<STRUCT<name,i,j,after>> of elements: start and end tag by their place in the stream, and the start of a heading
+    that the element follows as next sibling (NULL: none).
+
+    One fold over the tags with a stack of open elements.  An end tag closes the nearest open element of its name and all
+    inside; one that closes nothing is passed over; elements that stay open end with the stream.  ``keep(name)`` chooses the
+    elements to report; siblings of headings always are.  Void and self-closed elements are no elements here, but end the
+    wait for a sibling.
+    """
+    entry, done = "struct<name:string,i:int,after:int>", "struct<name:string,i:int,j:int,after:int>"
+    name = lambda t: F.lower(rx(t, r"^</?([A-Za-z][^\s/>]*)"))
+    tags = F.filter(F.transform(stream, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda e: e["t"].rlike("^</?[A-Za-z]"))
+    tags = F.transform(tags, lambda e: F.struct(e["i"].alias("i"), name(e["t"]).alias("name"), e["t"].startswith("</").alias("ends"), F.endswith(e["t"], F.lit("/>")).alias("closed")))
+    tags = F.transform(tags, lambda e: F.struct(e["i"].alias("i"), e["name"].alias("name"), e["ends"].alias("ends"), (e["closed"] | e["name"].isin(*VOID)).alias("empty")))
+    none = F.lit(None).cast("int")
+
+    def closed(opened: Column, at: Column) -> Column:
+        out = F.transform(opened, lambda x: F.struct(x["name"].alias("name"), x["i"].alias("i"), at.alias("j"), x["after"].alias("after")))
+        return F.filter(out, lambda x: keep(x["name"]) | x["after"].isNotNull())
+
+    def state(stack: Column, out: Column, after: Column) -> Column:
+        return F.struct(stack.alias("stack"), out.alias("out"), after.alias("after"))
+
+    def close(s: Column, e: Column, back: Column) -> Column:
+        """``back``: place of the nearest open element of the name, from the top of the stack."""
+        depth = F.size(s["stack"]) - back
+        heading = F.when(e["name"].rlike("^h[1-6]$"), F.get(s["stack"], depth)["i"])
+        return F.when(back == 0, state(s["stack"], s["out"], none)).otherwise(
+            state(F.slice(s["stack"], F.lit(1), depth), F.concat(s["out"], closed(F.slice(s["stack"], depth + 1, back), e["i"])), heading))
+
+    def step(s: Column, e: Column) -> Column:
+        opened = state(F.concat(s["stack"], F.array(F.struct(e["name"].alias("name"), e["i"].alias("i"), s["after"].alias("after")))), s["out"], none)
+        back = F.array_position(F.reverse(F.transform(s["stack"], lambda x: x["name"])), e["name"]).cast("int")
+        return F.when(e["ends"], bound(back, lambda b: close(s, e, b))).when(e["empty"], state(s["stack"], s["out"], none)).otherwise(opened)
+
+    start = state(F.array().cast(f"array<{entry}>"), F.array().cast(f"array<{done}>"), none)
+    return F.aggregate(tags, start, step, lambda s: F.concat(s["out"], closed(s["stack"], F.size(stream))))
+
+
+def text_between(stream: Column, i: Column, j: Column) -> Column:
+    """Text of the stream between two of its places, tags left out."""
+    return decode_entities(F.array_join(F.filter(F.slice(stream, i + 2, j - i - 1), lambda t: ~t.startswith("<") | (t == "<")), ""))
+
+
 def start_tags(mk) -> Column:
     return rx_all(mk, START_TAG)
 

@@ -19,9 +19,8 @@ QUESTION_LINE = rf"(?s)^\s*(?:{'|'.join(fv.QUESTION_OPENERS)})(?:{EDGE}.*)?\?\s*
 QUESTION_PREFIX = r"(?i)^\s*(?:Q:|Question:|FAQ:)"
 ANSWER_PREFIX = r"(?i)^\s*(?:A:|Answer:)"
 SENTENCE_QUESTION = rf"(?i)(?:{'|'.join(fv.SENTENCE_OPENERS)})\s+[^?]*\?"
-SECTION = rf"(?is)<(?:div|section|article)(?:\s{H.INSIDE})?>.*?</(?:div|section|article)\s*>"
 HEADING_START = rf"(?i)<h[1-6](?:\s{H.INSIDE})?>"
-NEXT_ELEMENT = rf"(?is)</h[1-6]\s*>[^<]*<[a-z]{H.INSIDE}>(.*?)</(?:p|div|ul|ol|section|table|h[1-6]|span|dd|blockquote|article)\s*>"
+HEADING_NAME = "^h[1-6]$"
 MARK = "\u0001"
 
 c = F.col
@@ -294,20 +293,37 @@ def faq_headings(signals: DataFrame) -> DataFrame:
 
 
 def section_pairs(markup: Column) -> Column:
-    """Questions in headings of FAQ sections with the text of the element that follows them."""
-    sections = F.filter(rx_all(markup, SECTION),
-                        lambda s: any_of(F.lower(H.strip_tags(s, " ")), fv.FAQ_WORDS))
-    heads = F.flatten(F.transform(sections, lambda s: F.slice(
-        F.split(s, HEADING_START), F.lit(2), F.size(F.split(s, HEADING_START)))))
-    rows = F.transform(heads, lambda p: F.struct(
-        H.strip_tags(rx(p, r"(?is)^(.*?)</h[1-6]")).alias("question"),
-        H.strip_tags(rx(p, NEXT_ELEMENT), " ").alias("full")))
-    kept = F.filter(rows, lambda r: (r["full"] != "") & (
-        F.endswith(r["question"], F.lit("?")) | any_of(F.lower(r["question"]), fv.SECTION_QUESTION_WORDS)))
-    return F.transform(kept, lambda r: F.struct(
-        r["question"].alias("question"),
-        F.when(F.length(r["full"]) > 200, F.concat(F.substring(r["full"], 1, 200), F.lit("...")))
-        .otherwise(r["full"]).alias("answer")))
+    """Questions in headings of FAQ sections with the text of the heading's next sibling element.
+
+    Sections are ``div``, ``section`` and ``article`` elements whose text has a FAQ word; a heading counts once for each that
+    holds it, however deep.  Pages without a FAQ word in their markup are not read further.
+    """
+    def pairs(stream: Column) -> Column:
+        found = H.elements(stream, lambda name: name.isin("div", "section", "article") | name.rlike(HEADING_NAME))
+        return H.bound(found, lambda es: of_elements(stream, es))
+
+    def of_elements(stream: Column, es: Column) -> Column:
+        sections = F.array_sort(F.filter(es, lambda x: x["name"].isin("div", "section", "article")),
+                                lambda x, y: x["i"] - y["i"])
+        sections = F.filter(sections, lambda x: any_of(F.lower(H.text_between(stream, x["i"], x["j"])), fv.FAQ_WORDS))
+        answers = F.filter(es, lambda x: x["after"].isNotNull())
+        heads = F.array_sort(F.filter(es, lambda x: x["name"].rlike(HEADING_NAME)), lambda x, y: x["i"] - y["i"])
+        rows = F.transform(heads, lambda h: F.struct(
+            h["i"].alias("i"), h["j"].alias("j"), strip_edges(H.text_between(stream, h["i"], h["j"])).alias("question"),
+            F.get(F.transform(F.filter(answers, lambda x: x["after"] == h["i"]),
+                              lambda x: strip_edges(H.text_between(stream, x["i"], x["j"]))), F.lit(0)).alias("full")))
+        kept = F.filter(rows, lambda r: (r["full"] != "") & (
+            F.endswith(r["question"], F.lit("?")) | any_of(F.lower(r["question"]), fv.SECTION_QUESTION_WORDS)))
+        short = F.transform(kept, lambda r: F.struct(
+            r["i"].alias("i"), r["j"].alias("j"), r["question"].alias("question"),
+            F.when(F.length(r["full"]) > 200, F.concat(F.substring(r["full"], 1, 200), F.lit("...")))
+            .otherwise(r["full"]).alias("answer")))
+        return H.bound(short, lambda all_pairs: F.flatten(F.transform(sections, lambda s: F.transform(
+            F.filter(all_pairs, lambda r: (r["i"] > s["i"]) & (r["j"] <= s["j"])),
+            lambda r: F.struct(r["question"].alias("question"), r["answer"].alias("answer"))))))
+
+    may = any_of(F.lower(H.decode_entities(rx_sub(markup, H.ANY_TAG))), fv.FAQ_WORDS) & markup.rlike(HEADING_START)
+    return F.when(may, H.bound(H.tag_stream(markup), pairs)).otherwise(F.array().cast(PAIR))
 
 
 def faq_sections(signals: DataFrame) -> DataFrame:

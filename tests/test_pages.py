@@ -120,6 +120,13 @@ def test_faq_rules(page, spark):
     assert got[0] == ("Kodėl mes?", "")
     assert ("Where is it?", "In Kaunas.") in got and ("How much?", "Ten euro.") in got
     assert [(r.question, r.answer) for r in P.faq_sections(s).collect()] == [("What is it", "A thing")]
+    nested = page("<div><section>Frequently asked<div><h3>What is it?</h3><p>A <b>lamp</b></p></div><div><h3>How?</h3><div><div>x</div>y</div></div></section></div>",
+                  "<article>questions<h2>Why</h2>text<img src=a><p>z</p><h2>When</h2></article><p>out</p></div>",
+                  "<section>FAQ<h4>Where?<i>now</i></h4><ul><li>a<li>b</section><div><h2>Who?</h2><p>no section</p></div>",
+                  f"<div>Q&amp;A<h2>What &amp; why</h2><p title='a > b'>{'word ' * 60}</p></div><div>faq<h3>How open?</h3><p>left open", "<div>nothing</div>")
+    assert sorted((r.page_id, r.question, r.answer) for r in P.faq_sections(nested).collect()) == [
+        (0, "How?", "xy"), (0, "How?", "xy"), (0, "What is it?", "A lamp"), (0, "What is it?", "A lamp"),
+        (2, "Where?now", "ab"), (3, "How open?", "left open"), (3, "What & why", ("word " * 60)[:200] + "...")]
     raw = spark.createDataFrame([(1, "s", "Why?\nBecause so\nNext line. When? Now\n\nEnd"), (2, "s", "No marks here")],
                                 "page_id long, site string, text string")
     pairs = [(r.question, r.answer) for r in P.faq_text_pairs(raw, "sentence").collect()]

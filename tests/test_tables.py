@@ -193,9 +193,11 @@ def test_jobs(spark, page, tmp):
     assert vis["queries"].count() == 10 and vis["advice"].count() > 0
     q = spark.createDataFrame([("s", 1, "brand", "t"), ("s", 2, "brand", "t")], "site string, query_id long, category string, text string")
     a = spark.createDataFrame([("s", 1, "B", "B is best"), ("s", 2, "B", "no")], "site string, query_id long, brand string, response string")
-    ch = spark.createDataFrame([("s", 1), ("s", 9)], "site string, query_id long")
-    qv = JB.query_visibility(q, a, ch)
-    assert qv["answers"].count() == 1 and qv["errors"].collect()[0].error == "Some selected queries not found"
+    q, a = (df.unionByName(df.withColumn("site", F.lit("t"))) for df in (q, a))
+    ch = spark.createDataFrame([("s", 1), ("t", 1), ("t", 9)], "site string, query_id long")
+    qv = JB.query_visibility(q, a, ch)  # site t chose a query that does not exist and gets the error alone
+    assert [(r.site, r.query_id) for r in qv["answers"].collect()] == [("s", 1)]
+    assert [(r.site, r.error) for r in qv["errors"].collect()] == [("t", "Some selected queries not found")]
 
 
 def test_streams_equal_batch(spark, tmp):
