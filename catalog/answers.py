@@ -19,7 +19,7 @@ from . import sqlkit as K
 from .inputs import answers, sessions, signals, table
 from .pages import PRODUCTS, TEXT_PAIRS, W, _phrases, _seg
 from .registry import query
-from .scores import BRANDS, GUESS, KW, PROFILE, PROWS, host_signals
+from .scores import BRANDS, GUESS, KW, PF, PILLARS, PROFILE, PROWS, SCORES, host_signals, passed, rows_sql
 
 c = F.col
 
@@ -655,6 +655,58 @@ def audit_full_pages(spark, d):
     return out["pages"].select("page_id", "url", "title", "word_count", "n_broken", "blocked_by_robots")
 
 
+# Scores on the audited record: link health and robots rules count, so "broken" and "indexable" pass or fail.
+AUDITED = [x for x in PILLARS if x[:2] not in (("TECH", "broken"), ("TECH", "indexable"))] + [
+    passed("TECH", "broken", "n_broken = 0", 5, "Fix broken internal links."),
+    passed("TECH", "indexable", "NOT blocked AND NOT contains(lower(coalesce(meta_robots, '')), 'noindex')", 5, "Ensure important pages are not blocked or noindex.")]
+RECORD = f"""{AUDIT}, {PF}, pa AS (SELECT pl.*, coalesce(bad.n_broken, 0) AS n_broken, blk.page_id IS NOT NULL AS blocked FROM pl LEFT JOIN bad ON bad.page_id = pl.page_id LEFT JOIN blk ON blk.page_id = pl.page_id),
+  {rows_sql("pa", AUDITED)}, ck AS (SELECT page_id, host AS site, word_count, r.* FROM rows0)"""
+
+
+def audited(spark, d):
+    """The record of all pages, stored once under the shared folder; sites are hosts, as in the other audits."""
+    import uuid
+
+    from pagelens.session import checkpoint_ready
+
+    from .inputs import aug_pages
+
+    checkpoint_ready(spark)
+    name = f"record_{uuid.uuid4().hex}"
+    record = JB.stored_record(aug_pages(spark, d), name, robots(spark, d), url_status(spark, d), buckets=8, folder=spark.sparkContext.getCheckpointDir())
+    return record.withColumn("site", c("host"))
+
+
+def audited_statuses(record):
+    return G.link_edges(record).select(c("dst_url").alias("url")).distinct().withColumn(
+        "status", F.expr("CASE length(url) % 5 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 500 WHEN 3 THEN 200 END"))
+
+
+@query("audit_scores", f"{RECORD}, {SCORES} SELECT * FROM sc")
+def audit_scores(spark, d):
+    record = audited(spark, d)
+    return JB.score_audit(record, audited_statuses(record))["scores"]
+
+
+@query("audit_technical_checks", f"{RECORD} SELECT page_id, site, \"check\", points, present, task FROM ck WHERE pillar = 'TECH'")
+def audit_technical_checks(spark, d):
+    record = audited(spark, d)
+    rows = JB.score_audit(record, audited_statuses(record))["checks"]
+    return rows.where("pillar = 'TECH'").select("page_id", "site", "check", "points", "present", "task")
+
+
+@query("audit_rollup", f"""{AUDIT}, bu AS (SELECT host, count(DISTINCT edges.url) AS n FROM edges JOIN st ON st.url = edges.url JOIN sig ON sig.page_id = edges.page_id WHERE internal AND status >= 400 GROUP BY host),
+  ro AS (SELECT host, count(*) AS n FROM sig JOIN blk USING (page_id) GROUP BY host)
+  SELECT sig.host AS site, count(*) AS pages, count(DISTINCT lang) AS n_languages, count(*) FILTER (coalesce(canonical, '') <> '') AS pages_with_canonical,
+  count(*) FILTER (contains(lower(coalesce(meta_robots, '')), 'index')) AS index_pages, count(*) FILTER (contains(lower(coalesce(meta_robots, '')), 'noindex')) AS noindex_pages,
+  count(*) FILTER (contains(lower(coalesce(meta_robots, '')), 'index') AND NOT contains(lower(coalesce(meta_robots, '')), 'noindex')) AS index_only_pages,
+  coalesce(any_value(ro.n), 0) AS pages_blocked_by_robots, CAST(sum(len(list_filter(images, lambda i: i.alt = ''))) AS BIGINT) AS images_missing_alt,
+  coalesce(any_value(bu.n), 0) AS broken_unique FROM sig LEFT JOIN bu ON bu.host = sig.host LEFT JOIN ro ON ro.host = sig.host GROUP BY sig.host""")
+def audit_rollup(spark, d):
+    record = audited(spark, d)
+    return JB.score_audit(record, audited_statuses(record))["rollup"]
+
+
 # --- streams ----------------------------------------------------------------------------------------
 def _drain(spark, df, mode: str = "append"):
     """Run a stream over all stored rows into a table in the shared folder and read it back."""

@@ -35,21 +35,21 @@ def _rule_regex(rule: Column) -> Column:
 def robots_blocked(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Pages whose path a disallow rule of their host blocks: prefix, or anchored pattern for rules with ``*``.
 
-    ``rules(host, kind, value)`` comes from ``robots_rules``.  Rules are folded to one row per host (a robots
-    file is small), so the join is an equality on host with one row on its right side; the host with most pages
-    is spread by the salted lookup.
+    ``rules(host, kind, value)`` comes from ``robots_rules`` and stays one row per rule, however many a host has.  A path is
+    cut at each length that a prefix rule of its host has, and the pieces are looked up as exact keys; rules with wildcards, few
+    as a rule, are tried one by one.  Each blocked page comes once.
     """
-    useful = rules.where((c("kind") == "disallow") & ~c("value").isin("", "/")).select(
-        "host", F.when(c("value").contains("*"), _rule_regex(c("value"))).alias("pattern"),
-        F.when(~c("value").contains("*"), c("value")).alias("prefix")).distinct()
-    per_host = useful.groupBy("host").agg(
-        F.collect_list("pattern").alias("_patterns"), F.collect_list("prefix").alias("_prefixes"))
+    useful = rules.where((c("kind") == "disallow") & ~c("value").isin("", "/")).select("host", "value").distinct()
+    wild = useful.where(c("value").contains("*")).select("host", _rule_regex(c("value")).alias("pattern"))
+    prefixes = useful.where(~c("value").contains("*")).select("host", c("value").alias("piece"))
+    lengths = prefixes.select("host", F.length("piece").alias("n")).groupBy("host").agg(F.collect_set("n").alias("_lengths"))
     located = pages.select("page_id", "url", U.host_of("url").alias("host"),
                            F.coalesce(F.nullif(U.path_of("url"), F.lit("")), F.lit("/")).alias("path"))
-    joined = salted_lookup(located, per_host, ["host"], "page_id", "inner")
-    return joined.where(
-        F.exists("_prefixes", lambda p: F.startswith(c("path"), p)) | F.exists("_patterns", lambda p: F.rlike(c("path"), p))
-    ).select("page_id", "url", "host", "path")
+    cut = located.join(lengths, "host").select("*", F.explode(F.filter("_lengths", lambda n: n <= F.length("path"))).alias("_n"))
+    by_prefix = cut.withColumn("piece", F.substring("path", F.lit(1), c("_n"))).join(prefixes, ["host", "piece"], "left_semi")
+    by_pattern = located.alias("x").join(wild.alias("w"), (c("x.host") == c("w.host")) & F.rlike("x.path", "w.pattern"), "left_semi")
+    out = ["page_id", "url", "host", "path"]
+    return by_prefix.select(*out).unionByName(by_pattern.select(*out)).distinct()
 
 
 # --- crawl graph ---------------------------------------------------------------------------------

@@ -6,7 +6,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import structured as J
@@ -74,6 +76,54 @@ def audit_full(pages: DataFrame, robots: DataFrame | None = None, url_status: Da
     return {"pages": record, "rollup": A.site_rollup(record), "languages": A.site_languages(signals), **out}
 
 
+def _bucketed(df: DataFrame, name: str, buckets: int, folder: str | None) -> DataFrame:
+    write = df.write.format("parquet").mode("overwrite").bucketBy(buckets, "page_id").sortBy("page_id")
+    (write.option("path", f"{folder}/{name}") if folder else write).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def stored_record(pages: DataFrame, name: str, robots: DataFrame | None = None, url_status: DataFrame | None = None, *,
+                  buckets: int = 64, folder: str | None = None) -> DataFrame:
+    """Page signals with ``n_broken`` and ``blocked_by_robots``, from two tables bucketed by ``page_id``.
+
+    Pages are read and extracted once, into ``<name>_signals``; links, robots and statuses are then joined as narrow columns of
+    it into ``<name>_health``, in the same buckets.  Joins of the two, now and in later sessions, need no shuffle.  Both tables
+    are overwritten, so a second run gives the same; ``folder`` holds them (None: the warehouse).  Choose ``buckets`` so that one
+    holds some hundred MB.
+    """
+    stored = _bucketed(page_signals(pages), f"{name}_signals", buckets, folder)
+    none = stored.select("page_id", F.lit(0).cast("long").alias("n_broken"), F.lit(False).alias("blocked_by_robots")).limit(0)
+    parts = [none]
+    if url_status is not None:
+        broken = G.page_broken_links(G.link_edges(stored), url_status)
+        parts.append(broken.select(c("src_page_id").alias("page_id"), c("n_broken").cast("long"), F.lit(False).alias("blocked_by_robots")))
+    if robots is not None:
+        hit = G.robots_blocked(stored.select("page_id", "url"), io.robots_rules(robots))
+        parts.append(hit.select("page_id", F.lit(0).cast("long").alias("n_broken"), F.lit(True).alias("blocked_by_robots")))
+    both = reduce(DataFrame.unionByName, parts).groupBy("page_id").agg(
+        F.max("n_broken").alias("n_broken"), F.max("blocked_by_robots").alias("blocked_by_robots"))
+    _bucketed(both, f"{name}_health", buckets, folder)
+    return audited_record(pages.sparkSession, name)
+
+
+def audited_record(spark: SparkSession, name: str) -> DataFrame:
+    """The record that ``stored_record`` keeps under ``name``; buckets of both tables are merged in place."""
+    health = spark.table(f"{name}_health").hint("merge")
+    record = spark.table(f"{name}_signals").join(health, "page_id", "left")
+    return record.withColumn("n_broken", F.coalesce("n_broken", F.lit(0))).withColumn(
+        "blocked_by_robots", F.coalesce("blocked_by_robots", F.lit(False)))
+
+
+def score_audit(record: DataFrame, url_status: DataFrame) -> dict[str, DataFrame]:
+    """Pillar scores and site totals on an audited record, where links and robots rules count.
+
+    ``rollup`` has the totals of ``site_rollup`` and ``broken_unique``, the distinct broken internal links of a site.
+    """
+    broken = G.broken_links(G.link_edges(record), url_status).groupBy("site").agg(F.count(F.lit(1)).alias("broken_unique"))
+    rollup = A.site_rollup(record).join(broken, "site", "left").withColumn("broken_unique", F.coalesce("broken_unique", F.lit(0)))
+    return {"scores": A.pillar_scores(record), "checks": C.check_rows(record, "pillars"), "rollup": rollup}
+
+
 def audit_aeo_geo(pages: DataFrame, lang: str = "en") -> dict[str, DataFrame]:
     """Breakdown per page, site scores, coverage, platform and advice."""
     signals = page_signals(pages)

@@ -200,6 +200,33 @@ def test_jobs(spark, page, tmp):
     assert [(r.site, r.error) for r in qv["errors"].collect()] == [("t", "Some selected queries not found")]
 
 
+def test_record_of_an_audit_is_stored_once(spark, tmp):
+    pages = spark.createDataFrame([(i, f"https://a.lt/{'shop' if i % 2 else 'p'}/{i}", f"<title>T{i}</title><a href='/x{i % 3}'>x</a><a href='https://b.lt/x0'>o</a>") for i in range(12)],
+                                  "page_id long, url string, html string")
+    robots = spark.createDataFrame([("a.lt", "Disallow: /shop\nDisallow: /*7\nDisallow: /")], "host string, raw string")
+    status = spark.createDataFrame([("https://a.lt/x0", 404), ("https://a.lt/x1", 500), ("https://b.lt/x0", 404), ("https://a.lt/x2", 200)], "url string, status int")
+    for _ in range(2):  # a second run gives the same
+        record = JB.stored_record(pages, "audit_of_test", robots, status, buckets=4, folder=tmp)
+        assert sorted((r.page_id, r.n_broken, r.blocked_by_robots) for r in record.collect()) == [(i, int(i % 3 < 2), i % 2 == 1) for i in range(12)]
+    narrow = JB.audited_record(spark, "audit_of_test").select("page_id", "n_broken", "title")
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    out = JB.score_audit(record, status)
+    r = out["rollup"].collect()[0]
+    assert (r.pages, r.pages_blocked_by_robots, r.broken_unique) == (12, 6, 2)
+    found = {(x.check, x.present): x.n for x in out["checks"].where("pillar = 'TECH'").groupBy("check", "present").agg(F.count("*").alias("n")).collect()}
+    assert found[("broken", True)] == 4 and found[("broken", False)] == 8 and found[("indexable", True)] == 6 and found[("indexable", False)] == 6
+    assert out["scores"].collect()[0].technical < JB.score_audit(JB.stored_record(pages, "audit_of_test", folder=tmp), status)["scores"].collect()[0].technical
+
+
+def test_many_robots_rules_of_one_host(spark):
+    rules = spark.range(100_000).select(F.lit("a.lt").alias("host"), F.lit("disallow").alias("kind"), F.concat(F.lit("/d"), F.col("id"), F.lit("/")).alias("value"))
+    rules = rules.unionByName(spark.createDataFrame([("a.lt", "disallow", "/*.pdf"), ("a.lt", "disallow", "/"), ("b.lt", "disallow", "/q*"), ("a.lt", "allow", "/d5/")], rules.schema))
+    urls = ["https://a.lt/d99999/x", "https://a.lt/d100000/x", "https://a.lt/d7/a.pdf", "https://a.lt/z/b.pdf?x", "https://b.lt/qa", "https://b.lt/d5/", "https://a.lt", "https://a.lt/d7"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert sorted(r.page_id for r in G.robots_blocked(pages, rules).collect()) == [0, 2, 3, 4]
+
+
 def test_streams_equal_batch(spark, tmp):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     ev.repartition(4).write.parquet(f"{tmp}/ev")
