@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagelens.functions import fixed_values as fv
+from pagelens.functions import urls as U
+from pagelens.operators import domains as D
 from pagelens.operators import links as G
 from pagelens.operators import recommend as R
 from pagelens.operators import sessions as SE
@@ -655,6 +657,42 @@ def audit_full_pages(spark, d):
     return out["pages"].select("page_id", "url", "title", "word_count", "n_broken", "blocked_by_robots")
 
 
+# --- registrable domains by a table of suffixes -----------------------------------------------------
+SUFFIXES = ["com", "uk", "co.uk", "*.ck", "!www.ck", "io", "github.io", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "example", "shop.example"]
+HOST_EXPR = """CASE page_id % 14 WHEN 0 THEN concat('w', page_id, '.shop.co.uk') WHEN 1 THEN 'co.uk' WHEN 2 THEN concat('a.b', page_id, '.ck') WHEN 3 THEN 'www.ck' WHEN 4 THEN concat('x', page_id, '.www.ck')
+  WHEN 5 THEN concat('pages.user', page_id, '.github.io') WHEN 6 THEN 'github.io' WHEN 7 THEN concat('x', page_id, '.y.kawasaki.jp') WHEN 8 THEN concat('a', page_id, '.city.kawasaki.jp') WHEN 9 THEN concat('WWW.Example', page_id, '.COM.')
+  WHEN 10 THEN 'localhost' WHEN 11 THEN concat('10.0.0.', page_id) WHEN 12 THEN concat('s', page_id, '.unknown.zz') ELSE 'ck' END"""
+
+
+def suffix_sql(hosts: str) -> str:
+    """``dom(host, suffix, domain)`` of ``hosts``, each rule tried on each host."""
+    return f"""{hosts}, hl AS (SELECT host, regexp_replace(lower(host), '\\.$', '') AS h, regexp_matches(host, '^([0-9]+\\.){{3}}[0-9]+$') AS number FROM (SELECT DISTINCT host FROM hosts0)),
+  sr AS (SELECT unnest({K.lits(SUFFIXES)}) AS r),
+  sm AS (SELECT host, arg_max(len(string_split(r, '.')) - starts_with(r, '!')::INT, 1000 * starts_with(r, '!')::INT + len(string_split(r, '.'))) AS n FROM hl JOIN sr ON
+    CASE WHEN starts_with(r, '!') THEN h = substr(r, 2) OR ends_with(h, concat('.', substr(r, 2))) WHEN starts_with(r, '*.') THEN regexp_matches(h, concat('(^|\\.)[^.]+\\.', replace(substr(r, 3), '.', '\\.'), '$')) ELSE h = r OR ends_with(h, concat('.', r)) END GROUP BY host),
+  dl AS (SELECT hl.host, number, string_split(h, '.') AS l, coalesce(n, 1) AS n FROM hl LEFT JOIN sm USING (host)),
+  dom AS (SELECT host, CASE WHEN NOT number THEN array_to_string(l[-n:], '.') END AS suffix, CASE WHEN number THEN host WHEN len(l) > n THEN array_to_string(l[-(n + 1):], '.') END AS domain FROM dl)"""
+
+
+def suffixes(spark):
+    lines = spark.createDataFrame([(x,) for x in ["// a comment", "", *SUFFIXES]], "line string")
+    return D.suffix_rules(lines)
+
+
+@query("registrable_domains", "WITH " + suffix_sql(f"hosts0 AS (SELECT {HOST_EXPR} AS host FROM pages UNION ALL SELECT {K.host('url')} FROM pages)") + " SELECT * FROM dom")
+def registrable_domains(spark, d):
+    pages = table(spark, d, "pages")
+    hosts = pages.select(F.expr(HOST_EXPR).alias("host")).unionByName(pages.select(U.host_of("url").alias("host")))
+    return D.registrable_domains(hosts, suffixes(spark))
+
+
+@query("links_by_domain", f"""{W}, {K.LINKS}, he AS (SELECT page_id, url, {K.host('page_url')} AS src, {K.host('url')} AS dst FROM edges),
+  {suffix_sql('hosts0 AS (SELECT src AS host FROM he UNION ALL SELECT dst FROM he)')}
+  SELECT coalesce(s.domain, s.host) AS site, page_id AS src_page_id, he.url AS dst_url, coalesce(s.domain, s.host) = coalesce(t.domain, t.host) AS internal FROM he JOIN dom s ON s.host = he.src JOIN dom t ON t.host = he.dst""")
+def links_by_domain(spark, d):
+    return D.edges_by_domain(host_signals(spark, d), suffixes(spark)).select("site", "src_page_id", "dst_url", "internal")
+
+
 # Scores on the audited record: link health and robots rules count, so "broken" and "indexable" pass or fail.
 AUDITED = [x for x in PILLARS if x[:2] not in (("TECH", "broken"), ("TECH", "indexable"))] + [
     passed("TECH", "broken", "n_broken = 0", 5, "Fix broken internal links."),

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelens.functions.exprs import blank_to_null
+from pagelens.operators import domains as D
 from pagelens.operators import grams as GR
 from pagelens.operators import links as G
 from pagelens.operators import page_rows as P
@@ -227,6 +228,25 @@ def test_many_robots_rules_of_one_host(spark):
     assert sorted(r.page_id for r in G.robots_blocked(pages, rules).collect()) == [0, 2, 3, 4]
 
 
+def test_public_suffixes(spark):
+    lines = ["// list", "", "com", "uk", "co.uk  ", "*.ck", "!www.ck", "GitHub.io", ".lt", "*.x.y"]
+    rules = D.suffix_rules(spark.createDataFrame([(x,) for x in lines], "line string"))
+    hosts = {"a.b.co.uk": "b.co.uk", "co.uk": None, "uk": None, "b.uk": "b.uk", "a.b.c.ck": "b.c.ck", "c.ck": None, "ck": None, "www.ck": "www.ck", "z.www.ck": "www.ck",
+             "me.github.io": "me.github.io", "p.me.github.io": "me.github.io", "github.io": None, "w.acme.lt": "acme.lt", "A.Acme.LT.": "acme.lt", "q.unknown": "q.unknown",
+             "localhost": None, "10.0.0.1": "10.0.0.1", "": None, "a.b.x.y": "a.b.x.y", "b.x.y": None}
+    df = spark.createDataFrame([(h, 1) for h in [*hosts, None, "uk"]], "host string, suffix int")
+    assert {r.host: r.domain for r in D.registrable_domains(df, rules).collect()} == hosts
+    assert D.registrable_domains(df.limit(0), rules).collect() == []
+    assert {r.domain for r in D.registrable_domains(df.where("host = 'a.b.co.uk'"), rules.limit(0)).collect()} == {"co.uk"}
+
+
+def test_sites_and_links_by_suffix(spark, page):
+    s = page("<a href='https://b.co.uk/x'>1</a><a href='https://z.a.co.uk/y'>2</a><a href='/w'>3</a>", url="https://www.a.co.uk/p")
+    rules = D.suffix_rules(spark.createDataFrame([("co.uk",), ("uk",)], "line string"))
+    assert {(r.dst_url, r.internal) for r in D.edges_by_domain(s, rules).collect()} == {("https://b.co.uk/x", False), ("https://z.a.co.uk/y", True), ("https://www.a.co.uk/w", True)}
+    assert [r.site for r in D.pages_by_domain(s, rules).collect()] == ["a.co.uk"] and D.pages_by_domain(s, rules).columns == s.columns
+
+
 def test_streams_equal_batch(spark, tmp):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     ev.repartition(4).write.parquet(f"{tmp}/ev")
