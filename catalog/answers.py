@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from pagelens.functions import fixed_values as fv
 from pagelens.functions import urls as U
 from pagelens.operators import domains as D
+from pagelens.operators import languages as LG
 from pagelens.operators import links as G
 from pagelens.operators import recommend as R
 from pagelens.operators import sessions as SE
@@ -693,6 +694,36 @@ def links_by_domain(spark, d):
     return D.edges_by_domain(host_signals(spark, d), suffixes(spark)).select("site", "src_page_id", "dst_url", "internal")
 
 
+# --- languages by learned profiles -------------------------------------------------------------------
+def grams_sql(name: str, source: str, keys: str) -> str:
+    return f"""{name}w AS (SELECT {keys}, unnest(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g'), ' ')) AS w FROM {source}),
+  {name} AS (SELECT {keys}, substr(concat(' ', w, ' '), i, 3) AS gram, count(*) AS n FROM (SELECT {keys}, w, unnest(range(1, length(w) + 1)) AS i FROM {name}w WHERE w <> '') GROUP BY ALL)"""
+
+
+LANGS = f"""WITH {grams_sql('tr', '(SELECT lang, text FROM documents WHERE doc_id % 5 <> 0)', 'lang')},
+  tot AS (SELECT lang, sum(n) AS total, (SELECT count(DISTINCT gram) FROM tr) AS kinds FROM tr GROUP BY lang),
+  pro AS (SELECT tr.lang, gram, CAST(round(1000 * ln((n + 0.5) / (total + 0.5 * kinds))) AS BIGINT) AS score FROM tr JOIN tot USING (lang)
+    UNION ALL SELECT lang, NULL, CAST(round(1000 * ln(0.5 / (total + 0.5 * kinds))) AS BIGINT) FROM tot)"""
+
+
+def profiles(spark, d):
+    return LG.language_profiles(table(spark, d, "documents").where("doc_id % 5 <> 0").select("lang", "text"))
+
+
+@query("language_profiles", f"{LANGS} SELECT * FROM pro")
+def language_profiles(spark, d):
+    return profiles(spark, d)
+
+
+@query("detected_languages", f"""{LANGS}, {grams_sql('te', 'documents', 'doc_id')},
+  al AS (SELECT doc_id, gram, n, lang FROM te CROSS JOIN tot), fl AS (SELECT lang, score AS f FROM pro WHERE gram IS NULL),
+  lk AS (SELECT doc_id, al.lang, sum(n * coalesce(score, f)) AS s, sum(n) AS g FROM al JOIN fl ON fl.lang = al.lang LEFT JOIN pro ON pro.lang = al.lang AND pro.gram = al.gram GROUP BY ALL),
+  be AS (SELECT doc_id, lang FROM lk WHERE g >= 20 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1)
+  SELECT doc_id, be.lang AS lang_found FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN be USING (doc_id)""")
+def detected_languages(spark, d):
+    return LG.detect_languages(table(spark, d, "documents").select("doc_id", "text"), profiles(spark, d), "doc_id")
+
+
 # Scores on the audited record: link health and robots rules count, so "broken" and "indexable" pass or fail.
 AUDITED = [x for x in PILLARS if x[:2] not in (("TECH", "broken"), ("TECH", "indexable"))] + [
     passed("TECH", "broken", "n_broken = 0", 5, "Fix broken internal links."),

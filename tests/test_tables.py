@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagelens.functions.exprs import blank_to_null
 from pagelens.operators import domains as D
 from pagelens.operators import grams as GR
+from pagelens.operators import languages as LG
 from pagelens.operators import links as G
 from pagelens.operators import page_rows as P
 from pagelens.operators import recommend as R
@@ -247,6 +248,16 @@ def test_sites_and_links_by_suffix(spark, page):
     assert [r.site for r in D.pages_by_domain(s, rules).collect()] == ["a.co.uk"] and D.pages_by_domain(s, rules).columns == s.columns
 
 
+def test_languages_by_profiles(spark):
+    labelled = [("en", "the house and the river"), ("en", "then there was the other one"), ("de", "der Fluss und das Haus"), ("de", "dann war noch der andere da"), (None, "zzz"), ("xx", "123"), ("de", None)]
+    profiles = LG.language_profiles(spark.createDataFrame(labelled, "lang string, text string"))
+    assert {r.lang for r in profiles.select("lang").distinct().collect()} == {"en", "de"}
+    texts = [(1, "the river and the other house, then"), (2, "UND DER ANDERE FLUSS; das Haus und der"), (3, "the"), (4, None), (5, "12 34"), (None, "the the the the the the the"),
+             (6, "qqqqqqqqqqqqqqqqqqqqqqqqqq"), (7, "the river"), (7, "the other house and the river")]
+    got = {r.k: r.lang_found for r in LG.detect_languages(spark.createDataFrame(texts, "k long, text string"), profiles, "k").collect()}
+    assert got == {1: "en", 2: "de", 3: None, 4: None, 5: None, 6: got[6], 7: "en"} and got[6] in ("en", "de")
+
+
 def test_streams_equal_batch(spark, tmp):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     ev.repartition(4).write.parquet(f"{tmp}/ev")
