@@ -492,6 +492,22 @@ def stem_counts(spark, d):
     return GR.stem_counts(table(spark, d, "documents"), "lang", "doc_id", stop_words=STOP)
 
 
+# Stop words as a table: the tokens of at least a twentieth of the documents.
+STOPS = "st AS (SELECT token AS word, count(DISTINCT doc_id) AS members FROM tok GROUP BY token HAVING count(DISTINCT doc_id) >= CAST(0.05 AS DOUBLE) * (SELECT count(DISTINCT doc_id) FROM documents))"
+
+
+@query("frequent_words", f"WITH {TOK}, {STOPS} SELECT * FROM st")
+def frequent_words(spark, d):
+    return GR.frequent_words(table(spark, d, "documents"), "doc_id", 0.05)
+
+
+@query("stem_counts_stop_table", f"""WITH {TOK}, {STOPS}, cnt AS (SELECT lang, token, count(*) AS n, min({{'d': doc_id, 'i': i}}) AS first_at FROM tok WHERE token NOT IN (SELECT word FROM st) GROUP BY ALL),
+  {_stem_ctes('cnt')} SELECT lang, stem, arg_min(token, first_at) AS word, CAST(sum(n) AS BIGINT) AS n FROM stems GROUP BY ALL""")
+def stem_counts_stop_table(spark, d):
+    docs = table(spark, d, "documents")
+    return GR.stem_counts(docs, "lang", "doc_id", stop_words=GR.frequent_words(docs, "doc_id", 0.05))
+
+
 PTOK = f"ptok AS (SELECT host AS site, page_id, unnest({K.tokens('text')}) AS token, generate_subscripts({K.tokens('text')}, 1) AS i FROM sig)"
 
 
@@ -511,6 +527,16 @@ def site_keywords(spark, d):
     return GR.site_keywords(s, "site", "page_id", stop_words=STOP)
 
 
+@query("site_keywords_stop_table", f"""{W}, {TOK}, {STOPS}, {PTOK}, pgr AS (SELECT site, token, lead(token, 1) OVER w AS t2, lead(token, 2) OVER w AS t3 FROM ptok WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+  cnt AS (SELECT site, token, count(*) AS n FROM ptok WHERE token NOT IN (SELECT word FROM st) GROUP BY ALL), {_stem_ctes('cnt')}
+  SELECT site, 'stem' AS kind, stem AS gram, CAST(sum(n) AS BIGINT) AS n FROM stems GROUP BY ALL HAVING sum(n) > 4
+  UNION ALL SELECT site, 'bigram', concat(token, ' ', t2), count(*) FROM pgr WHERE t2 IS NOT NULL GROUP BY ALL HAVING count(*) > 4
+  UNION ALL SELECT site, 'trigram', concat(token, ' ', t2, ' ', t3), count(*) FROM pgr WHERE t3 IS NOT NULL GROUP BY ALL HAVING count(*) > 4""")
+def site_keywords_stop_table(spark, d):
+    s = signals(spark, d).select(c("host").alias("site"), "page_id", "text")
+    return GR.site_keywords(s, "site", "page_id", stop_words=GR.frequent_words(table(spark, d, "documents"), "doc_id", 0.05))
+
+
 @query("duplicate_documents", """WITH h AS (SELECT doc_id, sha1(text) AS content_hash FROM documents)
   SELECT content_hash, doc_id, count(*) OVER (PARTITION BY content_hash) AS copies, min(doc_id) OVER (PARTITION BY content_hash) AS first_member FROM h
   QUALIFY count(*) OVER (PARTITION BY content_hash) > 1""")

@@ -19,12 +19,33 @@ def default_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def token_counts(texts: DataFrame, key: str, text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+StopWords = list[str] | DataFrame | None  # a short list is embedded, a table (its first column) is joined and may be long
+
+
+def _stop_list(tokens: Column, stop_words: StopWords) -> Column:
+    return T.without_stop_words(tokens, stop_words) if stop_words and not isinstance(stop_words, DataFrame) else tokens
+
+
+def _stop_table(counted: DataFrame, token: str, stop_words: StopWords) -> DataFrame:
+    """Counted tokens that the table does not hold; counts come first, so each token of a key is looked up once."""
+    if not isinstance(stop_words, DataFrame):
+        return counted
+    words = stop_words.select(c(stop_words.columns[0]).alias("_stop")).distinct()
+    return counted.join(words, c(token) == c("_stop"), "left_anti")
+
+
+def frequent_words(texts: DataFrame, member: str, share: float, text: str = "text") -> DataFrame:
+    """``word, members``: tokens of at least that share of the members' texts, as a table of stop words for a corpus."""
+    held = texts.select(member, F.explode(F.array_distinct(T.tokens(text))).alias("word")).distinct()
+    total = texts.agg(F.count_distinct(member).alias("_total"))  # one row
+    return held.groupBy("word").agg(F.count(F.lit(1)).alias("members")).join(F.broadcast(total)).where(c("members") >= F.lit(share) * c("_total")).drop("_total")
+
+
+def token_counts(texts: DataFrame, key: str, text: str = "text", stop_words: StopWords = None) -> DataFrame:
     """``key, token, n``."""
-    toks = T.tokens(text)
-    if stop_words:
-        toks = T.without_stop_words(toks, stop_words)
-    return texts.select(key, F.explode(toks).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    toks = _stop_list(T.tokens(text), stop_words)
+    counted = texts.select(key, F.explode(toks).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    return _stop_table(counted, "token", stop_words)
 
 
 def gram_counts(texts: DataFrame, key: str, n: int, text: str = "text", min_count: int = 1) -> DataFrame:
@@ -34,32 +55,30 @@ def gram_counts(texts: DataFrame, key: str, n: int, text: str = "text", min_coun
     return grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= min_count)
 
 
-def stem_counts(texts: DataFrame, key: str, order: str, text: str = "text", stop_words: list[str] | None = None,
+def stem_counts(texts: DataFrame, key: str, order: str, text: str = "text", stop_words: StopWords = None,
                 min_count: int = 1) -> DataFrame:
     """``key, stem, word, n``: token counts summed by stem; ``word`` is the form seen first.
 
     Tokens are counted before they are stemmed, so a stem is computed once per distinct (key, token); it is a
     built-in expression, so no vocabulary table has to be joined or broadcast.
     """
-    toks = T.tokens(text)
-    if stop_words:
-        toks = T.without_stop_words(toks, stop_words)
+    toks = _stop_list(T.tokens(text), stop_words)
     rows = texts.select(key, F.col(order).alias("_o"), F.posexplode(toks).alias("_p", "token"))
     counted = rows.groupBy(key, "token").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_o", "_p")).alias("_first"))
-    stemmed = T.with_stem(counted, "token")
+    stemmed = T.with_stem(_stop_table(counted, "token", stop_words), "token")
     return stemmed.groupBy(key, "stem").agg(
         F.min_by("token", "_first").alias("word"), F.sum("n").alias("n")).where(c("n") >= min_count)
 
 
-def page_keywords(signals: DataFrame, stop_words: list[str] | None = None, min_count: int = 5) -> DataFrame:
+def page_keywords(signals: DataFrame, stop_words: StopWords = None, min_count: int = 5) -> DataFrame:
     """Stems of a page with at least five occurrences."""
     texts = signals.select("page_id", "text", F.lit(0).alias("_z"))
     return stem_counts(texts, "page_id", "_z", stop_words=stop_words, min_count=min_count)
 
 
 def site_keywords(texts: DataFrame, key: str, order: str | None = None, text: str = "text",
-                  stop_words: list[str] | None = None, more_than: int = 4) -> DataFrame:
+                  stop_words: StopWords = None, more_than: int = 4) -> DataFrame:
     """Stems, bigrams and trigrams with more than four occurrences: ``key, kind, gram, n``.
 
     One pass over the texts gives all three kinds.  N-grams that stay below the threshold are dropped right after
@@ -71,12 +90,13 @@ def site_keywords(texts: DataFrame, key: str, order: str | None = None, text: st
     def kind(name: str, grams) -> Column:
         return F.transform(grams, lambda g: F.struct(F.lit(name).alias("kind"), g.alias("gram")))
 
-    words = T.without_stop_words("_t", stop_words) if stop_words else c("_t")
+    words = _stop_list(c("_t"), stop_words)
     rows = pre.select(key, F.explode(F.concat(
         kind("stem", words), kind("bigram", T.ngrams("_t", 2)), kind("trigram", T.ngrams("_t", 3)))).alias("_r"))
     counted = rows.groupBy(key, c("_r.kind").alias("kind"), c("_r.gram").alias("gram")).agg(
         F.count(F.lit(1)).alias("n")).where((c("kind") == "stem") | (c("n") > more_than))
-    stemmed = T.with_stem(counted.withColumn("_word", F.when(c("kind") == "stem", c("gram"))), "_word")
+    counted = _stop_table(counted.withColumn("_word", F.when(c("kind") == "stem", c("gram"))), "_word", stop_words)
+    stemmed = T.with_stem(counted, "_word")
     return stemmed.groupBy(key, "kind", F.coalesce("stem", "gram").alias("gram")).agg(
         F.sum("n").alias("n")).where(c("n") > more_than)
 

@@ -154,10 +154,11 @@ def cms_match(suggestions: DataFrame, cms_pages: DataFrame) -> DataFrame:
     by_link = urls.join(by["link"].withColumnRenamed("link", "url"), "url").select("url", "cms_id")
     seg = rx(c("url"), r"([^/]*)$")
     n = F.length(seg)
-    # all suffixes of the last segment: linear in its length, and each is an exact key
-    ends = urls.select("url", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seg, i, n)))).alias("slug"))
-    by_slug = ends.where(c("slug") != "").join(by["slug"], "slug").select("url", "cms_id")
+    # suffixes of the last segment in the lengths that slugs have: each is an exact key
+    lengths = by["slug"].agg(F.collect_set(F.length("slug")).alias("_lengths"))  # one row, one entry per length
+    ends = urls.join(F.broadcast(lengths)).select("url", F.explode(F.transform(
+        F.filter("_lengths", lambda k: k <= n), lambda k: F.substring(seg, n - k + 1, k))).alias("slug"))
+    by_slug = ends.join(by["slug"], "slug").select("url", "cms_id")
     return by_link.unionByName(by_slug).groupBy("url").agg(first)
 
 
