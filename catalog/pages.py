@@ -199,11 +199,25 @@ def blocked_pages(spark, d):
     return signals(spark, d).select("page_id", "blocked", "blocked_strict")
 
 
-@query("content_pages", f"{W} SELECT page_id, url FROM sig WHERE NOT ({K.any_of('lower(url)', fv.TECHNICAL_PATTERNS)} OR ends_with(lower(url), '.txt'))")
+TECHNICAL = f"({K.any_of('lower(url)', fv.TECHNICAL_PATTERNS)} OR ends_with(lower(url), '.txt'))"
+LENIENT = "NOT (contains(lower(url), '.xml') OR contains(lower(url), '.txt') OR contains(lower(url), '.rss') OR contains(lower(url), '.atom') OR contains(lower(url), 'sitemap'))"
+CONTENT = f"SELECT page_id, url FROM pgs WHERE NOT {TECHNICAL} OR ({LENIENT} AND site NOT IN (SELECT site FROM pgs WHERE NOT {TECHNICAL}))"
+
+
+@query("content_pages", f"{W}, pgs AS (SELECT page_id, site, url FROM sig) {CONTENT}")
 def content_pages(spark, d):
     return P.content_pages(signals(spark, d)).select("page_id", "url")
 
 
+# All pages of some sites are feeds, and one in three of these ends in .xml.
+FEEDS = "CASE WHEN length(site) % 2 = 0 THEN concat(url, '/feed', CASE WHEN page_id % 3 = 0 THEN '.xml' ELSE '' END) ELSE url END"
+
+
+@query("content_pages_of_feeds", f"{W}, pgs AS (SELECT page_id, site, {FEEDS} AS url FROM sig) {CONTENT}")
+def content_pages_of_feeds(spark, d):
+    return P.content_pages(signals(spark, d).select("page_id", "site", F.expr(FEEDS).alias("url"))).select("page_id", "url")
+
+
 @query("empty_page_default", f"""{W}, want AS (SELECT url FROM pages UNION SELECT concat(url, '/gone') FROM pages)
   SELECT want.url AS url, page_id, coalesce(title, '') AS title, coalesce(word_count, 0) AS word_count, coalesce(len(images), 0) AS n_images FROM want LEFT JOIN sig ON want.url = sig.url""")
 def empty_page_default(spark, d):

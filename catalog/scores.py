@@ -271,13 +271,13 @@ def page_recommendations(spark, d):
 
 
 @query("site_health", f"""{W}, pr AS (SELECT host AS site, min(page_id) % 2 = 0 AS llms, min(page_id) % 3 = 0 AS robots, bool_and(starts_with(url, 'https://')) AS ssl, min(page_id) * 37 % 2000 AS ms, bool_or(viewport IS NOT NULL) AS mob, bool_or(len(jsonld) > 0) AS sd FROM sig GROUP BY host)
-  SELECT site, 'good' AS kind, 'AI Instructions File' AS name, 'llms.txt file found' AS message FROM pr WHERE llms
-  UNION ALL SELECT site, 'issue', 'AI Instructions File', 'llms.txt file not found' FROM pr WHERE NOT llms
-  UNION ALL SELECT site, 'good', 'AI Crawler Permissions', 'Robots.txt allows AI crawlers' FROM pr WHERE robots
-  UNION ALL SELECT site, 'good', 'Security Certificate', 'SSL certificate active' FROM pr WHERE ssl
-  UNION ALL SELECT site, 'good', 'Your page is loading fast', concat('Page loaded in ', ms, 'ms') FROM pr WHERE ms > 0 AND ms < 1000
-  UNION ALL SELECT site, 'good', 'Mobile Optimization', 'Site appears mobile-friendly' FROM pr WHERE mob
-  UNION ALL SELECT site, 'good', 'Structured Data', 'Structured data found' FROM pr WHERE sd""")
+  SELECT site, 'good' AS kind, 'AI Instructions File' AS name, 'llms.txt file found' AS message, CAST(NULL AS VARCHAR) AS priority FROM pr WHERE llms
+  UNION ALL SELECT site, 'issue', 'AI Instructions File', 'llms.txt file not found', 'high' FROM pr WHERE NOT llms
+  UNION ALL SELECT site, 'good', 'AI Crawler Permissions', 'Robots.txt allows AI crawlers', NULL FROM pr WHERE robots
+  UNION ALL SELECT site, 'good', 'Security Certificate', 'SSL certificate active', NULL FROM pr WHERE ssl
+  UNION ALL SELECT site, 'good', 'Your page is loading fast', concat('Page loaded in ', ms, 'ms'), NULL FROM pr WHERE ms > 0 AND ms < 1000
+  UNION ALL SELECT site, 'good', 'Mobile Optimization', 'Site appears mobile-friendly', NULL FROM pr WHERE mob
+  UNION ALL SELECT site, 'good', 'Structured Data', 'Structured data found', NULL FROM pr WHERE sd""")
 def site_health(spark, d):
     s = host_signals(spark, d)
     k = F.min("page_id")

@@ -332,16 +332,16 @@ def nap_consistency(signals: DataFrame) -> DataFrame:
 
 
 def site_health(probes: DataFrame) -> DataFrame:
-    """Stored probe results → good things and issues, one row per message."""
-    def row(kind: str, name: str, message, cond: Column) -> Column:
+    """Stored probe results → good things and issues, one row per message; issues have a priority."""
+    def row(kind: str, name: str, message, cond: Column, priority: str | None = None) -> Column:
         text = message if isinstance(message, Column) else F.lit(message)
-        return F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), text.alias("message")))
+        return F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), text.alias("message"), F.lit(priority).cast("string").alias("priority")))
 
     fast = (c("page_speed_ms") > 0) & (c("page_speed_ms") < 1000)
     speed = F.concat(F.lit("Page loaded in "), c("page_speed_ms").cast("string"), F.lit("ms"))
     rows = F.array_compact(F.array(
         row("good", fv.TEXTS["ai_instructions_file_2"], "llms.txt file found", c("llms_txt")),
-        row("issue", fv.TEXTS["ai_instructions_file_2"], "llms.txt file not found", ~c("llms_txt")),
+        row("issue", fv.TEXTS["ai_instructions_file_2"], "llms.txt file not found", ~c("llms_txt"), "high"),
         row("good", fv.TEXTS["ai_crawler_permissions_2"], fv.TEXTS["robots_txt_allows_ai"], c("robots_txt")),
         row("good", fv.TEXTS["security_certificate_2"], fv.TEXTS["ssl_certificate_active_2"], c("ssl")),
         row("good", fv.TEXTS["your_page_is_loading"], speed, fast),

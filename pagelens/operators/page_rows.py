@@ -461,5 +461,10 @@ def product_lines(texts: DataFrame, key: str, text: str = "text", order: str = "
 
 
 def content_pages(signals: DataFrame) -> DataFrame:
-    """Pages that are no technical files; sites with nothing else keep what the lenient rule allows."""
-    return signals.where(~U.is_technical("url"))
+    """Pages that are no technical files; sites with nothing else keep what the lenient rule allows.
+
+    Only technical pages are looked up by site; all others pass straight through.
+    """
+    content = signals.where(~U.is_technical("url"))
+    doubtful = signals.where(U.is_technical("url") & ~U.is_technical_strict("url"))
+    return content.unionByName(doubtful.join(content.select("site").distinct(), "site", "left_anti").select(signals.columns))
