@@ -37,8 +37,8 @@ def _stop_table(counted: DataFrame, token: str, stop_words: StopWords) -> DataFr
 def frequent_words(texts: DataFrame, member: str, share: float, text: str = "text") -> DataFrame:
     """``word, members``: tokens of at least that share of the members' texts, as a table of stop words for a corpus."""
     held = texts.select(member, F.explode(F.array_distinct(T.tokens(text))).alias("word")).distinct()
-    total = texts.agg(F.count_distinct(member).alias("_total"))  # one row
-    return held.groupBy("word").agg(F.count(F.lit(1)).alias("members")).join(F.broadcast(total)).where(c("members") >= F.lit(share) * c("_total")).drop("_total")
+    total = texts.agg(F.count_distinct(member)).scalar()
+    return held.groupBy("word").agg(F.count(F.lit(1)).alias("members")).where(c("members") >= F.lit(share) * total)
 
 
 def token_counts(texts: DataFrame, key: str, text: str = "text", stop_words: StopWords = None) -> DataFrame:

@@ -29,8 +29,7 @@ def language_profiles(labelled: DataFrame) -> DataFrame:
     Texts without a language are left out.  A language whose texts have no letters has no profile.
     """
     counts = trigram_counts(labelled.where(c("lang").isNotNull()), ["lang"])
-    kinds = counts.agg(F.count_distinct("gram").alias("kinds"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).join(F.broadcast(kinds))  # one row
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("kinds", counts.agg(F.count_distinct("gram")).scalar())
     score = lambda n: F.round(1000 * F.log((n + HALF) / (c("total") + HALF * c("kinds")))).cast("long")
     known = counts.join(totals, "lang").select("lang", "gram", score(c("n")).alias("score"))
     return known.unionByName(totals.select("lang", F.lit(None).cast("string").alias("gram"), score(F.lit(0)).alias("score")))
@@ -48,7 +47,9 @@ def detect_languages(texts: DataFrame, profiles: DataFrame, key: str, *, min_gra
     total = counts.groupBy(key).agg(F.sum("n").alias("grams"))
     # what a text scores above the score of trigrams that the language lacks; that part is the same for each of its trigrams
     gained = counts.join(above, "gram").groupBy(key, "lang").agg(F.sum(c("n") * c("above")).alias("gain"))
-    scored = total.where(c("grams") >= min_grams).join(F.broadcast(floor)).join(gained, [key, "lang"], "left")  # a row per language
+    floors = floor.agg(F.collect_list(F.struct("lang", "floor"))).scalar()  # an entry per language
+    each = total.where(c("grams") >= min_grams).select(key, "grams", floors.alias("_f")).select(key, "grams", F.explode("_f").alias("_f")).select(key, "grams", "_f.*")
+    scored = each.join(gained, [key, "lang"], "left")
     value = c("grams") * c("floor") + F.coalesce("gain", F.lit(0))
     best = scored.groupBy(key).agg(F.min(F.struct((-value).alias("less"), "lang"))["lang"].alias("lang_found"))
     return texts.select(key).where(c(key).isNotNull()).distinct().join(best, key, "left")
