@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -94,3 +95,9 @@ def texts(condition, *values) -> Column:
     """ARRAY<STRING> of the given texts when the condition holds, else an empty one."""
     items = F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values])
     return F.when(condition, items).otherwise(F.array().cast("array<string>"))
+
+
+def message(template: str, **slots: Column) -> Column:
+    """Literal template with ``{name}`` slots as one concat of literals and columns; null where a slot is null."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[slots[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces) if i % 2 or p])

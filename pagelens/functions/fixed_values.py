@@ -355,17 +355,21 @@ VISIBILITY_ADVICE = {
              "Focus on long-tail questions and detailed answers"],
 }
 
-# --- fixed values: task, warning, advice and message texts (whole, or the fixed part in front of a value)
+# --- fixed values: task, warning, advice and message texts, whole, with {slots} for values
 TEXTS = {
-    "image_missing_alt_tag": 'Image missing alt tag: ',
-    "anchor_missing_title_tag": 'Anchor missing title tag: ',
-    "anchor_text_contains_generic": 'Anchor text contains generic text: ',
-    "keywords_should_be_avoided": 'Keywords should be avoided as they are a spam indicator and no longer used by Search Engines: ',
-    "title_tag_is_too": 'Title tag is too short (less than 10 characters): ',
-    "title_tag_is_too_long": 'Title tag is too long (more than 70 characters): ',
+    "image_missing_alt_tag": 'Image missing alt tag: {src}',
+    "anchor_missing_title_tag": 'Anchor missing title tag: {href}',
+    "anchor_text_contains_generic": 'Anchor text contains generic text: {text}',
+    "keywords_should_be_avoided": 'Keywords should be avoided as they are a spam indicator and no longer used by Search Engines: {keywords}',
+    "title_tag_is_too": 'Title tag is too short (less than 10 characters): {title}',
+    "title_tag_is_too_long": 'Title tag is too long (more than 70 characters): {title}',
+    "missing_title_tag": 'Missing title tag',
+    "no_title": 'No Title',
     "missing_description_2": 'Missing description',
-    "description_is_too_short": 'Description is too short (less than 140 characters): ',
-    "description_is_too_long": 'Description is too long (more than 255 characters): ',
+    "description_is_too_short": 'Description is too short (less than 140 characters): {meta}',
+    "description_is_too_long": 'Description is too long (more than 255 characters): {meta}',
+    "missing_og_title": 'Missing og:title',
+    "missing_og_image": 'Missing og:image',
     "missing_og_description_2": 'Missing og:description',
     "each_page_should_have": 'Each page should have at least one h1 tag',
     "embed_google_maps_pin": 'Embed Google Maps pin on contact/hero area.',
@@ -373,12 +377,12 @@ TEXTS = {
     "fix_title_include_main": 'Fix title: include main keyword, keep <=60 chars.',
     "add_shorten_h1_and": 'Add/shorten H1 and include main keyword.',
     "fix_meta_description_50": 'Fix meta description: 50-160 chars, include keyword + city.',
-    "add_more_copy_500": 'Add more copy (>=500 words). Current: ~',
+    "add_more_copy_500": 'Add more copy (>=500 words). Current: ~{n} words.',
     "add_3_internal_links": 'Add >=3 internal links to relevant pages.',
     "enable_https_redirect_http": 'Enable HTTPS (redirect http -> https).',
     "make_page_mobile_friendly": 'Make page mobile-friendly (viewport, responsive css).',
     "add_descriptive_alt_text": 'Add descriptive ALT text to images.',
-    "add_open_graph_meta": 'Add Open Graph meta tags (',
+    "add_open_graph_meta": 'Add Open Graph meta tags ({names}).',
     "add_clear_q_a": 'Add clear Q&A/FAQ or summary answers near the top.',
     "add_json_ld_with": 'Add JSON-LD with @context and @type.',
     "add_relevant_schema_faqpage": 'Add relevant schema (FAQPage/HowTo/Service/Product/Article).',
@@ -395,7 +399,9 @@ TEXTS = {
     "add_canonical_link_to": 'Add canonical link to consolidate duplicates.',
     "fix_broken_internal_links": 'Fix broken internal links.',
     "ensure_important_pages_are": 'Ensure important pages are not blocked or noindex.',
-    "add_descriptive_alt_text_to_2": 'Add descriptive alt text to ',
+    "add_alt_text_to": 'Add alt text to {n} images',
+    "add_descriptive_alt_text_to_images": 'Add descriptive alt text to {n} images',
+    "add_descriptive_alt_text_for_ai": 'Add descriptive alt text to {n} images for better AI understanding',
     "implement_hreflang_tags_for": 'Implement hreflang tags for multilingual targeting',
     "add_more_hreflang_tags": 'Add more hreflang tags for complete multilingual coverage',
     "complete_nap_information_add": 'Complete NAP information - add missing phone or address',
@@ -418,15 +424,19 @@ TEXTS = {
     "add_geographic_targeting_signals": 'Add geographic targeting signals in content and titles',
     "include_local_business_keywords": 'Include local business keywords in content and titles',
     "ai_instructions_file_2": 'AI Instructions File',
+    "llms_txt_file_found": 'llms.txt file found',
+    "llms_txt_file_not_found": 'llms.txt file not found',
     "ai_crawler_permissions_2": 'AI Crawler Permissions',
     "robots_txt_allows_ai": 'Robots.txt allows AI crawlers',
     "security_certificate_2": 'Security Certificate',
     "ssl_certificate_active_2": 'SSL certificate active',
     "your_page_is_loading": 'Your page is loading fast',
+    "page_loaded_in": 'Page loaded in {ms}ms',
     "mobile_optimization_2": 'Mobile Optimization',
     "site_appears_mobile_friendly": 'Site appears mobile-friendly',
+    "structured_data": 'Structured Data',
     "structured_data_found_2": 'Structured data found',
-    "priority_improve_2": 'Priority: Improve ',
+    "priority_improve_2": 'Priority: Improve {signal} (only {share}% coverage)',
     "add_faq_section_with_common": 'Add FAQ section with common customer questions',
     "include_questions_like_what": "Include questions like 'What services do you offer?' and 'How can I contact you?'",
     "add_more_q_a": 'Add more Q&A pairs (aim for 5-10 common questions)',
@@ -439,15 +449,24 @@ TEXTS = {
     "include_question_words_how_what": 'Include question words (how, what, why) for AI optimization',
     "complete_nap_name_address": 'Complete NAP (Name, Address, Phone) information',
     "include_location_specific_keywords": 'Include location-specific keywords',
-    "what_services_do_we": 'What services do we offer? ',
+    "what_services_do_we": 'What services do we offer? {meta}',
     "descriptive_image_of_the": 'Descriptive image of the page topic.',
-    "product_image_for_2": 'Product image for ',
+    "logo_for": 'Logo for {title}',
+    "the_website": 'the website',
+    "product_image_for_2": 'Product image for {title}',
+    "the_product": 'the product',
+    "team_member_photo": 'Team member photo',
     "office_or_building_image": 'Office or building image',
-    "brand_is_mentioned_but": "Brand is mentioned but competitors dominate. Create comparison content: 'Why ",
+    "image_related_to": 'Image related to {title}',
+    "the_content": 'the content',
+    "learn_more_about_our": '{meta} Learn more about our services and solutions.',
+    "what_is": 'What is {meta}?',
+    "brand_is_mentioned_but": "Brand is mentioned but competitors dominate. Create comparison content: 'Why {brand} > {rival}'.",
     "excellent_brand_is_mentioned": 'Excellent! Brand is mentioned without competitors. Maintain this visibility.',
-    "brand_is_missing_from": "Brand is missing from AI responses. Create content targeting: '",
+    "brand_is_missing_from": "Brand is missing from AI responses. Create content targeting: '{query}' with clear {brand} positioning.",
     "no_action_needed_brand": 'No action needed - brand is well represented.',
-    "brand_missing_from_answer": "Brand missing from answer. Create FAQ schema and blog content targeting: '",
-    "brand_not_visible_create": "Brand not visible. Create comprehensive content strategy targeting: '",
+    "brand_missing_from_answer": "Brand missing from answer. Create FAQ schema and blog content targeting: '{query}'.",
+    "brand_not_visible_create": "Brand not visible. Create comprehensive content strategy targeting: '{query}' with FAQ schema and blog posts.",
+    "maximum_queries_allowed": 'Maximum {limit} queries allowed',
     "some_selected_queries_not": 'Some selected queries not found',
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import structured as J
 from ..functions import urls as U
-from ..functions.exprs import any_of, rx_sub
+from ..functions.exprs import any_of, message, rx_sub
 from .page_rows import question_headings_array, section_pairs, snippet_score
 
 c = F.col
@@ -92,13 +92,12 @@ def pillar_checks() -> list[Check]:
         seo("title", n_title.between(1, 60), fv.TEXTS["fix_title_include_main"]),
         seo("h1", n_h1.between(1, 70), fv.TEXTS["add_shorten_h1_and"]),
         seo("meta", n_meta.between(50, 160), fv.TEXTS["fix_meta_description_50"]),
-        seo("words", wc >= 500, F.concat(F.lit(fv.TEXTS["add_more_copy_500"]), wc.cast("string"),
-                                         F.lit(" words."))),
+        seo("words", wc >= 500, message(fv.TEXTS["add_more_copy_500"], n=wc.cast("string"))),
         seo("links", c("n_internal") >= 3, fv.TEXTS["add_3_internal_links"]),
         seo("https", c("f_https"), fv.TEXTS["enable_https_redirect_http"]),
         seo("viewport", ~c("f_viewport_missing"), fv.TEXTS["make_page_mobile_friendly"]),
         seo("alt", ~c("f_alt_missing"), fv.TEXTS["add_descriptive_alt_text"]),
-        seo("open_graph", ~og_any, F.concat(F.lit(fv.TEXTS["add_open_graph_meta"]), og_list, F.lit(")."))),
+        seo("open_graph", ~og_any, message(fv.TEXTS["add_open_graph_meta"], names=og_list)),
         aeo("answers", (wc >= 600) & (c("f_h1") != ""), fv.TEXTS["add_clear_q_a"]),
         aeo("jsonld", c("f_schema").contains('"@context"') & c("f_schema").contains('"@type"'),
             fv.TEXTS["add_json_ld_with"]),
@@ -164,8 +163,8 @@ def answer_checks() -> list[Check]:
     share = c("f_alt_share")
     alt_points = F.when(share >= 90, 15).when(share >= 70, 10).otherwise(5)
     alt_task = F.when(share >= 90, F.lit(None)).when(
-        share >= 70, F.concat(F.lit("Add alt text to "), n_alt, F.lit(" images"))).otherwise(
-        F.concat(F.lit(fv.TEXTS["add_descriptive_alt_text_to_2"]), n_alt, F.lit(" images for better AI understanding")))
+        share >= 70, message(fv.TEXTS["add_alt_text_to"], n=n_alt)).otherwise(
+        message(fv.TEXTS["add_descriptive_alt_text_for_ai"], n=n_alt))
     n_lang = F.size("hreflang")
     lang_points = F.when(n_lang >= 2, 25).when(n_lang == 1, 15).otherwise(0)
     lang_task = F.when(n_lang == 0, F.lit(fv.TEXTS["implement_hreflang_tags_for"])).when(
@@ -338,14 +337,14 @@ def site_health(probes: DataFrame) -> DataFrame:
         return F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), text.alias("message"), F.lit(priority).cast("string").alias("priority")))
 
     fast = (c("page_speed_ms") > 0) & (c("page_speed_ms") < 1000)
-    speed = F.concat(F.lit("Page loaded in "), c("page_speed_ms").cast("string"), F.lit("ms"))
+    speed = message(fv.TEXTS["page_loaded_in"], ms=c("page_speed_ms").cast("string"))
     rows = F.array_compact(F.array(
-        row("good", fv.TEXTS["ai_instructions_file_2"], "llms.txt file found", c("llms_txt")),
-        row("issue", fv.TEXTS["ai_instructions_file_2"], "llms.txt file not found", ~c("llms_txt"), "high"),
+        row("good", fv.TEXTS["ai_instructions_file_2"], fv.TEXTS["llms_txt_file_found"], c("llms_txt")),
+        row("issue", fv.TEXTS["ai_instructions_file_2"], fv.TEXTS["llms_txt_file_not_found"], ~c("llms_txt"), "high"),
         row("good", fv.TEXTS["ai_crawler_permissions_2"], fv.TEXTS["robots_txt_allows_ai"], c("robots_txt")),
         row("good", fv.TEXTS["security_certificate_2"], fv.TEXTS["ssl_certificate_active_2"], c("ssl")),
         row("good", fv.TEXTS["your_page_is_loading"], speed, fast),
         row("good", fv.TEXTS["mobile_optimization_2"], fv.TEXTS["site_appears_mobile_friendly"], c("mobile_friendly")),
-        row("good", "Structured Data", fv.TEXTS["structured_data_found_2"], c("structured_data")),
+        row("good", fv.TEXTS["structured_data"], fv.TEXTS["structured_data_found_2"], c("structured_data")),
     ))
     return probes.select("site", F.explode(rows).alias("r")).select("site", "r.*")

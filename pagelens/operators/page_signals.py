@@ -15,7 +15,7 @@ from ..functions import html as H
 from ..functions import structured as J
 from ..functions import text as T
 from ..functions import urls as U
-from ..functions.exprs import any_of, as_col, count_of, rx, texts
+from ..functions.exprs import any_of, as_col, count_of, message, rx, texts
 
 EDGE = r"[^\p{L}\p{N}_]"
 PHONE = r"(?:\+\d{1,3}\s?)?(?:\(?\d{1,4}\)?[\s.\-]?)\d{3,4}[\s.\-]?\d{3,4}"
@@ -117,29 +117,29 @@ def _warnings() -> Column:
     """Warning texts in the order the page is checked."""
     c = F.col
     low_title, low_meta = F.lower(c("title")), F.lower(F.coalesce(c("meta"), F.lit("")))
-    shown_title = F.when(c("has_title_tag"), low_title).otherwise(F.lit("No Title"))
+    shown_title = F.when(c("has_title_tag"), low_title).otherwise(F.lit(fv.TEXTS["no_title"]))
     n_title, n_meta = F.length(shown_title), F.length(low_meta)
     bad_alt = F.transform(F.filter(c("images"), lambda i: i["alt"] == ""),
-                          lambda i: F.concat(F.lit(fv.TEXTS["image_missing_alt_tag"]), F.lower(i["src"])))
+                          lambda i: message(fv.TEXTS["image_missing_alt_tag"], src=F.lower(i["src"])))
     per_anchor = F.flatten(F.transform(c("anchors"), lambda a: F.concat(
-        texts(F.coalesce(a["title"], F.lit("")) == "", F.concat(F.lit(fv.TEXTS["anchor_missing_title_tag"]), a["href"])),
+        texts(F.coalesce(a["title"], F.lit("")) == "", message(fv.TEXTS["anchor_missing_title_tag"], href=a["href"])),
         texts(F.lower(a["text"]).isin(fv.GENERIC_ANCHORS),
-              F.concat(F.lit(fv.TEXTS["anchor_text_contains_generic"]), F.lower(a["text"]))),
+              message(fv.TEXTS["anchor_text_contains_generic"], text=F.lower(a["text"]))),
     )))
     return F.concat(
         texts(c("meta_keywords").isNotNull(),
-              F.concat(F.lit(fv.TEXTS["keywords_should_be_avoided"]), F.coalesce(F.lower(c("meta_keywords")), F.lit("")))),
-        texts(n_title == 0, "Missing title tag"),
+              message(fv.TEXTS["keywords_should_be_avoided"], keywords=F.coalesce(F.lower(c("meta_keywords")), F.lit("")))),
+        texts(n_title == 0, fv.TEXTS["missing_title_tag"]),
         texts((n_title > 0) & (n_title < 10),
-              F.concat(F.lit(fv.TEXTS["title_tag_is_too"]), shown_title)),
-        texts(n_title > 70, F.concat(F.lit(fv.TEXTS["title_tag_is_too_long"]), shown_title)),
+              message(fv.TEXTS["title_tag_is_too"], title=shown_title)),
+        texts(n_title > 70, message(fv.TEXTS["title_tag_is_too_long"], title=shown_title)),
         texts(n_meta == 0, fv.TEXTS["missing_description_2"]),
         texts((n_meta > 0) & (n_meta < 140),
-              F.concat(F.lit(fv.TEXTS["description_is_too_short"]), low_meta)),
-        texts(n_meta > 255, F.concat(F.lit(fv.TEXTS["description_is_too_long"]), low_meta)),
-        texts(~_has_og("og:title"), "Missing og:title"),
+              message(fv.TEXTS["description_is_too_short"], meta=low_meta)),
+        texts(n_meta > 255, message(fv.TEXTS["description_is_too_long"], meta=low_meta)),
+        texts(~_has_og("og:title"), fv.TEXTS["missing_og_title"]),
         texts(~_has_og("og:description"), fv.TEXTS["missing_og_description_2"]),
-        texts(~_has_og("og:image"), "Missing og:image"),
+        texts(~_has_og("og:image"), fv.TEXTS["missing_og_image"]),
         per_anchor,
         bad_alt,
         texts(F.size("h1") == 0, fv.TEXTS["each_page_should_have"]),

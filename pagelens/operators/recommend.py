@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed_values as fv
 from ..functions import text as T
 from ..functions import urls as U
-from ..functions.exprs import any_of, texts
+from ..functions.exprs import any_of, message, texts
 from .page_rows import text_pairs
 from .site import primary_keyword_col
 
@@ -17,18 +17,8 @@ c = F.col
 
 
 def fill(template: str, **slots: Column) -> Column:
-    """Literal template with ``{name}`` slots → one concat of literals and columns."""
-    parts: list[Column] = []
-    rest = template
-    while "{" in rest:
-        before, after = rest.split("{", 1)
-        name, rest = after.split("}", 1)
-        if before:
-            parts.append(F.lit(before))
-        parts.append(F.coalesce(slots[name], F.lit("")))
-    if rest:
-        parts.append(F.lit(rest))
-    return F.concat(*parts)
+    """``message`` with an empty string for a slot that is null."""
+    return message(template, **{k: F.coalesce(v, F.lit("")) for k, v in slots.items()})
 
 
 # --- queries and keywords ------------------------------------------------------------------------
@@ -132,9 +122,9 @@ def site_recommendations(coverage: DataFrame, mean_scores: DataFrame) -> DataFra
     lowest = coverage.groupBy("site", "pillar").agg(
         F.min(F.struct(c("coverage"), order.alias("o"), c("check"))).alias("m"))
     priority = lowest.where(c("m.coverage") < 30).select(
-        "site", F.lit("priority").alias("kind"), F.concat(
-            F.lit(fv.TEXTS["priority_improve_2"]), F.replace(c("m.check"), F.lit("_"), F.lit(" ")), F.lit(" (only "),
-            c("m.coverage").cast("string"), F.lit("% coverage)")).alias("advice"))
+        "site", F.lit("priority").alias("kind"), message(
+            fv.TEXTS["priority_improve_2"], signal=F.replace(c("m.check"), F.lit("_"), F.lit(" ")),
+            share=c("m.coverage").cast("string")).alias("advice"))
     wins = mean_scores.select("site", F.explode(F.concat(
         texts(c("aeo") < 70, *fv.QUICK_WINS["aeo"]), texts(c("geo") < 70, *fv.QUICK_WINS["geo"]))).alias("advice")
     ).select("site", F.lit("quick_win").alias("kind"), "advice")
@@ -163,7 +153,7 @@ def faq_advice(has_words: Column, n_pairs: Column, has_schema: Column) -> Column
 
 def alt_advice(n_missing: Column) -> Column:
     return texts(n_missing > 0,
-                 F.concat(F.lit(fv.TEXTS["add_descriptive_alt_text_to_2"]), n_missing.cast("string"), F.lit(" images")),
+                 message(fv.TEXTS["add_descriptive_alt_text_to_images"], n=n_missing.cast("string")),
                  fv.TEXTS["use_specific_descriptive_alt"],
                  fv.TEXTS["avoid_generic_alt_text"],
                  fv.TEXTS["include_relevant_keywords_in"])
@@ -196,12 +186,12 @@ def optimize_meta(meta: Column) -> Column:
     """Padded, cut or rewritten as a question."""
     n, asks, words = _meta_flags(meta)
     low = F.lower(meta)
-    sized = F.when(n < 150, F.concat(meta, F.lit(" Learn more about our services and solutions."))).when(
+    sized = F.when(n < 150, message(fv.TEXTS["learn_more_about_our"], meta=meta)).when(
         n > 160, F.concat(F.substring(meta, 1, 157), F.lit("..."))).otherwise(meta)
     return (F.when(meta == "", F.lit(""))
-            .when(~asks & ~words & low.contains("service"), F.concat(F.lit(fv.TEXTS["what_services_do_we"]), meta))
+            .when(~asks & ~words & low.contains("service"), message(fv.TEXTS["what_services_do_we"], meta=meta))
             .when(~asks & ~words & low.contains("about"),
-                  F.concat(F.lit("What is "), F.replace(low, F.lit("about"), F.lit("")), F.lit("?")))
+                  message(fv.TEXTS["what_is"], meta=F.replace(low, F.lit("about"), F.lit(""))))
             .otherwise(sized))
 
 
@@ -246,7 +236,7 @@ def page_advice(signals: DataFrame) -> DataFrame:
     aeo = F.concat(
         texts(~c("has_faq_content"), fv.TEXTS["add_faq_section_with_common"]),
         texts(~c("has_faq_schema"), fv.TEXTS["add_faq_schema_markup"]),
-        texts(c("n_missing") > 0, F.concat(F.lit("Add alt text to "), c("n_missing").cast("string"), F.lit(" images"))),
+        texts(c("n_missing") > 0, message(fv.TEXTS["add_alt_text_to"], n=c("n_missing").cast("string"))),
         meta_advice(c("meta")))
     kinds = {
         "faq": faq, "alt": alt_advice(c("n_missing")), "meta": meta_advice(c("meta")),
@@ -323,12 +313,12 @@ def alt_suggestions_by_name(signals: DataFrame) -> DataFrame:
     """Variant that goes by words in the file name."""
     rows = signals.select("page_id", "site", "title", F.explode(F.filter("images", lambda i: i["alt"] == "")).alias("img"))
     low = F.lower("img.src")
-    or_else = lambda d: F.coalesce(F.nullif("title", F.lit("")), F.lit(d))
-    made = (F.when(low.contains("logo"), F.concat(F.lit("Logo for "), or_else("the website")))
-            .when(low.contains("product"), F.concat(F.lit(fv.TEXTS["product_image_for_2"]), or_else("the product")))
-            .when(any_of(low, ["team", "staff"]), F.lit("Team member photo"))
+    or_else = lambda d: F.coalesce(F.nullif("title", F.lit("")), F.lit(fv.TEXTS[d]))
+    made = (F.when(low.contains("logo"), message(fv.TEXTS["logo_for"], title=or_else("the_website")))
+            .when(low.contains("product"), message(fv.TEXTS["product_image_for_2"], title=or_else("the_product")))
+            .when(any_of(low, ["team", "staff"]), F.lit(fv.TEXTS["team_member_photo"]))
             .when(any_of(low, ["office", "building"]), F.lit(fv.TEXTS["office_or_building_image"]))
-            .otherwise(F.concat(F.lit("Image related to "), or_else("the content"))))
+            .otherwise(message(fv.TEXTS["image_related_to"], title=or_else("the_content"))))
     return rows.select("page_id", "site", c("img.src").alias("src"), made.alias("suggested_alt"))
 
 

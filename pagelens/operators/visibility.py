@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fv
 from ..functions import text as T
-from ..functions.exprs import as_col, count_of, entries
+from ..functions.exprs import as_col, count_of, entries, message
 from .page_rows import next_words
 
 c = F.col
@@ -150,20 +150,16 @@ def answer_advice(query, brand, mentioned: Column, first_competitor: Column, sto
     """Message by (brand mentioned, competitors present)."""
     query, brand = as_col(query), as_col(brand)
     rivals = F.coalesce(first_competitor, F.lit("")) != ""
-    versus = F.concat(F.lit(fv.TEXTS["brand_is_mentioned_but"]), brand,
-                      F.lit(" > "), first_competitor, F.lit("'."))
+    versus = message(fv.TEXTS["brand_is_mentioned_but"], brand=brand, rival=first_competitor)
     if stored:
         return (F.when(mentioned & ~rivals,
                        F.lit(fv.TEXTS["excellent_brand_is_mentioned"]))
                 .when(mentioned, versus)
-                .otherwise(F.concat(F.lit(fv.TEXTS["brand_is_missing_from"]), query,
-                                    F.lit("' with clear "), brand, F.lit(" positioning."))))
+                .otherwise(message(fv.TEXTS["brand_is_missing_from"], query=query, brand=brand)))
     return (F.when(mentioned & ~rivals, F.lit(fv.TEXTS["no_action_needed_brand"]))
             .when(mentioned, versus)
-            .when(rivals, F.concat(F.lit(fv.TEXTS["brand_missing_from_answer"]),
-                                   query, F.lit("'.")))
-            .otherwise(F.concat(F.lit(fv.TEXTS["brand_not_visible_create"]), query,
-                                F.lit("' with FAQ schema and blog posts."))))
+            .when(rivals, message(fv.TEXTS["brand_missing_from_answer"], query=query))
+            .otherwise(message(fv.TEXTS["brand_not_visible_create"], query=query)))
 
 
 def answer_report(answers: DataFrame, stored: bool = False) -> DataFrame:
@@ -187,7 +183,7 @@ def select_queries(queries: DataFrame, chosen: DataFrame, limit: int = 8) -> tup
         F.count(F.lit(1)).alias("missing"))
     sizes = wanted.groupBy("site").agg(F.count(F.lit(1)).alias("chosen"))
     errors = sizes.join(missing, "site", "left").select(
-        "site", F.when(c("chosen") > limit, F.lit(f"Maximum {limit} queries allowed"))
+        "site", F.when(c("chosen") > limit, message(fv.TEXTS["maximum_queries_allowed"], limit=F.lit(str(limit))))
         .when(c("missing") > 0, F.lit(fv.TEXTS["some_selected_queries_not"])).alias("error")).where(c("error").isNotNull())
     return picked.join(errors.select("site"), "site", "left_anti"), errors
 
