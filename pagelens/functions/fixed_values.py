@@ -222,6 +222,7 @@ FUNNEL_STEPS = ["website", "site_health", "description", "prompts", "competitors
 
 # --- fixed values: limits -----------------------------------------------------------------------
 MAX_FAQ_PER_PAGE = 25
+MAX_TOP_TASKS = 25
 MAX_SITE_TASKS = 20
 MAX_PAGE_TASKS = 3
 

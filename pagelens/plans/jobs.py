@@ -46,15 +46,24 @@ def site_profile(signals: DataFrame) -> DataFrame:
     return A.profile(signals)
 
 
-def audit_sites(pages: DataFrame, root: str | None = None) -> dict[str, DataFrame]:
-    """Profile and distinct signals of every site; written below ``root`` when one is given."""
-    signals = page_signals(pages)
+def _signals(pages: DataFrame) -> DataFrame:
+    """Signals of pages; a table that holds them already is taken as it is."""
+    return pages if "word_count" in pages.columns else page_signals(pages)
+
+
+def audit_sites(pages: DataFrame, root: str | None = None, run: str = "current") -> dict[str, DataFrame]:
+    """Profile and distinct signals of every site; written below ``root`` when one is given.
+
+    All tables there hold one part per ``run`` (say, the crawl's date), which a repeated run replaces as a whole, so that
+    running twice, or once more after a failure, leaves the same tables.
+    """
+    signals = _signals(pages)
     out = {"profile": site_profile(signals), "signals": site_signals(signals)}
     if root:
-        io.write_table(signals, f"{root}/page_signals", mode="overwrite")
-        stored = pages.sparkSession.read.parquet(f"{root}/page_signals")
+        io.write_run(signals, f"{root}/page_signals", run)
+        stored = io.read_run(pages.sparkSession, f"{root}/page_signals", run).drop("run")
         out = {"profile": site_profile(stored), "signals": site_signals(stored)}
-        io.write_audit(out["profile"], stored.select("site", "page_id", "url", "title", "text"), out["signals"], root)
+        io.write_audit(out["profile"], stored.select("site", "page_id", "url", "title", "text"), out["signals"], root, run)
     return out
 
 
@@ -125,8 +134,8 @@ def score_audit(record: DataFrame, url_status: DataFrame) -> dict[str, DataFrame
 
 
 def audit_aeo_geo(pages: DataFrame, lang: str = "en") -> dict[str, DataFrame]:
-    """Breakdown per page, site scores, coverage, platform and advice."""
-    signals = page_signals(pages)
+    """Breakdown per page, site scores, coverage, platform and advice, of pages or of their signals."""
+    signals = _signals(pages)
     breakdown = C.page_breakdown(signals, lang)
     scores, coverage = A.site_mean_scores(breakdown), A.signal_coverage(signals, lang)
     return {"pages": breakdown, "scores": scores, "coverage": coverage, "platform": A.platform(signals),
@@ -135,7 +144,7 @@ def audit_aeo_geo(pages: DataFrame, lang: str = "en") -> dict[str, DataFrame]:
 
 def audit_page(pages: DataFrame, lang: str = "en") -> dict[str, DataFrame]:
     """The same without the site stage."""
-    signals = page_signals(pages)
+    signals = _signals(pages)
     return {"pages": C.page_breakdown(signals, lang),
             "recommendations": R.page_recommendations(C.check_rows(signals, "breakdown"))}
 

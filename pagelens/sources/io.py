@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,40 +101,84 @@ def ingest_replies(replies: DataFrame, schema: str, raw: str = "raw", length: in
     return parsed.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 
+def generated_queries(replies: DataFrame, raw: str = "raw", wanted: int = 5) -> DataFrame:
+    """``queries`` that a model's reply names: a JSON list of the wanted length as it is, else the reply's lines.
+
+    Lines lose quotation marks; headings (``#``), list points (``-``) and lines of ten characters or fewer do not count, and the
+    first ``wanted`` stay.  The list is empty for a null reply, for broken JSON in brackets and where no line counts: take
+    ``recommend.default_queries`` there.
+    """
+    s = F.trim(F.coalesce(c(raw), F.lit("")), F.lit(" \t\n\r"))
+    none = F.array().cast("array<string>")
+    listed = s.startswith("[") & s.endswith("]")
+    parsed = F.from_json(F.when(listed & F.try_parse_json(s).isNotNull(), s), "array<string>")
+    lines = F.transform(F.split(s, "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
+    lines = F.filter(lines, lambda x: ~x.startswith("#") & ~x.startswith("-"))
+    lines = F.transform(lines, lambda x: F.trim(F.translate(x, "\"'", ""), F.lit(" \t\r")))
+    lines = F.slice(F.filter(lines, lambda x: F.length(x) > 10), 1, wanted)
+    return replies.withColumn("queries", F.when(listed & parsed.isNull(), none).when(F.size(parsed) == wanted, parsed).otherwise(lines))
+
+
 # --- sinks ---------------------------------------------------------------------------------------
 def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: list[str] | None = None) -> None:
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_run(df: DataFrame, path: str, run: str, partition_by: list[str] | None = None) -> None:
+    """Rows of one run below ``path/run=<run>``.  A repeated run replaces all that it wrote before and nothing else, so a job
+    that was ended half-way, or started twice, leaves the same table."""
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run):
+        raise ValueError(f"a run is named by letters, digits and _.-: {run!r}")
+    write_table(df, f"{path}/run={run}", "overwrite", partition_by)
+
+
+def read_run(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """Rows of a table of runs (of one run, if named), with their ``run``; files of other runs are not read."""
+    rows = spark.read.parquet(path)
+    rows = rows.withColumn("run", c("run").cast("string"))
+    return rows if run is None else rows.where(c("run") == run)
+
+
 def with_site_bucket(df: DataFrame, buckets: int = 256) -> DataFrame:
     """Bounded partition column for tables keyed by site (one folder per site would not be bounded)."""
     return df.withColumn("site_bucket", F.pmod(F.xxhash64("site"), F.lit(buckets)).cast("int"))
 
 
-def write_audit(sites: DataFrame, pages: DataFrame, audits: DataFrame, root: str) -> None:
-    """Append sites (known ones are ignored), pages and audits below ``root``."""
+def write_audit(sites: DataFrame, pages: DataFrame, audits: DataFrame, root: str, run: str | None = None) -> None:
+    """Sites (known ones are ignored), pages and audits below ``root``, by site bucket; appended, or as a named run.
+
+    With a ``run``, sites of other runs are the known ones, and a repeated run leaves the same tables (``write_run``).
+    """
     spark = sites.sparkSession
     try:
-        known = spark.read.parquet(f"{root}/sites").select("site").distinct()
-        sites = sites.join(known, "site", "left_anti")
+        known = spark.read.parquet(f"{root}/sites")
+        known = known if run is None else known.where(c("run").cast("string") != run)
+        sites = sites.join(known.select("site").distinct(), "site", "left_anti")
     except Exception as err:  # no table yet
         if "PATH_NOT_FOUND" not in str(err):
             raise
     for name, df in (("pages", pages), ("audits", audits), ("sites", sites)):
-        write_table(with_site_bucket(df), f"{root}/{name}", partition_by=["site_bucket"])
+        _write(with_site_bucket(df), f"{root}/{name}", run, ["site_bucket"])
+
+
+def _write(df: DataFrame, path: str, run: str | None, partition_by: list[str] | None = None) -> None:
+    if run is None:
+        write_table(df, path, partition_by=partition_by)
+    else:
+        write_run(df, path, run, partition_by)
 
 
-def write_scores(scores: DataFrame, root: str) -> None:
-    write_table(scores, f"{root}/scores")
+def write_scores(scores: DataFrame, root: str, run: str | None = None) -> None:
+    _write(scores, f"{root}/scores", run)
 
 
-def write_optimizations(suggestions: DataFrame, root: str) -> None:
-    write_table(suggestions, f"{root}/optimizations")
+def write_optimizations(suggestions: DataFrame, root: str, run: str | None = None) -> None:
+    _write(suggestions, f"{root}/optimizations", run)
 
 
-def write_answers(evaluated: DataFrame, root: str) -> None:
-    write_table(evaluated, f"{root}/query_visibility_results")
+def write_answers(evaluated: DataFrame, root: str, run: str | None = None) -> None:
+    _write(evaluated, f"{root}/query_visibility_results", run)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

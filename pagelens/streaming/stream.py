@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import checks as C
 from ..operators.page_signals import page_signals
@@ -49,3 +50,60 @@ def stream_sessions(events: DataFrame, watermark: str = "1 hour", gap: str = "30
     """Sessions per user, closed by a gap."""
     return _timed(events, ts, watermark).groupBy(F.session_window(ts, gap).alias("w"), user).agg(
         F.count(F.lit(1)).alias("n")).select(user, c("w.start").alias("session_start"), c("w.end").alias("session_end"), "n")
+
+
+# --- sessions with a timer ------------------------------------------------------------------------
+SESSION_STATE = "site_id string, step string, tie long, created long, updated long, done boolean"
+
+
+class AbandonedSessions(StatefulProcessor):
+    """One small row of state per open session; a timer ends it some hours after its first event.
+
+    A session that reaches ``done`` is not reported.  State goes when the timer fires, and events that come later are dropped.
+    Times are microseconds.
+    """
+
+    def __init__(self, done: str, hours: int):
+        self.done, self.wait = done, hours * 3_600_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", SESSION_STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.open.get() if self.open.exists() else None
+        for r in rows:
+            if held is None:
+                held = (r.site_id, r.step, r.event_id, r.at, r.at, r.step == self.done)
+                continue
+            site_id, step, tie, created, updated, done = held
+            if (r.at, r.event_id) > (updated, tie):
+                step, tie, updated = r.step, r.event_id, r.at
+            held = (site_id, step, tie, min(created, r.at), updated, done or r.step == self.done)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-(held[3] + self.wait) // 1000))
+        self.open.update(held)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        site_id, step, _, created, updated, done = self.open.get()
+        self.open.clear()
+        if not done:
+            yield Row(id=key[0], site_id=site_id, current_step=step, created=created, updated=updated, ended=created + self.wait)
+
+
+def stream_abandoned(events: DataFrame, done: str = "purchase", hours: int = 24, watermark: str = "1 hour") -> DataFrame:
+    """Sessions that are still not completed some hours after their first event, with the step they stopped at.
+
+    ``events(id, site_id, step, event_id, ts)``; of events at one time the greatest ``event_id`` is the newest.  The stream form of
+    ``sessions.abandoned`` on ``sessions.current_state``: state is one row per session younger than that, and each row comes
+    once, when the watermark passes its time.  Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``), as Spark keeps timers there.
+    """
+    timed = _timed(events, "ts", watermark).select("id", "site_id", "step", "event_id", "ts", F.unix_micros("ts").alias("at"))
+    ended = timed.groupBy("id").transformWithState(
+        AbandonedSessions(done, hours), "id string, site_id string, current_step string, created long, updated long, ended long",
+        outputMode="Append", timeMode="eventTime")
+    times = {"created_at": "created", "updated_at": "updated", "abandoned_at": "ended"}
+    return ended.select("id", "site_id", "current_step", *[F.timestamp_micros(old).alias(new) for new, old in times.items()])
