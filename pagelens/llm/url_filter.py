@@ -2,7 +2,7 @@
 
 List entries are dated changes (``add`` or ``remove`` of a pattern).  Per list and pattern each change holds until the
 next, so ``add`` changes become validity intervals.  A capture is looked up under each pattern it could match (its host,
-the host's parent domains, and host with leading path parts) and under the month it was fetched in; intervals are dealt
+the host's parent domains, and host with leading path parts, as many as the deepest entry has) and under the month it was fetched in; intervals are dealt
 into the months they touch, so both sides meet on equal keys and a pattern with a long history, or a host with a third
 of the captures, is spread over its months.
 """
@@ -22,7 +22,7 @@ def url_host(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
 
 
-def url_patterns(url: Column, path_parts: int = 2) -> Column:
+def url_patterns(url: Column, path_parts: int) -> Column:
     """Patterns that match a URL: host and parent domains of two or more labels, host with 1 .. ``path_parts`` path parts."""
     host = url_host(url)
     labels = F.split(host, r"\.")
@@ -30,7 +30,7 @@ def url_patterns(url: Column, path_parts: int = 2) -> Column:
                           lambda i: F.array_join(F.slice(labels, i, F.greatest(F.size(labels), F.lit(1))), "."))
     path = F.regexp_extract(url, r"^[^:]+://[^/?#]*/([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.lit(path_parts)), lambda i: i <= F.size(parts)),
+    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.lit(max(1, path_parts))), lambda i: i <= F.least(F.size(parts), F.lit(path_parts))),
                            lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
     return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, prefixes)))
 
@@ -53,7 +53,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, allow: str = "allow"
 
     Returns those columns, ``host``, ``n_active``, ``lists`` and ``patterns`` (sorted, comma-joined) and ``blocked``: some
     list other than ``allow`` has an active entry, and ``allow`` has none.  An interval holds from its start up to, not
-    including, its end.  A null or relative URL, or a null time, matches nothing.  Other columns are ignored.
+    including, its end.  Entries may have any number of path parts.  A null or relative URL, or a null time, matches nothing.  Other columns are ignored.
     """
     months = lambda t: F.year(t) * 12 + F.month(t)
     shots = captures.select("page_id", "url", "fetched_at").distinct()
@@ -62,7 +62,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, allow: str = "allow"
     valid = valid.where((c("valid_from") <= F.lit(span["b"])) & F.coalesce(c("valid_to") > F.lit(span["a"]), F.lit(True)))
     valid = valid.withColumn("month", F.explode(F.sequence(
         months(F.greatest("valid_from", F.lit(span["a"]))), months(F.least(F.coalesce("valid_to", F.lit(span["b"])), F.lit(span["b"]))))))
-    probes = shots.withColumn("pattern", F.explode(url_patterns(c("url")))).withColumn("month", months(c("fetched_at")))
+    deepest = entries.agg(F.max(F.length("pattern") - F.length(F.translate("pattern", "/", "")))).first()[0] or 0
+    probes = shots.withColumn("pattern", F.explode(url_patterns(c("url"), deepest))).withColumn("month", months(c("fetched_at")))
     hits = probes.join(valid, ["pattern", "month"]).where((c("fetched_at") >= c("valid_from")) & F.coalesce(c("fetched_at") < c("valid_to"), F.lit(True)))
     found = hits.groupBy("page_id", "url", "fetched_at").agg(
         F.count(F.lit(1)).alias("n"), F.collect_set("list").alias("l"), F.collect_set("pattern").alias("p"))
@@ -85,7 +86,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 def page_entries(pages: DataFrame) -> DataFrame:
     """Entries of three lists on hosts, domains and path prefixes that the pages have, with dates from the pattern's hash."""
-    p = pages.select(F.explode(url_patterns(c("url"))).alias("pattern")).distinct()
+    p = pages.select(F.explode(url_patterns(c("url"), 3)).alias("pattern")).distinct()
     x = F.conv(F.substring(F.md5(c("pattern").cast("binary")), 1, 7), 16, 10).cast("int")
     p = p.withColumn("x", x)
     p = p.withColumn("list", F.when(c("x") % 8 == 0, "spam").when(c("x") % 8 == 1, "adult").when(c("x") % 8 == 2, "allow")).where(c("list").isNotNull())
@@ -102,7 +103,7 @@ WITH u AS (SELECT DISTINCT page_id, url, TIMESTAMP '2023-01-01' + to_days((page_
 v AS (SELECT *, string_split(host, '.') ls, list_filter(string_split(pth, '/'), lambda x: x <> '') ps FROM u WHERE host IS NOT NULL),
 q AS (SELECT page_id, url, fetched_at, unnest(list_distinct(list_concat(
   list_transform(range(1, greatest(len(ls) - 1, 1) + 1), lambda i: array_to_string(ls[i:len(ls)], '.')),
-  list_transform(range(1, least(len(ps), 2) + 1), lambda i: host || '/' || array_to_string(ps[1:i], '/'))))) AS pattern FROM v),
+  list_transform(range(1, least(len(ps), 3) + 1), lambda i: host || '/' || array_to_string(ps[1:i], '/'))))) AS pattern FROM v),
 pt AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 7))::BIGINT x FROM (SELECT DISTINCT pattern FROM q)),
 en AS (SELECT CASE x % 8 WHEN 0 THEN 'spam' WHEN 1 THEN 'adult' ELSE 'allow' END AS lst, pattern, TIMESTAMP '2023-01-01' + to_days((x // 8 % 300)::INT) b, x % 5 k FROM pt WHERE x % 8 <= 2),
 iv AS (SELECT lst, pattern, b f, CASE WHEN k >= 1 THEN b + to_days(150) END t FROM en UNION ALL

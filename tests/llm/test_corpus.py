@@ -325,6 +325,12 @@ def test_url_filter(spark):
     got = {r["page_id"]: (r["lists"], r["blocked"]) for r in url_filter.filter_urls(shots, entries).collect()}
     none = ("", False)
     assert got == {1: none, 2: ("spam", True), 3: ("spam", True), 4: none, 5: ("allow,spam", False), 6: ("adult", True), 7: none, 8: none, 9: none, 10: none, 11: none}
+    deep = entries.limit(0).unionByName(entries.where("pattern = 'x.org/a'").withColumn("pattern", F.lit("x.org/a/b/c/d")))
+    paths = spark.createDataFrame([(1, "http://x.org/a/b/c/d/e?q"), (2, "http://x.org/a/b/c"), (3, "http://x.org//a/b/c/d"), (4, "http://x.org")], "page_id long, url string")
+    paths = paths.withColumn("fetched_at", F.lit("2024-05-01").cast("timestamp")).withColumn("lists", F.lit("clash"))
+    assert {r["page_id"]: r["patterns"] for r in url_filter.filter_urls(paths, deep).collect()} == {1: "x.org/a/b/c/d", 2: "", 3: "x.org/a/b/c/d", 4: ""}
+    hosts = entries.where("pattern = 'bad.com' and change = 'add'")
+    assert url_filter.filter_urls(shots, hosts).where("blocked").count() == 4
     assert url_filter.filter_urls(shots.where("false"), entries).count() == 0
     assert url_filter.filter_urls(shots, entries.where("false")).where("blocked").count() == 0
 
