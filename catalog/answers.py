@@ -22,7 +22,7 @@ from . import sqlkit as K
 from .inputs import answers, sessions, signals, table
 from .pages import PRODUCTS, TEXT_PAIRS, W, _phrases, _seg
 from .registry import query
-from .scores import BRANDS, GUESS, KW, PF, PILLARS, PROFILE, PROWS, SCORES, host_signals, passed, rows_sql
+from .scores import BRANDS, COUNTRYNAME, GUESS, KW, LOCCOUNTRY, PF, PILLARS, PROFILE, PROWS, SCORES, host_signals, passed, rows_sql
 
 c = F.col
 
@@ -401,14 +401,17 @@ def prioritized(spark, d):
         F.expr("CASE page_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' END").alias("effort")))
 
 
-@query("site_context", f"""{W}, few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS rn FROM sig) WHERE rn <= 5),
+@query("site_context", f"""{W}, few AS (SELECT * REPLACE (CASE WHEN page_id % 3 = 0 THEN concat(url, '/contact') ELSE url END AS url) FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS rn FROM sig) WHERE rn <= 5),
   u AS (SELECT host AS site, 'product' AS kind, unnest(list_distinct(list_filter(list_concat(list_transform({K.blocks('jsonld', 'Product')}, lambda x: coalesce(json_extract_string(x, '$.name'), '')),
       list_filter(list_transform(list_filter(headings, lambda h: h.level <= 3), lambda h: h.text), lambda t: length(t) < 100)), lambda p: length(p) >= 1))) AS value FROM few WHERE {K.any_of('lower(url)', ['product', 'shop', 'catalog'])}
     UNION SELECT host, 'faq_topic', unnest(list_concat(list_filter(list_transform(list_filter(headings, lambda h: h.level <= 4 AND contains(h.text, '?')), lambda h: trim(replace(h.text, '?', ''))), lambda t: length(t) > 5 AND length(t) < 100),
-      list_filter(list_transform({K.FAQ_ENTITIES}, lambda e: e.question), lambda x: x <> ''))) FROM few)
-  SELECT site, kind, value, row_number() OVER (PARTITION BY site, kind ORDER BY value) AS rank FROM u QUALIFY rank <= (CASE kind WHEN 'product' THEN 10 ELSE 5 END)""")
+      list_filter(list_transform({K.FAQ_ENTITIES}, lambda e: e.question), lambda x: x <> ''))) FROM few
+    UNION SELECT host, 'location', arg_max(l, page_id) FROM (SELECT host, page_id, coalesce({COUNTRYNAME}, {LOCCOUNTRY}, '') AS l FROM few WHERE {K.any_of('lower(url)', ['contact', 'about', 'location'])}) WHERE l <> '' GROUP BY host)
+  SELECT site, kind, value, row_number() OVER (PARTITION BY site, kind ORDER BY value) AS rank FROM u QUALIFY rank <= (CASE kind WHEN 'product' THEN 10 WHEN 'faq_topic' THEN 5 ELSE 1 END)""")
 def site_context(spark, d):
-    return JB.site_context(host_signals(spark, d)).where(c("kind") != "location")
+    """Addresses of every third page are taken for contact pages, as the given ones name no role."""
+    role = F.when(c("page_id") % 3 == 0, F.concat("url", F.lit("/contact"))).otherwise(c("url"))
+    return JB.site_context(host_signals(spark, d).withColumn("url", role))
 
 
 # --- sessions ---------------------------------------------------------------------------------------
