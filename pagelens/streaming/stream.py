@@ -47,9 +47,14 @@ def stream_funnel(events: DataFrame, watermark: str = "1 hour", window: str = "1
 
 def stream_sessions(events: DataFrame, watermark: str = "1 hour", gap: str = "30 minutes", ts: str = "ts",
                     user: str = "user_id") -> DataFrame:
-    """Sessions per user, closed by a gap."""
+    """Sessions per user, closed by a gap.
+
+    Start and end are aggregates, not the window's own fields: a filter on those would be pushed below the merge of
+    the sessions and drop single events.
+    """
     return _timed(events, ts, watermark).groupBy(F.session_window(ts, gap).alias("w"), user).agg(
-        F.count(F.lit(1)).alias("n")).select(user, c("w.start").alias("session_start"), c("w.end").alias("session_end"), "n")
+        F.min(ts).alias("session_start"), (F.max(ts) + F.expr(f"INTERVAL '{gap}'")).alias("session_end"),
+        F.count(F.lit(1)).alias("n")).select(user, "session_start", "session_end", "n")
 
 
 # --- sessions with a timer ------------------------------------------------------------------------
