@@ -409,20 +409,25 @@ def heading_topics(signals: DataFrame) -> DataFrame:
     return _value_rows(signals, F.array_distinct(F.slice(F.filter(heads, lambda t: F.length(t) < 50), 1, 10)), "topic")
 
 
-def comparison_phrases(text: Column) -> Column:
-    """Distinct "word keyword word" phrases."""
-    low = F.lower(text)
-    found = [rx_all(low, rf"{WORD}+\s+{k}\s+{WORD}+") for k in fv.COMPARISON_KEYWORDS]
+def comparison_phrases(low: Column) -> Column:
+    """Distinct "word keyword word" phrases of a lower-cased text, which should be a column of its own.
+
+    A text without the keyword is not searched.  Words are taken whole, from their start on, so that the search
+    never goes back into one and long words cost no more than others.
+    """
+    none = F.array().cast("array<string>")
+    found = [F.when(F.contains(low, F.lit(k)), rx_all(low, rf"(?<!{WORD}){WORD}++\s++{k}\s++{WORD}++")).otherwise(none) for k in fv.COMPARISON_KEYWORDS]
     return F.array_distinct(F.concat(*found))
 
 
 def competitor_phrases(signals: DataFrame, variant: str = "phrase") -> DataFrame:
     if variant == "phrase":
-        arr = comparison_phrases(c("text"))
+        signals = signals.withColumn("_low", F.lower("text"))
+        arr = comparison_phrases(c("_low"))
     elif variant == "after":
-        low = F.lower("text")
+        signals = signals.withColumn("_low", F.lower("text"))
         arr = F.array_distinct(F.concat(*[
-            rx_all(low, rf"{k.replace(' ', chr(92) + 's+')}\s+({WORD}+)", 1) for k in fv.COMPARISON_MARKERS]))
+            rx_all(c("_low"), rf"{k.replace(' ', chr(92) + 's+')}\s+({WORD}+)", 1) for k in fv.COMPARISON_MARKERS]))
     else:
         arr = next_words(c("text"))
     return _value_rows(signals, arr, "competitor")

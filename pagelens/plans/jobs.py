@@ -30,9 +30,9 @@ def site_signals(signals: DataFrame) -> DataFrame:
     def kind(name: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(name).alias("kind"), v.alias("value")))
 
-    rows = P.with_topics(signals.select("*", F.concat(
+    rows = P.with_topics(signals.withColumn("_low", F.lower("text")).select("*", F.concat(
         kind("product", P.product_names()),
-        kind("competitor", P.comparison_phrases(c("text"))),
+        kind("competitor", P.comparison_phrases(c("_low"))),
         kind("faq", F.transform(J.faq_entities("jsonld"), lambda e: e["question"])),
         kind("schema", c("jsonld_types")),
         kind("alt_issue", P.alt_issue_texts()),
