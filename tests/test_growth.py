@@ -1,12 +1,21 @@
 """Rules of round 3: results whose plans are easily rewritten wrongly, and plans that must stay cheap on large tables."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
+from pagelens.operators import languages as LG
+from pagelens.operators import page_rows as P
 from pagelens.streaming import stream as ST
 
 
+def exchanges(df, text):
+    """Lines of the plan that shuffle by ``text``."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange " + text in x]
+
+
 def test_open_sessions_keep_their_earlier_events(spark):
     """A filter on the end of sessions must not reach their events."""
     at = [dt.datetime(2024, 1, 30, 22, 22), dt.datetime(2024, 1, 30, 22, 33), dt.datetime(2024, 1, 30, 23, 59)]
@@ -15,3 +24,27 @@ def test_open_sessions_keep_their_earlier_events(spark):
     half = dt.timedelta(minutes=30)
     assert sorted(map(tuple, rows.collect())) == [(1, at[0], at[1] + half, 2), (2, at[2], at[2] + half, 1)]
     assert [r.n for r in ST.stream_sessions(events).where(F.col("session_start") > F.lit("2024-01-30T22:30:00Z").cast("timestamp")).collect()] == [1]
+
+
+def test_languages_in_one_pass(spark):
+    """Texts are read once and only sums per key are shuffled; a table too long to broadcast gives the same."""
+    labelled = spark.createDataFrame([("en", "the house and the river"), ("en", "then there was the other one"), ("de", "der Fluss und das Haus"), ("de", "dann war noch der andere da")], "lang string, text string")
+    rows = [(1, "the river and the other house, then"), (2, "UND DER ANDERE FLUSS; das Haus und der"), (3, "the"), (4, None), (5, "12 34"), (None, "the the"), (6, "q" * 26), (7, "the river"), (7, "the other house and the river"), (8, "")]
+    texts, profiles = spark.createDataFrame(rows, "k long, text string"), LG.language_profiles(labelled)
+    near, far = LG.detect_languages(texts, profiles, "k"), LG.detect_languages(texts, profiles, "k", broadcast_scores=0)
+    some = LG.detect_languages(texts, profiles, "k", common_words=2)
+    assert sorted(near.collect()) == sorted(far.collect()) == sorted(some.collect()) and near.count() == 8
+    assert {r.k: r.lang_found for r in near.collect() if r.k != 6} == {1: "en", 2: "de", 3: None, 4: None, 5: None, 7: "en", 8: None}
+    plan = LG.detect_languages(texts, profiles, "k")
+    assert len(exchanges(plan, "hashpartitioning(k")) == 1
+    assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    nothing = LG.detect_languages(texts, profiles.limit(0), "k")
+    assert nothing.count() == 8 and nothing.where("lang_found IS NOT NULL").count() == 0
+
+
+def test_comparisons_search_a_long_word_once(spark):
+    """A word of 200,000 letters before a keyword: time by the text's length, not by its square."""
+    texts = spark.createDataFrame([(1, "s", "a" * 200_000 + "- alternative. Blue vs Red vs\n Green alternative é vs x_1"), (2, "s", "vsop likely"), (3, "s", None)], "page_id long, site string, text string")
+    t = time.time()
+    got = sorted(r.competitor for r in P.competitor_phrases(texts).collect())
+    assert got == ["blue vs red", "green alternative é", "é vs x_1"] and time.time() - t < 20
