@@ -63,9 +63,12 @@ def stem_counts(texts: DataFrame, key: str, order: str, text: str = "text", stop
     built-in expression, so no vocabulary table has to be joined or broadcast.
     """
     toks = _stop_list(T.tokens(text), stop_words)
-    rows = texts.select(key, F.col(order).alias("_o"), F.posexplode(toks).alias("_p", "token"))
-    counted = rows.groupBy(key, "token").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("_o", "_p")).alias("_first"))
+    whole = texts.schema[order].dataType.typeName() in ("byte", "short", "integer", "long")
+    o = F.coalesce(c(order).cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)")
+    rows = texts.select(key, (o if whole else c(order)).alias("_o"), F.posexplode(toks).alias("_p", "token"))
+    # one number is aggregated by hash; the least struct would need all tokens sorted
+    place = c("_o") + c("_p") if whole else F.struct("_o", "_p")
+    counted = rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_first"))
     stemmed = T.with_stem(_stop_table(counted, "token", stop_words), "token")
     return stemmed.groupBy(key, "stem").agg(
         F.min_by("token", "_first").alias("word"), F.sum("n").alias("n")).where(c("n") >= min_count)
@@ -86,15 +89,12 @@ def site_keywords(texts: DataFrame, key: str, order: str | None = None, text: st
     the words of a stem.
     """
     pre = texts.select(key, T.tokens(text).alias("_t"))
-
-    def kind(name: str, grams) -> Column:
-        return F.transform(grams, lambda g: F.struct(F.lit(name).alias("kind"), g.alias("gram")))
-
     words = _stop_list(c("_t"), stop_words)
-    rows = pre.select(key, F.explode(F.concat(
-        kind("stem", words), kind("bigram", T.ngrams("_t", 2)), kind("trigram", T.ngrams("_t", 3)))).alias("_r"))
-    counted = rows.groupBy(key, c("_r.kind").alias("kind"), c("_r.gram").alias("gram")).agg(
-        F.count(F.lit(1)).alias("n")).where((c("kind") == "stem") | (c("n") > more_than))
+    rows = pre.select(key, F.explode(F.concat(words, T.ngrams("_t", 2), T.ngrams("_t", 3))).alias("gram"))
+    # tokens hold no blank, so the blanks of a gram tell its kind
+    blanks = F.octet_length("gram") - F.octet_length(F.replace(c("gram"), F.lit(" "), F.lit("")))
+    kind = F.when(blanks == 0, "stem").when(blanks == 1, "bigram").otherwise("trigram")
+    counted = rows.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", kind).where((c("kind") == "stem") | (c("n") > more_than))
     counted = _stop_table(counted.withColumn("_word", F.when(c("kind") == "stem", c("gram"))), "_word", stop_words)
     stemmed = T.with_stem(counted, "_word")
     return stemmed.groupBy(key, "kind", F.coalesce("stem", "gram").alias("gram")).agg(
