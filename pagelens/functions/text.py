@@ -35,10 +35,8 @@ def without_stop_words(toks, stop_words: list[str]) -> Column:
 
 def ngrams(toks, n: int) -> Column:
     toks = as_col(toks)
-    last = F.size(toks) - n + 1
-    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, F.lit(n)), " "))
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+    firsts = F.slice(toks, F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(0)))
+    return F.transform(firsts, lambda t, i: F.concat(t, *[x for k in range(1, n) for x in (F.lit(" "), F.get(toks, i + k))]))
 
 
 def count_substring(s, part) -> Column:

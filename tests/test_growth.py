@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from pagelens.operators import grams as GR
 from pagelens.operators import languages as LG
 from pagelens.operators import page_rows as P
 from pagelens.streaming import stream as ST
@@ -48,3 +49,28 @@ def test_comparisons_search_a_long_word_once(spark):
     t = time.time()
     got = sorted(r.competitor for r in P.competitor_phrases(texts).collect())
     assert got == ["blue vs red", "green alternative é", "é vs x_1"] and time.time() - t < 20
+
+
+def test_first_words_of_stems_without_a_sort_of_all_tokens(spark):
+    """Tokens are aggregated by hash when the order is a number; any other order gives the same words."""
+    rows = [("a", None, "house runs houses"), ("a", -5, "run houses"), ("a", 3, "run house"), ("b", 2**62, "runs run"), ("b", 2**62 - 1, "walk run"), ("b", -2**62, None)]
+    texts = spark.createDataFrame(rows, "lang string, o long, text string")
+    named = texts.withColumn("o", F.when(F.col("o").isNotNull(), F.lpad((F.col("o").cast("decimal(20,0)") + F.lit(2**62).cast("decimal(20,0)")).cast("string"), 22, "0")))
+    got, same = GR.stem_counts(texts, "lang", "o"), GR.stem_counts(named, "lang", "o")
+    assert sorted(got.collect()) == sorted(same.collect())
+    assert {(r.lang, r.stem): (r.word, r.n) for r in got.collect()} == {("a", "hous"): ("house", 4), ("a", "run"): ("runs", 3), ("b", "run"): ("run", 3), ("b", "walk"): ("walk", 1)}
+    plan = GR.stem_counts(texts, "lang", "o")._jdf.queryExecution().executedPlan().toString()
+    assert sum("SortAggregate" in x and "token" in x and "count(1)" in x for x in plan.splitlines()) == 0
+    assert sum("HashAggregate" in x and "count(1)" in x for x in plan.splitlines()) == 2
+
+
+def test_grams_are_cut_once(spark):
+    """N-grams of a text come from its tokens without a list per gram, and of short texts there are none."""
+    texts = spark.createDataFrame([("s", 1, "aa bb cc aa bb"), ("s", 2, "aa"), ("t", 3, None), ("t", 4, "")], "site string, page_id long, text string")
+    assert {(r.gram, r.n) for r in GR.gram_counts(texts, "site", 2).collect()} == {("aa bb", 2), ("bb cc", 1), ("cc aa", 1)}
+    assert {r.gram for r in GR.gram_counts(texts, "site", 5).collect()} == {"aa bb cc aa bb"} and GR.gram_counts(texts, "site", 6).count() == 0
+    assert {r.gram for r in GR.gram_counts(texts, "site", 1).collect()} == {"aa", "bb", "cc"}
+    got = {(r.kind, r.gram, r.n) for r in GR.site_keywords(texts, "site", stop_words=["aa"], more_than=1).collect()}
+    assert got == {("stem", "bb", 2), ("bigram", "aa bb", 2)}
+    plan = GR.site_keywords(texts, "site")._jdf.queryExecution().executedPlan().toString()
+    assert "array_join" not in plan and plan.count("hashpartitioning(site") == 2 and "kind" not in next(x for x in plan.splitlines() if "partial_count(1)" in x)
