@@ -95,10 +95,15 @@ def _folder(spark) -> str:
 
 
 def _audited_twice(spark, d) -> str:
-    """The folder of an audit that ran twice as one run; the second time replaces what the first wrote."""
+    """The folder of an audit that ran twice as one run; the second time replaces what the first wrote.
+
+    Pages are extracted once, as the library asks for; both audits take the stored signals.
+    """
     root = _folder(spark)
+    io.write_table(host_signals(spark, d), f"{root}/extracted", "overwrite")
+    extracted = spark.read.parquet(f"{root}/extracted")
     for _ in range(2):
-        JB.audit_sites(host_signals(spark, d), root, "first")
+        JB.audit_sites(extracted, root, "first")
     return root
 
 

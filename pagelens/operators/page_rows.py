@@ -392,7 +392,7 @@ def with_topics(signals: DataFrame, *keep: str, k: int = 10) -> DataFrame:
     """
     words = T.topic_words("text")
     pool = F.concat(T.without_stop_words(words, fv.TOPIC_STOP_WORDS), T.topic_words("title"))
-    pre = signals.select(*keep, F.array_sort(pool).alias("_s"))
+    pre = signals.select(*keep, F.sort_array(pool).alias("_s"))  # native order; array_sort compares by an interpreted lambda
     places = F.transform("_s", lambda w, i: i)
     starts = F.filter(places, lambda i: (i == 0) | (F.get("_s", i - 1) != F.get("_s", i)))
     runs = pre.select(*keep, "_s", starts.alias("_at"))

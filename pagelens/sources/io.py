@@ -159,7 +159,8 @@ def write_audit(sites: DataFrame, pages: DataFrame, audits: DataFrame, root: str
         if "PATH_NOT_FOUND" not in str(err):
             raise
     for name, df in (("pages", pages), ("audits", audits), ("sites", sites)):
-        _write(with_site_bucket(df), f"{root}/{name}", run, ["site_bucket"])
+        # rows of a bucket meet before they are written, or every task would open a file in every bucket; large buckets are split
+        _write(with_site_bucket(df).hint("rebalance", "site_bucket"), f"{root}/{name}", run, ["site_bucket"])
 
 
 def _write(df: DataFrame, path: str, run: str | None, partition_by: list[str] | None = None) -> None:

@@ -5,9 +5,11 @@ import time
 
 from pyspark.sql import functions as F
 
+from catalog.scores import host_signals as HOSTS
 from pagelens.operators import grams as GR
 from pagelens.operators import languages as LG
 from pagelens.operators import page_rows as P
+from pagelens.sources import io
 from pagelens.streaming import stream as ST
 
 
@@ -74,3 +76,22 @@ def test_grams_are_cut_once(spark):
     assert got == {("stem", "bb", 2), ("bigram", "aa bb", 2)}
     plan = GR.site_keywords(texts, "site")._jdf.queryExecution().executedPlan().toString()
     assert "array_join" not in plan and plan.count("hashpartitioning(site") == 2 and "kind" not in next(x for x in plan.splitlines() if "partial_count(1)" in x)
+
+
+def test_audit_writes_few_files(spark, tmp_path):
+    """Files of a stored audit grow with its buckets, not with tasks times buckets."""
+    pages = spark.range(0, 4000, 1, 16).select(F.concat(F.lit("s"), F.col("id") % 10).alias("site"), F.col("id").alias("page_id"))
+    io.write_audit(pages.select("site").distinct(), pages, pages, str(tmp_path), "a")
+    buckets = io.with_site_bucket(pages).select("site_bucket").distinct().count()
+    for name in ("pages", "audits", "sites"):
+        assert len(list((tmp_path / name).rglob("*.parquet"))) <= 2 * buckets
+    assert io.read_run(spark, f"{tmp_path}/pages", "a").count() == 4000
+
+
+def test_stored_audit_extracts_its_pages_once(spark, monkeypatch):
+    from catalog import composites
+
+    calls = []
+    monkeypatch.setattr(composites, "host_signals", lambda *a: calls.append(a) or HOSTS(*a))
+    composites._audited_twice(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
