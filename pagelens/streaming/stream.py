@@ -76,7 +76,8 @@ class AbandonedSessions(StatefulProcessor):
         self.open = handle.getValueState("open", SESSION_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self.open.get() if self.open.exists() else None
+        held = self.open.get()  # None for a new session; each call goes to the JVM and back, so there are few of them
+        before = held
         for r in rows:
             if held is None:
                 held = (r.site_id, r.step, r.event_id, r.at, r.at, r.step == self.done)
@@ -85,12 +86,18 @@ class AbandonedSessions(StatefulProcessor):
             if (r.at, r.event_id) > (updated, tie):
                 step, tie, updated = r.step, r.event_id, r.at
             held = (site_id, step, tie, min(created, r.at), updated, done or r.step == self.done)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(-(-(held[3] + self.wait) // 1000))
-        self.open.update(held)
+        due = self._due(held)
+        if before is None or self._due(before) != due:
+            if before is not None:
+                self.handle.deleteTimer(self._due(before))
+            self.handle.registerTimer(due)
+        if before is None or tuple(before) != held:
+            self.open.update(held)
         return iter(())
 
+    def _due(self, held) -> int:
+        return -(-(held[3] + self.wait) // 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         site_id, step, _, created, updated, done = self.open.get()
         self.open.clear()

@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from catalog.scores import host_signals as HOSTS
@@ -95,3 +96,48 @@ def test_stored_audit_extracts_its_pages_once(spark, monkeypatch):
     monkeypatch.setattr(composites, "host_signals", lambda *a: calls.append(a) or HOSTS(*a))
     composites._audited_twice(spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_timer_moves_only_with_the_first_event():
+    """Each call to the state store is a trip out of Python: none is made that changes nothing."""
+    calls = []
+
+    class Handle:
+        held, timers = None, []
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, held):
+            calls.append("update")
+            self.held = held
+
+        def listTimers(self):
+            calls.append("list")
+            return iter(self.timers)
+
+        def deleteTimer(self, t):
+            calls.append("delete")
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            calls.append("register")
+            self.timers.append(t)
+
+    p, h = ST.AbandonedSessions("purchase", 24), Handle()
+    h.timers = []
+    p.init(h)
+    hour = 3_600_000_000
+    for at, want in ((5 * hour, ["get", "register", "update"]), (6 * hour, ["get", "update"]), (6 * hour, ["get"]), (4 * hour, ["get", "delete", "register", "update"])):
+        calls.clear()
+        p.handleInputRows(("a",), iter([Row(site_id="1", step="view", event_id=1, at=at)]), None)
+        assert calls == want and len(h.timers) == 1
+    assert h.timers == [28 * 3_600_000] and h.held == ("1", "view", 1, 4 * hour, 6 * hour, False)
