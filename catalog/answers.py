@@ -736,7 +736,10 @@ RECORD = f"""{AUDIT}, {PF}, pa AS (SELECT pl.*, coalesce(bad.n_broken, 0) AS n_b
 
 
 def audited(spark, d):
-    """The record of all pages, stored once under the shared folder; sites are hosts, as in the other audits."""
+    """The record of all pages, extracted and stored once under the shared folder; sites are hosts, as in the other audits.
+
+    The statuses belong to the pages' own links, which are read from the stored signals and not extracted anew.
+    """
     import uuid
 
     from pagelens.session import checkpoint_ready
@@ -745,7 +748,9 @@ def audited(spark, d):
 
     checkpoint_ready(spark)
     name = f"record_{uuid.uuid4().hex}"
-    record = JB.stored_record(aug_pages(spark, d), name, robots(spark, d), url_status(spark, d), buckets=8, folder=spark.sparkContext.getCheckpointDir())
+    kept = {"buckets": 8, "folder": spark.sparkContext.getCheckpointDir()}
+    stored = JB.stored_signals(aug_pages(spark, d), name, **kept)
+    record = JB.stored_health(stored, name, robots(spark, d), audited_statuses(stored), **kept)
     return record.withColumn("site", c("host"))
 
 

@@ -75,10 +75,20 @@ def strip_tags(s, by: str = "") -> Column:
 
 
 def attr(tag, name: str) -> Column:
-    """Attribute value; NULL when the attribute is absent, '' when it is empty."""
-    quoted = F.nullif(rx(tag, ATTRIBUTE.replace("{name}", name)), F.lit(""))
-    value = rx_sub(quoted, r"^[\"']|[\"']$")
-    return decode_entities(value) if name in TEXT_ATTRIBUTES else value
+    """Attribute value; NULL when the attribute is absent, '' when it is empty.
+
+    The raw value is bound: inside a lambda nothing is shared, and the search would run once for each use of its result.
+    """
+    def value(raw: Column) -> Column:
+        inner = F.when(raw.startswith('"') | raw.startswith("'"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        return F.when(raw != "", decode_entities(inner) if name in TEXT_ATTRIBUTES else inner)
+
+    return bound(rx(tag, ATTRIBUTE.replace("{name}", name)), value)
+
+
+def attributes(tags: Column, *names: str) -> Column:
+    """ARRAY<STRUCT> of the named attributes of each tag, read once for all that look at them."""
+    return F.transform(tags, lambda t: F.struct(*[attr(t, n).alias(n) for n in names]))
 
 
 def without_comments(html) -> Column:
@@ -183,9 +193,9 @@ def heading_texts(hs, levels: list[int]) -> Column:
 
 
 def meta_content(metas, name: str, key: str = "name") -> Column:
-    """Content of the first ``<meta key=name>``; NULL when there is none."""
-    hit = F.filter(as_col(metas), lambda t: F.lower(attr(t, key)) == name)
-    return attr(F.get(hit, F.lit(0)), "content")
+    """Content of the first ``<meta key=name>`` among the attributes of meta tags; NULL when there is none."""
+    hit = F.filter(as_col(metas), lambda m: F.lower(m[key]) == name)
+    return F.get(hit, F.lit(0))["content"]
 
 
 def before(s, pattern: str) -> Column:
@@ -193,26 +203,26 @@ def before(s, pattern: str) -> Column:
     return F.element_at(F.split(as_col(s), pattern, 2), 1)
 
 
+def after_each(s, pattern: str) -> Column:
+    """What follows each match, up to the next one; the text is split once."""
+    return F.filter(F.split(as_col(s), pattern), lambda p, i: i > 0)
+
+
 def anchors(mk) -> Column:
     """ARRAY<STRUCT<href,title,text>> of all anchors with an href."""
-    pieces = F.split(as_col(mk), ANCHOR_START)
-    pieces = F.slice(pieces, F.lit(2), F.size(pieces))
-
     def parts(p: Column) -> Column:
-        head = F.concat(F.lit("<a "), rx(p, rf"^{INSIDE}", 0))
-        return F.struct(
+        return bound(F.concat(F.lit("<a "), rx(p, rf"^{INSIDE}", 0)), lambda head: F.struct(
             F.trim(attr(head, "href")).alias("href"),
             attr(head, "title").alias("title"),
             strip_tags(rx_sub(before(p, ANCHOR_END), rf"^{INSIDE}>?")).alias("text"),
-        )
+        ))
 
-    return F.filter(F.transform(pieces, parts), lambda a: a["href"].isNotNull())
+    return F.filter(F.transform(after_each(mk, ANCHOR_START), parts), lambda a: a["href"].isNotNull())
 
 
 def paragraphs(mk) -> Column:
     """Inner HTML of each paragraph."""
-    pieces = F.split(as_col(mk), PARAGRAPH_START)
-    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: before(p, PARAGRAPH_END))
+    return F.transform(after_each(mk, PARAGRAPH_START), lambda p: before(p, PARAGRAPH_END))
 
 
 def shorter_than(inner: Column, n: int) -> Column:

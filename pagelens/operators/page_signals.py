@@ -26,6 +26,11 @@ ADDRESS_DOTTED = "|".join(w for w in fv.ADDRESS_WORDS if w.endswith("."))
 # Case is folded for ASCII only, which is cheaper; other letters name both cases.  The text is padded with a blank
 # on both sides, so that an edge is always a character.
 ADDRESS_HINT = rf"(?i){EDGE}(?:({ADDRESS_PLAIN}){EDGE}|({ADDRESS_DOTTED})[\p{{L}}\p{{N}}_])"
+# The same two searches with a look at the next character first: both run over whole pages, and most places cannot begin a
+# match.  The patterns themselves stay as they are, as the catalogue's SQL holds them.
+ADDRESS_FIRST = "".join(sorted({w[0].lower() for w in (*fv.ADDRESS_WORDS, *fv.ADDRESS_CITIES)}))
+ADDRESS_SEARCH = ADDRESS_HINT.replace(EDGE, f"{EDGE}(?=[{ADDRESS_FIRST}])", 1)
+PHONE_SEARCH = rf"(?=[+(\d]){PHONE}"
 
 
 def is_blocked(html, low, strict: bool = False) -> Column:
@@ -70,33 +75,33 @@ def _image(tag: Column) -> Column:
     )
 
 
-def _rel_has(tag: Column, word: str) -> Column:
-    return F.array_contains(F.split(F.lower(F.coalesce(H.attr(tag, "rel"), F.lit(""))), r"\s+"), word)
+def _rel_has(link: Column, word: str) -> Column:
+    return F.array_contains(F.split(F.lower(F.coalesce(link["rel"], F.lit(""))), r"\s+"), word)
 
 
 def _hreflang(links: Column) -> Column:
     rows = F.transform(
-        F.filter(links, lambda t: _rel_has(t, "alternate")),
-        lambda t: F.struct(H.attr(t, "hreflang").alias("hreflang"), F.trim(H.attr(t, "href")).alias("href")),
+        F.filter(links, lambda k: _rel_has(k, "alternate")),
+        lambda k: F.struct(k["hreflang"].alias("hreflang"), F.trim(k["href"]).alias("href")),
     )
     return F.filter(rows, lambda r: (F.coalesce(r["hreflang"], F.lit("")) != "") & (F.coalesce(r["href"], F.lit("")) != ""))
 
 
 def _canonical(links: Column) -> Column:
-    rows = F.filter(links, lambda t: F.lower(F.coalesce(H.attr(t, "rel"), F.lit(""))).contains("canonical"))
-    hrefs = F.filter(F.transform(rows, lambda t: F.trim(H.attr(t, "href"))), lambda h: F.coalesce(h, F.lit("")) != "")
+    rows = F.filter(links, lambda k: F.lower(F.coalesce(k["rel"], F.lit(""))).contains("canonical"))
+    hrefs = F.filter(F.transform(rows, lambda k: F.trim(k["href"])), lambda h: F.coalesce(h, F.lit("")) != "")
     return F.try_element_at(hrefs, F.lit(-1))
 
 
 def _meta_robots(metas: Column) -> Column:
-    named = F.filter(metas, lambda t: F.lower(F.coalesce(H.attr(t, "name"), F.lit(""))).contains("robots"))
-    return F.nullif(F.trim(H.attr(F.get(named, F.lit(0)), "content")), F.lit(""))
+    named = F.filter(metas, lambda m: F.lower(F.coalesce(m["name"], F.lit(""))).contains("robots"))
+    return F.nullif(F.trim(F.get(named, F.lit(0))["content"]), F.lit(""))
 
 
 def _named_metas(metas: Column, key: str, test) -> Column:
     rows = F.transform(
         metas,
-        lambda t: F.struct(H.attr(t, key).alias("name"), F.coalesce(H.attr(t, "content"), F.lit("")).alias("content")),
+        lambda m: F.struct(m[key].alias("name"), F.coalesce(m["content"], F.lit("")).alias("content")),
     )
     return F.filter(rows, lambda r: r["name"].isNotNull() & test(F.lower(r["name"])))
 
@@ -174,8 +179,8 @@ def page_signals(pages: DataFrame) -> DataFrame:
         is_blocked("html", "_low").alias("blocked"),
         is_blocked("html", "_low", strict=True).alias("blocked_strict"),
         platform_hits("_low").alias("platform_hits"),
-        rx("html", PHONE, 0).alias("phone"),
-        rx(F.concat(F.lit(" "), c("html"), F.lit(" ")), ADDRESS_HINT, 0).alias("_hint"),
+        rx("html", PHONE_SEARCH, 0).alias("phone"),
+        rx(F.concat(F.lit(" "), c("html"), F.lit(" ")), ADDRESS_SEARCH, 0).alias("_hint"),
         J.jsonld_blocks("_nc").alias("jsonld"),
         H.markup("_nc").alias("_mk"),
     )
@@ -193,8 +198,8 @@ def page_signals(pages: DataFrame) -> DataFrame:
     )
     tagged = split.select(
         *[n for n in split.columns if n not in ("_tags", "_hint")],
-        H.tags_named("_tags", "meta").alias("_metas"),
-        H.tags_named("_tags", "link").alias("_links"),
+        H.attributes(H.tags_named("_tags", "meta"), "name", "property", "content", "charset").alias("_metas"),
+        H.attributes(H.tags_named("_tags", "link"), "rel", "hreflang", "href").alias("_links"),
         H.attr(F.get(H.tags_named("_tags", "html"), F.lit(0)), "lang").alias("_lang"),
         H.attr(F.get(H.tags_named("_tags", "base"), F.lit(0)), "href").alias("_base"),
         F.transform(H.tags_named("_tags", "img"), _image).alias("images"),
@@ -211,7 +216,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
         H.meta_content("_metas", "description").alias("meta_raw"),
         H.meta_content("_metas", "keywords").alias("meta_keywords"),
         H.meta_content("_metas", "viewport").alias("viewport"),
-        F.get(F.filter(F.transform("_metas", lambda t: H.attr(t, "charset")), lambda v: v.isNotNull()),
+        F.get(F.filter(F.transform("_metas", lambda m: m["charset"]), lambda v: v.isNotNull()),
               F.lit(0)).alias("charset"),
         _meta_robots(c("_metas")).alias("meta_robots"),
         _canonical(c("_links")).alias("canonical"),

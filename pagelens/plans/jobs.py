@@ -98,9 +98,21 @@ def stored_record(pages: DataFrame, name: str, robots: DataFrame | None = None,
     Pages are read and extracted once, into ``<name>_signals``; links, robots and statuses are then joined as narrow columns of
     it into ``<name>_health``, in the same buckets.  Joins of the two, now and in later sessions, need no shuffle.  Both tables
     are overwritten, so a second run gives the same; ``folder`` holds them (None: the warehouse).  Choose ``buckets`` so that one
-    holds some hundred MB.
+    holds some hundred MB.  Where statuses come from the pages' own links, call the two steps by themselves and take the links
+    from what ``stored_signals`` returns.
     """
-    stored = _bucketed(page_signals(pages), f"{name}_signals", buckets, folder)
+    stored = stored_signals(pages, name, buckets=buckets, folder=folder)
+    return stored_health(stored, name, robots, url_status, buckets=buckets, folder=folder)
+
+
+def stored_signals(pages: DataFrame, name: str, *, buckets: int = 64, folder: str | None = None) -> DataFrame:
+    """First step of ``stored_record``: the one extraction."""
+    return _bucketed(page_signals(pages), f"{name}_signals", buckets, folder)
+
+
+def stored_health(stored: DataFrame, name: str, robots: DataFrame | None = None, url_status: DataFrame | None = None, *,
+                  buckets: int = 64, folder: str | None = None) -> DataFrame:
+    """Second step of ``stored_record``, over the signals that the first one stored under the same name and buckets."""
     none = stored.select("page_id", F.lit(0).cast("long").alias("n_broken"), F.lit(False).alias("blocked_by_robots")).limit(0)
     parts = [none]
     if url_status is not None:
@@ -112,7 +124,7 @@ def stored_record(pages: DataFrame, name: str, robots: DataFrame | None = None,
     both = reduce(DataFrame.unionByName, parts).groupBy("page_id").agg(
         F.max("n_broken").alias("n_broken"), F.max("blocked_by_robots").alias("blocked_by_robots"))
     _bucketed(both, f"{name}_health", buckets, folder)
-    return audited_record(pages.sparkSession, name)
+    return audited_record(stored.sparkSession, name)
 
 
 def audited_record(spark: SparkSession, name: str) -> DataFrame:

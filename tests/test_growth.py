@@ -7,9 +7,11 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from catalog.scores import host_signals as HOSTS
+from pagelens.functions import html as H
 from pagelens.operators import grams as GR
 from pagelens.operators import languages as LG
 from pagelens.operators import page_rows as P
+from pagelens.operators import page_signals as PS
 from pagelens.sources import io
 from pagelens.streaming import stream as ST
 
@@ -141,3 +143,34 @@ def test_timer_moves_only_with_the_first_event():
         p.handleInputRows(("a",), iter([Row(site_id="1", step="view", event_id=1, at=at)]), None)
         assert calls == want and len(h.timers) == 1
     assert h.timers == [28 * 3_600_000] and h.held == ("1", "view", 1, 4 * hour, 6 * hour, False)
+
+
+def test_audited_record_extracts_its_pages_once(spark, monkeypatch):
+    """Statuses of the pages' links come from the stored signals, not from a second extraction."""
+    from catalog import answers
+
+    def again(*_):
+        raise AssertionError("pages are extracted a second time")
+
+    monkeypatch.setattr(answers, "host_signals", again)
+    record = answers.audited(spark, "/root/testdata/sf0.001")
+    assert record.where("n_broken > 0").count() > 0
+
+
+def test_pages_are_cut_and_searched_once(spark):
+    pages = spark.createDataFrame([(1, "https://a.lt/", "<a href=\"it's\" title='say \"hi\"'>x</a><a href=\"\">e</a><a title=t>n</a><p>one<p>two")], "page_id long, url string, html string")
+    df = pages.select(H.anchors("html").alias("a"), H.paragraphs("html").alias("p"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(H.ANCHOR_START) == 1 and plan.count(H.PARAGRAPH_START) == 1
+    row = df.collect()[0]
+    assert [tuple(x) for x in row.a] == [("it's", 'say "hi"', "x"), ("", None, "e")] and row.p == ["one", "two"]
+    href = pages.select(H.attr("html", "href").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert href.count(r"\shref") == 1
+
+
+def test_quick_searches_find_what_the_patterns_find(spark):
+    odd = ["", "+370 600 12345", "x+ (8) 600-1234", "12345", "(5) 555 5555x", "++1 2 345 678", "1 main street, x", " Str.x", "g.a", " RĪGA ", "vilnius", "Kraków-Praha", "a.ul.b", "<b>Road</b>", "rd. x", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "s string")
+    for whole, quick in ((PS.PHONE, PS.PHONE_SEARCH), (PS.ADDRESS_HINT, PS.ADDRESS_SEARCH)):
+        got = rows.select(F.regexp_extract(F.concat(F.lit(" "), "s", F.lit(" ")), whole, 0).alias("a"), F.regexp_extract(F.concat(F.lit(" "), "s", F.lit(" ")), quick, 0).alias("b")).collect()
+        assert all(r.a == r.b for r in got) and sum(bool(r.a) for r in got) > 2
