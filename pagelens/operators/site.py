@@ -301,12 +301,34 @@ def answer_scores(signals: DataFrame) -> DataFrame:
 
 def site_mean_scores(breakdown: DataFrame) -> DataFrame:
     """Truncated means of the page breakdown scores."""
-    means = breakdown.groupBy("site").agg(
-        F.count(F.lit(1)).alias("pages"), F.floor(F.sum("aeo") / F.count(F.lit(1))).cast("bigint").alias("aeo"),
-        F.floor(F.sum("geo") / F.count(F.lit(1))).cast("bigint").alias("geo"))
+    return mean_scores_of(breakdown.groupBy("site").agg(
+        F.count(F.lit(1)).alias("total_pages"), F.sum("aeo").alias("aeo"), F.sum("geo").alias("geo")))
+
+
+def mean_scores_of(totals: DataFrame) -> DataFrame:
+    """The means, from one row of sums per site."""
+    means = totals.select("site", c("total_pages").alias("pages"), *[
+        F.floor(c(n) / c("total_pages")).cast("bigint").alias(n) for n in ("aeo", "geo")])
     return means.withColumn("overall", F.floor((c("aeo") + c("geo")) / 2).cast("bigint"))
 
 
+def breakdown_totals(signals: DataFrame, lang: str = "en") -> DataFrame:
+    """One row of sums per site, out of one extraction: ``mean_scores_of``, ``coverage_of`` and ``platform_of`` read it."""
+    checks, names = C.breakdown_checks(), list(fv.PLATFORM_MARKERS)
+    rows = C.with_breakdown_flags(signals, lang).select(
+        "site", *[k.points.alias(f"p_{k.name}") for k in checks], *[k.present.cast("int").alias(f"n_{k.name}") for k in checks],
+        *[F.element_at(c("platform_hits"), i + 1)["hits"].alias(n) for i, n in enumerate(names)])
+
+    def capped(pillar: str) -> Column:
+        own = [c(f"p_{k.name}") for k in checks if k.pillar == pillar]
+        return F.least(F.lit(100), sum(own[1:], own[0]).cast("bigint"))
+
+    return rows.groupBy("site").agg(
+        F.count(F.lit(1)).alias("total_pages"), F.sum(capped("AEO")).alias("aeo"), F.sum(capped("GEO")).alias("geo"),
+        *[F.sum(f"p_{k.name}").alias(f"p_{k.name}") for k in checks], *[F.sum(f"n_{k.name}").alias(f"n_{k.name}") for k in checks],
+        *[F.sum(n).alias(n) for n in names])
+
+
 def signal_coverage(signals: DataFrame, lang: str = "en") -> DataFrame:
     """Per site and signal: pages with it, total points, coverage, mean and strength.
 
@@ -319,6 +341,12 @@ def signal_coverage(signals: DataFrame, lang: str = "en") -> DataFrame:
     wide = pre.groupBy("site").agg(
         F.count(F.lit(1)).alias("total_pages"), *[F.sum(f"p_{k.name}").alias(f"p_{k.name}") for k in checks],
         *[F.sum(f"n_{k.name}").alias(f"n_{k.name}") for k in checks])
+    return coverage_of(wide)
+
+
+def coverage_of(wide: DataFrame) -> DataFrame:
+    """The coverage, from one row of sums per site."""
+    checks = C.breakdown_checks()
     rows = F.array(*[F.struct(
         F.lit(k.pillar).alias("pillar"), F.lit(k.name).alias("check"), c(f"n_{k.name}").alias("pages_with_signal"),
         c(f"p_{k.name}").alias("total_score"), F.lit(k.max_points).cast("bigint").alias("max_points"))
@@ -344,7 +372,12 @@ def platform(signals: DataFrame) -> DataFrame:
     """Platform with most marker hits over all pages of a site; ``custom`` when none hit."""
     names = list(fv.PLATFORM_MARKERS)
     pre = signals.select("site", *[F.element_at(c("platform_hits"), i + 1)["hits"].alias(n) for i, n in enumerate(names)])
-    sums = pre.groupBy("site").agg(*[F.sum(n).alias(n) for n in names])
+    return platform_of(pre.groupBy("site").agg(*[F.sum(n).alias(n) for n in names]))
+
+
+def platform_of(sums: DataFrame) -> DataFrame:
+    """The platform, from one row of sums per site."""
+    names = list(fv.PLATFORM_MARKERS)
     best = F.greatest(*[c(n) for n in names])
     pick = None
     for n in names:

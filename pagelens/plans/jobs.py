@@ -20,6 +20,7 @@ from ..operators import recommend as R
 from ..operators import site as A
 from ..operators import visibility as V
 from ..operators.page_signals import page_signals
+from ..session import checkpoint_ready
 from ..sources import io
 
 c = F.col
@@ -146,11 +147,16 @@ def score_audit(record: DataFrame, url_status: DataFrame) -> dict[str, DataFrame
 
 
 def audit_aeo_geo(pages: DataFrame, lang: str = "en") -> dict[str, DataFrame]:
-    """Breakdown per page, site scores, coverage, platform and advice, of pages or of their signals."""
+    """Breakdown per page, site scores, coverage, platform and advice, of pages or of their signals.
+
+    All site tables come from one aggregation, kept as a checkpoint of one row per site, so that pages are extracted once for
+    them; ``pages`` is left to be computed where it is used.
+    """
+    checkpoint_ready(pages.sparkSession)
     signals = _signals(pages)
-    breakdown = C.page_breakdown(signals, lang)
-    scores, coverage = A.site_mean_scores(breakdown), A.signal_coverage(signals, lang)
-    return {"pages": breakdown, "scores": scores, "coverage": coverage, "platform": A.platform(signals),
+    totals = A.breakdown_totals(signals, lang).checkpoint()
+    scores, coverage = A.mean_scores_of(totals), A.coverage_of(totals)
+    return {"pages": C.page_breakdown(signals, lang), "scores": scores, "coverage": coverage, "platform": A.platform_of(totals),
             "recommendations": R.site_recommendations(coverage, scores)}
 
 

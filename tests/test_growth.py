@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from catalog.scores import host_signals as HOSTS
 from pagelens.functions import html as H
+from pagelens.operators import checks as C
 from pagelens.operators import grams as GR
 from pagelens.operators import languages as LG
 from pagelens.operators import page_rows as P
 from pagelens.operators import page_signals as PS
+from pagelens.operators import site as A
+from pagelens.plans import jobs as JB
 from pagelens.sources import io
 from pagelens.streaming import stream as ST
 
@@ -174,3 +177,16 @@ def test_quick_searches_find_what_the_patterns_find(spark):
     for whole, quick in ((PS.PHONE, PS.PHONE_SEARCH), (PS.ADDRESS_HINT, PS.ADDRESS_SEARCH)):
         got = rows.select(F.regexp_extract(F.concat(F.lit(" "), "s", F.lit(" ")), whole, 0).alias("a"), F.regexp_extract(F.concat(F.lit(" "), "s", F.lit(" ")), quick, 0).alias("b")).collect()
         assert all(r.a == r.b for r in got) and sum(bool(r.a) for r in got) > 2
+
+
+def test_site_breakdown_extracts_its_pages_once(spark):
+    """Scores, coverage, platform and advice of a site audit read one row of sums per site, not the pages."""
+    pages = spark.createDataFrame([(i, f"https://a{i % 2}.lt/{i}", "<title>T</title><h2>What is it?</h2><ul><li>a</li></ul><p>one</p>" * (i + 1) + "wp-content" * (i % 3)) for i in range(9)], "page_id long, url string, html string")
+    signals = PS.page_signals(pages)
+    out = JB.audit_aeo_geo(signals)
+    for name in ("scores", "coverage", "platform", "recommendations"):
+        assert "regexp" not in out[name]._jdf.queryExecution().optimizedPlan().toString()
+    apart = {"scores": A.site_mean_scores(C.page_breakdown(signals)), "coverage": A.signal_coverage(signals), "platform": A.platform(signals)}
+    for name, df in apart.items():
+        assert df.dtypes == out[name].dtypes
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, out[name].collect()))
