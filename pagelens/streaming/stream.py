@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -59,6 +60,8 @@ def stream_sessions(events: DataFrame, watermark: str = "1 hour", gap: str = "30
 
 # --- sessions with a timer ------------------------------------------------------------------------
 SESSION_STATE = "site_id string, step string, tie long, created long, updated long, done boolean"
+BUCKET_STATE = "id array<string>, site_id array<string>, step array<string>, tie array<long>, created array<long>, updated array<long>, done array<boolean>"
+EVENT = ["id", "site_id", "step", "event_id", "at"]
 
 
 class AbandonedSessions(StatefulProcessor):
@@ -79,13 +82,7 @@ class AbandonedSessions(StatefulProcessor):
         held = self.open.get()  # None for a new session; each call goes to the JVM and back, so there are few of them
         before = held
         for r in rows:
-            if held is None:
-                held = (r.site_id, r.step, r.event_id, r.at, r.at, r.step == self.done)
-                continue
-            site_id, step, tie, created, updated, done = held
-            if (r.at, r.event_id) > (updated, tie):
-                step, tie, updated = r.step, r.event_id, r.at
-            held = (site_id, step, tie, min(created, r.at), updated, done or r.step == self.done)
+            held = self._after(held, r.site_id, r.step, r.event_id, r.at)
         due = self._due(held)
         if before is None or self._due(before) != due:
             if before is not None:
@@ -95,27 +92,104 @@ class AbandonedSessions(StatefulProcessor):
             self.open.update(held)
         return iter(())
 
+    def _after(self, held, site_id, step, event_id, at) -> tuple:
+        """The row of a session after one more event."""
+        if held is None:
+            return site_id, step, event_id, at, at, step == self.done
+        first_site, last, tie, created, updated, done = held
+        done = done or step == self.done
+        if (at, event_id) > (updated, tie):
+            last, tie, updated = step, event_id, at
+        return first_site, last, tie, min(created, at), updated, done
+
     def _due(self, held) -> int:
         return -(-(held[3] + self.wait) // 1000)
 
+    def _ended(self, id, held) -> Row:
+        site_id, step, _, created, updated, _ = held
+        return Row(id=id, site_id=site_id, current_step=step, created=created, updated=updated, ended=created + self.wait)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        site_id, step, _, created, updated, done = self.open.get()
+        held = self.open.get()
         self.open.clear()
-        if not done:
-            yield Row(id=key[0], site_id=site_id, current_step=step, created=created, updated=updated, ended=created + self.wait)
+        if not held[5]:
+            yield self._ended(key[0], held)
+
+
+class AbandonedSessionsByBucket(AbandonedSessions):
+    """The same for all sessions of a bucket at once, in frames: their rows by column, and one timer for the next of them to end.
 
+    Calls to the state store are then made per bucket and not per session.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", BUCKET_STATE)
 
-def stream_abandoned(events: DataFrame, done: str = "purchase", hours: int = 24, watermark: str = "1 hour") -> DataFrame:
+    def handleInputRows(self, key, rows, timerValues):
+        held = dict(self._held())
+        before = self._next(held)
+        for frame in rows:
+            for id, *event in zip(*(frame[name].tolist() for name in EVENT)):
+                held[id] = self._after(held.get(id), *event)
+        due = self._next(held)
+        if before != due:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+        self._store(held)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """All sessions whose time the watermark has reached; Spark itself deletes the timer that it calls for."""
+        now, left, ended = timerValues.getCurrentWatermarkInMs(), {}, []
+        for id, held in self._held():
+            if self._due(held) > now:
+                left[id] = held
+            elif not held[5]:
+                ended.append(self._ended(id, held))
+        if left:
+            self.handle.registerTimer(self._next(left))
+            self._store(left)
+        else:
+            self.open.clear()
+        if ended:
+            yield pd.DataFrame(ended, columns=ended[0].__fields__)
+
+    def _held(self):
+        """Ids with the rows of their sessions."""
+        ids, *columns = self.open.get() or ([],)
+        return zip(ids, zip(*columns))
+
+    def _next(self, held: dict) -> int | None:
+        return min(map(self._due, held.values()), default=None)
+
+    def _store(self, held: dict) -> None:
+        self.open.update((list(held), *map(list, zip(*held.values()))))
+
+
+def stream_abandoned(events: DataFrame, done: str = "purchase", hours: int = 24, watermark: str = "1 hour",
+                     buckets: int | None = 4096) -> DataFrame:
     """Sessions that are still not completed some hours after their first event, with the step they stopped at.
 
     ``events(id, site_id, step, event_id, ts)``; of events at one time the greatest ``event_id`` is the newest.  The stream form of
     ``sessions.abandoned`` on ``sessions.current_state``: state is one row per session younger than that, and each row comes
     once, when the watermark passes its time.  Needs the RocksDB state store
     (``spark.sql.streaming.stateStore.providerClass``), as Spark keeps timers there.
+
+    Sessions are kept by bucket of their id; a batch reads and writes the buckets that it has events of.  ``buckets=None`` keeps each
+    session by itself, which suits many open sessions and small batches.  Both give the same rows.  A stream that goes on from
+    its checkpoint must keep the number (None for one begun without buckets).
     """
-    timed = _timed(events, "ts", watermark).select("id", "site_id", "step", "event_id", "ts", F.unix_micros("ts").alias("at"))
-    ended = timed.groupBy("id").transformWithState(
-        AbandonedSessions(done, hours), "id string, site_id string, current_step string, created long, updated long, ended long",
-        outputMode="Append", timeMode="eventTime")
+    tie = F.coalesce("event_id", F.lit(-2**63)).alias("event_id")  # without nulls, frames keep numbers as they are
+    at = F.coalesce(F.unix_micros("ts"), F.raise_error(F.lit("an event has no time")).cast("long")).alias("at")
+    timed = _timed(events, "ts", watermark).select("id", "site_id", "step", tie, "ts", at)
+    state = {"outputStructType": "id string, site_id string, current_step string, created long, updated long, ended long",
+             "outputMode": "Append", "timeMode": "eventTime"}
+    if buckets is None:
+        ended = timed.groupBy("id").transformWithState(AbandonedSessions(done, hours), **state)
+    else:
+        bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")
+        ended = timed.select(bucket, "*").groupBy("bucket").transformWithStateInPandas(AbandonedSessionsByBucket(done, hours), **state)
     times = {"created_at": "created", "updated_at": "updated", "abandoned_at": "ended"}
     return ended.select("id", "site_id", "current_step", *[F.timestamp_micros(old).alias(new) for new, old in times.items()])

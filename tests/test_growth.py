@@ -3,8 +3,10 @@
 import datetime as dt
 import time
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from catalog.scores import host_signals as HOSTS
 from pagelens.functions import html as H
@@ -190,3 +192,94 @@ def test_site_breakdown_extracts_its_pages_once(spark):
     for name, df in apart.items():
         assert df.dtypes == out[name].dtypes
         assert sorted(map(tuple, df.collect())) == sorted(map(tuple, out[name].collect()))
+
+
+class BucketHandle:
+    """A state store with one value and timers, that counts the calls made to it."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = [], None, []
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, held):
+        self.calls.append("update")
+        self.held = held
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = None
+
+    def registerTimer(self, t):
+        self.calls.append("register")
+        self.timers.append(t)
+
+    def deleteTimer(self, t):
+        self.calls.append("delete")
+        self.timers.remove(t)
+
+
+def test_sessions_of_a_bucket_share_calls_and_one_timer():
+    """Trips out of Python are made per bucket and not per session; the timer is that of the next session to end."""
+    h, p, hour = BucketHandle(), ST.AbandonedSessionsByBucket("purchase", 24), 3_600_000_000
+    p.init(h)
+
+    def events(*rows):
+        h.calls.clear()
+        frames = [pd.DataFrame(rows[i:i + 300], columns=["id", "site_id", "step", "event_id", "at"]) for i in range(0, len(rows), 300)]
+        assert list(p.handleInputRows((0,), iter(frames), None)) == []
+        return h.calls
+
+    def expired(at):
+        h.calls.clear()
+        h.timers.remove(min(h.timers))  # Spark does so
+        return [r for f in p.handleExpiredTimer((0,), TimerValues(0, at // 1000), None) for r in f.to_dict("records")]
+
+    many = [(f"s{i}", "1", "view", i, 5 * hour + i) for i in range(1000)]
+    assert events(*many) == ["get", "register", "update"] and h.timers == [29 * 3_600_000]
+    assert events(("s7", "1", "purchase", 2000, 6 * hour), ("s8", "1", "click", 2001, 6 * hour)) == ["get", "update"]
+    assert events(("s9", "1", "view", 2002, 4 * hour)) == ["get", "delete", "register", "update"] and h.timers == [28 * 3_600_000]
+    assert expired(28 * hour) == [{"id": "s9", "site_id": "1", "current_step": "view", "created": 4 * hour, "updated": 5 * hour + 9, "ended": 28 * hour}]
+    assert h.calls == ["get", "register", "update"] and h.timers == [29 * 3_600_000] and len(h.held[0]) == 999
+    rest = expired(30 * hour)
+    assert sorted(r["id"] for r in rest) == sorted(f"s{i}" for i in range(1000) if i not in (7, 9))
+    assert [r["current_step"] for r in rest if r["id"] == "s8"] == ["click"] and h.calls == ["get", "clear"] and h.timers == []
+
+
+def test_buckets_give_the_rows_of_single_sessions(spark, tmp_path):
+    """Over several batches, with events out of order, nulls, ids that come again after their end and sessions of one bucket that end apart."""
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "id string, site_id string, step string, event_id long, ts timestamp"
+    odd = [(None, None, None, None, t0), (None, "1", "view", 2**62 + 1, t0 + dt.timedelta(hours=1)), ("s1", None, "click", 2**62 + 1, t0), ("s1", "2", "view", 2**62 + 2, t0)]
+    for k in range(7):
+        rows = [(f"s{i}", str(i % 3), "purchase" if (i + k) % 7 == 0 else f"step {k}", 100 * k + i, t0 + dt.timedelta(hours=12 * k + i * 7 % 11, microseconds=i * 1001 % 9)) for i in range(40) if (i + k) % 3]
+        spark.createDataFrame(rows + odd * (k == 0), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": "2"}
+    before, found = {name: spark.conf.get(name) for name in conf}, {}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        for buckets in (None, 3):
+            events = ST.read_stream(spark, f"{tmp_path}/in", schema, max_files=1)
+            q = ST.stream_abandoned(events, watermark="10 minutes", buckets=buckets).writeStream.format("parquet").option(
+                "checkpointLocation", f"{tmp_path}/state{buckets}").trigger(availableNow=True).start(f"{tmp_path}/out{buckets}")
+            q.awaitTermination()
+            found[buckets] = sorted(map(str, spark.read.parquet(f"{tmp_path}/out{buckets}").collect()))
+            ids = [r.split(",")[0] for r in found[buckets]]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found[3] == found[None]
+    assert len(set(ids)) > 20 and len(ids) > len(set(ids)) and ids.count("Row(id=None") == 1
+
+
+def test_stream_of_abandoned_sessions_is_kept_by_bucket(spark, tmp_path):
+    schema = "id string, site_id string, step string, event_id long, ts timestamp"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    plan = ST.stream_abandoned(ST.read_stream(spark, f"{tmp_path}/in", schema))._jdf.queryExecution().analyzed().toString()
+    assert "pmod(xxhash64(id" in plan
